@@ -165,3 +165,108 @@ SELECT Segment, count(*) AS customers, avg(Recency) AS avg_recency,
          / sum(SUM(CAST(floor(Monetary * 10000 + 0.5) AS BIGINT))) OVER () AS revenue_share
 FROM scored GROUP BY Segment""")
 oracle("segment_actions", RFM_CTE, SCORED_CTE)("SELECT DISTINCT Segment, Action FROM scored")
+
+
+def msum(expr: str) -> str:
+    return f"(SUM(CAST(floor(({expr}) * 10000 + 0.5) AS BIGINT)) / 10000.0)"
+
+
+def munits(expr: str) -> str:
+    return f"SUM(CAST(floor(({expr}) * 10000 + 0.5) AS BIGINT))"
+
+
+oracle("eda_overview")(f"""
+SELECT count(*) AS n_line_items, count(DISTINCT CustomerID) AS n_customers,
+       count(DISTINCT InvoiceNo) AS n_invoices, count(DISTINCT StockCode) AS n_products,
+       count(DISTINCT Country) AS n_countries, min(InvoiceDate) AS date_min,
+       max(InvoiceDate) AS date_max, {msum('TotalPrice')} AS total_revenue
+FROM tx""")
+
+oracle("eda_monthly")(f"""
+SELECT date_trunc('month', InvoiceDate) AS month, {msum('TotalPrice')} AS revenue,
+       count(DISTINCT InvoiceNo) AS orders, count(DISTINCT CustomerID) AS customers,
+       {msum('TotalPrice')} / count(DISTINCT InvoiceNo) AS avg_order_value
+FROM tx GROUP BY 1""")
+
+_COUNTRY = f"""
+SELECT Country, {msum('TotalPrice')} AS revenue, count(DISTINCT InvoiceNo) AS orders,
+       count(DISTINCT CustomerID) AS customers,
+       {munits('TotalPrice')} / sum({munits('TotalPrice')}) OVER () AS revenue_share
+FROM tx GROUP BY Country"""
+oracle("eda_country")(_COUNTRY)
+oracle("eda_country_top10")(f"SELECT * FROM ({_COUNTRY}) c ORDER BY revenue DESC, Country LIMIT 10")
+
+
+def _describe_sql(vals_sql: str, out: str) -> str:
+    pct = [(0.25, "25%"), (0.5, "50%"), (0.75, "75%"), (0.9, "90%"), (0.99, "99%")]
+    qs = ", ".join(f"quantile_cont(v, {p}) AS q{i}" for i, (p, _) in enumerate(pct))
+    parts = [f"SELECT 0 AS stat_no, 'count' AS stat, CAST(c AS DOUBLE) AS {out} FROM s",
+             f"SELECT 1, 'mean', mean FROM s", f"SELECT 2, 'std', round(sd, 6) FROM s",
+             f"SELECT 3, 'min', mn FROM s"]
+    parts += [f"SELECT {4 + i}, '{lab}', q{i} FROM s" for i, (_, lab) in enumerate(pct)]
+    parts.append(f"SELECT 9, 'max', mx FROM s")
+    return (f"SELECT * FROM (WITH vals AS ({vals_sql}), s AS (SELECT count(v) AS c, "
+            f"{munits('v')} / 10000.0 / count(v) AS mean, stddev_samp(v) AS sd, min(v) AS mn, "
+            f"max(v) AS mx, {qs} FROM vals) " + " UNION ALL ".join(parts) + ") d")
+
+
+oracle("eda_order_stats")(_describe_sql(
+    f"SELECT InvoiceNo, {msum('TotalPrice')} AS v FROM tx GROUP BY InvoiceNo", "order_value"))
+oracle("eda_customer_dist")(_describe_sql(
+    f"SELECT CustomerID, {msum('TotalPrice')} AS v FROM tx GROUP BY CustomerID", "customer_spend"))
+
+# modal text: highest count, ties → smallest text
+MODAL_CTE = """
+desc_counts AS (
+  SELECT StockCode, Description, count(*) AS c FROM tx
+  WHERE Description IS NOT NULL GROUP BY StockCode, Description
+),
+modal_desc AS (
+  SELECT StockCode, Description FROM (
+    SELECT *, row_number() OVER (PARTITION BY StockCode ORDER BY c DESC, Description) AS rn
+    FROM desc_counts) WHERE rn = 1
+)"""
+
+oracle("modal_description", MODAL_CTE)("""
+SELECT p.StockCode, coalesce(m.Description, '') AS description
+FROM (SELECT DISTINCT StockCode FROM tx) p LEFT JOIN modal_desc m USING (StockCode)""")
+
+oracle("eda_top_products", MODAL_CTE)(f"""
+SELECT t.StockCode, {msum('TotalPrice')} AS revenue, sum(Quantity) AS units,
+       coalesce(any_value(m.Description), '') AS description
+FROM tx t LEFT JOIN modal_desc m USING (StockCode)
+GROUP BY t.StockCode ORDER BY revenue DESC, t.StockCode LIMIT 20""")
+
+oracle("product_descriptions", MODAL_CTE)("SELECT StockCode, Description FROM modal_desc")
+
+PRODUCTS_CTE = f"""
+products AS (
+  SELECT t.StockCode AS stock_code, any_value(m.Description) AS description,
+         {msum('TotalPrice')} AS revenue, sum(Quantity) AS quantity,
+         count(DISTINCT InvoiceNo) AS orders, count(DISTINCT CustomerID) AS customers
+  FROM tx t LEFT JOIN modal_desc m USING (StockCode) GROUP BY t.StockCode
+),
+monthly AS (
+  SELECT strftime(InvoiceDate, '%Y-%m') AS month, {msum('TotalPrice')} AS revenue,
+         count(DISTINCT InvoiceNo) AS orders, count(DISTINCT CustomerID) AS customers
+  FROM tx GROUP BY 1
+),
+country AS (
+  SELECT Country AS country, {msum('TotalPrice')} AS revenue,
+         count(DISTINCT InvoiceNo) AS orders, count(DISTINCT CustomerID) AS customers
+  FROM tx GROUP BY 1
+),
+cust_prod AS (
+  SELECT CustomerID, StockCode, {munits('TotalPrice')} AS u FROM tx
+  WHERE CustomerID IS NOT NULL GROUP BY 1, 2
+),
+customer_top_product AS (
+  SELECT CustomerID AS customer_id, StockCode AS stock_code, u / 10000.0 AS revenue FROM (
+    SELECT *, row_number() OVER (PARTITION BY CustomerID ORDER BY u DESC, StockCode) AS rn
+    FROM cust_prod) WHERE rn = 1
+)"""
+
+oracle("sum_products", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM products")
+oracle("sum_monthly", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM monthly")
+oracle("sum_country", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM country")
+oracle("customer_top_product", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM customer_top_product")

@@ -30,3 +30,24 @@ def rfm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws(spark, sf_dir).table("rfm_scored", lambda: rfm.score_rfm(rfm_table(spark, sf_dir)))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import eda
+    return ws(spark, sf_dir).table("products", lambda: eda.build_products(tx(spark, sf_dir)))
+
+
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import eda
+    return ws(spark, sf_dir).table("monthly", lambda: eda.build_monthly(tx(spark, sf_dir)))
+
+
+def country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import eda
+    return ws(spark, sf_dir).table("country", lambda: eda.build_country(tx(spark, sf_dir)))
+
+
+def customer_top_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import eda
+    return ws(spark, sf_dir).table(
+        "customer_top_product", lambda: eda.build_customer_top_product(tx(spark, sf_dir)))

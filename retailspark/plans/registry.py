@@ -62,3 +62,74 @@ def q_segment_summary_eda(spark, d):
 @query("segment_actions")
 def q_segment_actions(spark, d):
     return rfm.segment_actions(P.scored(spark, d))
+
+
+# ---------------------------------------------------------------- EDA
+from retailspark.operators import eda  # noqa: E402
+
+
+@query("eda_overview")
+def q_eda_overview(spark, d):
+    return eda.dataset_overview(P.tx(spark, d))
+
+
+@query("eda_monthly")
+def q_eda_monthly(spark, d):
+    return eda.monthly_summary(P.tx(spark, d))
+
+
+@query("eda_country")
+def q_eda_country(spark, d):
+    return eda.country_summary(P.tx(spark, d))
+
+
+@query("eda_country_top10")
+def q_eda_country_top10(spark, d):
+    return eda.country_summary(P.tx(spark, d), top_n=10)
+
+
+@query("eda_order_stats")
+def q_eda_order_stats(spark, d):
+    return eda.order_value_stats(P.tx(spark, d))
+
+
+@query("eda_customer_dist")
+def q_eda_customer_dist(spark, d):
+    return eda.customer_value_distribution(P.tx(spark, d))
+
+
+@query("modal_description")
+def q_modal_description(spark, d):
+    tx = P.tx(spark, d)
+    return tx.groupBy("StockCode").agg(
+        F.coalesce(eda.modal("Description"), F.lit("")).alias("description"))
+
+
+@query("eda_top_products")
+def q_eda_top_products(spark, d):
+    return eda.top_products(P.tx(spark, d), n=20)
+
+
+@query("product_descriptions")
+def q_product_descriptions(spark, d):
+    return eda.product_descriptions(P.tx(spark, d))
+
+
+@query("sum_products")
+def q_sum_products(spark, d):
+    return P.products(spark, d).orderBy(F.desc("revenue"), "stock_code")
+
+
+@query("sum_monthly")
+def q_sum_monthly(spark, d):
+    return P.monthly(spark, d).orderBy("month")
+
+
+@query("sum_country")
+def q_sum_country(spark, d):
+    return P.country(spark, d).orderBy(F.desc("revenue"), "country")
+
+
+@query("customer_top_product")
+def q_customer_top_product(spark, d):
+    return P.customer_top_product(spark, d).orderBy("customer_id")
