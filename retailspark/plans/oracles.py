@@ -270,3 +270,154 @@ oracle("sum_products", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM products")
 oracle("sum_monthly", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM monthly")
 oracle("sum_country", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM country")
 oracle("customer_top_product", MODAL_CTE, PRODUCTS_CTE)("SELECT * FROM customer_top_product")
+
+
+# ---------------------------------------------------------------- CLV
+def floor_days_sql(a: str, b: str) -> str:
+    return f"CAST(floor((epoch_us({b}) - epoch_us({a})) / 86400000000.0) AS INTEGER)"
+
+
+def summary_cte(name: str, src: str, obs_expr: str) -> str:
+    return f"""
+{name}_daily AS (
+  SELECT CustomerID, date_trunc('day', InvoiceDate) AS day, {munits('TotalPrice')} AS u
+  FROM {src} WHERE date_trunc('day', InvoiceDate) <= date_trunc('day', {obs_expr}) GROUP BY 1, 2
+),
+{name}_per AS (
+  SELECT CustomerID, min(day) AS f, max(day) AS l, count(*) AS nd, sum(u) AS ua, arg_min(u, day) AS uf
+  FROM {name}_daily GROUP BY 1
+),
+{name} AS (
+  SELECT CustomerID, CAST(nd - 1 AS DOUBLE) AS frequency,
+         CAST(date_diff('day', f, l) AS DOUBLE) AS recency,
+         CAST(date_diff('day', f, date_trunc('day', {obs_expr})) AS DOUBLE) AS T,
+         CASE WHEN nd > 1 THEN (ua - uf) / 10000.0 / (nd - 1) ELSE 0.0 END AS monetary_value
+  FROM {name}_per
+)"""
+
+
+CLV_SUMMARY_CTE = summary_cte("clv_summary", "tx", "(SELECT max(InvoiceDate) FROM tx)")
+PURCHASE_CTE = """
+purchase_tx AS (
+  SELECT CAST(user_id AS VARCHAR) AS CustomerID, CAST(event_id AS VARCHAR) AS InvoiceNo,
+         CAST(ts AS TIMESTAMP) AS InvoiceDate, value AS TotalPrice
+  FROM events WHERE event_type = 'purchase'
+)"""
+
+oracle("clv_historical")(f"""
+SELECT CustomerID, {msum('TotalPrice')} AS total_revenue, count(DISTINCT InvoiceNo) AS n_orders,
+       min(InvoiceDate) AS first_purchase, max(InvoiceDate) AS last_purchase,
+       {msum('TotalPrice')} / count(DISTINCT InvoiceNo) AS avg_order_value,
+       {floor_days_sql('min(InvoiceDate)', 'max(InvoiceDate)')} AS tenure_days,
+       {msum('TotalPrice')} / greatest({floor_days_sql('min(InvoiceDate)', 'max(InvoiceDate)')}, 1) * 365
+         AS annual_value
+FROM tx GROUP BY CustomerID""")
+oracle("clv_summary", CLV_SUMMARY_CTE)("SELECT * FROM clv_summary")
+oracle("clv_summary_events", PURCHASE_CTE, summary_cte(
+    "ev_summary", "purchase_tx", "(SELECT max(InvoiceDate) FROM purchase_tx)"))("SELECT * FROM ev_summary")
+oracle("clv_eligible", CLV_SUMMARY_CTE)(
+    "SELECT * FROM clv_summary WHERE frequency > 0 AND monetary_value > 0")
+oracle("clv_corr", CLV_SUMMARY_CTE)("""
+SELECT round(corr(frequency, monetary_value), 9) AS correlation FROM clv_summary
+WHERE frequency > 0 AND monetary_value > 0""")
+
+CAL_HOLDOUT_CTE = """
+bounds AS (SELECT max(InvoiceDate) AS obs, max(InvoiceDate) - INTERVAL 180 DAY AS cal FROM tx),
+cal_tx AS (SELECT * FROM tx WHERE InvoiceDate <= (SELECT cal FROM bounds))""" + "," + summary_cte(
+    "cal_summary", "cal_tx", "(SELECT cal FROM bounds)") + """,
+hold AS (
+  SELECT CustomerID, CAST(count(DISTINCT date_trunc('day', InvoiceDate)) AS DOUBLE) AS fh FROM tx
+  WHERE InvoiceDate > (SELECT cal FROM bounds) AND InvoiceDate <= (SELECT obs FROM bounds)
+  GROUP BY 1
+),
+cal_holdout AS (
+  SELECT c.CustomerID, c.frequency AS frequency_cal, c.recency AS recency_cal, c.T AS T_cal,
+         coalesce(h.fh, 0.0) AS frequency_holdout,
+         CAST(date_diff('day', date_trunc('day', (SELECT cal FROM bounds)),
+                        date_trunc('day', (SELECT obs FROM bounds))) AS DOUBLE) AS duration_holdout
+  FROM cal_summary c LEFT JOIN hold h USING (CustomerID)
+)"""
+oracle("clv_cal_holdout", CAL_HOLDOUT_CTE)("SELECT * FROM cal_holdout")
+oracle("clv_method_counts", CLV_SUMMARY_CTE)("""
+SELECT CASE WHEN frequency > 0 AND monetary_value > 0 THEN 'bg_nbd_gamma_gamma'
+            ELSE 'fallback_pop_mean' END AS clv_method, count(*) AS customers
+FROM clv_summary GROUP BY 1""")
+
+
+def _f(v: float) -> str:
+    return repr(float(v))
+
+
+def hyp2f1_sql(a: str, b: str, c: str, z: str, n: int = 200) -> str:
+    t = f"acc.t * ({a} + k) * ({b} + k) / (({c} + k) * (k + 1.0)) * ({z})"
+    return (f"list_reduce(range({n - 1}), lambda acc, k: {{'t': {t}, 's': acc.s + {t}}}, "
+            f"{{'t': 1.0, 's': 1.0}}).s")
+
+
+def expected_sql(t: float, x="frequency", tx="recency", T="T", bg=None) -> str:
+    r, al, a, b = (_f(v) for v in bg)
+    tt = _f(t)
+    a1 = f"(({a} + {b} + {x} - 1.0) / ({a} - 1.0))"
+    z = f"({tt} / ({al} + {T} + {tt}))"
+    a2 = (f"(pow(({al} + {T}) / ({al} + {T} + {tt}), {r} + {x}) * "
+          f"{hyp2f1_sql(f'({r} + {x})', f'({b} + {x})', f'({a} + {b} + {x} - 1.0)', z)})")
+    den = f"(1.0 + CASE WHEN {x} > 0 THEN {a} / ({b} + {x} - 1.0) * pow(({al} + {T}) / ({al} + {tx}), {r} + {x}) ELSE 0.0 END)"
+    return f"({a1} * (1.0 - {a2}) / {den})"
+
+
+def alive_sql(x="frequency", tx="recency", T="T", bg=None) -> str:
+    r, al, a, b = (_f(v) for v in bg)
+    ld = f"(({r} + {x}) * ln(({al} + {T}) / ({al} + {tx})) + ln({a} / ({b} + greatest({x}, 1.0) - 1.0)))"
+    return f"(CASE WHEN {x} = 0 THEN 1.0 ELSE 1.0 / (1.0 + exp({ld})) END)"
+
+
+def avg_value_sql(x="frequency", m="monetary_value", gg=None) -> str:
+    p, q, v = (_f(z) for z in gg)
+    return f"({p} * ({v} + {x} * {m}) / ({p} * {x} + {q} - 1.0))"
+
+
+FBG = (0.67, 64.0, 0.5, 1.2)
+FGG = (6.0, 3.0, 100.0)
+H_DAYS = 3 * 365.25 / 12
+
+
+def _clean_sql(e: str) -> str:
+    return f"greatest(coalesce(CASE WHEN isnan({e}) THEN 0.0 ELSE {e} END, 0.0), 0.0)"
+
+
+PRED_FIXED_CTE = f"""
+pred0 AS (
+  SELECT CustomerID, frequency, recency, T, monetary_value,
+         frequency > 0 AND monetary_value > 0 AS elig,
+         {expected_sql(H_DAYS, bg=FBG)} AS purch,
+         {alive_sql(bg=FBG)} AS prob_alive,
+         {avg_value_sql(gg=FGG)} AS avgv,
+         {expected_sql(30.0, bg=FBG)} AS e1, {expected_sql(60.0, bg=FBG)} AS e2,
+         {expected_sql(90.0, bg=FBG)} AS e3
+  FROM clv_summary
+),
+pop AS (SELECT avg(avgv) AS pop_avg FROM pred0 WHERE elig),
+clv_pred_fixed AS (
+  SELECT CustomerID,
+         round({_clean_sql('purch')}, 6) AS predicted_purchases,
+         round(prob_alive, 6) AS prob_alive,
+         round(CASE WHEN elig THEN avgv ELSE (SELECT pop_avg FROM pop) END, 6) AS predicted_avg_value,
+         CASE WHEN elig THEN 'bg_nbd_gamma_gamma' ELSE 'fallback_pop_mean' END AS clv_method,
+         round({_clean_sql("CASE WHEN elig THEN avgv * (e1 - 0.0) / 1.01 + avgv * (e2 - e1) / (1.01 * 1.01) + avgv * (e3 - e2) / (1.01 * 1.01 * 1.01) ELSE purch * (SELECT pop_avg FROM pop) END")}, 6) AS predicted_clv
+  FROM pred0
+)"""
+
+oracle("clv_expected_fixed", CLV_SUMMARY_CTE)(
+    f"SELECT CustomerID, round({expected_sql(H_DAYS, bg=FBG)}, 6) AS predicted_purchases FROM clv_summary")
+oracle("clv_alive_fixed", CLV_SUMMARY_CTE)(
+    f"SELECT CustomerID, round({alive_sql(bg=FBG)}, 6) AS prob_alive FROM clv_summary")
+oracle("clv_avg_value_fixed", CLV_SUMMARY_CTE)(
+    f"SELECT CustomerID, round({avg_value_sql(gg=FGG)}, 6) AS predicted_avg_value FROM clv_summary")
+oracle("clv_predict_fixed", CLV_SUMMARY_CTE, PRED_FIXED_CTE)("SELECT * FROM clv_pred_fixed")
+oracle("clv_validate_fixed", CAL_HOLDOUT_CTE)(f"""
+SELECT count(*) AS n_customers, 180 AS holdout_days,
+       round(round(avg(abs(p - y)), 9), 6) AS mae, round(round(sqrt(avg((p - y) * (p - y))), 9), 6) AS rmse,
+       round(round(corr(p, y), 9), 6) AS correlation, round(sum(y), 6) AS actual_total_purchases,
+       round(round(sum(p), 6), 6) AS predicted_total_purchases
+FROM (SELECT {expected_sql(180.0, 'frequency_cal', 'recency_cal', 'T_cal', bg=FBG)} AS p,
+             frequency_holdout AS y FROM cal_holdout) v""")

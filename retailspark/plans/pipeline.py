@@ -4,6 +4,7 @@ once per (session, data folder) — see ``stages.Stages``."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from retailspark.operators import clean, rfm
 from retailspark.plans.stages import Stages
@@ -51,3 +52,61 @@ def customer_top_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     from retailspark.operators import eda
     return ws(spark, sf_dir).table(
         "customer_top_product", lambda: eda.build_customer_top_product(tx(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ CLV
+HORIZON_MONTHS = 3
+HOLDOUT_DAYS = 180
+
+
+def clv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import clv
+    return ws(spark, sf_dir).table("clv_summary", lambda: clv.build_summary(tx(spark, sf_dir)))
+
+
+def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import clv
+    return ws(spark, sf_dir).table("clv_historical", lambda: clv.historical_clv(tx(spark, sf_dir)))
+
+
+def bgnbd_fit(spark: SparkSession, sf_dir: str):
+    from retailspark.operators import clv
+    return ws(spark, sf_dir).value("bgnbd_fit", lambda: clv.fit_bgnbd(clv_summary(spark, sf_dir)))
+
+
+def gg_fit(spark: SparkSession, sf_dir: str):
+    from retailspark.operators import clv
+    return ws(spark, sf_dir).value("gg_fit", lambda: clv.fit_gamma_gamma(clv_summary(spark, sf_dir)))
+
+
+def clv_predictions(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFrame:
+    from retailspark.operators import clv
+    if fixed:
+        return ws(spark, sf_dir).table("clv_predictions_fixed", lambda: clv.predict(
+            clv_summary(spark, sf_dir), clv.BGNBD(*clv.FIXED_BG), clv.GammaGamma(*clv.FIXED_GG),
+            HORIZON_MONTHS))
+    return ws(spark, sf_dir).table("clv_predictions", lambda: clv.predict(
+        clv_summary(spark, sf_dir), bgnbd_fit(spark, sf_dir).params, gg_fit(spark, sf_dir).params,
+        HORIZON_MONTHS))
+
+
+def customer_clv(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFrame:
+    """summary ⟕ predictions ⟕ historical ⟕ segments (one row per customer;
+    every join is on the CustomerID key of two customer-level tables)."""
+    def build():
+        hist = historical(spark, sf_dir).select(
+            "CustomerID", F.col("total_revenue").alias("historical_clv"), "n_orders",
+            "avg_order_value", "tenure_days")
+        seg = segments(spark, sf_dir).select("CustomerID", "Segment", "ClusterName")
+        return (clv_summary(spark, sf_dir)
+                .join(clv_predictions(spark, sf_dir, fixed), "CustomerID", "left")
+                .join(hist, "CustomerID", "left")
+                .join(seg, "CustomerID", "left"))
+    return ws(spark, sf_dir).table("customer_clv_fixed" if fixed else "customer_clv", build)
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored RFM customers ⊕ K-means cluster and cluster name."""
+    from retailspark.operators import kmeans
+    return ws(spark, sf_dir).table(
+        "customer_segments", lambda: kmeans.attach_clusters(spark, scored(spark, sf_dir)))

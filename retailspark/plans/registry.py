@@ -133,3 +133,232 @@ def q_sum_country(spark, d):
 @query("customer_top_product")
 def q_customer_top_product(spark, d):
     return P.customer_top_product(spark, d).orderBy("customer_id")
+
+
+# ---------------------------------------------------------------- CLV
+from retailspark.functions.labels import SEGMENT_GRID, lookup  # noqa: E402
+from retailspark.operators import clv, kmeans  # noqa: E402
+
+
+def _round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+                       if f.dataType.typeName() == "double" else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+@query("clv_historical")
+def q_clv_historical(spark, d):
+    return P.historical(spark, d)
+
+
+@query("clv_summary")
+def q_clv_summary(spark, d):
+    return P.clv_summary(spark, d)
+
+
+@query("clv_summary_events")
+def q_clv_summary_events(spark, d):
+    from retailspark.sources.testdata import purchase_tx
+    return clv.build_summary(purchase_tx(spark, d))
+
+
+@query("clv_eligible")
+def q_clv_eligible(spark, d):
+    return P.clv_summary(spark, d).filter(clv.eligible())
+
+
+@query("clv_corr")
+def q_clv_corr(spark, d):
+    return clv.frequency_monetary_correlation(P.clv_summary(spark, d))
+
+
+def _cal_obs(tx: DataFrame):
+    obs = tx.select(F.max("InvoiceDate")).scalar()
+    cal = tx.select(F.max("InvoiceDate") - F.expr(f"INTERVAL {P.HOLDOUT_DAYS} DAYS")).scalar()
+    return cal, obs
+
+
+@query("clv_cal_holdout")
+def q_clv_cal_holdout(spark, d):
+    tx = P.tx(spark, d)
+    cal, obs = _cal_obs(tx)
+    return clv.calibration_holdout(tx, cal, obs)
+
+
+@query("clv_method_counts")
+def q_clv_method_counts(spark, d):
+    return P.clv_predictions(spark, d).groupBy("clv_method").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def _fixed_summary_cols(spark, d, cols):
+    s = P.clv_summary(spark, d)
+    bg, gg = clv.BGNBD(*clv.FIXED_BG), clv.GammaGamma(*clv.FIXED_GG)
+    x, tx_, T, m = F.col("frequency"), F.col("recency"), F.col("T"), F.col("monetary_value")
+    return _round_doubles(s.select("CustomerID", *cols(bg, gg, x, tx_, T, m)))
+
+
+@query("clv_expected_fixed")
+def q_clv_expected_fixed(spark, d):
+    return _fixed_summary_cols(spark, d, lambda bg, gg, x, t, T, m: [
+        clv.expected_purchases(P.HORIZON_MONTHS * clv.DAYS_PER_MONTH, bg, x, t, T)
+        .alias("predicted_purchases")])
+
+
+@query("clv_alive_fixed")
+def q_clv_alive_fixed(spark, d):
+    return _fixed_summary_cols(spark, d, lambda bg, gg, x, t, T, m: [
+        clv.prob_alive(bg, x, t, T).alias("prob_alive")])
+
+
+@query("clv_avg_value_fixed")
+def q_clv_avg_value_fixed(spark, d):
+    return _fixed_summary_cols(spark, d, lambda bg, gg, x, t, T, m: [
+        clv.expected_avg_value(gg, x, m).alias("predicted_avg_value")])
+
+
+@query("clv_predict_fixed")
+def q_clv_predict_fixed(spark, d):
+    return _round_doubles(P.clv_predictions(spark, d, fixed=True))
+
+
+@query("bgnbd_fit")
+def q_bgnbd_fit(spark, d):
+    return clv.param_summary(spark, P.bgnbd_fit(spark, d), "bg_nbd")
+
+
+@query("ggf_fit")
+def q_ggf_fit(spark, d):
+    return clv.param_summary(spark, P.gg_fit(spark, d), "gamma_gamma")
+
+
+@query("clv_end_to_end")
+def q_clv_end_to_end(spark, d):
+    return P.clv_predictions(spark, d)
+
+
+@query("clv_validate")
+def q_clv_validate(spark, d):
+    tx = P.tx(spark, d)
+    cal, obs = _cal_obs(tx)
+    ch = P.ws(spark, d).table("clv_cal_holdout", lambda: clv.calibration_holdout(tx, cal, obs))
+    fit = P.ws(spark, d).value("bgnbd_cal_fit", lambda: clv.fit_bgnbd(
+        ch, freq_col="frequency_cal", rec_col="recency_cal", T_col="T_cal"))
+    return clv.holdout_metrics(ch, fit.params, P.HOLDOUT_DAYS)
+
+
+@query("clv_validate_fixed")
+def q_clv_validate_fixed(spark, d):
+    tx = P.tx(spark, d)
+    cal, obs = _cal_obs(tx)
+    ch = P.ws(spark, d).table("clv_cal_holdout", lambda: clv.calibration_holdout(tx, cal, obs))
+    return _round_doubles(clv.holdout_metrics(ch, clv.BGNBD(*clv.FIXED_BG), P.HOLDOUT_DAYS))
+
+
+@query("customer_clv")
+def q_customer_clv(spark, d):
+    return P.customer_clv(spark, d)
+
+
+@query("customer_clv_fixed")
+def q_customer_clv_fixed(spark, d):
+    return _round_doubles(P.customer_clv(spark, d, fixed=True).drop("ClusterName"))
+
+
+def _clv_by_segment(c: DataFrame) -> DataFrame:
+    return (c.groupBy("Segment").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.avg("predicted_clv").alias("avg_predicted_clv"),
+        F.sum("predicted_clv").alias("total_predicted_clv"),
+        F.avg("prob_alive").alias("avg_prob_alive"))
+        .orderBy(F.desc("total_predicted_clv"), "Segment"))
+
+
+@query("clv_by_segment_fixed")
+def q_clv_by_segment_fixed(spark, d):
+    return _round_doubles(_clv_by_segment(
+        _round_doubles(P.customer_clv(spark, d, fixed=True))), 4)
+
+
+@query("clv_top10_fixed")
+def q_clv_top10_fixed(spark, d):
+    c = _round_doubles(P.customer_clv(spark, d, fixed=True))
+    return (c.select("CustomerID", "Segment", "frequency", "monetary_value", "predicted_purchases",
+                     "prob_alive", "predicted_clv", "historical_clv")
+            .orderBy(F.desc("predicted_clv"), "CustomerID").limit(10))
+
+
+@query("clv_histogram_fixed")
+def q_clv_histogram_fixed(spark, d):
+    """60 equal-width bins of predicted CLV up to its 99th percentile
+    (eligible customers, CLV > 0)."""
+    from retailspark.functions.stats import exact_quantiles
+    c = _round_doubles(P.customer_clv(spark, d, fixed=True)).filter(
+        (F.col("clv_method") == "bg_nbd_gamma_gamma") & (F.col("predicted_clv") > 0))
+    p99 = exact_quantiles(c, "predicted_clv", "CustomerID", [0.99]).first()["q0"]
+    kept = c.filter(F.col("predicted_clv") <= F.lit(p99))
+    b = F.least(F.floor(F.col("predicted_clv") / F.lit(p99 / 60.0)), F.lit(59)).cast("int")
+    return kept.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers")) \
+        .select("bin", F.round(F.col("bin") * F.lit(p99 / 60.0), 4).alias("bin_start"), "customers")
+
+
+@query("clv_segment_median_fixed")
+def q_clv_segment_median_fixed(spark, d):
+    c = _round_doubles(P.customer_clv(spark, d, fixed=True))
+    return (c.groupBy("Segment").agg(F.round(F.median("predicted_clv"), 4).alias("median_clv"))
+            .orderBy("median_clv", "Segment"))
+
+
+# ---------------------------------------------------------------- K-means
+def _vec(spark, d):
+    return P.ws(spark, d).table("km_features", lambda: kmeans.scaled_features(P.scored(spark, d)))
+
+
+@query("km_features")
+def q_km_features(spark, d):
+    return _round_doubles(_vec(spark, d), 9)
+
+
+@query("km_silhouette_by_segment")
+def q_km_silhouette(spark, d):
+    feat = _vec(spark, d).join(P.scored(spark, d).select("CustomerID", "Segment"), "CustomerID")
+    vec = kmeans._vectors(feat)
+    seg_ids = {name: float(i) for i, name in enumerate(sorted(set(SEGMENT_GRID.values())))}
+    lab = vec.withColumn("label", lookup(seg_ids, F.col("Segment")))
+    return spark.createDataFrame([(round(kmeans.silhouette(lab, "label"), 9),)], "silhouette double")
+
+
+@query("km_evaluate")
+def q_km_evaluate(spark, d):
+    return P.ws(spark, d).table("km_metrics", lambda: kmeans.evaluate_k_range(
+        spark, kmeans._vectors(_vec(spark, d)).cache()))
+
+
+@query("km_choose_k")
+def q_km_choose_k(spark, d):
+    return kmeans.choose_k(q_km_evaluate(spark, d))
+
+
+@query("customer_segments")
+def q_customer_segments(spark, d):
+    return P.segments(spark, d)
+
+
+@query("km_profile")
+def q_km_profile(spark, d):
+    return kmeans.profile_clusters(P.segments(spark, d)).orderBy(F.desc("avg_monetary"))
+
+
+@query("km_names")
+def q_km_names(spark, d):
+    return P.segments(spark, d).select("Cluster", "ClusterName").distinct().orderBy("Cluster")
+
+
+@query("km_profile_by_r")
+def q_km_profile_by_r(spark, d):
+    return kmeans.profile_clusters(P.scored(spark, d).withColumnRenamed("R", "Cluster"))
+
+
+@query("km_names_by_r")
+def q_km_names_by_r(spark, d):
+    prof = kmeans.profile_clusters(P.scored(spark, d).withColumnRenamed("R", "Cluster"))
+    return kmeans.name_clusters(prof)
