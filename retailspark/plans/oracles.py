@@ -75,6 +75,8 @@ ORACLES: dict[str, str] = {}
 
 def oracle(name: str, *extra_ctes: str):
     def deco(body: str) -> str:
+        if body.strip().upper().startswith("WITH"):
+            body = f"SELECT * FROM ({body.strip()}) q"
         ORACLES[name] = with_ctes(body, *extra_ctes)
         return body
     return deco
@@ -421,3 +423,89 @@ SELECT count(*) AS n_customers, 180 AS holdout_days,
        round(round(sum(p), 6), 6) AS predicted_total_purchases
 FROM (SELECT {expected_sql(180.0, 'frequency_cal', 'recency_cal', 'T_cal', bg=FBG)} AS p,
              frequency_holdout AS y FROM cal_holdout) v""")
+
+
+HIST_CTE = f"""
+hist AS (
+  SELECT CustomerID, {msum('TotalPrice')} AS historical_clv, count(DISTINCT InvoiceNo) AS n_orders,
+         {msum('TotalPrice')} / count(DISTINCT InvoiceNo) AS avg_order_value,
+         {floor_days_sql('min(InvoiceDate)', 'max(InvoiceDate)')} AS tenure_days
+  FROM tx GROUP BY CustomerID
+),
+customer_clv_fixed AS (
+  SELECT s.CustomerID, round(s.frequency, 6) AS frequency, round(s.recency, 6) AS recency,
+         round(s.T, 6) AS T, round(s.monetary_value, 6) AS monetary_value,
+         p.predicted_purchases, p.prob_alive, p.predicted_avg_value, p.clv_method, p.predicted_clv,
+         round(h.historical_clv, 6) AS historical_clv, h.n_orders,
+         round(h.avg_order_value, 6) AS avg_order_value, h.tenure_days, g.Segment
+  FROM clv_summary s
+  LEFT JOIN clv_pred_fixed p USING (CustomerID)
+  LEFT JOIN hist h USING (CustomerID)
+  LEFT JOIN scored g USING (CustomerID)
+)"""
+_CLVF = (RFM_CTE, SCORED_CTE, CLV_SUMMARY_CTE, PRED_FIXED_CTE, HIST_CTE)
+
+oracle("customer_clv_fixed", *_CLVF)("SELECT * FROM customer_clv_fixed")
+oracle("clv_by_segment_fixed", *_CLVF)("""
+SELECT Segment, count(*) AS customers, round(avg(predicted_clv), 4) AS avg_predicted_clv,
+       round(sum(predicted_clv), 4) AS total_predicted_clv, round(avg(prob_alive), 4) AS avg_prob_alive
+FROM customer_clv_fixed GROUP BY Segment""")
+oracle("clv_top10_fixed", *_CLVF)("""
+SELECT CustomerID, Segment, frequency, monetary_value, predicted_purchases, prob_alive, predicted_clv,
+       historical_clv
+FROM customer_clv_fixed ORDER BY predicted_clv DESC, CustomerID LIMIT 10""")
+oracle("clv_histogram_fixed", *_CLVF)("""
+WITH e AS (SELECT predicted_clv AS v FROM customer_clv_fixed
+           WHERE clv_method = 'bg_nbd_gamma_gamma' AND predicted_clv > 0),
+     p AS (SELECT quantile_cont(v, 0.99) AS p99 FROM e)
+SELECT CAST(least(floor(v / ((SELECT p99 FROM p) / 60.0)), 59) AS INTEGER) AS bin,
+       round(CAST(least(floor(v / ((SELECT p99 FROM p) / 60.0)), 59) AS INTEGER) * ((SELECT p99 FROM p) / 60.0), 4) AS bin_start,
+       count(*) AS customers
+FROM e WHERE v <= (SELECT p99 FROM p) GROUP BY 1, 2""")
+oracle("clv_segment_median_fixed", *_CLVF)("""
+SELECT Segment, round(median(predicted_clv), 4) AS median_clv FROM customer_clv_fixed GROUP BY Segment""")
+
+# ---------------------------------------------------------------- K-means
+KM_CTE = """
+logged AS (SELECT CustomerID, Segment, R, ln(1 + Recency) AS lr, ln(1 + Frequency) AS lf,
+                  ln(1 + Monetary) AS lm FROM scored),
+mom AS (SELECT avg(lr) AS mr, stddev_pop(lr) AS sr, avg(lf) AS mf, stddev_pop(lf) AS sf,
+               avg(lm) AS mm, stddev_pop(lm) AS sm FROM logged),
+zs AS (SELECT CustomerID, Segment, R, (lr - mr) / sr AS zr, (lf - mf) / sf AS zf, (lm - mm) / sm AS zm
+       FROM logged, mom)"""
+oracle("km_features", RFM_CTE, SCORED_CTE, KM_CTE)("""
+SELECT CustomerID, round(zr, 9) AS z_Recency, round(zf, 9) AS z_Frequency, round(zm, 9) AS z_Monetary
+FROM zs""")
+oracle("km_silhouette_by_segment", RFM_CTE, SCORED_CTE, KM_CTE)("""
+WITH sizes AS (SELECT Segment, count(*) AS n FROM zs GROUP BY Segment),
+d AS (
+  SELECT a.CustomerID, a.Segment AS own, b.Segment AS other,
+         avg((a.zr - b.zr) ^ 2 + (a.zf - b.zf) ^ 2 + (a.zm - b.zm) ^ 2) AS md
+  FROM zs a, zs b GROUP BY 1, 2, 3
+),
+pt AS (
+  SELECT d.CustomerID,
+         max(CASE WHEN other = own THEN md * s.n / (s.n - 1) END) AS a,
+         min(CASE WHEN other <> own THEN md END) AS b, max(s.n) AS n
+  FROM d JOIN sizes s ON s.Segment = d.own GROUP BY d.CustomerID
+)
+SELECT round(avg(CASE WHEN n = 1 THEN 0 WHEN a < b THEN 1 - a / b WHEN a > b THEN b / a - 1 ELSE 0 END), 9)
+       AS silhouette FROM pt""")
+_PROF_R = f"""
+SELECT R AS Cluster, count(*) AS customers, avg(Recency) AS avg_recency, avg(Frequency) AS avg_frequency,
+       {munits('Monetary')} / 10000.0 / count(*) AS avg_monetary,
+       {munits('Monetary')} / 10000.0 AS total_revenue,
+       count(*) / sum(count(*)) OVER () AS customer_share,
+       {munits('Monetary')} / sum({munits('Monetary')}) OVER () AS revenue_share
+FROM scored GROUP BY R"""
+oracle("km_profile_by_r", RFM_CTE, SCORED_CTE)(_PROF_R)
+oracle("km_names_by_r", RFM_CTE, SCORED_CTE)(f"""
+WITH p AS ({_PROF_R}),
+m AS (SELECT median(avg_recency) AS mr, median(avg_frequency) AS mf, median(avg_monetary) AS mm FROM p)
+SELECT Cluster, CASE
+  WHEN avg_monetary >= mm AND avg_recency <= mr THEN 'High-Value Active'
+  WHEN avg_monetary >= mm THEN 'High-Value Lapsing'
+  WHEN avg_recency <= mr AND avg_frequency >= mf THEN 'Engaged Mid-Value'
+  WHEN avg_recency <= mr THEN 'Recent Low-Value'
+  ELSE 'Dormant Low-Value' END AS ClusterName
+FROM p, m""")
