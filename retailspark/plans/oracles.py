@@ -509,3 +509,114 @@ SELECT Cluster, CASE
   WHEN avg_recency <= mr THEN 'Recent Low-Value'
   ELSE 'Dormant Low-Value' END AS ClusterName
 FROM p, m""")
+
+
+# ---------------------------------------------------------------- basket
+def basket_ctes(attr: str, p: str, min_item=0.01, min_sup=0.01, metric="lift", thr=1.0) -> str:
+    """Bitmask itemset enumeration over a small item domain (≤ 25 items)."""
+    return f"""
+{p}bt AS (SELECT DISTINCT CAST(l.l_orderkey AS VARCHAR) AS InvoiceNo, pa.{attr} AS StockCode
+          FROM lineitem l JOIN part pa ON l.l_partkey = pa.p_partkey),
+{p}nall AS (SELECT count(DISTINCT InvoiceNo) AS n FROM {p}bt),
+{p}fp AS (SELECT StockCode FROM {p}bt GROUP BY 1
+          HAVING count(DISTINCT InvoiceNo) >= {min_item} * (SELECT n FROM {p}nall)),
+{p}items AS (SELECT StockCode, CAST(row_number() OVER (ORDER BY StockCode) - 1 AS BIGINT) AS idx FROM {p}fp),
+{p}bm AS (SELECT InvoiceNo, bit_or(CAST(1 AS BIGINT) << idx) AS mask
+          FROM {p}bt JOIN {p}items USING (StockCode) GROUP BY 1),
+{p}nb AS (SELECT count(*) AS n FROM {p}bm),
+{p}cand AS (SELECT range AS m FROM range(1, (SELECT CAST(1 AS BIGINT) << count(*) FROM {p}items))),
+{p}isets AS (SELECT m, count(*) AS freq FROM {p}cand JOIN {p}bm ON ({p}bm.mask & {p}cand.m) = {p}cand.m
+             GROUP BY m HAVING count(*) >= ceil({min_sup} * (SELECT n FROM {p}nb))),
+{p}itemsets AS (SELECT m, list_sort(list(StockCode)) AS items, freq, freq / (SELECT n FROM {p}nb) AS support
+                FROM {p}isets JOIN {p}items ON ((m >> idx) & 1) = 1 GROUP BY m, freq),
+{p}rules AS (
+  SELECT * FROM (
+    SELECT a.items AS antecedents, c.items AS consequents, i.support,
+           i.support / a.support AS confidence, i.support / a.support / c.support AS lift
+    FROM {p}itemsets i JOIN {p}itemsets a ON (a.m & i.m) = a.m AND a.m <> i.m
+    JOIN {p}itemsets c ON c.m = i.m - a.m) r
+  WHERE {metric} >= {thr}
+)"""
+
+
+T_CTE = basket_ctes("p_type", "t_")
+B_CTE = basket_ctes("p_brand", "b_")
+
+oracle("frequent_products", B_CTE)("SELECT StockCode FROM b_fp")
+oracle("frequent_products_tx")(f"""
+SELECT StockCode FROM tx GROUP BY 1
+HAVING count(DISTINCT InvoiceNo) >= 0.01 * (SELECT count(DISTINCT InvoiceNo) FROM tx)""")
+oracle("basket_matrix", T_CTE)("""
+SELECT InvoiceNo, list_sort(list(DISTINCT StockCode)) AS items FROM t_bt JOIN t_fp USING (StockCode)
+GROUP BY InvoiceNo""")
+oracle("frequent_itemsets", T_CTE)("SELECT items, freq, support FROM t_itemsets")
+oracle("frequent_itemsets_brand", B_CTE)("SELECT items, freq, support FROM b_itemsets")
+oracle("association_rules", T_CTE)("SELECT * FROM t_rules")
+oracle("association_rules_confidence", basket_ctes("p_type", "c_", metric="confidence", thr=0.5))(
+    "SELECT * FROM c_rules")
+oracle("mine_rules", B_CTE)("SELECT * FROM b_rules")
+
+
+def item_desc_cte(attr: str, p: str) -> str:
+    return f"""
+{p}desc AS (
+  SELECT StockCode, Description FROM (
+    SELECT {attr} AS StockCode, p_name AS Description,
+           row_number() OVER (PARTITION BY {attr} ORDER BY count(*) DESC, p_name) AS rn
+    FROM part GROUP BY {attr}, p_name) WHERE rn = 1
+)"""
+
+
+def labelled_sql(p: str) -> str:
+    lab = (lambda side: f"""(SELECT string_agg(coalesce(d.Description, u.code), ' + ' ORDER BY u.pos)
+             FROM (SELECT unnest({side}) AS code, generate_subscripts({side}, 1) AS pos) u
+             LEFT JOIN {p}desc d ON d.StockCode = u.code)""")
+    return f"""SELECT {lab('r.antecedents')} AS antecedents, {lab('r.consequents')} AS consequents,
+       r.antecedents AS antecedents_codes, r.consequents AS consequents_codes,
+       r.support, r.confidence, r.lift FROM {p}rules r"""
+
+
+oracle("rules_labelled", T_CTE, item_desc_cte("p_type", "t_"))(labelled_sql("t_"))
+RULES_SERVING_CTE = f"""
+rules_lab AS ({labelled_sql("b_")}),
+rules AS (
+  SELECT antecedents, consequents, array_to_string(antecedents_codes, ',') AS antecedents_codes,
+         array_to_string(consequents_codes, ',') AS consequents_codes, support, confidence, lift
+  FROM rules_lab
+)"""
+_RS = (B_CTE, item_desc_cte("p_brand", "b_"), RULES_SERVING_CTE)
+oracle("rules_flat", *_RS)("SELECT * FROM rules")
+oracle("rules_scatter", *_RS)("SELECT support, confidence, lift FROM rules")
+
+
+def recommend_sql(p: str, baskets: str) -> str:
+    return f"""
+WITH fired AS (
+  SELECT b.basket_id, b.items, r.* FROM ({baskets}) b JOIN {p}rules r
+  ON list_has_all(b.items, r.antecedents)
+),
+cand AS (
+  SELECT basket_id, unnest(list_filter(consequents, lambda x: NOT list_contains(items, x))) AS StockCode,
+         lift, confidence, support, array_to_string(antecedents, ', ') AS from_rule,
+         array_to_string(consequents, ',') AS ck
+  FROM fired
+),
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY basket_id, StockCode
+                                               ORDER BY lift DESC, from_rule, ck) AS rn FROM cand)
+  WHERE rn = 1
+)
+SELECT basket_id, rank, StockCode, lift, confidence, support, from_rule FROM (
+  SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY lift DESC, StockCode) AS rank FROM best)
+WHERE rank <= 5"""
+
+
+oracle("recommend_basket", T_CTE)(recommend_sql(
+    "t_", "SELECT InvoiceNo AS basket_id, list_sort(list(DISTINCT StockCode)) AS items FROM t_bt GROUP BY 1"))
+_RP = recommend_sql("b_", "SELECT DISTINCT StockCode AS basket_id, [StockCode] AS items FROM b_bt")
+oracle("recommend_product", B_CTE)(
+    f"SELECT basket_id AS product, rank, StockCode, lift, confidence, support, from_rule FROM ({_RP}) x")
+oracle("nbo_descriptions", B_CTE, item_desc_cte("p_brand", "b_"))(f"""
+SELECT x.StockCode, basket_id AS product, rank, lift, confidence, support, from_rule,
+       coalesce(d.Description, '') AS Description
+FROM ({_RP}) x LEFT JOIN b_desc d ON d.StockCode = x.StockCode""")

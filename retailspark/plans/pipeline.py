@@ -110,3 +110,45 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from retailspark.operators import kmeans
     return ws(spark, sf_dir).table(
         "customer_segments", lambda: kmeans.attach_clusters(spark, scored(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ basket
+def basket_tx(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:
+    return testdata.basket_items(spark, sf_dir, attr)
+
+
+def item_descriptions(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:
+    """Modal part name per item value (labels for rules over part attributes)."""
+    pt = testdata.table(spark, sf_dir, "part")
+    return pt.groupBy(F.col(attr).alias("StockCode")).agg(F.mode("p_name", True).alias("Description"))
+
+
+def rules(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:
+    from retailspark.operators import basket
+    return ws(spark, sf_dir).table(f"rules_{attr}", lambda: basket.mine_rules(basket_tx(spark, sf_dir, attr)))
+
+
+def rules_serving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat ``rules`` serving table (items = brands: many single-item rules)."""
+    from retailspark.operators import basket
+    return ws(spark, sf_dir).table("rules_serving", lambda: basket.flatten_rules(basket.label_rules(
+        rules(spark, sf_dir, "p_brand"), item_descriptions(spark, sf_dir, "p_brand"))))
+
+
+def customer_top_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer_id → brand with the highest line revenue (ties → smallest);
+    the per-customer key the brand rules are looked up with."""
+    def build():
+        li = testdata.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+        od = testdata.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+        pt = testdata.table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+        from retailspark.functions.money import money_units
+        per = (li.join(od, li.l_orderkey == od.o_orderkey).join(pt, li.l_partkey == pt.p_partkey)
+               .groupBy(F.col("o_custkey").cast("string").alias("customer_id"),
+                        F.col("p_brand").alias("stock_code"))
+               .agg(F.sum(money_units(F.col("l_extendedprice"))).alias("_u")))
+        best = per.groupBy("customer_id").agg(
+            F.min(F.struct((-F.col("_u")).alias("neg"), F.col("stock_code").alias("code"))).alias("b"))
+        return best.select("customer_id", F.col("b.code").alias("stock_code"),
+                           (-F.col("b.neg") / 10000.0).alias("revenue"))
+    return ws(spark, sf_dir).table("customer_top_brand", build)

@@ -362,3 +362,88 @@ def q_km_profile_by_r(spark, d):
 def q_km_names_by_r(spark, d):
     prof = kmeans.profile_clusters(P.scored(spark, d).withColumnRenamed("R", "Cluster"))
     return kmeans.name_clusters(prof)
+
+
+# ---------------------------------------------------------------- basket
+from retailspark.operators import basket  # noqa: E402
+
+
+@query("frequent_products")
+def q_frequent_products(spark, d):
+    return basket.frequent_products(P.basket_tx(spark, d, "p_brand"))
+
+
+@query("frequent_products_tx")
+def q_frequent_products_tx(spark, d):
+    return basket.frequent_products(P.tx(spark, d))
+
+
+@query("basket_matrix")
+def q_basket_matrix(spark, d):
+    return basket.basket_matrix(P.basket_tx(spark, d))
+
+
+@query("frequent_itemsets")
+def q_frequent_itemsets(spark, d):
+    return basket.frequent_itemsets(basket.basket_matrix(P.basket_tx(spark, d)))
+
+
+@query("frequent_itemsets_brand")
+def q_frequent_itemsets_brand(spark, d):
+    return basket.frequent_itemsets(basket.basket_matrix(P.basket_tx(spark, d, "p_brand")))
+
+
+@query("association_rules")
+def q_association_rules(spark, d):
+    return P.rules(spark, d).select("antecedents", "consequents", "support", "confidence", "lift")
+
+
+@query("association_rules_confidence")
+def q_association_rules_confidence(spark, d):
+    b = basket.basket_matrix(P.basket_tx(spark, d))
+    return basket.association_rules(basket.frequent_itemsets(b), metric="confidence",
+                                    min_threshold=0.5) \
+        .select("antecedents", "consequents", "support", "confidence", "lift")
+
+
+@query("mine_rules")
+def q_mine_rules(spark, d):
+    return P.rules(spark, d, "p_brand").select("antecedents", "consequents", "support", "confidence", "lift")
+
+
+@query("rules_labelled")
+def q_rules_labelled(spark, d):
+    return basket.label_rules(P.rules(spark, d), P.item_descriptions(spark, d))
+
+
+@query("rules_flat")
+def q_rules_flat(spark, d):
+    return P.rules_serving(spark, d)
+
+
+def _baskets(spark, d):
+    return (P.basket_tx(spark, d).groupBy(F.col("InvoiceNo").alias("basket_id"))
+            .agg(F.array_sort(F.collect_set("StockCode")).alias("items")))
+
+
+@query("recommend_basket")
+def q_recommend_basket(spark, d):
+    return basket.recommend_for_baskets(P.rules(spark, d), _baskets(spark, d), top_n=5)
+
+
+@query("recommend_product")
+def q_recommend_product(spark, d):
+    prods = P.basket_tx(spark, d, "p_brand").select("StockCode").distinct()
+    return basket.recommend_for_products(P.rules(spark, d, "p_brand"), prods, top_n=5)
+
+
+@query("nbo_descriptions")
+def q_nbo_descriptions(spark, d):
+    prods = P.basket_tx(spark, d, "p_brand").select("StockCode").distinct()
+    recs = basket.recommend_for_products(P.rules(spark, d, "p_brand"), prods, top_n=5)
+    return basket.add_descriptions(recs, P.item_descriptions(spark, d, "p_brand"))
+
+
+@query("rules_scatter")
+def q_rules_scatter(spark, d):
+    return P.rules_serving(spark, d).select("support", "confidence", "lift")
