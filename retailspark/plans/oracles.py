@@ -620,3 +620,71 @@ oracle("nbo_descriptions", B_CTE, item_desc_cte("p_brand", "b_"))(f"""
 SELECT x.StockCode, basket_id AS product, rank, lift, confidence, support, from_rule,
        coalesce(d.Description, '') AS Description
 FROM ({_RP}) x LEFT JOIN b_desc d ON d.StockCode = x.StockCode""")
+
+
+# ---------------------------------------------------------------- propensity
+TRAIN_CTE = f"""
+pcut AS (SELECT max(InvoiceDate) - INTERVAL 90 DAY AS c FROM tx),
+pagg AS (
+  SELECT CustomerID,
+         count(DISTINCT CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN InvoiceNo END) AS frequency,
+         sum(CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN CAST(floor(TotalPrice * 10000 + 0.5) AS BIGINT) END) AS u,
+         min(CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN InvoiceDate END) AS f,
+         max(CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN InvoiceDate END) AS l,
+         count(CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN 1 END) AS lines,
+         count(DISTINCT CASE WHEN InvoiceDate <= (SELECT c FROM pcut) THEN StockCode END) AS distinct_products,
+         max(CASE WHEN InvoiceDate > (SELECT c FROM pcut)
+                   AND InvoiceDate <= (SELECT c FROM pcut) + INTERVAL 90 DAY THEN 1 ELSE 0 END) AS label
+  FROM tx GROUP BY CustomerID
+),
+training AS (
+  SELECT CustomerID,
+         {floor_days_sql('l', '(SELECT c FROM pcut)')} AS recency_days, frequency,
+         u / 10000.0 AS monetary,
+         {floor_days_sql('f', '(SELECT c FROM pcut)')} AS tenure_days,
+         u / 10000.0 / frequency AS avg_order_value,
+         CASE WHEN frequency > 1 THEN CAST(floor((epoch_us(l) - epoch_us(f)) / 86400000000.0) AS BIGINT) / (frequency - 1)
+              ELSE CAST({floor_days_sql('f', '(SELECT c FROM pcut)')} AS DOUBLE) END AS avg_interpurchase_days,
+         distinct_products, lines / frequency AS avg_basket_size,
+         {floor_days_sql('l', '(SELECT c FROM pcut)')} / greatest({floor_days_sql('f', '(SELECT c FROM pcut)')}, 1)
+           AS recency_over_tenure,
+         CAST(label AS INTEGER) AS label
+  FROM pagg WHERE lines > 0
+),
+scores AS (
+  SELECT CustomerID, label,
+         floor(frequency / (frequency + 1.0 + recency_days / 30.0) * 100 + 0.5) / 100.0 AS score
+  FROM training
+)"""
+
+oracle("default_cutoff")("SELECT max(InvoiceDate) - INTERVAL 90 DAY AS cutoff FROM tx")
+oracle("training_table", TRAIN_CTE)("SELECT * FROM training")
+oracle("propensity_base_rate", TRAIN_CTE)(
+    "SELECT count(*) AS n_customers, avg(label) AS positive_rate FROM training")
+oracle("split_xy", TRAIN_CTE)("""
+SELECT CustomerID, [CAST(recency_days AS DOUBLE), CAST(frequency AS DOUBLE), monetary,
+       CAST(tenure_days AS DOUBLE), avg_order_value, avg_interpurchase_days,
+       CAST(distinct_products AS DOUBLE), avg_basket_size, recency_over_tenure] AS features, label
+FROM training""")
+oracle("train_test", TRAIN_CTE)("""
+SELECT CustomerID, label,
+       row_number() OVER (PARTITION BY label ORDER BY md5(CustomerID || '|42'), CustomerID)
+         <= ceil(0.25 * count(*) OVER (PARTITION BY label)) AS is_test
+FROM training""")
+oracle("evaluate_roc_auc", TRAIN_CTE)("""
+WITH r AS (SELECT score, label, row_number() OVER (ORDER BY score, CustomerID) AS rn FROM scores),
+g AS (SELECT score, (min(rn) + max(rn)) / 2.0 AS ar, sum(label) AS pos, count(*) AS cnt FROM r GROUP BY score)
+SELECT (sum(ar * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (sum(cnt) - sum(pos))) AS roc_auc FROM g""")
+oracle("evaluate_pr_auc", TRAIN_CTE)("""
+WITH g AS (SELECT score, count(*) AS c, sum(label) AS p FROM scores GROUP BY score),
+cum AS (SELECT score, p, sum(c) OVER (ORDER BY score DESC) AS n_at, sum(p) OVER (ORDER BY score DESC) AS tp_at FROM g)
+SELECT round(sum(p / (SELECT CAST(sum(label) AS DOUBLE) FROM scores) * (tp_at / n_at)), 9) AS pr_auc
+FROM cum WHERE p > 0""")
+oracle("evaluate_brier", TRAIN_CTE)("""
+SELECT round(avg((score - label) * (score - label)), 9) AS brier, round(avg(label), 9) AS base_rate,
+       count(*) AS n_test FROM scores""")
+oracle("calibration_table", TRAIN_CTE)("""
+WITH e AS (SELECT """ + ", ".join(f"quantile_cont(score, {i / 10}) AS e{i}" for i in range(1, 10)) + """ FROM scores)
+SELECT bin, round(avg(score), 9) AS mean_predicted, round(avg(label), 9) AS fraction_positive FROM (
+  SELECT score, label, """ + " + ".join(f"CAST(score > e{i} AS INTEGER)" for i in range(1, 10)) + """ AS bin
+  FROM scores, e) GROUP BY bin""")

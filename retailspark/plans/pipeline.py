@@ -152,3 +152,43 @@ def customer_top_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
         return best.select("customer_id", F.col("b.code").alias("stock_code"),
                            (-F.col("b.neg") / 10000.0).alias("revenue"))
     return ws(spark, sf_dir).table("customer_top_brand", build)
+
+
+# ------------------------------------------------------------------ propensity
+PROPENSITY_HORIZON = 90
+
+
+def training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import propensity as pr
+    def build():
+        t = tx(spark, sf_dir)
+        return pr.build_training_table(t, pr.default_cutoff(t, PROPENSITY_HORIZON), PROPENSITY_HORIZON)
+    return ws(spark, sf_dir).table("propensity_training", build)
+
+
+def split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import propensity as pr
+    return ws(spark, sf_dir).table("propensity_split",
+                                   lambda: pr.train_test(training_table(spark, sf_dir)))
+
+
+def fitted_model(spark: SparkSession, sf_dir: str, kind: str = "logistic"):
+    from retailspark.operators import propensity as pr
+    def build():
+        train = split_table(spark, sf_dir).filter(~F.col("is_test"))
+        return pr.fit_logistic(train) if kind == "logistic" else pr.fit_gbt(train)
+    return ws(spark, sf_dir).value(f"model_{kind}", build)
+
+
+def propensity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import propensity as pr
+    return ws(spark, sf_dir).table("propensity_scores", lambda: pr.predict_proba(
+        fitted_model(spark, sf_dir, "logistic"), training_table(spark, sf_dir))
+        .select("CustomerID", F.col("score").alias("propensity"), "label"))
+
+
+def fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deterministic closed-form score of the features, 2 dp (ties occur)."""
+    t = training_table(spark, sf_dir)
+    raw = F.col("frequency") / (F.col("frequency") + 1.0 + F.col("recency_days") / 30.0)
+    return t.select("CustomerID", "label", (F.floor(raw * 100 + 0.5) / 100.0).alias("score"))

@@ -447,3 +447,109 @@ def q_nbo_descriptions(spark, d):
 @query("rules_scatter")
 def q_rules_scatter(spark, d):
     return P.rules_serving(spark, d).select("support", "confidence", "lift")
+
+
+# ---------------------------------------------------------------- propensity
+from retailspark.operators import propensity as pr  # noqa: E402
+
+
+@query("default_cutoff")
+def q_default_cutoff(spark, d):
+    tx = P.tx(spark, d)
+    return tx.agg((F.max("InvoiceDate") - F.expr("INTERVAL 90 DAYS")).alias("cutoff"))
+
+
+@query("training_table")
+def q_training_table(spark, d):
+    return P.training_table(spark, d)
+
+
+@query("propensity_base_rate")
+def q_propensity_base_rate(spark, d):
+    return pr.base_rate(P.training_table(spark, d))
+
+
+@query("split_xy")
+def q_split_xy(spark, d):
+    return pr.split_xy(P.training_table(spark, d))
+
+
+@query("train_test")
+def q_train_test(spark, d):
+    return P.split_table(spark, d).select("CustomerID", "label", "is_test")
+
+
+@query("evaluate_roc_auc")
+def q_roc_auc(spark, d):
+    return pr.roc_auc(P.fixed_scores(spark, d))
+
+
+@query("evaluate_pr_auc")
+def q_pr_auc(spark, d):
+    return _round_doubles(pr.average_precision(P.fixed_scores(spark, d)), 9)
+
+
+@query("evaluate_brier")
+def q_brier(spark, d):
+    return _round_doubles(pr.brier(P.fixed_scores(spark, d)), 9)
+
+
+@query("calibration_table")
+def q_calibration(spark, d):
+    return _round_doubles(pr.calibration_table(P.fixed_scores(spark, d), n_bins=10), 9)
+
+
+def _test_scores(spark, d, kind):
+    test = P.split_table(spark, d).filter(F.col("is_test"))
+    return pr.predict_proba(P.fitted_model(spark, d, kind), test)
+
+
+@query("fit_logistic")
+def q_fit_logistic(spark, d):
+    m = P.fitted_model(spark, d, "logistic")["model"]
+    rows = [(c, float(w)) for c, w in zip(pr.FEATURE_COLUMNS, m.coefficients.toArray())]
+    rows.append(("intercept", float(m.intercept)))
+    return spark.createDataFrame(rows, "feature string, coefficient double")
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, d):
+    m = P.fitted_model(spark, d, "gbt")["model"]
+    imp = m.featureImportances.toArray()
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(pr.FEATURE_COLUMNS, imp)],
+                                 "feature string, importance double")
+
+
+@query("predict_proba")
+def q_predict_proba(spark, d):
+    return _test_scores(spark, d, "logistic").select("CustomerID", "label", "score")
+
+
+@query("model_comparison")
+def q_model_comparison(spark, d):
+    out = None
+    for kind in ("logistic", "gbt"):
+        s = _test_scores(spark, d, kind)
+        # three single-row metric frames side by side (1 row each)
+        m = (pr.roc_auc(s).withColumn("_k", F.lit(1))
+             .join(pr.average_precision(s).withColumn("_k", F.lit(1)), "_k")
+             .join(pr.brier(s).withColumn("_k", F.lit(1)), "_k")
+             .drop("_k").withColumn("model", F.lit(kind)))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@query("propensity_scores")
+def q_propensity_scores(spark, d):
+    return P.propensity_scores(spark, d)
+
+
+@query("propensity_calibration_model")
+def q_propensity_calibration_model(spark, d):
+    return pr.calibration_table(_test_scores(spark, d, "logistic"), n_bins=10)
+
+
+@query("shap_importance")
+def q_shap_importance(spark, d):
+    return pr.linear_attribution(P.fitted_model(spark, d, "logistic"),
+                                 P.split_table(spark, d).filter(~F.col("is_test")))
