@@ -688,3 +688,123 @@ WITH e AS (SELECT """ + ", ".join(f"quantile_cont(score, {i / 10}) AS e{i}" for
 SELECT bin, round(avg(score), 9) AS mean_predicted, round(avg(label), 9) AS fraction_positive FROM (
   SELECT score, label, """ + " + ".join(f"CAST(score > e{i} AS INTEGER)" for i in range(1, 10)) + """ AS bin
   FROM scores, e) GROUP BY bin""")
+
+
+# ---------------------------------------------------------------- serving
+CUSTOMERS_FIXED_CTE = """
+rprof AS (
+  SELECT R, avg(Recency) AS ar, avg(Frequency) AS af,
+         SUM(CAST(floor(Monetary * 10000 + 0.5) AS BIGINT)) / 10000.0 / count(*) AS am
+  FROM scored GROUP BY R
+),
+rmed AS (SELECT median(ar) AS mr, median(af) AS mf, median(am) AS mm FROM rprof),
+rnames AS (
+  SELECT R, CASE WHEN am >= mm AND ar <= mr THEN 'High-Value Active'
+                 WHEN am >= mm THEN 'High-Value Lapsing'
+                 WHEN ar <= mr AND af >= mf THEN 'Engaged Mid-Value'
+                 WHEN ar <= mr THEN 'Recent Low-Value' ELSE 'Dormant Low-Value' END AS cluster_name
+  FROM rprof, rmed
+),
+customers AS (
+  SELECT s.CustomerID AS customer_id, s.Recency AS recency, s.Frequency AS frequency,
+         s.Monetary AS monetary, s.RFM_Score AS rfm_score, s.Segment AS segment, s.Action AS action,
+         n.cluster_name, round(c.predicted_clv, 6) AS predicted_clv, round(c.prob_alive, 6) AS prob_alive,
+         round(c.predicted_purchases, 6) AS predicted_purchases,
+         round(c.historical_clv, 6) AS historical_clv, c.clv_method, p.score AS propensity
+  FROM scored s JOIN rnames n USING (R)
+  LEFT JOIN customer_clv_fixed c USING (CustomerID)
+  LEFT JOIN scores p USING (CustomerID)
+)"""
+_CF = (RFM_CTE, SCORED_CTE, CLV_SUMMARY_CTE, PRED_FIXED_CTE, HIST_CTE, TRAIN_CTE, CUSTOMERS_FIXED_CTE)
+_PR = (MODAL_CTE, PRODUCTS_CTE)
+
+oracle("customers_fixed", *_CF)("SELECT * FROM customers")
+oracle("get_customer", *_CF)("SELECT * FROM customers WHERE customer_id = '100'")
+_SEGSUM = f"""
+SELECT segment, count(*) AS customers, {msum('monetary')} AS total_revenue,
+       {msum('monetary')} / count(*) AS avg_monetary, round(avg(predicted_clv), 6) AS avg_predicted_clv,
+       round(avg(prob_alive), 6) AS avg_prob_alive
+FROM customers GROUP BY segment"""
+oracle("segment_summary", *_CF)(_SEGSUM)
+oracle("top_clv", *_CF)("""
+SELECT customer_id, segment, predicted_clv, prob_alive, propensity FROM customers
+ORDER BY predicted_clv DESC, customer_id LIMIT 20""")
+_RSV = _RS
+oracle("nbo_for_product", *_RSV)("""
+SELECT * FROM (SELECT antecedents_codes,
+  row_number() OVER (PARTITION BY antecedents_codes ORDER BY lift DESC, consequents_codes) AS rank,
+  antecedents, consequents, consequents_codes, support, confidence, lift FROM rules) WHERE rank <= 5""")
+CTB_CTE = f"""
+ctb0 AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS customer_id, p.p_brand AS stock_code,
+         {munits('l.l_extendedprice')} AS u
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN part p ON l.l_partkey = p.p_partkey
+  GROUP BY 1, 2
+),
+ctb AS (SELECT customer_id, stock_code, u / 10000.0 AS revenue FROM (
+  SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY u DESC, stock_code) AS rn FROM ctb0)
+  WHERE rn = 1)"""
+oracle("nbo_for_customer", *_RSV, CTB_CTE)("""
+SELECT * FROM (SELECT c.customer_id,
+  row_number() OVER (PARTITION BY c.customer_id ORDER BY r.lift DESC, r.consequents_codes) AS rank,
+  r.antecedents, r.consequents, r.consequents_codes, r.support, r.confidence, r.lift
+  FROM ctb c JOIN rules r ON r.antecedents_codes = c.stock_code) WHERE rank <= 5""")
+oracle("win_back_candidates", *_CF)("""
+SELECT customer_id, segment, recency, frequency, monetary, predicted_clv, prob_alive FROM customers
+WHERE segment IN ('At Risk', 'Can''t Lose Them')""")
+oracle("customer_exists", *_CF)("""
+SELECT CAST(c_custkey AS VARCHAR) AS customer_id,
+       CAST(c_custkey AS VARCHAR) IN (SELECT customer_id FROM customers) AS "exists"
+FROM customer""")
+oracle("count_customers", *_CF)("SELECT count(*) AS customers FROM customers")
+oracle("list_customers", *_CF)("""
+SELECT customer_id, segment, recency, frequency, monetary, predicted_clv, propensity FROM customers
+ORDER BY monetary DESC, customer_id LIMIT 100""")
+oracle("top_products", *_PR)("SELECT * FROM products ORDER BY revenue DESC, stock_code LIMIT 20")
+oracle("get_product", *_PR)("SELECT * FROM products WHERE stock_code = '00001'")
+oracle("monthly_series", *_PR)("SELECT * FROM monthly")
+oracle("country_top", *_PR)("SELECT * FROM country ORDER BY revenue DESC, country LIMIT 15")
+oracle("product_overview", *_PR)(
+    f"SELECT count(*) AS products, {msum('revenue')} AS revenue, sum(quantity) AS quantity FROM products")
+oracle("sql_segment_rollup", *_CF)(f"""
+SELECT segment, count(*) AS customers, round({msum('monetary')}, 0) AS total_revenue,
+       round(avg(predicted_clv), 2) AS avg_predicted_clv, round(avg(prob_alive), 3) AS avg_prob_alive
+FROM customers GROUP BY segment""")
+oracle("sql_pareto_deciles", *_CF)(f"""
+WITH ranked AS (SELECT predicted_clv, NTILE(10) OVER (ORDER BY predicted_clv DESC, customer_id) AS decile
+                FROM customers)
+SELECT decile, count(*) AS customers, round({msum('predicted_clv')}, 0) AS clv_in_decile,
+       round(100.0 * {munits('predicted_clv')} / sum({munits('predicted_clv')}) OVER (), 1) AS pct_of_total_clv
+FROM ranked GROUP BY decile""")
+oracle("sql_valuable_at_risk", *_CF)("""
+SELECT customer_id, segment, predicted_clv, prob_alive, propensity FROM customers
+WHERE predicted_clv > (SELECT avg(predicted_clv) FROM customers) AND prob_alive < 0.5
+ORDER BY predicted_clv DESC, customer_id LIMIT 50""")
+oracle("sql_single_item_rules", *_RSV)("""
+SELECT antecedents, consequents, support, confidence, lift FROM rules
+WHERE antecedents_codes NOT LIKE '%,%' ORDER BY lift DESC, antecedents, consequents LIMIT 25""")
+oracle("sql_targeting", *_CF)("""
+SELECT customer_id, segment, propensity, predicted_clv FROM customers WHERE propensity > 0.7
+ORDER BY predicted_clv DESC, customer_id LIMIT 100""")
+oracle("kpi_weighted", *_CF)(f"""
+WITH s AS ({_SEGSUM})
+SELECT sum(customers) AS total_customers, {msum('coalesce(total_revenue, 0.0)')} AS total_revenue,
+       round(sum(coalesce(avg_predicted_clv, 0.0) * customers) / greatest(sum(customers), 1), 6) AS avg_clv,
+       round(sum(coalesce(avg_prob_alive, 0.0) * customers) / greatest(sum(customers), 1), 6) AS avg_alive
+FROM s""")
+oracle("segment_revenue_share", *_CF)(f"""
+WITH s AS ({_SEGSUM})
+SELECT segment, total_revenue,
+       CAST(floor(total_revenue * 10000 + 0.5) AS BIGINT)
+         / sum(CAST(floor(total_revenue * 10000 + 0.5) AS BIGINT)) OVER () AS revenue_share
+FROM s""")
+oracle("peak_month", *_PR)("""
+SELECT count(*) AS months, max(revenue) AS peak_revenue, arg_min(month, (-revenue, month)) AS peak_month
+FROM monthly""")
+oracle("monthly_long", *_PR)("""
+SELECT month, 'orders' AS metric, orders AS value FROM monthly
+UNION ALL SELECT month, 'customers', customers FROM monthly""")
+oracle("country_map", *_PR)("SELECT *, NULL AS iso3 FROM country WHERE false")
+oracle("product_label", *_PR)("""
+SELECT stock_code, revenue, stock_code || ' ' || substring(coalesce(description, ''), 1, 22) AS label
+FROM products ORDER BY revenue DESC, stock_code LIMIT 15""")

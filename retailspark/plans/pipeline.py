@@ -97,7 +97,10 @@ def customer_clv(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataF
         hist = historical(spark, sf_dir).select(
             "CustomerID", F.col("total_revenue").alias("historical_clv"), "n_orders",
             "avg_order_value", "tenure_days")
-        seg = segments(spark, sf_dir).select("CustomerID", "Segment", "ClusterName")
+        # the fixed twin needs no fitted clusters: segment only
+        seg = (scored(spark, sf_dir).select("CustomerID", "Segment",
+                                            F.lit(None).cast("string").alias("ClusterName"))
+               if fixed else segments(spark, sf_dir).select("CustomerID", "Segment", "ClusterName"))
         return (clv_summary(spark, sf_dir)
                 .join(clv_predictions(spark, sf_dir, fixed), "CustomerID", "left")
                 .join(hist, "CustomerID", "left")
@@ -192,3 +195,27 @@ def fixed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = training_table(spark, sf_dir)
     raw = F.col("frequency") / (F.col("frequency") + 1.0 + F.col("recency_days") / 30.0)
     return t.select("CustomerID", "label", (F.floor(raw * 100 + 0.5) / 100.0).alias("score"))
+
+
+# ------------------------------------------------------------------ customer 360
+def customers(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFrame:
+    """Denormalised customer table.  ``fixed=True``: every column is a
+    deterministic function of the data (R-score clusters, fixed-parameter
+    CLV, closed-form score) — the oracle-checkable twin of the fitted one."""
+    from retailspark.operators import kmeans, serving
+    if not fixed:
+        return ws(spark, sf_dir).table("customers", lambda: serving.customers_frame(
+            segments(spark, sf_dir), customer_clv(spark, sf_dir),
+            propensity_scores(spark, sf_dir)))
+
+    def build():
+        sc = scored(spark, sf_dir)
+        names = kmeans.name_clusters(kmeans.profile_clusters(sc.withColumn("Cluster", F.col("R"))))
+        seg = sc.join(F.broadcast(names.withColumnRenamed("Cluster", "R")), "R")  # ≤ 5 rows
+        c = customer_clv(spark, sf_dir, fixed=True).select(
+            "CustomerID", *[F.round(x, 6).alias(x) for x in
+                            ("predicted_clv", "prob_alive", "predicted_purchases", "historical_clv")],
+            "clv_method")
+        prop = fixed_scores(spark, sf_dir).select("CustomerID", F.col("score").alias("propensity"))
+        return serving.customers_frame(seg, c, prop)
+    return ws(spark, sf_dir).table("customers_fixed", build)

@@ -553,3 +553,148 @@ def q_propensity_calibration_model(spark, d):
 def q_shap_importance(spark, d):
     return pr.linear_attribution(P.fitted_model(spark, d, "logistic"),
                                  P.split_table(spark, d).filter(~F.col("is_test")))
+
+
+# ---------------------------------------------------------------- serving
+from retailspark.operators import serving as sv  # noqa: E402
+
+
+def _cf(spark, d):
+    return P.customers(spark, d, fixed=True)
+
+
+@query("customers_frame")
+def q_customers_frame(spark, d):
+    return P.customers(spark, d)
+
+
+@query("customers_fixed")
+def q_customers_fixed(spark, d):
+    return _cf(spark, d)
+
+
+@query("get_customer")
+def q_get_customer(spark, d):
+    return sv.get_customer(_cf(spark, d), "100")
+
+
+@query("segment_summary")
+def q_segment_summary(spark, d):
+    return sv.segment_summary(_cf(spark, d))
+
+
+@query("top_clv")
+def q_top_clv(spark, d):
+    return sv.top_clv(_cf(spark, d), 20)
+
+
+@query("nbo_for_product")
+def q_nbo_for_product(spark, d):
+    return sv.offers_per_antecedent(P.rules_serving(spark, d), 5)
+
+
+@query("nbo_for_customer")
+def q_nbo_for_customer(spark, d):
+    return sv.offers_for_customers(P.customer_top_brand(spark, d), P.rules_serving(spark, d), 5)
+
+
+@query("win_back_candidates")
+def q_win_back(spark, d):
+    return sv.win_back_candidates(_cf(spark, d))
+
+
+@query("customer_exists")
+def q_customer_exists(spark, d):
+    from retailspark.sources.testdata import table
+    probes = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("customer_id"))
+    return sv.customer_exists(_cf(spark, d), probes)
+
+
+@query("count_customers")
+def q_count_customers(spark, d):
+    return _cf(spark, d).agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("list_customers")
+def q_list_customers(spark, d):
+    return sv.list_customers(_cf(spark, d), 100)
+
+
+@query("top_products")
+def q_top_products(spark, d):
+    return sv.top_products(P.products(spark, d), 20)
+
+
+@query("get_product")
+def q_get_product(spark, d):
+    return P.products(spark, d).filter(F.col("stock_code") == "00001")
+
+
+@query("monthly_series")
+def q_monthly_series(spark, d):
+    return P.monthly(spark, d).orderBy("month")
+
+
+@query("country_top")
+def q_country_top(spark, d):
+    return sv.country_top(P.country(spark, d), 15)
+
+
+@query("product_overview")
+def q_product_overview(spark, d):
+    return sv.product_overview(P.products(spark, d))
+
+
+@query("sql_segment_rollup")
+def q_sql_segment_rollup(spark, d):
+    return sv.segment_rollup(_cf(spark, d))
+
+
+@query("sql_pareto_deciles")
+def q_sql_pareto(spark, d):
+    return sv.pareto_deciles(_cf(spark, d))
+
+
+@query("sql_valuable_at_risk")
+def q_sql_var(spark, d):
+    return sv.valuable_at_risk(_cf(spark, d))
+
+
+@query("sql_single_item_rules")
+def q_sql_single(spark, d):
+    return sv.single_item_rules(P.rules_serving(spark, d))
+
+
+@query("sql_targeting")
+def q_sql_targeting(spark, d):
+    return sv.targeting(_cf(spark, d))
+
+
+@query("kpi_weighted")
+def q_kpi_weighted(spark, d):
+    return sv.kpi_weighted(sv.segment_summary(_cf(spark, d)))
+
+
+@query("segment_revenue_share")
+def q_segment_revenue_share(spark, d):
+    return sv.segment_revenue_share(sv.segment_summary(_cf(spark, d)))
+
+
+@query("peak_month")
+def q_peak_month(spark, d):
+    return sv.peak_month(P.monthly(spark, d))
+
+
+@query("monthly_long")
+def q_monthly_long(spark, d):
+    return sv.monthly_long(P.monthly(spark, d))
+
+
+@query("country_map")
+def q_country_map(spark, d):
+    return sv.country_map(P.country(spark, d))
+
+
+@query("product_label")
+def q_product_label(spark, d):
+    return sv.product_label(P.products(spark, d), 15)
