@@ -808,3 +808,155 @@ oracle("country_map", *_PR)("SELECT *, NULL AS iso3 FROM country WHERE false")
 oracle("product_label", *_PR)("""
 SELECT stock_code, revenue, stock_code || ' ' || substring(coalesce(description, ''), 1, 22) AS label
 FROM products ORDER BY revenue DESC, stock_code LIMIT 15""")
+
+
+# ---------------------------------------------------------------- insight / campaign
+def _zh_case(col: str, d: dict, empty: str, unknown_self: bool = True) -> str:
+    arms = " ".join(f"WHEN {col} = '{k.replace(chr(39), chr(39) * 2)}' THEN '{v}'" for k, v in d.items())
+    return f"(CASE WHEN {col} IS NULL OR {col} = '' THEN {empty} {arms} ELSE {col} END)"
+
+
+def _labels():
+    from retailspark.functions import labels as L
+    return L
+
+
+def seg_zh_sql(c):
+    return _zh_case(c, _labels().SEGMENT_ZH, "'未知'")
+
+
+def risk_zh_sql(c):
+    return _zh_case(c, _labels().RISK_ZH, "'—'")
+
+
+def action_zh_sql(c):
+    return _zh_case(c, _labels().ACTION_ZH, "''")
+
+
+def cluster_zh_sql(c):
+    return _zh_case(c, _labels().CLUSTER_ZH, c)
+
+
+def risk_sql(p):
+    return (f"(CASE WHEN coalesce({p}, 0.0) < 0.4 THEN 'high' WHEN coalesce({p}, 0.0) < 0.7 "
+            f"THEN 'medium' ELSE 'low' END)")
+
+
+def money_txt(x):
+    return f"('£' || format('{{:,.0f}}', {x}))"
+
+
+def pct_txt(x):
+    return f"(format('{{:,.0f}}', ({x}) * 100) || '%')"
+
+
+OFFERS_CTE = f"""
+offers AS (
+  SELECT * FROM (SELECT c.customer_id,
+    row_number() OVER (PARTITION BY c.customer_id ORDER BY r.lift DESC, r.consequents_codes) AS rank,
+    r.consequents FROM ctb c JOIN rules r ON r.antecedents_codes = c.stock_code) WHERE rank <= 5
+),
+top3 AS (SELECT customer_id, list(consequents ORDER BY rank) AS nbo FROM offers WHERE rank <= 3 GROUP BY 1),
+ictx AS (
+  SELECT c.customer_id, CASE WHEN segment IS NULL OR segment = '' THEN 'Unknown' ELSE segment END AS segment,
+         CAST(coalesce(recency, 0) AS INTEGER) AS recency_days, CAST(coalesce(frequency, 0) AS INTEGER) AS frequency,
+         coalesce(monetary, 0.0) AS monetary, coalesce(predicted_clv, 0.0) AS predicted_clv,
+         coalesce(prob_alive, 0.0) AS prob_alive, propensity, {risk_sql('prob_alive')} AS risk_level,
+         coalesce(action, '') AS recommended_action,
+         coalesce(t.nbo, CAST([] AS VARCHAR[])) AS next_best_offers
+  FROM customers c LEFT JOIN top3 t USING (customer_id)
+)"""
+_IN = _CF + _RSV + (CTB_CTE, OFFERS_CTE)
+
+oracle("risk_band", *_CF)(f"SELECT customer_id, prob_alive, {risk_sql('prob_alive')} AS risk_level FROM customers")
+oracle("labels_zh", *_CF)(f"""
+SELECT customer_id, {seg_zh_sql('segment')} AS segment_zh, {cluster_zh_sql('cluster_name')} AS cluster_zh,
+       {risk_zh_sql(risk_sql('prob_alive'))} AS risk_zh, {action_zh_sql('action')} AS action_zh FROM customers""")
+oracle("insight_context", *_IN)("SELECT * FROM ictx")
+_TEMPLATE = f"""
+SELECT customer_id, segment, risk_level,
+  '「' || {seg_zh_sql('segment')} || '」客群|流失風險' || {risk_zh_sql('risk_level')} || '|預估價值 '
+    || {money_txt('predicted_clv')} AS headline,
+  list_filter(['最近一次購買在 ' || recency_days || ' 天前,共 ' || frequency || ' 筆訂單,累積消費 '
+                 || {money_txt('monetary')} || '。',
+               '仍為活躍客戶的機率:' || {pct_txt('prob_alive')} || '。',
+               CASE WHEN propensity IS NOT NULL THEN '模型預估 90 天回購傾向:' || {pct_txt('propensity')} || '。' END],
+              lambda x: x IS NOT NULL) AS observations,
+  CASE WHEN len(list_filter([CASE WHEN {action_zh_sql('recommended_action')} <> '' THEN {action_zh_sql('recommended_action')} END,
+                             CASE WHEN len(next_best_offers) > 0 THEN '交叉銷售推薦:' || array_to_string(next_best_offers[1:3], '、') || '。' END],
+                            lambda x: x IS NOT NULL)) > 0
+       THEN list_filter([CASE WHEN {action_zh_sql('recommended_action')} <> '' THEN {action_zh_sql('recommended_action')} END,
+                         CASE WHEN len(next_best_offers) > 0 THEN '交叉銷售推薦:' || array_to_string(next_best_offers[1:3], '、') || '。' END],
+                        lambda x: x IS NOT NULL)
+       ELSE ['暫無特別建議,持續觀察即可。'] END AS recommended_actions
+FROM ictx"""
+oracle("insight_template", *_IN)(_TEMPLATE)
+oracle("insight_constraints", *_IN)(f"""
+SELECT count(*) AS insights,
+       count(CASE WHEN length(headline) < 1 OR length(headline) > 240 OR len(observations) < 1
+                    OR len(observations) > 6 OR len(recommended_actions) < 1 OR len(recommended_actions) > 6
+                    OR risk_level NOT IN ('low', 'medium', 'high') THEN 1 END) AS violations
+FROM ({_TEMPLATE}) t""")
+_FACTS = f"""
+SELECT c.customer_id, {seg_zh_sql('segment')} AS segment, recency AS recency_days, frequency, monetary,
+       predicted_clv, coalesce(prob_alive, 0.0) AS prob_alive, {risk_zh_sql(risk_sql('prob_alive'))} AS risk_level,
+       propensity, {action_zh_sql('action')} AS recommended_action,
+       coalesce(t.nbo, CAST([] AS VARCHAR[])) AS next_best_offers
+FROM customers c LEFT JOIN top3 t USING (customer_id)"""
+oracle("chat_facts", *_IN)(_FACTS)
+oracle("answer_template", *_IN)(f"""
+SELECT customer_id,
+  '客戶 ' || customer_id || ' 屬於「' || segment || '」客群,' || '最近一次購買在 '
+  || coalesce(CAST(recency_days AS VARCHAR), 'None') || ' 天前,' || '預估終身價值 '
+  || {money_txt('coalesce(predicted_clv, 0.0)')} || ',流失風險' || risk_level || '。'
+  || CASE WHEN propensity IS NOT NULL THEN '90 天回購傾向 ' || {pct_txt('propensity')} || '。' ELSE '' END
+  || CASE WHEN len(next_best_offers) > 0 THEN '推薦商品:' || array_to_string(next_best_offers, '、') || '。' ELSE '' END
+  AS answer
+FROM ({_FACTS}) f""")
+WINBACK_CTE = """
+wb AS (SELECT customer_id, segment, predicted_clv, recency, prob_alive FROM customers
+       WHERE segment IN ('At Risk', 'Can''t Lose Them')),
+tiers AS (
+  SELECT *, [0.2, 0.15, 0.1][CAST(floor((row_number() OVER (ORDER BY predicted_clv DESC, customer_id) - 1) * 3
+                                / (SELECT count(*) FROM wb)) AS INTEGER) + 1] AS discount
+  FROM wb
+),
+cands AS (
+  SELECT t.customer_id, t.segment, t.predicted_clv, t.discount, o.consequents AS offer
+  FROM tiers t LEFT JOIN offers o ON o.customer_id = t.customer_id AND o.rank = 1
+),
+revised AS (
+  SELECT c.customer_id, c.segment, c.predicted_clv,
+         CASE WHEN w.prob_alive < 0.5 THEN 0.05 ELSE c.discount END AS discount, c.offer
+  FROM cands c JOIN wb w USING (customer_id) WHERE NOT w.recency > 1500
+),
+csum AS (
+  SELECT count(*) AS count, CASE WHEN count(*) > 0 THEN round(sum(predicted_clv) / count(*), 2) ELSE 0.0 END AS avg_predicted_clv,
+         CASE WHEN count(*) > 0 THEN round(sum(discount) / count(*), 4) ELSE 0.0 END AS avg_discount,
+         (SELECT map_from_entries(list((segment, n) ORDER BY segment)) FROM (SELECT segment, count(*) AS n FROM revised GROUP BY 1)) AS by_segment
+  FROM revised
+)"""
+_CP = _IN + (WINBACK_CTE,)
+oracle("discount_tiers", *_CP)("SELECT customer_id, segment, predicted_clv, recency, prob_alive, discount FROM tiers")
+oracle("match_offers", *_CP)("SELECT * FROM cands")
+oracle("campaign_revision", *_CP)("SELECT * FROM revised")
+oracle("campaign_summary", *_CP)("SELECT * FROM csum")
+oracle("campaign_brief", *_CP)(f"""
+SELECT *, '喚醒 ' || count || ' 位沉睡的高價值客戶' AS headline,
+       '這群客戶平均終身價值 ' || {money_txt('avg_predicted_clv')} || ',平均折扣 ' || {pct_txt('avg_discount')}
+         || ',值得專屬的挽回活動。' AS message,
+       ['依個人終身價值分層的折扣', '搭配客戶最常購買商品的推薦', '限時喚醒沉睡客戶'] AS selling_points
+FROM csum""")
+MSG_CTE = """
+messages AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn,
+                    CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS role, text AS content
+             FROM conversations)"""
+oracle("conversation_history", MSG_CTE)("""
+SELECT thread_id, list({'turn': turn, 'role': role, 'content': content} ORDER BY turn, role, content) AS messages
+FROM messages GROUP BY thread_id""")
+oracle("message_role_check", MSG_CTE)("""
+SELECT count(*) AS messages, count(CASE WHEN role NOT IN ('human', 'ai', 'tool') THEN 1 END) AS violations
+FROM messages""")
+oracle("conversation_append", MSG_CTE)("SELECT * FROM messages")
+oracle("thread_cascade_delete", MSG_CTE)("""
+SELECT * FROM messages WHERE thread_id IN (SELECT thread_id FROM messages WHERE role = 'ai')""")

@@ -698,3 +698,128 @@ def q_country_map(spark, d):
 @query("product_label")
 def q_product_label(spark, d):
     return sv.product_label(P.products(spark, d), 15)
+
+
+# ---------------------------------------------------------------- insight / campaign
+from retailspark.functions import labels as L  # noqa: E402
+from retailspark.operators import campaign as cp  # noqa: E402
+from retailspark.operators import insight as ins  # noqa: E402
+from retailspark.sources import testdata as TD  # noqa: E402
+
+
+def _offers(spark, d):
+    return sv.offers_for_customers(P.customer_top_brand(spark, d), P.rules_serving(spark, d), 5)
+
+
+@query("risk_band")
+def q_risk_band(spark, d):
+    return _cf(spark, d).select("customer_id", "prob_alive", L.risk_band(F.col("prob_alive")).alias("risk_level"))
+
+
+@query("labels_zh")
+def q_labels_zh(spark, d):
+    return _cf(spark, d).select(
+        "customer_id", L.segment_zh(F.col("segment")).alias("segment_zh"),
+        L.cluster_zh(F.col("cluster_name")).alias("cluster_zh"),
+        L.risk_zh(L.risk_band(F.col("prob_alive"))).alias("risk_zh"),
+        L.action_zh(F.col("action")).alias("action_zh"))
+
+
+@query("insight_context")
+def q_insight_context(spark, d):
+    return ins.insight_context(_cf(spark, d), _offers(spark, d))
+
+
+@query("insight_template")
+def q_insight_template(spark, d):
+    return ins.insight_template(ins.insight_context(_cf(spark, d), _offers(spark, d)))
+
+
+@query("insight_constraints")
+def q_insight_constraints(spark, d):
+    return ins.insight_violations(ins.insight_template(ins.insight_context(_cf(spark, d), _offers(spark, d))))
+
+
+@query("chat_facts")
+def q_chat_facts(spark, d):
+    return ins.chat_facts(_cf(spark, d), _offers(spark, d))
+
+
+@query("answer_template")
+def q_answer_template(spark, d):
+    return ins.answer_template(ins.chat_facts(_cf(spark, d), _offers(spark, d)))
+
+
+@query("fetch_fan_in")
+def q_fetch_fan_in(spark, d):
+    return ins.fetch_fan_in(_cf(spark, d), _offers(spark, d))
+
+
+def _winback(spark, d):
+    return sv.win_back_candidates(_cf(spark, d)).select("customer_id", "segment", "predicted_clv",
+                                                        "recency", "prob_alive")
+
+
+@query("discount_tiers")
+def q_discount_tiers(spark, d):
+    return cp.discount_tiers(_winback(spark, d))
+
+
+@query("match_offers")
+def q_match_offers(spark, d):
+    return cp.campaign_candidates(_winback(spark, d), _offers(spark, d))
+
+
+def _revised(spark, d):
+    cands = cp.campaign_candidates(_winback(spark, d), _offers(spark, d))
+    wb = _winback(spark, d)
+    # reviewer edits: drop long-dormant customers, cap the discount of low-P(alive) ones
+    excluded = wb.filter(F.col("recency") > 1500).select("customer_id")
+    overrides = wb.filter(F.col("prob_alive") < 0.5).select("customer_id", F.lit(0.05).alias("discount"))
+    return cp.campaign_revision(cands, excluded, overrides)
+
+
+@query("campaign_revision")
+def q_campaign_revision(spark, d):
+    return _revised(spark, d)
+
+
+@query("campaign_summary")
+def q_campaign_summary(spark, d):
+    return cp.campaign_summary(_revised(spark, d))
+
+
+@query("campaign_brief")
+def q_campaign_brief(spark, d):
+    return cp.campaign_brief(cp.campaign_summary(_revised(spark, d)))
+
+
+@query("campaign_build")
+def q_campaign_build(spark, d):
+    return cp.campaign_build(cp.campaign_candidates(_winback(spark, d), _offers(spark, d)), "win-back")
+
+
+@query("conversation_history")
+def q_conversation_history(spark, d):
+    return cp.conversation_history(TD.messages(spark, d))
+
+
+@query("message_role_check")
+def q_message_role_check(spark, d):
+    return cp.role_violations(TD.messages(spark, d))
+
+
+@query("conversation_append")
+def q_conversation_append(spark, d):
+    m = TD.messages(spark, d)
+    return cp.conversation_append(m.filter(F.col("turn") <= 1), m.filter(F.col("turn") > 1))
+
+
+@query("thread_cascade_delete")
+def q_thread_cascade_delete(spark, d):
+    m = TD.messages(spark, d)
+    # threads whose conversation never got an answer are deleted
+    answered = m.filter(F.col("role") == "ai").select("thread_id").distinct()
+    unanswered = m.select("thread_id").distinct().join(answered, "thread_id", "left_anti")
+    kept, _ = cp.thread_cascade_delete(m, None, unanswered)
+    return kept
