@@ -48,14 +48,16 @@ def _vectors(feat: DataFrame) -> DataFrame:
         .transform(feat)
 
 
+def _fit_one(vec: DataFrame, k: int, seed: int):
+    return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features",
+                  predictionCol="Cluster").fit(vec)
+
+
 def fit_kmeans(vec: DataFrame, k: int, seed: int = RANDOM_STATE, n_init: int = N_INIT):
     """Best of n_init seeded fits (min training cost)."""
-    def one(s):
-        return KMeans(k=k, seed=s, maxIter=300, tol=1e-4, featuresCol="features",
-                      predictionCol="Cluster").fit(vec)
     seeds = [seed + i for i in range(n_init)]
     with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
-        models = list(pool.map(one, seeds))
+        models = list(pool.map(lambda s: _fit_one(vec, k, s), seeds))
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
@@ -65,12 +67,26 @@ def silhouette(pred: DataFrame, label_col: str = "Cluster") -> float:
                                distanceMeasure="squaredEuclidean").evaluate(pred)
 
 
+def sweep(vec: DataFrame, k_values=K_RANGE, seed: int = RANDOM_STATE, n_init: int = N_INIT):
+    """All (k, seed) fits go through one concurrent pool of independent
+    distributed jobs; per k the lowest-cost model is kept and scored.
+    Returns ([(k, inertia, silhouette)], {k: best model})."""
+    ks = list(k_values)
+    tasks = [(k, seed + i) for k in ks for i in range(n_init)]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        models = list(pool.map(lambda t: _fit_one(vec, *t), tasks))
+    best = {}
+    for (k, _), m in zip(tasks, models):
+        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = m
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        sils = list(pool.map(lambda k: silhouette(best[k].transform(vec)), ks))
+    rows = [(int(k), float(best[k].summary.trainingCost), float(s)) for k, s in zip(ks, sils)]
+    return rows, best
+
+
 def evaluate_k_range(spark: SparkSession, vec: DataFrame, k_values=K_RANGE) -> DataFrame:
-    rows = []
-    for k in k_values:
-        model = fit_kmeans(vec, k)
-        pred = model.transform(vec)
-        rows.append((int(k), float(model.summary.trainingCost), float(silhouette(pred))))
+    rows, _ = sweep(vec, k_values)
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -116,9 +132,11 @@ def attach_clusters(spark: SparkSession, scored: DataFrame, k: int | None = None
     """scored ⊕ Cluster ⊕ ClusterName (k chosen by the silhouette sweep)."""
     vec = _vectors(scaled_features(scored)).cache()
     if k is None:
-        metrics = evaluate_k_range(spark, vec)
-        k = choose_k(metrics).first()["k"]
-    model = fit_kmeans(vec, k)
+        rows, best = sweep(vec)
+        k = choose_k(spark.createDataFrame(rows, "k int, inertia double, silhouette double")).first()["k"]
+        model = best[k]
+    else:
+        model = fit_kmeans(vec, k)
     labels = model.transform(vec).select("CustomerID", F.col("Cluster").cast("int").alias("Cluster"))
     with_c = scored.join(labels, "CustomerID")
     names = name_clusters(profile_clusters(with_c))
