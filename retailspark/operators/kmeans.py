@@ -28,6 +28,7 @@ RANDOM_STATE = 42
 N_INIT = 10
 RFM_COLUMNS = ["Recency", "Frequency", "Monetary"]
 K_RANGE = range(2, 11)
+FIT_THREADS = 4  # concurrent driver-side job submitters (each fit is distributed)
 
 
 def scaled_features(rfm: DataFrame, id_col: str = "CustomerID") -> DataFrame:
@@ -56,7 +57,7 @@ def _fit_one(vec: DataFrame, k: int, seed: int):
 def fit_kmeans(vec: DataFrame, k: int, seed: int = RANDOM_STATE, n_init: int = N_INIT):
     """Best of n_init seeded fits (min training cost)."""
     seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
+    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, n_init)) as pool:
         models = list(pool.map(lambda s: _fit_one(vec, k, s), seeds))
     return min(models, key=lambda m: m.summary.trainingCost)
 
@@ -73,13 +74,13 @@ def sweep(vec: DataFrame, k_values=K_RANGE, seed: int = RANDOM_STATE, n_init: in
     Returns ([(k, inertia, silhouette)], {k: best model})."""
     ks = list(k_values)
     tasks = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=8) as pool:
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
         models = list(pool.map(lambda t: _fit_one(vec, *t), tasks))
     best = {}
     for (k, _), m in zip(tasks, models):
         if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
             best[k] = m
-    with ThreadPoolExecutor(max_workers=8) as pool:
+    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
         sils = list(pool.map(lambda k: silhouette(best[k].transform(vec)), ks))
     rows = [(int(k), float(best[k].summary.trainingCost), float(s)) for k, s in zip(ks, sils)]
     return rows, best

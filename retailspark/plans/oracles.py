@@ -960,3 +960,44 @@ FROM messages""")
 oracle("conversation_append", MSG_CTE)("SELECT * FROM messages")
 oracle("thread_cascade_delete", MSG_CTE)("""
 SELECT * FROM messages WHERE thread_id IN (SELECT thread_id FROM messages WHERE role = 'ai')""")
+
+
+# ---------------------------------------------------------------- sources / cleaning steps
+_RAWCOLS = '"Invoice", "StockCode", "Description", "Quantity", "InvoiceDate", "Price", "Customer ID", "Country"'
+oracle("src_raw_csv")(f"SELECT {_RAWCOLS} FROM raw")
+oracle("src_clean_parquet")("SELECT * FROM tx")
+oracle("clean_rename")("""
+SELECT "Invoice" AS InvoiceNo, "StockCode" AS StockCode, "Description" AS Description, "Quantity" AS Quantity,
+       "InvoiceDate" AS InvoiceDate, "Price" AS UnitPrice, "Customer ID" AS CustomerID, "Country" AS Country
+FROM raw""")
+oracle("clean_dates")("""
+SELECT "Invoice" AS InvoiceNo, "StockCode" AS StockCode, "Description" AS Description, "Quantity" AS Quantity,
+       CAST("InvoiceDate" AS TIMESTAMP) AS InvoiceDate, "Price" AS UnitPrice, "Customer ID" AS CustomerID,
+       "Country" AS Country
+FROM raw""")
+oracle("clean_custid")("SELECT * FROM norm")
+oracle("clean_dedup")("SELECT * FROM dedup")
+oracle("clean_total")("SELECT *, Quantity * UnitPrice AS TotalPrice FROM dedup")
+oracle("is_cancel")("""
+SELECT coalesce(starts_with(InvoiceNo, 'C'), false) AS is_cancel, count(*) AS rows FROM dedup GROUP BY 1""")
+oracle("is_product")("""
+SELECT StockCode, coalesce(regexp_full_match(StockCode, '[0-9]{5}[A-Za-z]{0,3}'), false) AS is_product
+FROM (SELECT DISTINCT StockCode FROM dedup) s""")
+oracle("clean_filters")("""
+SELECT InvoiceNo, StockCode, Description, Quantity, InvoiceDate, UnitPrice, CustomerID, Country FROM tx""")
+oracle("sink_rules", T_CTE, item_desc_cte("p_type", "t_"))(labelled_sql("t_"))
+oracle("load_all", *_CF, *_RS, *_PR)("""
+SELECT 'customers' AS "table", count(*) AS rows FROM customers
+UNION ALL SELECT 'rules', count(*) FROM rules
+UNION ALL SELECT 'products', count(*) FROM products
+UNION ALL SELECT 'monthly', count(*) FROM monthly
+UNION ALL SELECT 'country', count(*) FROM country
+UNION ALL SELECT 'customer_top_product', count(*) FROM customer_top_product""")
+oracle("tbl_passthrough", *_PR)("SELECT * FROM products")
+oracle("json_draft", *_CP)(f"""
+SELECT '喚醒 ' || count || ' 位沉睡的高價值客戶' AS headline,
+       '這群客戶平均終身價值 ' || {money_txt('avg_predicted_clv')} || ',平均折扣 ' || {pct_txt('avg_discount')}
+         || ',值得專屬的挽回活動。' AS message,
+       ['依個人終身價值分層的折扣', '搭配客戶最常購買商品的推薦', '限時喚醒沉睡客戶'] AS selling_points, count
+FROM csum""")
+oracle("sink_campaign_csv", *_CP)("SELECT * FROM revised")

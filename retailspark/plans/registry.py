@@ -823,3 +823,110 @@ def q_thread_cascade_delete(spark, d):
     unanswered = m.select("thread_id").distinct().join(answered, "thread_id", "left_anti")
     kept, _ = cp.thread_cascade_delete(m, None, unanswered)
     return kept
+
+
+# ---------------------------------------------------------------- sources / sinks
+from retailspark.sources import retail as RT  # noqa: E402
+
+
+def _stage_path(spark, d, name):
+    ws = P.ws(spark, d)
+    return f"{ws._root_dir()}/{name}"
+
+
+@query("src_raw_csv")
+def q_src_raw_csv(spark, d):
+    path = _stage_path(spark, d, "raw_csv")
+    ws = P.ws(spark, d)
+    if "raw_csv" not in ws._paths:
+        RT.write_csv(P.raw(spark, d), path)
+        ws._paths["raw_csv"] = path
+    return RT.load_raw(spark, path)
+
+
+@query("src_clean_parquet")
+def q_src_clean_parquet(spark, d):
+    P.tx(spark, d)  # make sure the phase output exists
+    return RT.load_clean(spark, P.ws(spark, d)._paths["transactions_clean"])
+
+
+@query("sink_rules")
+def q_sink_rules(spark, d):
+    path = _stage_path(spark, d, "association_rules_out")
+    labelled = basket.label_rules(P.rules(spark, d), P.item_descriptions(spark, d))
+    RT.write_table(labelled, path)
+    return spark.read.parquet(path)
+
+
+@query("load_all")
+def q_load_all(spark, d):
+    frames = {"customers": _cf(spark, d), "rules": P.rules_serving(spark, d),
+              "products": P.products(spark, d), "monthly": P.monthly(spark, d),
+              "country": P.country(spark, d), "customer_top_product": P.customer_top_product(spark, d)}
+    return RT.load_all(spark, frames, _stage_path(spark, d, "serving"))
+
+
+@query("tbl_passthrough")
+def q_tbl_passthrough(spark, d):
+    q_load_all(spark, d).collect()  # 6 rows
+    return spark.read.parquet(_stage_path(spark, d, "serving") + "/products")
+
+
+@query("json_draft")
+def q_json_draft(spark, d):
+    brief = cp.campaign_brief(cp.campaign_summary(_revised(spark, d)))
+    js = brief.select(F.to_json(F.struct("headline", "message", "selling_points", "count")).alias("draft"))
+    parsed = js.select(F.from_json("draft", "headline string, message string, "
+                                   "selling_points array<string>, count bigint").alias("d"))
+    return parsed.select("d.headline", "d.message", "d.selling_points", "d.count")
+
+
+@query("sink_campaign_csv")
+def q_sink_campaign_csv(spark, d):
+    path = _stage_path(spark, d, "campaign_csv")
+    RT.write_csv(_revised(spark, d), path)
+    return spark.read.option("header", True).schema(
+        "customer_id string, segment string, predicted_clv double, discount double, offer string").csv(path)
+
+
+# ---------------------------------------------------------------- cleaning steps
+@query("clean_rename")
+def q_clean_rename(spark, d):
+    return clean.standardize_columns(P.raw(spark, d))
+
+
+@query("clean_dates")
+def q_clean_dates(spark, d):
+    return clean.parse_dates(clean.standardize_columns(P.raw(spark, d)))
+
+
+@query("clean_custid")
+def q_clean_custid(spark, d):
+    return clean.normalized(P.raw(spark, d))
+
+
+@query("clean_dedup")
+def q_clean_dedup(spark, d):
+    return clean.normalized(P.raw(spark, d)).dropDuplicates()
+
+
+@query("clean_total")
+def q_clean_total(spark, d):
+    return clean.add_total_price(clean.normalized(P.raw(spark, d)).dropDuplicates())
+
+
+@query("is_cancel")
+def q_is_cancel(spark, d):
+    n = clean.normalized(P.raw(spark, d)).dropDuplicates()
+    return n.groupBy(clean.is_cancellation().alias("is_cancel")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("is_product")
+def q_is_product(spark, d):
+    n = clean.normalized(P.raw(spark, d)).dropDuplicates()
+    return n.groupBy("StockCode").agg(F.first(clean.is_product_stockcode()).alias("is_product"))
+
+
+@query("clean_filters")
+def q_clean_filters(spark, d):
+    return P.tx(spark, d).drop("TotalPrice")

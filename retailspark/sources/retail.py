@@ -59,3 +59,19 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header (campaign export)."""
     df.write.mode(mode).option("header", True).csv(path)
+
+
+def load_all(spark: SparkSession, frames: dict, root: str) -> DataFrame:
+    """Replace every serving table (parquet under ``root``, plus a temp view
+    of the same name) and return (table, rows) read back from what was
+    written."""
+    from pyspark.sql import functions as F
+    counts = None
+    for name, df in frames.items():
+        path = f"{root.rstrip('/')}/{name}"
+        df.write.mode("overwrite").parquet(path)
+        back = spark.read.parquet(path)
+        back.createOrReplaceTempView(name)
+        c = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        counts = c if counts is None else counts.unionByName(c)
+    return counts
