@@ -208,6 +208,19 @@ def _digamma_scalar(z: float) -> float:
 
 
 def _fit(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> FitResult:
+    """Each optimiser step is a global aggregate over a small checkpointed
+    table; adaptive re-planning has nothing to re-plan there and only adds
+    per-job latency, so it is switched off for the duration of the fit."""
+    spark = grouped.sparkSession
+    prev = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _fit_inner(grouped, make_terms, names, penalizer, x0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", prev)
+
+
+def _fit_inner(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> FitResult:
     """Minimise mean negative log-likelihood + penalty·Σθ² over θ = exp(φ).
 
     ``evaluate`` computes the weighted sums for several parameter vectors in
@@ -239,7 +252,7 @@ def _fit(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> FitResu
         g = theta * (-vals[1:] + 2 * penalizer * theta)
         return float(f), g
 
-    phi, f, it = bfgs(fg, np.log(np.asarray(x0, dtype=float)), gtol=1e-6, ftol=1e-11)
+    phi, f, it = bfgs(fg, np.log(np.asarray(x0, dtype=float)), gtol=1e-6, ftol=1e-10)
     theta = np.exp(phi)
     # standard errors: inverse Hessian of the total negative log-likelihood,
     # central differences of the analytic gradient in log-parameters, mapped
