@@ -3,9 +3,10 @@
 * features: log1p(R, F, M), standardised with the **population** std
   (Spark's StandardScaler uses the sample std) — the 6 moments come from one
   global aggregate; scaling is a projection.
-* fit: ``pyspark.ml.clustering.KMeans``, best of ``n_init`` seeds by
-  training cost.  Restarts are independent distributed jobs submitted
-  concurrently from a small driver thread pool.
+* fit: Lloyd's algorithm with k-means++ seeding, best of ``n_init`` seeds
+  by within-cluster sum of squares; all (k, seed) models of the sweep are
+  fitted together, one pass over the data per iteration
+  (``kmeans_batch``).
 * silhouette: Spark's ``ClusteringEvaluator`` (squared Euclidean), exact and
   O(n·k) via per-cluster sums.  The plain-Euclidean silhouette has no such
   decomposition — it needs every pair of points — so it is not built.
@@ -14,21 +15,19 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from retailspark.functions.money import money_units
+from retailspark.operators.kmeans_batch import assign, fit_many
 
 RANDOM_STATE = 42
 N_INIT = 10
 RFM_COLUMNS = ["Recency", "Frequency", "Monetary"]
 K_RANGE = range(2, 11)
-FIT_THREADS = 4  # concurrent driver-side job submitters (each fit is distributed)
 
 
 def scaled_features(rfm: DataFrame, id_col: str = "CustomerID") -> DataFrame:
@@ -49,17 +48,15 @@ def _vectors(feat: DataFrame) -> DataFrame:
         .transform(feat)
 
 
-def _fit_one(vec: DataFrame, k: int, seed: int):
-    return KMeans(k=k, seed=seed, maxIter=300, tol=1e-4, featuresCol="features",
-                  predictionCol="Cluster").fit(vec)
+FEATURES = [f"z_{c}" for c in RFM_COLUMNS]
 
 
-def fit_kmeans(vec: DataFrame, k: int, seed: int = RANDOM_STATE, n_init: int = N_INIT):
-    """Best of n_init seeded fits (min training cost)."""
-    seeds = [seed + i for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=min(FIT_THREADS, n_init)) as pool:
-        models = list(pool.map(lambda s: _fit_one(vec, k, s), seeds))
-    return min(models, key=lambda m: m.summary.trainingCost)
+def fit_kmeans(feat: DataFrame, k: int, seed: int = RANDOM_STATE, n_init: int = N_INIT):
+    """Best of n_init seeded fits (min within-cluster sum of squares):
+    (centres, cost)."""
+    cen, cost = fit_many(feat, "CustomerID", FEATURES, [(k, seed + i) for i in range(n_init)])
+    b = int(np.argmin(cost))
+    return cen[b], float(cost[b])
 
 
 def silhouette(pred: DataFrame, label_col: str = "Cluster") -> float:
@@ -68,26 +65,27 @@ def silhouette(pred: DataFrame, label_col: str = "Cluster") -> float:
                                distanceMeasure="squaredEuclidean").evaluate(pred)
 
 
-def sweep(vec: DataFrame, k_values=K_RANGE, seed: int = RANDOM_STATE, n_init: int = N_INIT):
-    """All (k, seed) fits go through one concurrent pool of independent
-    distributed jobs; per k the lowest-cost model is kept and scored.
-    Returns ([(k, inertia, silhouette)], {k: best model})."""
+def sweep(feat: DataFrame, k_values=K_RANGE, seed: int = RANDOM_STATE, n_init: int = N_INIT):
+    """Every (k, seed) model of the sweep is fitted together (one pass over
+    the features per Lloyd iteration for all of them); per k the
+    lowest-cost model is kept and scored.
+    Returns ([(k, inertia, silhouette)], {k: centres})."""
     ks = list(k_values)
     tasks = [(k, seed + i) for k in ks for i in range(n_init)]
-    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        models = list(pool.map(lambda t: _fit_one(vec, *t), tasks))
+    cen, cost = fit_many(feat, "CustomerID", FEATURES, tasks)
     best = {}
-    for (k, _), m in zip(tasks, models):
-        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = m
-    with ThreadPoolExecutor(max_workers=FIT_THREADS) as pool:
-        sils = list(pool.map(lambda k: silhouette(best[k].transform(vec)), ks))
-    rows = [(int(k), float(best[k].summary.trainingCost), float(s)) for k, s in zip(ks, sils)]
-    return rows, best
-
-
-def evaluate_k_range(spark: SparkSession, vec: DataFrame, k_values=K_RANGE) -> DataFrame:
-    rows, _ = sweep(vec, k_values)
+    for (k, _), c, v in zip(tasks, cen, cost):
+        if k not in best or v < best[k][1]:
+            best[k] = (c, float(v))
+    rows = []
+    for k in ks:
+        labelled = _vectors(assign(feat, FEATURES, best[k][0]))
+        rows.append((int(k), best[k][1], float(silhouette(labelled))))
+    return rows, {k: c for k, (c, _) in best.items()}
+
+
+def evaluate_k_range(spark: SparkSession, feat: DataFrame, k_values=K_RANGE) -> DataFrame:
+    rows, _ = sweep(feat, k_values)
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
@@ -129,17 +127,18 @@ def name_clusters(profile: DataFrame, cluster_col: str = "Cluster") -> DataFrame
     return p.select(cluster_col, name.alias("ClusterName"))
 
 
-def attach_clusters(spark: SparkSession, scored: DataFrame, k: int | None = None) -> DataFrame:
-    """scored ⊕ Cluster ⊕ ClusterName (k chosen by the silhouette sweep)."""
-    vec = _vectors(scaled_features(scored)).cache()
+def attach_clusters(spark: SparkSession, scored: DataFrame, feat: DataFrame | None = None,
+                    swept=None, k: int | None = None) -> DataFrame:
+    """scored ⊕ Cluster ⊕ ClusterName (k chosen by the silhouette sweep;
+    ``swept`` = a precomputed ``sweep`` result)."""
+    feat = feat if feat is not None else scaled_features(scored).cache()
     if k is None:
-        rows, best = sweep(vec)
+        rows, best = swept if swept is not None else sweep(feat)
         k = choose_k(spark.createDataFrame(rows, "k int, inertia double, silhouette double")).first()["k"]
-        model = best[k]
+        centers = best[k]
     else:
-        model = fit_kmeans(vec, k)
-    labels = model.transform(vec).select("CustomerID", F.col("Cluster").cast("int").alias("Cluster"))
+        centers, _ = fit_kmeans(feat, k)
+    labels = assign(feat, FEATURES, centers).select("CustomerID", "Cluster")
     with_c = scored.join(labels, "CustomerID")
     names = name_clusters(profile_clusters(with_c))
-    out = with_c.join(F.broadcast(names), "Cluster")  # ≤ 10 rows
-    return out
+    return with_c.join(F.broadcast(names), "Cluster")  # ≤ 10 rows

@@ -111,8 +111,19 @@ def customer_clv(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataF
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored RFM customers ⊕ K-means cluster and cluster name."""
     from retailspark.operators import kmeans
-    return ws(spark, sf_dir).table(
-        "customer_segments", lambda: kmeans.attach_clusters(spark, scored(spark, sf_dir)))
+    return ws(spark, sf_dir).table("customer_segments", lambda: kmeans.attach_clusters(
+        spark, scored(spark, sf_dir), km_features(spark, sf_dir), km_sweep(spark, sf_dir)))
+
+
+def km_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from retailspark.operators import kmeans
+    return ws(spark, sf_dir).table("km_features", lambda: kmeans.scaled_features(scored(spark, sf_dir)))
+
+
+def km_sweep(spark: SparkSession, sf_dir: str):
+    """(rows, best centres per k) of the k = 2..10 × 10-seed sweep, once."""
+    from retailspark.operators import kmeans
+    return ws(spark, sf_dir).value("km_sweep", lambda: kmeans.sweep(km_features(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ basket

@@ -310,7 +310,7 @@ def q_clv_segment_median_fixed(spark, d):
 
 # ---------------------------------------------------------------- K-means
 def _vec(spark, d):
-    return P.ws(spark, d).table("km_features", lambda: kmeans.scaled_features(P.scored(spark, d)))
+    return P.km_features(spark, d)
 
 
 @query("km_features")
@@ -329,8 +329,8 @@ def q_km_silhouette(spark, d):
 
 @query("km_evaluate")
 def q_km_evaluate(spark, d):
-    return P.ws(spark, d).table("km_metrics", lambda: kmeans.evaluate_k_range(
-        spark, kmeans._vectors(_vec(spark, d)).cache()))
+    rows, _ = P.km_sweep(spark, d)
+    return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 @query("km_choose_k")

@@ -213,3 +213,32 @@ def test_bgnbd_recovers_parameters(spark):
     est = dict(zip(fit.names, fit.coef))
     assert abs(est["r"] - r) / r < 0.25
     assert abs(est["alpha"] - alpha) / alpha < 0.35
+
+
+def test_kmeans_blobs_and_scaling(spark):
+    import random
+    from retailspark.operators import kmeans
+    random.seed(1)
+    rows = [(f"L{i:03d}", 300 + random.randint(0, 20), 1 + random.randint(0, 1), 50 + random.random() * 10)
+            for i in range(100)]
+    rows += [(f"H{i:03d}", 5 + random.randint(0, 3), 20 + random.randint(0, 5), 5000 + random.random() * 500)
+             for i in range(100)]
+    df = spark.createDataFrame(rows, "CustomerID string, Recency int, Frequency int, Monetary double")
+    feat = kmeans.scaled_features(df)
+    m = feat.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(kmeans.FEATURES)],
+                 *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(kmeans.FEATURES)]).first()
+    assert all(abs(m[f"m{i}"]) < 1e-9 and abs(m[f"s{i}"] - 1) < 1e-9 for i in range(3))
+    out = kmeans.attach_clusters(spark, df, k=2)
+    names = {r.CustomerID[0]: r.ClusterName for r in out.collect()}
+    assert names == {"H": "High-Value Active", "L": "Dormant Low-Value"}
+    rows_k, _ = kmeans.sweep(feat, k_values=[2, 3, 4], n_init=3)
+    inertia = [r[1] for r in rows_k]
+    assert inertia[0] >= inertia[1] >= inertia[2]
+
+
+def test_choose_k_window(spark):
+    from retailspark.operators import kmeans
+    m = spark.createDataFrame([(k, 0.0, s) for k, s in zip(range(2, 11),
+                               [0.9, 0.5, 0.7, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05])],
+                              "k int, inertia double, silhouette double")
+    assert kmeans.choose_k(m).first()["k"] == 4
