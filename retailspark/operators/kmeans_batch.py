@@ -87,8 +87,10 @@ def _seed_step(data: DataFrame, cols, models, centers, step: int) -> dict:
     return {r["m"]: [r["b"][c] for c in cols] for r in best}
 
 
-def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray]):
+def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray], active=None):
+    """Partial sums for the models in ``active`` (default: all)."""
     sizes = [len(c) for c in centers]
+    active = list(range(len(centers))) if active is None else list(active)
 
     def part(it):
         acc_s = [np.zeros((k, len(cols))) for k in sizes]
@@ -96,15 +98,16 @@ def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray]):
         acc_c = np.zeros(len(sizes))
         for pdf in it:
             x = pdf[cols].to_numpy()
-            for m, c in enumerate(centers):
+            for m in active:
+                c = centers[m]
                 d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
                 lab = d2.argmin(1)
                 acc_c[m] += d2[np.arange(len(x)), lab].sum()
                 np.add.at(acc_s[m], lab, x)
                 acc_n[m] += np.bincount(lab, minlength=len(c))
         rows = []
-        for m, k in enumerate(sizes):
-            for j in range(k):
+        for m in active:
+            for j in range(sizes[m]):
                 rows.append((m, j, float(acc_n[m][j]), *acc_s[m][j].tolist(),
                              float(acc_c[m]) if j == 0 else 0.0))
         yield pd.DataFrame(rows, columns=["m", "j", "n", *cols, "cost"])
@@ -129,7 +132,12 @@ def fit_many(feat: DataFrame, id_col: str, cols: list[str], models: list[tuple[i
     is the within-cluster sum of squares of the final centres.  A model has
     converged when its total squared centre shift is ≤ tol × the mean
     feature variance."""
-    data = _prepare(feat, id_col, cols).cache()
+    data = _prepare(feat, id_col, cols)
+    par = data.sparkSession.sparkContext.defaultParallelism
+    if data.rdd.getNumPartitions() < par:
+        # few, large input files: spread the rows over every core once
+        data = data.repartition(par)
+    data = data.cache()
     var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     tol_abs = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     centers: list[list] = [[] for _ in models]
@@ -140,10 +148,9 @@ def fit_many(feat: DataFrame, id_col: str, cols: list[str], models: list[tuple[i
     done = np.zeros(len(models), dtype=bool)
     cost = None
     for _ in range(max_iter):
-        sums, counts, cost = _lloyd_pass(data, cols, cen)
-        for m in range(len(models)):
-            if done[m]:
-                continue
+        active = [m for m in range(len(models)) if not done[m]]
+        sums, counts, cost = _lloyd_pass(data, cols, cen, active)
+        for m in active:
             new = cen[m].copy()
             nz = counts[m] > 0
             new[nz] = sums[m][nz] / counts[m][nz][:, None]
