@@ -80,3 +80,21 @@ def hyp2f1(a, b, c, z, n_terms: int = 200) -> Column:
         return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(n_terms - 2)), init, step, lambda acc: acc["s"])
+
+
+def hyp2f1_many(a, b, c, zs: list, n_terms: int = 200) -> Column:
+    """Several ₂F₁(a, b; c; z_i) sharing a, b, c in ONE pass over the series
+    (struct of sums s0, s1, ...); per-term arithmetic identical to ``hyp2f1``."""
+    a, b, c = _c(a), _c(b), _c(c)
+    zs = [_c(z) for z in zs]
+    init = F.struct(*[F.lit(1.0).alias(f"t{i}") for i in range(len(zs))],
+                    *[F.lit(1.0).alias(f"s{i}") for i in range(len(zs))])
+
+    def step(acc, n):
+        nd = n.cast("double")
+        ts = [F.try_divide(acc[f"t{i}"] * (a + nd) * (b + nd), (c + nd) * (nd + 1.0)) * z
+              for i, z in enumerate(zs)]
+        return F.struct(*[t.alias(f"t{i}") for i, t in enumerate(ts)],
+                        *[(acc[f"s{i}"] + t).alias(f"s{i}") for i, t in enumerate(ts)])
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n_terms - 2)), init, step)

@@ -323,18 +323,32 @@ def param_summary(spark, res: FitResult, model: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ predictions
-def expected_purchases(t, bg: BGNBD, x: Column, tx: Column, T: Column, n_terms: int = 200) -> Column:
-    """E[# purchases in (T, T+t]] given (x, t_x, T)."""
+def _expected_from_series(t, bg: BGNBD, x: Column, tx: Column, T: Column, f21: Column) -> Column:
     r, alpha, a, b = bg.as_tuple()
-    t = F.lit(float(t)) if not isinstance(t, Column) else t
     a1 = F.try_divide(a + b + x - 1.0, F.lit(a - 1.0))
-    z = F.try_divide(t, alpha + T + t)
-    a2 = F.pow(F.try_divide(alpha + T, alpha + T + t), r + x) * hyp2f1(r + x, b + x, a + b + x - 1.0, z, n_terms)
+    a2 = F.pow(F.try_divide(alpha + T, alpha + T + t), r + x) * f21
     den = 1.0 + F.when(x > 0, F.try_divide(F.lit(a), b + x - 1.0)
                        * F.pow(F.try_divide(alpha + T, alpha + tx), r + x)).otherwise(F.lit(0.0))
     return F.try_divide(a1 * (1.0 - a2), den)
 
 
+def expected_purchases(t, bg: BGNBD, x: Column, tx: Column, T: Column, n_terms: int = 200) -> Column:
+    """E[# purchases in (T, T+t]] given (x, t_x, T)."""
+    return expected_purchases_many([t], bg, x, tx, T, n_terms)[0]
+
+
+def expected_purchases_many(ts: list, bg: BGNBD, x: Column, tx: Column, T: Column,
+                            n_terms: int = 200) -> list[Column]:
+    """E[# purchases] for several horizons; the ₂F₁ series of all horizons
+    share one pass (they differ only in z)."""
+    from retailspark.functions.special import hyp2f1_many
+    r, alpha, a, b = bg.as_tuple()
+    tcols = [F.lit(float(t)) if not isinstance(t, Column) else t for t in ts]
+    zs = [F.try_divide(t, alpha + T + t) for t in tcols]
+    series = hyp2f1_many(r + x, b + x, a + b + x - 1.0, zs, n_terms)
+    return [_expected_from_series(t, bg, x, tx, T, series[f"s{i}"]) for i, t in enumerate(tcols)]
+
+
 def prob_alive(bg: BGNBD, x: Column, tx: Column, T: Column) -> Column:
     r, alpha, a, b = bg.as_tuple()
     log_div = ((r + x) * F.log(F.try_divide(alpha + T, alpha + tx))
@@ -358,11 +372,14 @@ def predict(summary: DataFrame, bg: BGNBD, gg: GammaGamma, horizon_months: int =
     elig = eligible()
     avg_val = expected_avg_value(gg, x, m)
     pop_avg = (summary.filter(elig).select(F.avg(expected_avg_value(gg, x, m))).scalar())
-    purchases = expected_purchases(horizon_months * DAYS_PER_MONTH, bg, x, tx, T, n_terms)
+    horizons = [horizon_months * DAYS_PER_MONTH] + [k * CLV_MONTH_DAYS for k in range(1, horizon_months + 1)]
+    summary = summary.withColumn("_ey", F.struct(*[
+        e.alias(f"e{i}") for i, e in enumerate(expected_purchases_many(horizons, bg, x, tx, T, n_terms))]))
+    purchases = F.col("_ey.e0")
     clv = None
     prev = F.lit(0.0)
     for k in range(1, horizon_months + 1):
-        cur = expected_purchases(k * CLV_MONTH_DAYS, bg, x, tx, T, n_terms)
+        cur = F.col(f"_ey.e{k}")
         term = avg_val * (cur - prev) / float((1 + discount_rate) ** k)
         clv = term if clv is None else clv + term
         prev = cur
