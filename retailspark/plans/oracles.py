@@ -65,8 +65,20 @@ tx AS (
 )"""
 
 
+def _materialized(cte_text: str) -> str:
+    """Shared CTEs are referenced several times downstream; materialise each
+    once instead of letting the engine inline and recompute it."""
+    import re
+    return re.sub(r"(?m)^(\s*)(\w+) AS \(", r"\1\2 AS MATERIALIZED (", cte_text)
+
+
 def with_ctes(body: str, *extra: str) -> str:
-    ctes = [RAW_CTE.strip()] + [e.strip() for e in extra]
+    seen, ctes = set(), []
+    for e in (RAW_CTE, *extra):
+        e = e.strip()
+        if e not in seen:  # the same CTE block listed twice would define names twice
+            seen.add(e)
+            ctes.append(_materialized(e))
     return "WITH " + ",\n".join(ctes) + "\n" + body.strip()
 
 
@@ -513,28 +525,32 @@ FROM p, m""")
 
 # ---------------------------------------------------------------- basket
 def basket_ctes(attr: str, p: str, min_item=0.01, min_sup=0.01, metric="lift", thr=1.0) -> str:
-    """Bitmask itemset enumeration over a small item domain (≤ 25 items)."""
+    """Itemsets by enumerating every non-empty subset of each basket's own
+    (frequent) items — exact, and cheap because baskets are small — and
+    rules by enumerating each itemset's own antecedent/consequent splits."""
+    sub = "list_filter({l}, lambda x, i: ((mask >> (i - 1)) & 1) = {bit})"
     return f"""
 {p}bt AS (SELECT DISTINCT CAST(l.l_orderkey AS VARCHAR) AS InvoiceNo, pa.{attr} AS StockCode
           FROM lineitem l JOIN part pa ON l.l_partkey = pa.p_partkey),
 {p}nall AS (SELECT count(DISTINCT InvoiceNo) AS n FROM {p}bt),
 {p}fp AS (SELECT StockCode FROM {p}bt GROUP BY 1
           HAVING count(DISTINCT InvoiceNo) >= {min_item} * (SELECT n FROM {p}nall)),
-{p}items AS (SELECT StockCode, CAST(row_number() OVER (ORDER BY StockCode) - 1 AS BIGINT) AS idx FROM {p}fp),
-{p}bm AS (SELECT InvoiceNo, bit_or(CAST(1 AS BIGINT) << idx) AS mask
-          FROM {p}bt JOIN {p}items USING (StockCode) GROUP BY 1),
+{p}bm AS (SELECT InvoiceNo, list_sort(list(StockCode)) AS items
+          FROM {p}bt JOIN {p}fp USING (StockCode) GROUP BY 1),
 {p}nb AS (SELECT count(*) AS n FROM {p}bm),
-{p}cand AS (SELECT range AS m FROM range(1, (SELECT CAST(1 AS BIGINT) << count(*) FROM {p}items))),
-{p}isets AS (SELECT m, count(*) AS freq FROM {p}cand JOIN {p}bm ON ({p}bm.mask & {p}cand.m) = {p}cand.m
-             GROUP BY m HAVING count(*) >= ceil({min_sup} * (SELECT n FROM {p}nb))),
-{p}itemsets AS (SELECT m, list_sort(list(StockCode)) AS items, freq, freq / (SELECT n FROM {p}nb) AS support
-                FROM {p}isets JOIN {p}items ON ((m >> idx) & 1) = 1 GROUP BY m, freq),
+{p}subs AS (SELECT {sub.format(l='items', bit=1)} AS s
+            FROM {p}bm, LATERAL (SELECT range AS mask FROM range(1, CAST(1 AS BIGINT) << len(items))) r),
+{p}itemsets AS (SELECT s AS items, count(*) AS freq, count(*) / (SELECT n FROM {p}nb) AS support
+                FROM {p}subs GROUP BY s HAVING count(*) >= ceil({min_sup} * (SELECT n FROM {p}nb))),
+{p}rsplit AS (SELECT items, support, {sub.format(l='items', bit=1)} AS a, {sub.format(l='items', bit=0)} AS c
+              FROM {p}itemsets,
+                   LATERAL (SELECT range AS mask FROM range(1, (CAST(1 AS BIGINT) << len(items)) - 1)) r
+              WHERE len(items) >= 2),
 {p}rules AS (
   SELECT * FROM (
-    SELECT a.items AS antecedents, c.items AS consequents, i.support,
-           i.support / a.support AS confidence, i.support / a.support / c.support AS lift
-    FROM {p}itemsets i JOIN {p}itemsets a ON (a.m & i.m) = a.m AND a.m <> i.m
-    JOIN {p}itemsets c ON c.m = i.m - a.m) r
+    SELECT r.a AS antecedents, r.c AS consequents, r.support,
+           r.support / ia.support AS confidence, r.support / ia.support / ic.support AS lift
+    FROM {p}rsplit r JOIN {p}itemsets ia ON ia.items = r.a JOIN {p}itemsets ic ON ic.items = r.c) q
   WHERE {metric} >= {thr}
 )"""
 
