@@ -39,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     there, and a lost executor's work is repeated from the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, sharding, topk
+from . import bpe, langid, packing, quality, sharding, syncmers, tokenfile, topk
 from .common import documents
 
 
+#: The id that ends each document.
+END = 2
+
+
 def doc_crc(mod: int):
     """crc32 of doc_id as text, modulo ``mod``: the folds of the classifiers."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
@@ -27,19 +31,32 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfile.write_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END)
+    return tokenfile.read_tokens(spark, path, with_ids=False)
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = langid.fit(docs, doc_crc(4) != 2)
     return langid.identify(docs, net).select("doc_id", (doc_crc(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_likeness(documents(spark, sf_dir))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), END, 1024)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_crc(5) != 0)
     return quality.predictions(docs, model, 0.3).select("doc_id", (doc_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op5_langid, op9_quality)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op7_syncmers, op8_packing, op9_quality)}
 
 ORACLES = {
     "op1_topk": """
