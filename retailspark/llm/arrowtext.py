@@ -93,10 +93,14 @@ class Words:
         self.first = np.searchsorted(start, offs)
 
     def prefix(self) -> np.ndarray:
-        """Prefix sums from which ``windows`` makes hashes of word sequences."""
-        out = np.zeros(len(self.hash) + 1, np.uint64)
-        np.cumsum(self.hash * powers(_W, len(self.hash)), out=out[1:])
-        return out
+        return prefix_sums(self.hash)
+
+
+def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+    """Prefix sums of word hashes, from which ``windows`` makes hashes of word sequences."""
+    out = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * powers(_W, len(hashes)), out=out[1:])
+    return out
 
 
 def windows(prefix: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

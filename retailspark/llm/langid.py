@@ -176,17 +176,19 @@ def classify(net: Net, tables: dict, data: np.ndarray, offs: np.ndarray) -> tupl
     return best, p[np.arange(n), best]
 
 
-def identify(docs: DataFrame, net: Net, keep: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score; with ``keep``, after all columns of ``docs``
-    (whose own lang_pred and score give way).
+def _predict(net: Net, tables: dict, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    best, score = classify(net, tables, *raw(texts))
+    letters = np.array([any(map(str.isalpha, t or "")) for t in texts.to_pylist()], bool) & (net.classes != ["und"])
+    return [net.classes[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())], np.where(letters, score, 0.0)
+
+
+def identify(docs: DataFrame, net: Net) -> DataFrame:
+    """doc_id, lang_pred, score, one row per row.
 
     A text that is null, empty or without a letter is ``und`` with score 0; so
     is every text if nothing could be learned.  Whole texts are read, in runs
     of about 2 MB (a longer text by itself).  No shuffle.
     """
-    docs = docs.drop("lang_pred", "score") if keep else docs.select("doc_id", "text")
-    names = docs.columns
-    at, out = names.index("text"), list(range(len(names))) if keep else [names.index("doc_id")]
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,10 +196,24 @@ def identify(docs: DataFrame, net: Net, keep: bool = False) -> DataFrame:
         tables = own.tables()
         for batch in batches:
             for part in pieces(batch, "text"):
-                best, score = classify(own, tables, *raw(part.column(at)))
-                letters = np.array([any(map(str.isalpha, t or "")) for t in part.column(at).to_pylist()], bool) & (own.classes != ["und"])
-                pred = [own.classes[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist())]
-                yield pa.record_batch([*(part.column(i) for i in out), pa.array(pred, pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64())], [*(names[i] for i in out), "lang_pred", "score"])
+                pred, score = _predict(own, tables, part.column(1))
+                yield pa.record_batch([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, net: Net, least: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that are not ``und`` and
+    whose language scores at least ``least``."""
+    at = docs.columns.index("text")
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        tables = own.tables()
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                pred, score = _predict(own, tables, part.column(at))
+                yield part.filter(pa.array((score >= least) & (np.array(pred) != "und")))
 
-    schema = docs.select(*(names[i] for i in out)).schema.add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -145,7 +145,7 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, d
     return Model((logits[:, 1] - logits[:, 0]).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1500) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1000) -> Model:
     """Train on at most ``per_label`` documents of each value of
     ``labels.quality`` (whole texts).  Rows of ``labels`` that disagree on a
     doc_id, or are null, teach nothing.  What reaches the driver is bounded:
@@ -159,32 +159,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 150
     return train(ids_, shares, np.array(bags.column("label").to_pylist(), np.int64))
 
 
-def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` (but its own score and predicted, which give way)
-    and score, predicted (1 if score >= threshold).
-
-    A null or empty text has no features: its score is that of the bias alone.
-    Whole texts are read, in runs of about 2 MB (a longer text by itself); no
-    shuffle. 
-    """
-    docs = docs.drop("score", "predicted")
-    names = docs.columns
-    at = names.index("text")
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``."""
+    at = docs.columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             for part in pieces(batch, "text"):
-                s = own.score([t or "" for t in part.column(at).to_pylist()])
-                yield pa.record_batch([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+                yield part.filter(pa.array(own.score([t or "" for t in part.column(at).to_pylist()]) >= threshold))
 
-    schema = docs.schema.add("score", "double").add("predicted", "int")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def predictions(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted: the texts do not travel back to the JVM."""
+    """doc_id, score, predicted (1 if score >= threshold), one row per row.
+
+    A null or empty text has no features: its score is that of the bias alone.
+    Whole texts are read, in runs of about 2 MB (a longer text by itself); no
+    shuffle, and the texts do not travel back to the JVM.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

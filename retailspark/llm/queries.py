@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, sharding, syncmers, tokenfile, topk
+from . import bpe, jaccard, langid, packing, quality, sharding, substrings, syncmers, tokenfile, topk
 from .common import documents
 
 
@@ -42,6 +42,11 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", (doc_crc(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(documents(spark, sf_dir), 35, ["doc_id"], digest=True)
+    return out.select("row.doc_id", "n_words", "n_removed", F.col("result").alias("kept_sha256"))
+
+
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_likeness(documents(spark, sf_dir))
 
@@ -56,7 +61,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.predictions(docs, model, 0.3).select("doc_id", (doc_crc(5) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op7_syncmers, op8_packing, op9_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op6_substrings, op7_syncmers, op8_packing, op9_quality, op10_jaccard)}
 
 ORACLES = {
     "op1_topk": """
@@ -71,4 +80,42 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op6_substrings": r"""
+WITH w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT rid, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35
+), s AS (
+  SELECT p.rid, p.i, md5(array_to_string(w.ws[p.i:p.i + 34], ' ')) AS h FROM p JOIN w USING (rid)
+), r AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT rid, i + j.j AS i FROM r, (SELECT unnest(range(35)) AS j) j
+), words AS (
+  SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM words ANTI JOIN gone USING (rid, i) GROUP BY rid
+)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (rid)""",
+    "op10_jaccard": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), p AS (
+  SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0
+), sh AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 4], ' ')) AS h FROM p
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), both_ AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM sh a JOIN sh b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS MATERIALIZED (
+  SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 75 * (x.n + y.n - i)
+), edge AS MATERIALIZED (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce((SELECT min(b) FROM reach WHERE reach.a = w.doc_id), w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id)""",
 }
