@@ -1,14 +1,15 @@
 """Exact top-k inner products by MaxScore over sharded postings.
 
-Vectors are quantised to integers and seen as documents of terms: dimension d
-with its sign.  A shard holds, per block of rows and per (dimension, sign), a
-posting list (rows, values) and its largest value.  For a query, the lists of
-the query's own signs can raise a score, by at most |q_d| times that largest
-value; the others only lower it.  With a threshold (the k-th best score so
-far), the lists of smallest bounds whose sum stays below it are non-essential:
-a row in none of the essential lists cannot reach the threshold.  Essential
-postings are traversed; rows that could still compete are probed for the rest,
-in descending order of bounds, while they do.  The shards' k best are merged.
+Vectors are quantised to integers and seen as documents whose terms are the
+dimensions.  A shard keeps, per block of rows and per dimension, the posting
+list of values and its largest value of either sign.  A query's list of
+dimension d can raise a score by at most |q_d| times the largest value of the
+query's own sign.  With a threshold (the k-th best score so far), the lists of
+smallest bounds that together stay well below it are non-essential.  Essential
+lists are traversed for all rows; a row whose partial score and the bounds of
+all other lists cannot reach the threshold is out; the others are probed for
+the remaining lists, in descending order of bounds, while they can compete.
+The shards' k best are merged.
 
 The queries grow with the table, so neither side is broadcast: rows are dealt
 to shards and queries to blocks, both by hash, and each (shard, block) is a
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,65 +40,52 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return rows.groupBy("id").agg(F.min("v").alias("v"))
 
 
+def _widths(table: pa.Table) -> np.ndarray:
+    return pc.list_value_length(table.column("v")).to_numpy().astype(np.int64)
+
+
 def _matrix(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, rows) in ascending order of id; shorter vectors are filled with zeros."""
     table = table.sort_by("id")
+    n = _widths(table)
     out = np.zeros((len(table), width), np.int64)
-    for i, v in enumerate(table.column("v").to_pylist()):
-        out[i, :len(v)] = v
+    out[np.arange(width) < n[:, None]] = pc.list_flatten(table.column("v")).to_numpy()
     return table.column("id").to_numpy(), out
 
 
 class Block:
-    """Posting lists of up to BLOCK_ROWS rows: term 2d for positive, 2d + 1 for negative components of d."""
+    """Up to BLOCK_ROWS rows by posting list: column d holds the values of
+    dimension d, ``high`` and ``low`` the largest of its positive and of its
+    negated negative ones.  (Embeddings are dense, so a list is a full column.)"""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
-        self.lists, self.most = [], np.zeros(2 * rows.shape[1], np.int64)
-        for d in range(rows.shape[1]):
-            for s, sign in enumerate((1, -1)):
-                at = np.flatnonzero(sign * rows[:, d] > 0)
-                self.lists.append((at, rows[at, d]))
-                self.most[2 * d + s] = np.abs(rows[at, d]).max(initial=0)
-
-    def search(self, q: np.ndarray, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of all rows whose score is at least ``floor`` (all rows, if None)."""
-        used = np.flatnonzero(q)
-        term = 2 * used + (q[used] < 0)
-        bound = np.abs(q[used]) * self.most[term]
-        order = np.argsort(bound, kind="stable")
-        used, term, bound = used[order], term[order], bound[order]
-        sums = np.cumsum(bound)
-        if floor is None or floor <= 0:
-            # even rows in no list can compete
-            return np.arange(len(self.ids)), self.rows @ q
-        cut = int(np.searchsorted(sums, floor, "left"))  # lists [0, cut) together stay below the threshold
-        if cut == len(used):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        essential = [self.lists[t] for t in term[cut:]]
-        rows = np.concatenate([at for at, _ in essential])
-        gain = np.concatenate([x * q[d] for d, (_, x) in zip(used[cut:], essential)])
-        score = np.zeros(len(self.ids), np.int64)
-        if len(self.ids) * 1.0 * np.abs(gain).max(initial=0) < 2**53:  # float sums are exact
-            score[:] = np.bincount(rows, gain, len(self.ids))
-        else:
-            np.add.at(score, rows, gain)
-        rest = int(sums[cut - 1]) if cut else 0
-        left = np.flatnonzero((score > 0) & (score + rest >= floor))
-        score = score[left]
-        # lists that lower the score, of essential dimensions
-        ess = used[cut:]
-        score = score + np.minimum(self.rows[np.ix_(left, ess)] * q[ess], 0).sum(1)
-        for end in range(cut, 0, -8):
-            keep = score + rest >= floor
-            left, score = left[keep], score[keep]
-            if not len(left):
-                break
-            probe = used[max(0, end - 8):end]
-            score = score + (self.rows[np.ix_(left, probe)] * q[probe]).sum(1)
-            rest = int(sums[end - 9]) if end > 8 else 0
-        keep = score >= floor
-        return left[keep], score[keep]
+        self.high = np.maximum(rows.max(0, initial=0), 0)
+        self.low = np.maximum((-rows).max(0, initial=0), 0)
+
+    def search(self, q: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, query, score) of all pairs whose score is at least the query's
+        ``floor``.  Lists whose bounds add up to less than a quarter of the
+        floor are non-essential; the essential ones of all queries are
+        traversed at once, as one product with the other weights set to 0."""
+        bound = np.where(q > 0, q * self.high, -q * self.low)
+        order = np.argsort(bound, axis=1, kind="stable")
+        sums = np.cumsum(np.take_along_axis(bound, order, 1), 1)
+        cut = (sums < floor[:, None] / 4).sum(1)  # lists order[:cut] are non-essential
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(q.shape[1])[None], 1)
+        partial = self.rows @ np.where(rank >= cut[:, None], q, 0).T
+        sums = np.concatenate([np.zeros((len(q), 1), sums.dtype), sums], 1)  # sums[:, i]: of the first i lists
+        row, of = np.nonzero(partial + sums[np.arange(len(q)), cut] >= floor)
+        score, left = partial[row, of], cut[of]
+        while len(row) and left.any():  # probe eight lists more, the largest bounds first
+            at = left[:, None] - 1 - np.arange(8)
+            dims = order[of[:, None], np.maximum(at, 0)]
+            score = score + np.where(at >= 0, self.rows[row[:, None], dims] * q[of[:, None], dims], 0).sum(1)
+            left = np.maximum(left - 8, 0)
+            keep = score + sums[of, left] >= floor[of]
+            row, of, score, left = row[keep], of[keep], score[keep], left[keep]
+        return row, of, score
 
 
 def _shard_search(k: int):
@@ -104,23 +93,32 @@ def _shard_search(k: int):
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         if not len(left) or not len(right):
             return schema.empty_table()
-        width = max(len(v) for t in (left, right) for v in t.column("v").to_pylist())
+        width = int(max(_widths(left).max(), _widths(right).max()))
         ids, rows = _matrix(left, width)
-        q_ids, qs = _matrix(right, width)
-        if width * float(np.abs(rows).max(initial=0)) * float(np.abs(qs).max(initial=0)) >= 2**62:
+        q_ids, q = _matrix(right, width)
+        largest = width * float(np.abs(rows).max(initial=0)) * float(np.abs(q).max(initial=0))
+        if largest >= 2**62:
             raise ValueError("scores don't fit into 64 bits")
-        blocks = [Block(ids[i:i + BLOCK_ROWS], rows[i:i + BLOCK_ROWS]) for i in range(0, len(ids), BLOCK_ROWS)]
-        out = []
-        for q_id, q in zip(q_ids.tolist(), qs):
-            best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-            for b in blocks:
-                at, score = b.search(q, int(best[-1]) if len(best) == k else None)
-                own = b.ids[at] != q_id
-                best_id, best = np.concatenate([best_id, b.ids[at[own]]]), np.concatenate([best, score[own]])
-                first = np.lexsort((best_id, -best))[:k]
-                best_id, best = best_id[first], best[first]
-            out.append((np.full(len(best), q_id), best_id, best))
-        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], schema=schema)
+        if largest < 2**52:  # all sums are exact in doubles, whose products are faster
+            rows, q = rows.astype(np.float64), q.astype(np.float64)
+        floor = np.full(len(q), -np.inf)
+        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q)
+        for i in range(0, len(ids), BLOCK_ROWS):
+            block = Block(ids[i:i + BLOCK_ROWS], rows[i:i + BLOCK_ROWS])
+            row, of, score = block.search(q, floor)
+            order = np.argsort(of, kind="stable")
+            row, of, score = row[order], of[order], score[order]
+            cuts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)]):
+                j = int(of[a])
+                found, got = block.ids[row[a:b]], score[a:b].astype(np.int64)
+                other = found != q_ids[j]
+                found, got = np.concatenate([best[j][0], found[other]]), np.concatenate([best[j][1], got[other]])
+                first = np.lexsort((found, -got))[:k]
+                best[j] = found[first], got[first]
+                if len(first) == k:
+                    floor[j] = got[first[-1]]
+        return pa.table({"query_id": np.repeat(q_ids, [len(x) for x, _ in best]), "vec_id": np.concatenate([x for x, _ in best]), "score": np.concatenate([x for _, x in best])}, schema=schema)
 
     return search
 
