@@ -14,14 +14,17 @@ import numpy as np
 
 def bfgs(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], x0: np.ndarray,
          max_iter: int = 200, gtol: float = 1e-7, ftol: float = 1e-13,
-         max_step: float = 10.0) -> tuple[np.ndarray, float, int]:
+         max_step: float = 10.0) -> tuple[np.ndarray, float, int, bool]:
+    """(x, f, iterations, converged).  Converged: the gradient fell below
+    ``gtol`` or a step below ``ftol`` (relative) was accepted; a failed line
+    search or ``max_iter`` steps without either is not."""
     x = np.asarray(x0, dtype=float)
     f, g = fg(x)
     if not np.isfinite(f):
         raise ValueError("objective is not finite at the starting point")
     n = len(x)
     H = np.eye(n)
-    it = 0
+    it, converged = 0, False
     for it in range(1, max_iter + 1):
         p = -H @ g
         if g @ p >= 0:
@@ -49,5 +52,6 @@ def bfgs(fg: Callable[[np.ndarray], tuple[float, np.ndarray]], x0: np.ndarray,
         fold = f
         x, f, g = xn, fn, gn
         if np.max(np.abs(g)) < gtol or abs(fold - f) <= ftol * (1 + abs(f)):
+            converged = True
             break
-    return x, f, it
+    return x, f, it, converged

@@ -1,31 +1,27 @@
 """Exact global ranks without a one-partition window.
 
 ``row_number().over(Window.orderBy(...))`` with no ``partitionBy`` moves the
-whole table into one task.  Instead:
+whole table into one task.  Instead the rows are range-partitioned and sorted
+by the full key, written once (so that a lost executor repeats nothing but the
+read), counted per partition, and numbered: rank = rows of the earlier
+partitions + place inside the partition.  The only global step is a running
+sum over one row per partition.
 
-1. split the (sort key, tie-break) space into B ranges using split tuples
-   taken from a bounded random sample (the driver sees ~100·B rows);
-2. bucket = position of the row among the split tuples, computed as a
-   balanced tree of comparisons (log2 B per row, codegen'd, a pure function of
-   the row, so re-execution after executor loss gives the same bucket);
-3. per-bucket counts (B numbers) → cumulative offsets;
-4. rank = offset[bucket] + row_number() over (partition by bucket order by key).
+The key ends in a unique tie-break, so a sort value that a third of all rows
+share is spread over several ranges.  There is one plan for every size.
 
-Because the split tuples include the unique tie-break, a hot sort value
-(one value holding a third of all rows) is spread across several buckets.
-The splits only change *which* task ranks a row, never the rank itself.
+NULL keys come first in ascending and last in descending order (Spark's own
+rule), in the ranges and inside them alike.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 2_000_000
-SAMPLES_PER_BUCKET = 100
+from retailspark.session import stored
 
 
 @dataclass(frozen=True)
@@ -34,65 +30,22 @@ class SortKey:
     ascending: bool = True
 
 
-def _less(keys: list[SortKey], split: tuple) -> Column:
-    """Row strictly before the split tuple in (keys) order (no NULL keys)."""
-    cond = None
-    for i in reversed(range(len(keys))):
-        k, v = keys[i], split[i]
-        c = F.col(k.column)
-        lt = (c < F.lit(v)) if k.ascending else (c > F.lit(v))
-        if cond is None:
-            cond = lt
-        else:
-            cond = lt | ((c == F.lit(v)) & cond)
-    return cond
-
-
-def _bucket_expr(keys: list[SortKey], splits: list[tuple]) -> Column:
-    def build(lo: int, hi: int) -> Column:
-        # rows in [splits[lo-1], splits[hi]) → buckets lo..hi
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(_less(keys, splits[mid - 1]), build(lo, mid - 1)).otherwise(build(mid, hi))
-    return build(0, len(splits))
-
-
 def with_global_rank(df: DataFrame, keys: list[SortKey], rank_col: str = "rank",
-                     rows_per_bucket: int = ROWS_PER_BUCKET, n_rows: int | None = None,
-                     seed: int = 42) -> DataFrame:
-    """Add a 1-based dense-free rank (``row_number`` semantics) over ``keys``.
+                     partitions: int | None = None) -> DataFrame:
+    """Add a 1-based BIGINT rank (``row_number`` semantics) over ``keys``.
 
-    The last key must make the order total (e.g. the customer id)."""
-    if n_rows is None:
-        n_rows = df.count()
-    n_buckets = max(1, math.ceil(n_rows / rows_per_bucket))
+    The last key must make the order total (e.g. the customer id).  Keep ``df``
+    narrow: all its columns are shuffled and written.  ``partitions``: number
+    of ranges (default: what the session shuffles with)."""
     order = [F.col(k.column).asc() if k.ascending else F.col(k.column).desc() for k in keys]
-    if n_buckets == 1:
-        # bounded by rows_per_bucket: one window task is the right plan
-        bucketed = df.withColumn("_bucket", F.lit(0))
-        offsets = None
-    else:
-        frac = min(1.0, SAMPLES_PER_BUCKET * n_buckets / max(n_rows, 1))
-        sample = (df.select(*[k.column for k in keys]).sample(fraction=frac, seed=seed)
-                  .orderBy(*order).collect())
-        if len(sample) >= n_buckets:
-            step = len(sample) / n_buckets
-            splits = [tuple(sample[int(round(step * i))]) for i in range(1, n_buckets)]
-            splits = list(dict.fromkeys(splits))  # sample is sorted: keeps order
-        else:
-            splits = [tuple(r) for r in sample]
-        bucketed = df.withColumn("_bucket", _bucket_expr(keys, splits))
-        counts = dict(bucketed.groupBy("_bucket").count().collect())
-        acc, offsets = 0, {}
-        for b in sorted(counts):
-            offsets[b] = acc
-            acc += counts[b]
-    w = Window.partitionBy("_bucket").orderBy(*order)
-    ranked = bucketed.withColumn("_rn", F.row_number().over(w))
-    if offsets is None:
-        return ranked.withColumnRenamed("_rn", rank_col).drop("_bucket")
-    omap = F.create_map(*[x for b, o in offsets.items() for x in (F.lit(b), F.lit(o))])
-    return (ranked.withColumn(rank_col, (F.element_at(omap, F.col("_bucket")) + F.col("_rn"))
-                              .cast("int"))
-            .drop("_bucket", "_rn"))
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    # inside a sorted partition the low 33 bits count 0, 1, 2, ...
+    placed = ranged.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    rows = stored(placed.select(*df.columns, F.shiftright("_id", 33).alias("_part"),
+                                F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_place")), "ranked")
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return (rows.join(offsets, "_part")
+            .withColumn(rank_col, F.col("_before") + F.col("_place") + 1)
+            .drop("_part", "_place", "_before"))

@@ -1,14 +1,9 @@
-"""Special functions as native Column expressions (no Python worker).
+"""Gauss hypergeometric series as native Column expressions (no Python worker).
 
-Spark SQL has no log-gamma, digamma or Gauss hypergeometric function, so:
-
-* ``lgamma`` / ``digamma`` — asymptotic (Stirling / de Moivre) series at
-  z + 8, shifted back with the recurrence; error < 1e-11 for z in [0.05, 5e3].
-* ``log_rising`` — Σ_{i<x} ln(base + i) = lnΓ(base+x) − lnΓ(base) for integer
-  x ≥ 0, as a higher-order ``aggregate`` over ``sequence(0, x-1)`` (x = 0 is
-  guarded: ``sequence(0, -1)`` is [0, -1], not empty).
-* ``hyp2f1`` — the ₂F₁(a, b; c; z) power series, ``n_terms`` terms, for
-  0 ≤ z < 1 (our z = t / (α + T + t)).
+``hyp2f1_many`` sums ₂F₁(a, b; c; z_i) for several z that share a, b, c in one
+pass over the series.  How many terms it takes is never guessed:
+``terms_needed`` runs the scalar series on the driver at the worst case and
+returns the length at which the rest is below a tolerance.
 """
 
 from __future__ import annotations
@@ -18,73 +13,39 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SHIFT = 8
 HALF_LOG_2PI = 0.5 * math.log(2 * math.pi)
+TOLERANCE = 1e-15
 
 
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(float(x))
 
 
-def lgamma(z) -> Column:
-    z = _c(z)
-    w = z + SHIFT
-    w2 = w * w
-    series = (1.0 / (12.0 * w) - 1.0 / (360.0 * w * w2) + 1.0 / (1260.0 * w * w2 * w2)
-              - 1.0 / (1680.0 * w * w2 * w2 * w2))
-    stirling = (w - 0.5) * F.log(w) - w + HALF_LOG_2PI + series
-    shift = F.log(z)
-    for i in range(1, SHIFT):
-        shift = shift + F.log(z + i)
-    return stirling - shift
-
-
-def digamma(z) -> Column:
-    z = _c(z)
-    w = z + SHIFT
-    iw2 = 1.0 / (w * w)
-    series = (F.log(w) - 0.5 / w
-              - iw2 * (1.0 / 12 - iw2 * (1.0 / 120 - iw2 * (1.0 / 252 - iw2 * (1.0 / 240
-                                                                              - iw2 / 132)))))
-    shift = 1.0 / z
-    for i in range(1, SHIFT):
-        shift = shift + 1.0 / (z + i)
-    return series - shift
-
-
-def _sum_over_range(x: Column, term) -> Column:
-    """Σ_{i=0}^{x-1} term(i) for integer x ≥ 0 (0 when x = 0)."""
-    xi = x.cast("int")
-    return F.when(xi <= 0, F.lit(0.0)).otherwise(
-        F.aggregate(F.sequence(F.lit(0), xi - 1), F.lit(0.0),
-                    lambda acc, i: acc + term(i.cast("double"))))
-
-
-def log_rising(base, x: Column) -> Column:
-    base = _c(base)
-    return _sum_over_range(x, lambda i: F.log(base + i))
-
-
-def sum_over_range(x: Column, term) -> Column:
-    return _sum_over_range(x, term)
-
-
-def hyp2f1(a, b, c, z, n_terms: int = 200) -> Column:
-    a, b, c, z = _c(a), _c(b), _c(c), _c(z)
-    init = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
-
-    def step(acc, n):
-        nd = n.cast("double")
-        # try_divide: a pole (c + n = 0) yields NULL, which callers treat like NaN
-        t = F.try_divide(acc["t"] * (a + nd) * (b + nd), (c + nd) * (nd + 1.0)) * z
-        return F.struct(t.alias("t"), (acc["s"] + t).alias("s"))
-
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n_terms - 2)), init, step, lambda acc: acc["s"])
-
-
-def hyp2f1_many(a, b, c, zs: list, n_terms: int = 200) -> Column:
-    """Several ₂F₁(a, b; c; z_i) sharing a, b, c in ONE pass over the series
-    (struct of sums s0, s1, ...); per-term arithmetic identical to ``hyp2f1``."""
+def terms_needed(a: float, b: float, c: float, z: float, tol: float = TOLERANCE,
+                 most: int = 1_000_000) -> int:
+    """Terms after which the rest of the series is below ``tol`` of the sum,
+    for 0 ≤ z < 1.  From there on the ratio of terms tends to z from either
+    side, so the rest is bounded by a geometric series of the larger of the
+    last ratio and z.  A larger c (a, b ≥ −1 fixed) needs no more terms."""
+    if not 0 <= z < 1:
+        raise ValueError(f"the series needs 0 <= z < 1, got {z}")
+    t = s = 1.0
+    for n in range(most):
+        if c + n == 0:
+            return n + 2
+        ratio = (a + n) * (b + n) / ((c + n) * (n + 1)) * z
+        t *= ratio
+        s += t
+        bound = max(abs(ratio), z)
+        # the signs of a + n and b + n must have settled
+        if n > abs(a) + abs(b) and bound < 1 and abs(t) * bound / (1 - bound) <= tol * max(abs(s), 1.0):
+            return n + 2
+    raise ValueError(f"2F1({a}, {b}; {c}; {z}) does not converge within {most} terms")
+
+
+def hyp2f1_many(a, b, c, zs: list, n_terms: int) -> Column:
+    """Struct s0, s1, ... of ₂F₁(a, b; c; z_i), ``n_terms`` terms each.  A pole
+    (c + n = 0) gives NULL, which callers treat like NaN."""
     a, b, c = _c(a), _c(b), _c(c)
     zs = [_c(z) for z in zs]
     init = F.struct(*[F.lit(1.0).alias(f"t{i}") for i in range(len(zs))],
@@ -92,9 +53,9 @@ def hyp2f1_many(a, b, c, zs: list, n_terms: int = 200) -> Column:
 
     def step(acc, n):
         nd = n.cast("double")
-        ts = [F.try_divide(acc[f"t{i}"] * (a + nd) * (b + nd), (c + nd) * (nd + 1.0)) * z
-              for i, z in enumerate(zs)]
+        ratio = F.try_divide((a + nd) * (b + nd), (c + nd) * (nd + 1.0))
+        ts = [acc[f"t{i}"] * ratio * z for i, z in enumerate(zs)]
         return F.struct(*[t.alias(f"t{i}") for i, t in enumerate(ts)],
                         *[(acc[f"s{i}"] + t).alias(f"s{i}") for i, t in enumerate(ts)])
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(n_terms - 2)), init, step)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(max(0, n_terms - 2))), init, step)

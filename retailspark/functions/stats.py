@@ -39,18 +39,18 @@ def quantile_aggs(rank_col: str, value_col: str, n: int, probs) -> list:
     return out
 
 
-def ranked_values(values: DataFrame, value_col: str, tie_col: str, n: int) -> DataFrame:
+def ranked_values(values: DataFrame, value_col: str, tie_col: str) -> DataFrame:
     return with_global_rank(values.select(value_col, tie_col),
-                            [SortKey(value_col), SortKey(tie_col)], "_r", n_rows=n)
+                            [SortKey(value_col), SortKey(tie_col)], "_r")
 
 
 def exact_quantiles(values: DataFrame, value_col: str, tie_col: str, probs,
                     n_rows: int | None = None) -> DataFrame:
     """One row: column ``q{i}`` = linear-interpolated quantile probs[i]."""
-    n = values.count() if n_rows is None else n_rows
+    ranked = ranked_values(values, value_col, tie_col)
+    n = ranked.count() if n_rows is None else n_rows
     if n == 0:
-        return values.agg(*[F.lit(None).cast("double").alias(f"q{i}") for i in range(len(probs))])
-    ranked = ranked_values(values, value_col, tie_col, n)
+        return ranked.agg(*[F.max(F.lit(None).cast("double")).alias(f"q{i}") for i in range(len(probs))])
     return ranked.agg(*[c.alias(f"q{i}") for i, c in enumerate(quantile_aggs("_r", value_col, n, probs))])
 
 
@@ -59,8 +59,8 @@ def describe(values: DataFrame, value_col: str, tie_col: str, out_col: str,
     """pandas ``Series.describe`` of a money column as (stat, value) rows:
     count, mean (exact), std (sample, 6 dp), min, percentiles, max — one
     aggregation over the ranked values."""
-    n = values.count()
-    ranked = ranked_values(values, value_col, tie_col, max(n, 1))
+    ranked = ranked_values(values, value_col, tie_col)
+    n = ranked.count()
     v = F.col(value_col)
     qs = quantile_aggs("_r", value_col, max(n, 1), percentiles) if n else \
         [F.lit(None).cast("double")] * len(percentiles)
@@ -74,3 +74,17 @@ def describe(values: DataFrame, value_col: str, tie_col: str, out_col: str,
                              F.col(f"s{i}").alias(out_col))
                     for i, (name, _) in enumerate(stats)])
     return one.select(F.inline(arr))
+
+
+def group_medians(df: DataFrame, group: str, value_col: str, tie_col: str, out: str) -> DataFrame:
+    """Median of each group's non-NULL values (the mean of the middle two),
+    from exact ranks over (group, value): no group's values meet in one buffer.
+    A group without a value has the median NULL."""
+    rows = df.filter(F.col(value_col).isNotNull()).select(group, value_col, tie_col)
+    ranked = with_global_rank(rows, [SortKey(group), SortKey(value_col), SortKey(tie_col)], "_r")
+    spans = ranked.groupBy(F.col(group).alias("_g")).agg(F.min("_r").alias("_lo"), F.max("_r").alias("_hi"))
+    mid = F.col("_lo") + F.col("_hi")  # twice the middle rank
+    hit = ranked.join(spans, F.col(group).eqNullSafe(F.col("_g"))).filter(
+        (F.col("_r") == F.floor(mid / 2)) | (F.col("_r") == F.ceil(mid / 2)))
+    found = hit.groupBy("_g").agg(F.avg(value_col).alias(out))
+    return df.select(group).distinct().join(found, F.col(group).eqNullSafe(F.col("_g")), "left").select(group, out)

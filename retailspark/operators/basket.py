@@ -21,6 +21,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retailspark.session import stored
+
 DEFAULT_MIN_ITEM_SUPPORT = 0.01
 DEFAULT_MIN_SUPPORT = 0.01
 DEFAULT_MIN_LIFT = 1.0
@@ -45,13 +47,16 @@ def _key(arr: Column) -> Column:
 
 
 def frequent_itemsets(baskets: DataFrame, min_support: float = DEFAULT_MIN_SUPPORT) -> DataFrame:
-    """items (sorted), freq, support (over the baskets given)."""
+    """items (sorted), freq, support (over the baskets given).  Baskets and
+    itemsets are written once: the miner passes over its input several times,
+    and the rules read the itemsets three times."""
+    baskets = stored(baskets, "baskets")
     n = baskets.count()
     if n == 0:
         return baskets.sparkSession.createDataFrame([], "items array<string>, freq bigint, support double")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
-    return model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq"),
-                                     (F.col("freq") / F.lit(n)).alias("support"))
+    return stored(model.freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq"),
+                                            (F.col("freq") / F.lit(n)).alias("support")), "itemsets")
 
 
 def association_rules(itemsets: DataFrame, metric: str = "lift",
@@ -131,7 +136,17 @@ def flatten_rules(labelled: DataFrame) -> DataFrame:
 def recommend_for_baskets(rules: DataFrame, baskets: DataFrame, top_n: int = 5) -> DataFrame:
     """For every basket (basket_id, items array): products not in the basket,
     each with its best firing rule (max lift, ties → smallest rule text),
-    top ``top_n`` by lift (ties → StockCode)."""
+    top ``top_n`` by lift (ties → StockCode).
+
+    Worked out once per distinct item set, however many baskets hold it."""
+    keyed = baskets.select("basket_id", F.array_sort(F.array_distinct("items")).alias("items"))
+    keyed = keyed.withColumn("_set", _key(F.col("items")))
+    sets = keyed.groupBy(F.col("_set").alias("basket_id")).agg(F.first("items").alias("items"))
+    recs = _recommend_for_sets(rules, sets, top_n).withColumnRenamed("basket_id", "_set")
+    return keyed.select("basket_id", "_set").join(recs, "_set").drop("_set")
+
+
+def _recommend_for_sets(rules: DataFrame, baskets: DataFrame, top_n: int) -> DataFrame:
     r = (rules.select("antecedents", "consequents", "lift", "confidence", "support")
          .withColumn("rule_id", F.concat_ws("|", _key(F.col("antecedents")), _key(F.col("consequents"))))
          .withColumn("n_ante", F.size("antecedents")))

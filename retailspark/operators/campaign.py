@@ -24,11 +24,8 @@ ROLES = ("human", "ai", "tool")
 
 def discount_tiers(candidates: DataFrame) -> DataFrame:
     """Rank by (predicted_clv desc, customer_id): thirds → 20 / 15 / 10 %."""
-    n = candidates.count()
-    if n == 0:
-        return candidates.withColumn("discount", F.lit(None).cast("double"))
-    r = with_global_rank(candidates, [SortKey("predicted_clv", False), SortKey("customer_id")],
-                         "_r", n_rows=n)
+    r = with_global_rank(candidates, [SortKey("predicted_clv", False), SortKey("customer_id")], "_r")
+    n = max(1, r.count())
     tier = F.floor((F.col("_r") - 1) * 3 / F.lit(n)).cast("int")
     tiers = F.array(*[F.lit(t) for t in DISCOUNT_TIERS])
     return r.withColumn("discount", F.element_at(tiers, tier + 1)).drop("_r")
@@ -81,9 +78,21 @@ def campaign_candidates(candidates: DataFrame, offers: DataFrame) -> DataFrame:
         "customer_id", "segment", "predicted_clv", "discount", "offer")
 
 
+def grouped_briefs(candidates: DataFrame) -> DataFrame:
+    """approval_id → candidate_count and brief (JSON) of its candidates."""
+    tot = candidates.groupBy("approval_id").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.round(F.sum("predicted_clv") / F.count(F.lit(1)), 2).alias("avg_predicted_clv"),
+        F.round(F.sum("discount") / F.count(F.lit(1)), 4).alias("avg_discount"))
+    return campaign_brief(tot).select(
+        "approval_id", F.col("count").alias("candidate_count"),
+        F.to_json(F.struct("headline", "message", "selling_points")).alias("brief"))
+
+
 def campaign_build(candidates: DataFrame, thread_id: str,
                    created_at: str = "1970-01-01 00:00:00") -> DataFrame:
-    """One pending draft row: brief (JSON) + candidate count."""
+    """One pending draft row: brief (JSON) + candidate count.  The candidates
+    themselves stay a table keyed by (approval_id, customer_id)."""
     brief = campaign_brief(campaign_summary(candidates))
     return brief.select(
         F.lit(thread_id).alias("thread_id"),
@@ -93,49 +102,99 @@ def campaign_build(candidates: DataFrame, thread_id: str,
         F.to_timestamp_ntz(F.lit(created_at)).alias("created_at"))
 
 
-def campaign_decisions(approvals: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Fold the append-only decision log (thread_id, action, reviewer,
-    review_note, decided_at) onto pending approvals: the latest decision per
-    thread wins; 'revised' keeps the row pending."""
-    latest = decisions.groupBy("thread_id").agg(
-        F.max_by(F.struct("action", "reviewer", "review_note", "decided_at"), "decided_at").alias("d"))
-    j = approvals.join(latest, "thread_id", "left")
-    pending = F.col("status") == "pending"
-    final = pending & F.col("d.action").isin("approved", "rejected")
-    return j.select(
-        "thread_id", "brief", "candidate_count",
-        F.when(final, F.col("d.action")).otherwise(F.col("status")).alias("status"),
-        F.when(final, F.col("d.reviewer")).otherwise(F.col("reviewer")).alias("reviewer"),
-        F.when(final | (pending & (F.col("d.action") == "revised")), F.col("d.review_note"))
+def campaign_drafts(candidates: DataFrame) -> DataFrame:
+    """Pending approvals, one for each approval_id of ``candidates``
+    (approval_id, thread_id, created_at, customer_id, segment, predicted_clv,
+    discount, offer)."""
+    heads = candidates.groupBy("approval_id").agg(F.min("thread_id").alias("thread_id"),
+                                                  F.min("created_at").alias("created_at"))
+    none = F.lit(None).cast("string")
+    return heads.join(grouped_briefs(candidates), "approval_id").select(
+        "approval_id", "thread_id", "brief", "candidate_count", F.lit("pending").alias("status"),
+        none.alias("reviewer"), none.alias("review_note"),
+        F.lit(None).cast("timestamp_ntz").alias("decided_at"), "created_at")
+
+
+def campaign_decisions(approvals: DataFrame, candidates: DataFrame,
+                       decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fold the append-only decision log onto pending approvals: (approvals,
+    candidates) afterwards.
+
+    ``decisions``: approval_id, action ('revised', 'approved', 'rejected'),
+    reviewer, review_note, decided_at, excluded (array of customer ids),
+    overrides (map customer id → discount).  The first terminal decision
+    (ties: by action, then reviewer) ends an approval and later ones are
+    ignored.  Revisions up to that moment take effect: their excluded
+    customers go, the latest override of a customer wins (ties: the smaller
+    discount), and brief and count are made anew from what is left.  Rows that
+    are not pending stay as they are, candidates included.  A revised row
+    without a terminal decision stays pending, with the latest note."""
+    pending = approvals.filter(F.col("status") == "pending").select("approval_id")
+    log = decisions.join(pending, "approval_id", "left_semi")
+    end = log.filter(F.col("action").isin("approved", "rejected")).groupBy("approval_id").agg(
+        F.min(F.struct("decided_at", "action", "reviewer", "review_note")).alias("end"))
+    revised = (log.filter(F.col("action") == "revised").join(end, "approval_id", "left")
+               .filter(F.col("end").isNull() | (F.col("decided_at") <= F.col("end.decided_at"))))
+    gone = revised.select("approval_id", F.explode("excluded").alias("customer_id")).distinct()
+    changed = (revised.select("approval_id", "decided_at", F.explode("overrides").alias("customer_id", "_new"))
+               .groupBy("approval_id", "customer_id")
+               .agg(F.max(F.struct("decided_at", (-F.col("_new")).alias("neg"))).alias("_o"))
+               .select("approval_id", "customer_id", (-F.col("_o.neg")).alias("_new")))
+    left = (candidates.join(gone, ["approval_id", "customer_id"], "left_anti")
+            .join(changed, ["approval_id", "customer_id"], "left")
+            .withColumn("discount", F.coalesce("_new", "discount")).drop("_new").select(*candidates.columns))
+    notes = revised.groupBy("approval_id").agg(F.max(F.struct("decided_at", "review_note")).alias("note"))
+    briefs = grouped_briefs(left).select("approval_id", F.col("candidate_count").alias("_count"), F.col("brief").alias("_brief"))
+    j = (approvals.join(end, "approval_id", "left").join(notes, "approval_id", "left")
+         .join(briefs, "approval_id", "left"))
+    final, edited = F.col("end").isNotNull(), F.col("note").isNotNull()
+    empty = campaign_brief(approvals.sparkSession.range(1).select(
+        F.lit(0).cast("bigint").alias("count"), F.lit(0.0).alias("avg_predicted_clv"), F.lit(0.0).alias("avg_discount")))
+    empty = empty.select(F.to_json(F.struct("headline", "message", "selling_points")).alias("b")).scalar()
+    after = j.select(
+        "approval_id", "thread_id",
+        F.when(edited, F.coalesce("_brief", empty)).otherwise(F.col("brief")).alias("brief"),
+        F.when(edited, F.coalesce("_count", F.lit(0))).otherwise(F.col("candidate_count")).alias("candidate_count"),
+        F.when(final, F.col("end.action")).otherwise(F.col("status")).alias("status"),
+        F.when(final, F.col("end.reviewer")).otherwise(F.col("reviewer")).alias("reviewer"),
+        F.when(final, F.col("end.review_note")).when(edited, F.col("note.review_note"))
          .otherwise(F.col("review_note")).alias("review_note"),
-        F.when(final, F.col("d.decided_at")).otherwise(F.col("decided_at")).alias("decided_at"),
+        F.when(final, F.col("end.decided_at")).otherwise(F.col("decided_at")).alias("decided_at"),
         "created_at")
+    return after, left
 
 
 def campaign_latest(approvals: DataFrame) -> DataFrame:
-    w = Window.partitionBy("thread_id").orderBy(F.desc("created_at"))
-    return approvals.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+    """Each thread's newest approval (ties: the larger approval_id)."""
+    newest = approvals.groupBy("thread_id").agg(F.max(F.struct("created_at", "approval_id")).alias("_n"))
+    return approvals.join(newest.select(F.col("_n.approval_id").alias("approval_id")), "approval_id", "left_semi")
 
 
 def campaign_list(approvals: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
     a = approvals if status is None else approvals.filter(F.col("status") == status)
     d = F.from_json("brief", "struct<headline:string>")
-    return (a.select("thread_id", "status", "created_at", d["headline"].alias("headline"),
+    return (a.select("approval_id", "thread_id", "status", "created_at", d["headline"].alias("headline"),
                      "candidate_count")
-            .orderBy(F.desc("created_at"), "thread_id").limit(limit))
+            .orderBy(F.desc("created_at"), "thread_id", "approval_id").limit(limit))
 
 
 # ------------------------------------------------------------ conversations
 def conversation_history(messages: DataFrame) -> DataFrame:
-    """thread_id → ordered (turn, role, content) list; non-human roles → ai."""
+    """thread_id, position (from 1), turn, role, content in order; non-human
+    roles → ai.  Rows, not one array for a thread, however long it gets."""
     m = messages.withColumn("role", F.when(F.col("role") == "human", "human").otherwise("ai"))
-    return m.groupBy("thread_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "content"))).alias("messages"))
+    w = Window.partitionBy("thread_id").orderBy("turn", "role", "content")
+    return m.select("thread_id", F.row_number().over(w).alias("position"), "turn", "role", "content")
 
 
-def conversation_append(history: DataFrame, new: DataFrame) -> DataFrame:
-    """Append-only merge: new messages after the existing ones."""
-    return history.unionByName(new)
+def conversation_append(threads: DataFrame, history: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(threads, messages) after ``new`` (thread_id, customer_id, turn, role,
+    content) came in: messages are appended, unknown threads made, and a
+    thread's customer is set by its first non-NULL one in ``new``."""
+    first = new.groupBy("thread_id").agg(F.min(F.when(F.col("customer_id").isNotNull(),
+                                                      F.struct("turn", "customer_id"))).alias("_f"))
+    threads = thread_upsert(threads, first.select("thread_id", F.col("_f.customer_id").alias("customer_id")))
+    return threads, history.unionByName(new.select(*history.columns))
 
 
 def thread_upsert(threads: DataFrame, updates: DataFrame) -> DataFrame:
@@ -144,9 +203,18 @@ def thread_upsert(threads: DataFrame, updates: DataFrame) -> DataFrame:
             .select("thread_id", F.coalesce(F.col("_new"), F.col("customer_id")).alias("customer_id")))
 
 
+def value_violations(rows: DataFrame, column: str, allowed: tuple) -> DataFrame:
+    """value → rows of those that are not allowed (NULL included)."""
+    bad = rows.filter(F.col(column).isNull() | ~F.col(column).isin(*allowed))
+    return bad.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def role_violations(messages: DataFrame) -> DataFrame:
-    return messages.agg(F.count(F.lit(1)).alias("messages"),
-                        F.count(F.when(~F.col("role").isin(*ROLES), 1)).alias("violations"))
+    return value_violations(messages, "role", ROLES)
+
+
+def status_violations(approvals: DataFrame) -> DataFrame:
+    return value_violations(approvals, "status", STATUSES)
 
 
 def thread_cascade_delete(messages: DataFrame, approvals: DataFrame | None,

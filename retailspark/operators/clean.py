@@ -57,9 +57,17 @@ def parse_dates(df: DataFrame) -> DataFrame:
 
 
 def normalize_customer_id(df: DataFrame) -> DataFrame:
-    """"13085.0" → "13085"; anything non-numeric → NULL."""
-    as_double = F.expr("try_cast(CustomerID AS DOUBLE)")
-    return df.withColumn("CustomerID", as_double.cast("bigint").cast("string"))
+    """"13085.0" → "13085", exactly, up to 38 digits ("1.3085E4" too, up to
+    2**53).  What is no whole number becomes NULL: text, 'NaN', infinities,
+    fractions ("13085.7" is not customer 13085) and anything longer."""
+    return df.withColumn("CustomerID", F.expr(
+        "CASE WHEN regexp_extract(trim(CAST(CustomerID AS STRING)), '^([+-]?[0-9]{1,38})(?:[.]0*)?$', 1) <> ''"
+        " THEN CAST(CAST(regexp_extract(trim(CAST(CustomerID AS STRING)), '^([+-]?[0-9]{1,38})', 1)"
+        "           AS DECIMAL(38, 0)) AS STRING)"
+        " WHEN trim(CAST(CustomerID AS STRING)) RLIKE '[0-9][eE][+-]?[0-9]'"
+        "  AND abs(try_cast(CustomerID AS DOUBLE)) <= 9007199254740992D"
+        "  AND try_cast(CustomerID AS DOUBLE) = rint(try_cast(CustomerID AS DOUBLE))"
+        " THEN CAST(CAST(try_cast(CustomerID AS DOUBLE) AS BIGINT) AS STRING) END"))
 
 
 def add_total_price(df: DataFrame) -> DataFrame:
@@ -90,31 +98,27 @@ def normalized(raw: DataFrame) -> DataFrame:
     return normalize_customer_id(parse_dates(standardize_columns(raw)))
 
 
-def clean_transactions(raw: DataFrame) -> DataFrame:
-    """Cleaned transactions (canonical schema, TotalPrice added)."""
-    df = normalized(raw).dropDuplicates()
-    df = (df.filter(~is_cancellation())
-          .filter(is_product_stockcode())
-          .filter(F.col("Quantity") > 0)
-          .filter(F.col("UnitPrice") > 0)
-          .filter(F.col("CustomerID").isNotNull()))
-    return add_total_price(df)
+def tagged(raw: DataFrame) -> DataFrame:
+    """Every distinct normalised row with ``_copies`` and ``_rule`` (0: it
+    stays, else the AUDIT_STEPS index of the first rule it fails).  One
+    shuffle; the cleaned table and the audit both come from it."""
+    norm = normalized(raw)
+    distinct_rows = norm.groupBy(*norm.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    return distinct_rows.withColumn("_rule", _first_failed_rule())
 
 
-def clean_audit(raw: DataFrame) -> DataFrame:
-    """(step_no, step, rows_removed, rows_remaining) — 7 rows, one pass.
+def cleaned(rows: DataFrame) -> DataFrame:
+    """Cleaned transactions (canonical schema, TotalPrice added) of ``tagged`` rows."""
+    return add_total_price(rows.filter(F.col("_rule") == 0).drop("_copies", "_rule"))
 
-    Exact duplicates collapse in one shuffle that also yields how many copies
-    each row had; per-rule counts are then partial aggregations (≤ 6 rows per
-    task), pivoted into one row and unrolled into the 7 audit lines.
-    """
-    norm = normalized(raw)
-    distinct_rows = norm.groupBy(*norm.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    rule = _first_failed_rule()
-    totals = distinct_rows.agg(
-        F.sum("_copies").alias("n_raw"),
+
+def audit(rows: DataFrame) -> DataFrame:
+    """(step_no, step, rows_removed, rows_remaining) of ``tagged`` rows: 7 lines
+    from one aggregation, unrolled."""
+    totals = rows.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("n_raw"),
         F.count(F.lit(1)).alias("n_distinct"),
-        *[F.count(F.when(rule == i, 1)).alias(f"r{i}") for i in range(2, 7)])
+        *[F.count(F.when(F.col("_rule") == i, 1)).alias(f"r{i}") for i in range(2, 7)])
     removed = {0: F.lit(0).cast("bigint"), 1: F.col("n_raw") - F.col("n_distinct")}
     removed.update({i: F.col(f"r{i}") for i in range(2, 7)})
     lines, running = [], F.col("n_raw")
@@ -124,3 +128,11 @@ def clean_audit(raw: DataFrame) -> DataFrame:
                               removed[no].cast("bigint").alias("rows_removed"),
                               running.cast("bigint").alias("rows_remaining")))
     return totals.select(F.inline(F.array(*lines)))
+
+
+def clean_transactions(raw: DataFrame) -> DataFrame:
+    return cleaned(tagged(raw))
+
+
+def clean_audit(raw: DataFrame) -> DataFrame:
+    return audit(tagged(raw))

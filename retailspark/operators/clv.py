@@ -23,9 +23,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retailspark.functions.money import money_sum, money_units
+from retailspark.functions.money import money_units
 from retailspark.functions.optim import bfgs
-from retailspark.functions.special import HALF_LOG_2PI, hyp2f1
+from retailspark.functions.special import HALF_LOG_2PI, hyp2f1_many, terms_needed
 
 DAYS_PER_MONTH = 365.25 / 12
 DEFAULT_PENALIZER = 0.001
@@ -122,9 +122,10 @@ class FitResult:
     neg_ll: float
     n_iter: int
     n: int
+    converged: bool
 
     def summary_rows(self):
-        return [(nm, float(c), float(s), float(c - 1.96 * s), float(c + 1.96 * s))
+        return [(nm, float(c), float(s), float(c - 1.96 * s), float(c + 1.96 * s), self.converged)
                 for nm, c, s in zip(self.names, self.coef, self.se)]
 
 
@@ -208,19 +209,6 @@ def _digamma_scalar(z: float) -> float:
 
 
 def _fit(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> FitResult:
-    """Each optimiser step is a global aggregate over a small checkpointed
-    table; adaptive re-planning has nothing to re-plan there and only adds
-    per-job latency, so it is switched off for the duration of the fit."""
-    spark = grouped.sparkSession
-    prev = spark.conf.get("spark.sql.adaptive.enabled")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return _fit_inner(grouped, make_terms, names, penalizer, x0)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", prev)
-
-
-def _fit_inner(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> FitResult:
     """Minimise mean negative log-likelihood + penalty·Σθ² over θ = exp(φ).
 
     ``evaluate`` computes the weighted sums for several parameter vectors in
@@ -252,7 +240,7 @@ def _fit_inner(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> F
         g = theta * (-vals[1:] + 2 * penalizer * theta)
         return float(f), g
 
-    phi, f, it = bfgs(fg, np.log(np.asarray(x0, dtype=float)), gtol=1e-6, ftol=1e-10)
+    phi, f, it, converged = bfgs(fg, np.log(np.asarray(x0, dtype=float)), gtol=1e-6, ftol=1e-10)
     theta = np.exp(phi)
     # standard errors: inverse Hessian of the total negative log-likelihood,
     # central differences of the analytic gradient in log-parameters, mapped
@@ -277,7 +265,7 @@ def _fit_inner(grouped: DataFrame, make_terms, names, penalizer: float, x0) -> F
     except np.linalg.LinAlgError:
         se = np.full(k, np.nan)
     return FitResult(params=None, names=names, coef=theta, se=se, neg_ll=f, n_iter=it,
-                     n=int(n_total))
+                     n=int(n_total), converged=converged)
 
 
 def fit_bgnbd(summary: DataFrame, penalizer: float = DEFAULT_PENALIZER,
@@ -319,34 +307,47 @@ def fit_gamma_gamma(summary: DataFrame, penalizer: float = DEFAULT_PENALIZER) ->
 def param_summary(spark, res: FitResult, model: str) -> DataFrame:
     return spark.createDataFrame(
         [(model, *row) for row in res.summary_rows()],
-        "model string, param string, coef double, se double, lower_95 double, upper_95 double")
+        "model string, param string, coef double, se double, lower_95 double, upper_95 double, converged boolean")
 
 
 # ------------------------------------------------------------------ predictions
-def _expected_from_series(t, bg: BGNBD, x: Column, tx: Column, T: Column, f21: Column) -> Column:
+# The textbook closed form of the expected purchases has a 2F1(r+x, b+x; a+b+x-1; z)
+# with z = t / (alpha+T+t), whose terms grow before they fall when x is large and
+# then cancel against a power of the same size.  Euler's transformation
+#     2F1(p, q; c; z) = (1-z)^(c-p-q) 2F1(c-p, c-q; c; z)
+# takes x out of both numerator parameters and out of the power:
+#     ((alpha+T)/(alpha+T+t))^(r+x) 2F1(r+x, b+x; a+b+x-1; z)
+#       = (1-z)^(a-1) 2F1(a+b-1-r, a-1; a+b+x-1; z).
+def _terms(ts: list[float], bg: BGNBD) -> int:
+    """Series length for any x >= 0 and T >= 0: z is at most t / (alpha + t),
+    and the series is longest for the smallest c, at x = 0 or 1."""
+    r, alpha, a, b = bg.as_tuple()
+    z = max(t / (alpha + t) for t in ts)
+    return max(terms_needed(a + b - 1 - r, a - 1, a + b + x - 1, z) for x in (0, 1))
+
+
+def _expected_from_series(t: float, bg: BGNBD, x: Column, tx: Column, T: Column, f21: Column) -> Column:
     r, alpha, a, b = bg.as_tuple()
     a1 = F.try_divide(a + b + x - 1.0, F.lit(a - 1.0))
-    a2 = F.pow(F.try_divide(alpha + T, alpha + T + t), r + x) * f21
+    a2 = F.pow(F.try_divide(alpha + T, alpha + T + t), F.lit(a - 1.0)) * f21
     den = 1.0 + F.when(x > 0, F.try_divide(F.lit(a), b + x - 1.0)
                        * F.pow(F.try_divide(alpha + T, alpha + tx), r + x)).otherwise(F.lit(0.0))
     return F.try_divide(a1 * (1.0 - a2), den)
 
 
-def expected_purchases(t, bg: BGNBD, x: Column, tx: Column, T: Column, n_terms: int = 200) -> Column:
+def expected_purchases(t: float, bg: BGNBD, x: Column, tx: Column, T: Column) -> Column:
     """E[# purchases in (T, T+t]] given (x, t_x, T)."""
-    return expected_purchases_many([t], bg, x, tx, T, n_terms)[0]
+    return expected_purchases_many([t], bg, x, tx, T)[0]
 
 
-def expected_purchases_many(ts: list, bg: BGNBD, x: Column, tx: Column, T: Column,
-                            n_terms: int = 200) -> list[Column]:
-    """E[# purchases] for several horizons; the ₂F₁ series of all horizons
+def expected_purchases_many(ts: list[float], bg: BGNBD, x: Column, tx: Column, T: Column) -> list[Column]:
+    """E[# purchases] for several horizons; the 2F1 series of all horizons
     share one pass (they differ only in z)."""
-    from retailspark.functions.special import hyp2f1_many
     r, alpha, a, b = bg.as_tuple()
-    tcols = [F.lit(float(t)) if not isinstance(t, Column) else t for t in ts]
-    zs = [F.try_divide(t, alpha + T + t) for t in tcols]
-    series = hyp2f1_many(r + x, b + x, a + b + x - 1.0, zs, n_terms)
-    return [_expected_from_series(t, bg, x, tx, T, series[f"s{i}"]) for i, t in enumerate(tcols)]
+    ts = [float(t) for t in ts]
+    zs = [F.try_divide(F.lit(t), alpha + T + t) for t in ts]
+    series = hyp2f1_many(a + b - 1.0 - r, a - 1.0, a + b + x - 1.0, zs, _terms(ts, bg))
+    return [_expected_from_series(t, bg, x, tx, T, series[f"s{i}"]) for i, t in enumerate(ts)]
 
 
 def prob_alive(bg: BGNBD, x: Column, tx: Column, T: Column) -> Column:
@@ -366,15 +367,25 @@ def _clean(c: Column) -> Column:
     return F.greatest(F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)), F.lit(0.0))
 
 
+def _checked(purchases: Column) -> Column:
+    """An expected count is never negative but for rounding: anything else
+    is a fault in the series and stops the job instead of becoming 0."""
+    fault = F.raise_error(F.concat(F.lit("negative expected purchases: "), purchases.cast("string"))).cast("double")
+    return F.when(purchases < -1e-6, fault).otherwise(_clean(purchases))
+
+
 def predict(summary: DataFrame, bg: BGNBD, gg: GammaGamma, horizon_months: int = 3,
-            discount_rate: float = 0.01, n_terms: int = 200) -> DataFrame:
+            discount_rate: float = 0.01) -> DataFrame:
+    """Purchases, P(alive), value and discounted CLV of every customer.  CLV
+    below 0 (an expected order value below 0, possible when p·x + q < 1) and
+    what cannot be computed count as 0."""
     x, tx, T, m = F.col("frequency"), F.col("recency"), F.col("T"), F.col("monetary_value")
     elig = eligible()
     avg_val = expected_avg_value(gg, x, m)
     pop_avg = (summary.filter(elig).select(F.avg(expected_avg_value(gg, x, m))).scalar())
     horizons = [horizon_months * DAYS_PER_MONTH] + [k * CLV_MONTH_DAYS for k in range(1, horizon_months + 1)]
     summary = summary.withColumn("_ey", F.struct(*[
-        e.alias(f"e{i}") for i, e in enumerate(expected_purchases_many(horizons, bg, x, tx, T, n_terms))]))
+        e.alias(f"e{i}") for i, e in enumerate(expected_purchases_many(horizons, bg, x, tx, T))]))
     purchases = F.col("_ey.e0")
     clv = None
     prev = F.lit(0.0)
@@ -392,7 +403,7 @@ def predict(summary: DataFrame, bg: BGNBD, gg: GammaGamma, horizon_months: int =
         F.when(elig, clv).otherwise(purchases * pop_avg).alias("_clv"))
     return out.select(
         "CustomerID",
-        _clean(F.col("_purch")).alias("predicted_purchases"),
+        _checked(F.col("_purch")).alias("predicted_purchases"),
         "prob_alive",
         F.coalesce(F.nanvl(F.col("_avg"), F.lit(None)), pop_avg).alias("predicted_avg_value"),
         "clv_method",

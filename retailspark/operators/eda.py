@@ -60,23 +60,28 @@ def customer_value_distribution(tx: DataFrame) -> DataFrame:
     return describe(spend, "v", "CustomerID", "customer_spend")
 
 
-def modal(c: Column | str) -> Column:
-    """Most common non-NULL value; ties → smallest; NULL when none."""
-    return F.mode(c, True)
+def modal_by(df: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """key → most common non-NULL value; ties → smallest; keys without one are
+    absent.  Counted by (key, value) first, so that no buffer holds all the
+    values of a hot key."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    best = counts.groupBy(key).agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(value).alias("v"))).alias("_b"))
+    return best.select(key, F.col("_b.v").alias(out))
 
 
 def product_descriptions(tx: DataFrame) -> DataFrame:
     """StockCode → modal description; products with only NULL text absent."""
-    return (tx.filter(F.col("Description").isNotNull())
-            .groupBy("StockCode").agg(modal("Description").alias("Description")))
+    return modal_by(tx, "StockCode", "Description", "Description")
 
 
 def top_products(tx: DataFrame, n: int = 20) -> DataFrame:
-    g = tx.groupBy("StockCode").agg(
-        money_sum("TotalPrice").alias("revenue"),
-        F.sum("Quantity").alias("units"),
-        F.coalesce(modal("Description"), F.lit("")).alias("description"))
-    return g.orderBy(F.desc("revenue"), "StockCode").limit(n)
+    g = tx.groupBy("StockCode").agg(money_sum("TotalPrice").alias("revenue"), F.sum("Quantity").alias("units"))
+    top = g.orderBy(F.desc("revenue"), "StockCode").limit(n)
+    names = modal_by(tx.join(F.broadcast(top.select("StockCode")), "StockCode", "left_semi"),  # n rows
+                     "StockCode", "Description", "description")
+    return (top.join(names, "StockCode", "left")
+            .withColumn("description", F.coalesce("description", F.lit("")))
+            .orderBy(F.desc("revenue"), "StockCode"))
 
 
 # ---------------------------------------------------------- serving summaries
@@ -85,8 +90,8 @@ def build_products(tx: DataFrame) -> DataFrame:
         money_sum("TotalPrice").alias("revenue"),
         F.sum("Quantity").alias("quantity"),
         F.count_distinct("InvoiceNo").alias("orders"),
-        F.count_distinct("CustomerID").alias("customers"),
-        modal("Description").alias("description"))
+        F.count_distinct("CustomerID").alias("customers"))
+    g = g.join(modal_by(tx, "StockCode", "Description", "description"), "StockCode", "left")
     return g.select(F.col("StockCode").alias("stock_code"), "description", "revenue",
                     "quantity", "orders", "customers")
 

@@ -109,22 +109,33 @@ def profile_clusters(df: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
                     (F.col("_u") / F.sum("_u").over(w)).alias("revenue_share"))
 
 
+# fixed values: cluster labels by (mean spend at or above the median of the
+# clusters, mean recency at or below it, mean frequency at or above it)
+CLUSTER_NAMES = {
+    (True, True, True): "High-Value Active",
+    (True, True, False): "High-Value Active",
+    (True, False, True): "High-Value Lapsing",
+    (True, False, False): "High-Value Lapsing",
+    (False, True, True): "Engaged Mid-Value",
+    (False, True, False): "Recent Low-Value",
+    (False, False, True): "Dormant Low-Value",
+    (False, False, False): "Dormant Low-Value",
+}
+
+
 def name_clusters(profile: DataFrame, cluster_col: str = "Cluster") -> DataFrame:
-    """Label each cluster by its mean R/F/M against the medians across
-    clusters (k rows, so the window is tiny)."""
-    w = Window.partitionBy()
-    p = (profile.withColumn("med_r", F.median("avg_recency").over(w))
-         .withColumn("med_f", F.median("avg_frequency").over(w))
-         .withColumn("med_m", F.median("avg_monetary").over(w)))
-    recent = F.col("avg_recency") <= F.col("med_r")
-    valuable = F.col("avg_monetary") >= F.col("med_m")
-    frequent = F.col("avg_frequency") >= F.col("med_f")
-    name = (F.when(valuable & recent, "High-Value Active")
-            .when(valuable & ~recent, "High-Value Lapsing")
-            .when(recent & frequent, "Engaged Mid-Value")
-            .when(recent, "Recent Low-Value")
-            .otherwise("Dormant Low-Value"))
-    return p.select(cluster_col, name.alias("ClusterName"))
+    """Cluster → ClusterName, looked up in ``CLUSTER_NAMES``; the medians are
+    taken over the k profile rows."""
+    names = profile.sparkSession.createDataFrame(
+        [(*flags, name) for flags, name in CLUSTER_NAMES.items()],
+        "_spends boolean, _recent boolean, _often boolean, ClusterName string")
+    over = Window.partitionBy()
+    placed = profile.select(
+        cluster_col,
+        (F.col("avg_monetary") >= F.median("avg_monetary").over(over)).alias("_spends"),
+        (F.col("avg_recency") <= F.median("avg_recency").over(over)).alias("_recent"),
+        (F.col("avg_frequency") >= F.median("avg_frequency").over(over)).alias("_often"))
+    return placed.join(F.broadcast(names), ["_spends", "_recent", "_often"]).select(cluster_col, "ClusterName")  # 8 rows
 
 
 def attach_clusters(spark: SparkSession, scored: DataFrame, feat: DataFrame | None = None,

@@ -88,9 +88,8 @@ def train_test(table: DataFrame, test_size: float = 0.25, seed: int = RANDOM_STA
     h = F.md5(F.concat(F.col("CustomerID").cast("string"), F.lit(f"|{seed}")))
     keyed = table.withColumn("_h", h)
     counts = {r[0]: r[1] for r in keyed.groupBy(LABEL_COLUMN).count().collect()}  # ≤ 2 rows
-    n = sum(counts.values())
-    ranked = with_global_rank(keyed, [SortKey(LABEL_COLUMN), SortKey("_h"), SortKey("CustomerID")],
-                              "_g", n_rows=n)
+    ranked = with_global_rank(keyed.select("CustomerID", LABEL_COLUMN, "_h"),
+                              [SortKey(LABEL_COLUMN), SortKey("_h"), SortKey("CustomerID")], "_g")
     before, offsets, quota = 0, {}, {}
     import math
     for lab in sorted(counts):
@@ -100,8 +99,8 @@ def train_test(table: DataFrame, test_size: float = 0.25, seed: int = RANDOM_STA
     off = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
     qmap = F.create_map(*[x for k, v in quota.items() for x in (F.lit(k), F.lit(v))])
     in_class = F.col("_g") - F.element_at(off, F.col(LABEL_COLUMN))
-    return ranked.withColumn("is_test", in_class <= F.element_at(qmap, F.col(LABEL_COLUMN))) \
-        .drop("_h", "_g")
+    flags = ranked.select("CustomerID", (in_class <= F.element_at(qmap, F.col(LABEL_COLUMN))).alias("is_test"))
+    return table.join(flags, "CustomerID").select(*table.columns, "is_test")
 
 
 # ------------------------------------------------------------------ models
@@ -166,9 +165,7 @@ def predict_proba(fitted, df: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame, score: str = "score", label: str = LABEL_COLUMN,
             id_col: str = "CustomerID") -> DataFrame:
     """Mann–Whitney AUC with average ranks for tied scores."""
-    n = scored.count()
-    r = with_global_rank(scored.select(score, label, id_col), [SortKey(score), SortKey(id_col)],
-                         "_r", n_rows=n)
+    r = with_global_rank(scored.select(score, label, id_col), [SortKey(score), SortKey(id_col)], "_r")
     per = r.groupBy(score).agg(((F.min("_r") + F.max("_r")) / 2.0).alias("avg_rank"),
                                F.sum(label).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     return per.agg(
@@ -178,17 +175,16 @@ def roc_auc(scored: DataFrame, score: str = "score", label: str = LABEL_COLUMN,
 
 def average_precision(scored: DataFrame, score: str = "score", label: str = LABEL_COLUMN,
                       id_col: str = "CustomerID") -> DataFrame:
-    """AP = Σ over distinct thresholds (ΔTP / P) · precision."""
-    n = scored.count()
-    base = scored.select(score, label, id_col)
-    r_all = with_global_rank(base, [SortKey(score, False), SortKey(id_col)], "_ra", n_rows=n)
+    """AP = Σ over distinct thresholds (ΔTP / P) · precision.  The scores are
+    ranked (and so written) once; positives are ranked from that table."""
+    r_all = with_global_rank(scored.select(score, label, id_col), [SortKey(score, False), SortKey(id_col)], "_ra")
     at = r_all.groupBy(score).agg(F.max("_ra").alias("n_at"), F.sum(label).alias("pos_at"))
-    pos = base.filter(F.col(label) == 1)
-    n_pos = pos.count()
-    r_pos = with_global_rank(pos, [SortKey(score, False), SortKey(id_col)], "_rp", n_rows=n_pos)
+    pos = r_all.filter(F.col(label) == 1).select(score, id_col)
+    r_pos = with_global_rank(pos, [SortKey(score, False), SortKey(id_col)], "_rp")
+    n_pos = r_pos.count()
     tp = r_pos.groupBy(score).agg(F.max("_rp").alias("tp_at"))
     j = at.join(tp, score)
-    return j.agg((F.sum(F.col("pos_at") / F.lit(float(n_pos)) * (F.col("tp_at") / F.col("n_at"))))
+    return j.agg((F.sum(F.col("pos_at") / F.lit(float(n_pos or 1)) * (F.col("tp_at") / F.col("n_at"))))
                  .alias("pr_auc"))
 
 

@@ -44,20 +44,21 @@ def compute_rfm(tx: DataFrame, snapshot: Column | None = None) -> DataFrame:
 
 def quantile_bin(rank: Column, n: Column, n_bins: int = N_BINS) -> Column:
     """qcut of ranks 1..n into n_bins equal-width rank intervals."""
+    rank, n = rank.cast("bigint"), n.cast("bigint")
     b = F.floor(((rank - 1) * n_bins + (n - 2)) / (n - 1))
     return F.when(n <= 1, F.lit(1)).otherwise(F.greatest(F.lit(1), b)).cast("int")
 
 
-def score_rfm(rfm: DataFrame, n_bins: int = N_BINS, rows_per_bucket: int | None = None) -> DataFrame:
-    """Add R, F, M, FM, RFM_Score, Segment, Action."""
-    n = rfm.count()
-    kw = {"n_rows": n}
-    if rows_per_bucket:
-        kw["rows_per_bucket"] = rows_per_bucket
-    df = with_global_rank(rfm, [SortKey("Recency", False), SortKey("CustomerID")], "_rr", **kw)
-    df = with_global_rank(df, [SortKey("Frequency"), SortKey("CustomerID")], "_rf", **kw)
-    df = with_global_rank(df, [SortKey("Monetary"), SortKey("CustomerID")], "_rm", **kw)
-    nn = F.lit(n)
+def score_rfm(rfm: DataFrame, n_bins: int = N_BINS, partitions: int | None = None) -> DataFrame:
+    """Add R, F, M, FM, RFM_Score, Segment, Action.  The three ranks are made
+    from narrow (key, id) frames and joined on the id."""
+    df = rfm
+    for column, ascending, rank in (("Recency", False, "_rr"), ("Frequency", True, "_rf"),
+                                    ("Monetary", True, "_rm")):
+        narrow = rfm.select("CustomerID", column)
+        ranked = with_global_rank(narrow, [SortKey(column, ascending), SortKey("CustomerID")], rank, partitions)
+        df = df.join(ranked.select("CustomerID", rank), "CustomerID")
+    nn = F.lit(rfm.count()).cast("bigint")
     fm = F.bround((F.col("F") + F.col("M")) / 2.0, 0)
     out = (df.withColumn("R", quantile_bin(F.col("_rr"), nn, n_bins))
            .withColumn("F", quantile_bin(F.col("_rf"), nn, n_bins))

@@ -84,6 +84,7 @@ def top_clv(customers: DataFrame, limit: int = 20) -> DataFrame:
 def offers_per_antecedent(rules: DataFrame, limit: int = 5) -> DataFrame:
     """Batch form of the single-product offer query: top ``limit`` rules by
     lift for every antecedent code text."""
+    check_limit("next_best_offers", limit)
     w = Window.partitionBy("antecedents_codes").orderBy(F.desc("lift"), "consequents_codes")
     return (rules.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
             .select("antecedents_codes", "rank", "antecedents", "consequents", "consequents_codes",
@@ -91,9 +92,11 @@ def offers_per_antecedent(rules: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def offers_for_customers(top_product: DataFrame, rules: DataFrame, limit: int = 5) -> DataFrame:
-    j = top_product.join(rules, top_product.stock_code == rules.antecedents_codes)
-    w = Window.partitionBy("customer_id").orderBy(F.desc("lift"), "consequents_codes")
-    return (j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
+    """Top ``limit`` rules of each customer's product (one row per customer in
+    ``top_product``): the rules are cut per antecedent before the join, so no
+    customer meets more than ``limit`` of them."""
+    best = offers_per_antecedent(rules, limit)
+    return (top_product.join(best, top_product.stock_code == best.antecedents_codes)
             .select("customer_id", "rank", "antecedents", "consequents", "consequents_codes",
                     "support", "confidence", "lift"))
 
@@ -106,10 +109,10 @@ def win_back_candidates(customers: DataFrame) -> DataFrame:
 
 
 def customer_exists(customers: DataFrame, probe_ids: DataFrame) -> DataFrame:
-    """probe (customer_id) ⊕ exists flag: one left-semi probe for the batch."""
-    hit = probe_ids.join(customers.select("customer_id"), "customer_id", "left_semi") \
-        .withColumn("exists", F.lit(True))
-    return probe_ids.join(hit, "customer_id", "left") \
+    """probe (customer_id) ⊕ exists flag, one row per probe: one left join
+    against the distinct ids."""
+    known = customers.select("customer_id").distinct().withColumn("exists", F.lit(True))
+    return probe_ids.join(known, "customer_id", "left") \
         .select("customer_id", F.coalesce(F.col("exists"), F.lit(False)).alias("exists"))
 
 
@@ -159,10 +162,9 @@ def ntile_of_rank(rank_col: str, n: int, buckets: int):
 
 
 def pareto_deciles(customers: DataFrame) -> DataFrame:
-    n = customers.count()
     ranked = with_global_rank(customers.select("customer_id", "predicted_clv"),
-                              [SortKey("predicted_clv", False), SortKey("customer_id")], "_r",
-                              n_rows=n)
+                              [SortKey("predicted_clv", False), SortKey("customer_id")], "_r")
+    n = ranked.count()
     g = ranked.groupBy(ntile_of_rank("_r", n, 10).alias("decile")).agg(
         F.count(F.lit(1)).alias("customers"),
         F.sum(money_units(F.col("predicted_clv"))).alias("_u"))

@@ -362,10 +362,12 @@ def _f(v: float) -> str:
     return repr(float(v))
 
 
-def hyp2f1_sql(a: str, b: str, c: str, z: str, n: int = 200) -> str:
+def scaled_series_sql(first: str, a: str, b: str, c: str, z: str, n: int = 1500) -> str:
+    """``first`` times the untransformed 2F1 series (its terms carry the factor,
+    so neither overflows); past the hump near n = x z / (1 - z) they fall like z**n."""
     t = f"acc.t * ({a} + k) * ({b} + k) / (({c} + k) * (k + 1.0)) * ({z})"
     return (f"list_reduce(range({n - 1}), lambda acc, k: {{'t': {t}, 's': acc.s + {t}}}, "
-            f"{{'t': 1.0, 's': 1.0}}).s")
+            f"{{'t': {first}, 's': {first}}}).s")
 
 
 def expected_sql(t: float, x="frequency", tx="recency", T="T", bg=None) -> str:
@@ -373,8 +375,8 @@ def expected_sql(t: float, x="frequency", tx="recency", T="T", bg=None) -> str:
     tt = _f(t)
     a1 = f"(({a} + {b} + {x} - 1.0) / ({a} - 1.0))"
     z = f"({tt} / ({al} + {T} + {tt}))"
-    a2 = (f"(pow(({al} + {T}) / ({al} + {T} + {tt}), {r} + {x}) * "
-          f"{hyp2f1_sql(f'({r} + {x})', f'({b} + {x})', f'({a} + {b} + {x} - 1.0)', z)})")
+    first = f"pow(({al} + {T}) / ({al} + {T} + {tt}), {r} + {x})"
+    a2 = scaled_series_sql(first, f"({r} + {x})", f"({b} + {x})", f"({a} + {b} + {x} - 1.0)", z)
     den = f"(1.0 + CASE WHEN {x} > 0 THEN {a} / ({b} + {x} - 1.0) * pow(({al} + {T}) / ({al} + {tx}), {r} + {x}) ELSE 0.0 END)"
     return f"({a1} * (1.0 - {a2}) / {den})"
 
@@ -423,6 +425,16 @@ clv_pred_fixed AS (
 
 oracle("clv_expected_fixed", CLV_SUMMARY_CTE)(
     f"SELECT CustomerID, round({expected_sql(H_DAYS, bg=FBG)}, 6) AS predicted_purchases FROM clv_summary")
+HEAVY_CTE = """
+heavy_tx AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS CustomerID, CAST(o_orderkey AS VARCHAR) AS InvoiceNo,
+         CAST(o_orderdate AS TIMESTAMP) AS InvoiceDate, o_totalprice AS TotalPrice
+  FROM orders JOIN customer ON o_custkey = c_custkey
+)"""
+oracle("clv_expected_heavy", HEAVY_CTE, summary_cte("heavy", "heavy_tx", "(SELECT max(InvoiceDate) FROM heavy_tx)"))(
+    f"""SELECT CustomerID, round(frequency, 6) AS frequency,
+       round({expected_sql(180.0, bg=FBG)}, 6) AS purchases_180,
+       round({expected_sql(365.25, bg=FBG)}, 6) AS purchases_365 FROM heavy""")
 oracle("clv_alive_fixed", CLV_SUMMARY_CTE)(
     f"SELECT CustomerID, round({alive_sql(bg=FBG)}, 6) AS prob_alive FROM clv_summary")
 oracle("clv_avg_value_fixed", CLV_SUMMARY_CTE)(
@@ -820,7 +832,16 @@ FROM monthly""")
 oracle("monthly_long", *_PR)("""
 SELECT month, 'orders' AS metric, orders AS value FROM monthly
 UNION ALL SELECT month, 'customers', customers FROM monthly""")
-oracle("country_map", *_PR)("SELECT *, NULL AS iso3 FROM country WHERE false")
+_ISO = {"United Kingdom": "GBR", "EIRE": "IRL", "Netherlands": "NLD", "Germany": "DEU", "France": "FRA",
+        "Australia": "AUS", "Spain": "ESP", "Switzerland": "CHE", "Sweden": "SWE", "Denmark": "DNK",
+        "Belgium": "BEL", "Portugal": "PRT", "Japan": "JPN", "Norway": "NOR", "Italy": "ITA", "Finland": "FIN",
+        "Cyprus": "CYP", "Austria": "AUT", "Greece": "GRC", "Singapore": "SGP", "Unspecified": None,
+        "European Community": None, "USA": "USA", "Canada": "CAN", "Brazil": "BRA"}
+oracle("country_map", *_PR)(f"""
+SELECT c.* EXCLUDE (country), m.name AS country, m.iso AS iso3 FROM country c
+JOIN nation ON n_name = c.country
+JOIN (VALUES {', '.join(f"({i}, '{n}', {repr(x) if x else 'NULL'})" for i, (n, x) in enumerate(_ISO.items()))}) m(k, name, iso)
+  ON m.k = n_nationkey WHERE m.iso IS NOT NULL""")
 oracle("product_label", *_PR)("""
 SELECT stock_code, revenue, stock_code || ' ' || substring(coalesce(description, ''), 1, 22) AS label
 FROM products ORDER BY revenue DESC, stock_code LIMIT 15""")
@@ -963,19 +984,101 @@ SELECT *, '喚醒 ' || count || ' 位沉睡的高價值客戶' AS headline,
          || ',值得專屬的挽回活動。' AS message,
        ['依個人終身價值分層的折扣', '搭配客戶最常購買商品的推薦', '限時喚醒沉睡客戶'] AS selling_points
 FROM csum""")
+oracle("fetch_fan_in", *_IN)("""
+SELECT c.customer_id,
+       {'recency': recency, 'frequency': frequency, 'monetary': monetary, 'rfm_score': rfm_score, 'segment': segment, 'action': action} AS rfm,
+       {'predicted_clv': predicted_clv, 'prob_alive': prob_alive, 'predicted_purchases': predicted_purchases,
+        'historical_clv': historical_clv, 'clv_method': clv_method} AS clv,
+       coalesce(t.nbo, CAST([] AS VARCHAR[])) AS nbo, propensity
+FROM customers c LEFT JOIN (SELECT customer_id, list(consequents ORDER BY rank) AS nbo FROM offers GROUP BY 1) t USING (customer_id)""")
+
+
+def _brief_json(count: str, clv: str, disc: str) -> str:
+    points = '["依個人終身價值分層的折扣","搭配客戶最常購買商品的推薦","限時喚醒沉睡客戶"]'
+    return (f"""('{{"headline":"喚醒 ' || {count} || ' 位沉睡的高價值客戶","message":"這群客戶平均終身價值 ' || {money_txt(clv)}"""
+            f""" || ',平均折扣 ' || {pct_txt(disc)} || ',值得專屬的挽回活動。","selling_points":{points}}}')""")
+
+
+oracle("campaign_build", *_CP)(f"""
+SELECT 'win-back' AS thread_id, {_brief_json('n', 'a', 'd')} AS brief, 'pending' AS status, n AS candidate_count,
+       TIMESTAMP '1970-01-01 00:00:00' AS created_at
+FROM (SELECT count(*) AS n, coalesce(round(sum(predicted_clv) / count(*), 2), 0.0) AS a,
+             coalesce(round(sum(discount) / count(*), 4), 0.0) AS d FROM cands) s""")
+DRAFTS_CTE = f"""
+drafts AS (
+  SELECT CAST(customer_id AS BIGINT) % 14 AS approval_id, 't' || CAST(floor((CAST(customer_id AS BIGINT) % 14) / 2) AS BIGINT) AS thread_id,
+         TIMESTAMP '1995-01-01' + to_hours(CAST(CAST(customer_id AS BIGINT) % 14 AS INTEGER)) AS created_at, *
+  FROM cands
+),
+log AS (
+  SELECT o_custkey % 14 AS approval_id,
+         CASE o_orderkey % 5 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'revised' END AS action,
+         'r' || (o_orderkey % 7) AS reviewer, 'order ' || o_orderkey AS review_note,
+         CAST(o_orderdate AS TIMESTAMP) + to_minutes(CAST(o_orderkey % 1440 AS BIGINT)) AS decided_at, o_custkey
+  FROM orders WHERE o_custkey % 14 IN (SELECT approval_id FROM drafts)
+),
+ends AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY approval_id ORDER BY decided_at, action, reviewer, review_note) AS i
+                 FROM log WHERE action <> 'revised') WHERE i = 1
+),
+revs AS (
+  SELECT l.* FROM log l LEFT JOIN ends e USING (approval_id)
+  WHERE l.action = 'revised' AND (e.decided_at IS NULL OR l.decided_at <= e.decided_at)
+),
+decided AS (
+  SELECT d.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM revs r WHERE r.approval_id = d.approval_id
+                           AND CAST(r.o_custkey + 1 AS VARCHAR) = d.customer_id) THEN 0.05 ELSE d.discount END AS discount)
+  FROM drafts d WHERE NOT EXISTS (SELECT 1 FROM revs r WHERE r.approval_id = d.approval_id AND CAST(r.o_custkey AS VARCHAR) = d.customer_id)
+),
+approvals AS (
+  SELECT g.approval_id, g.thread_id,
+         CASE WHEN n.note IS NOT NULL THEN {_brief_json('coalesce(k.n, 0)', 'coalesce(k.a, 0.0)', 'coalesce(k.d, 0.0)')}
+              ELSE {_brief_json('g.n', 'g.a', 'g.d')} END AS brief,
+         CASE WHEN n.note IS NOT NULL THEN coalesce(k.n, 0) ELSE g.n END AS candidate_count,
+         coalesce(e.action, 'pending') AS status, e.reviewer, coalesce(e.review_note, n.note) AS review_note,
+         e.decided_at, g.created_at,
+         CASE WHEN n.note IS NOT NULL THEN coalesce(k.n, 0) ELSE g.n END AS shown
+  FROM (SELECT approval_id, min(thread_id) AS thread_id, min(created_at) AS created_at, count(*) AS n,
+               round(sum(predicted_clv) / count(*), 2) AS a, round(sum(discount) / count(*), 4) AS d FROM drafts GROUP BY 1) g
+  LEFT JOIN (SELECT approval_id, count(*) AS n, round(sum(predicted_clv) / count(*), 2) AS a,
+                    round(sum(discount) / count(*), 4) AS d FROM decided GROUP BY 1) k USING (approval_id)
+  LEFT JOIN ends e USING (approval_id)
+  LEFT JOIN (SELECT approval_id, arg_max(review_note, (decided_at, review_note)) AS note FROM revs GROUP BY 1) n USING (approval_id)
+)"""
+_DR = _CP + (DRAFTS_CTE,)
+oracle("campaign_decisions", *_DR)("SELECT * EXCLUDE (shown) FROM approvals")
+oracle("campaign_decided_candidates", *_DR)("SELECT approval_id, customer_id, discount, offer FROM decided")
+_LIST = """SELECT approval_id, thread_id, status, created_at, '喚醒 ' || shown || ' 位沉睡的高價值客戶' AS headline, candidate_count
+FROM approvals {0} ORDER BY created_at DESC, thread_id, approval_id LIMIT 50"""
+oracle("campaign_list", *_DR)(_LIST.format(""))
+oracle("campaign_list_approved", *_DR)(_LIST.format("WHERE status = 'approved'"))
+oracle("campaign_latest", *_DR)("""
+SELECT thread_id, approval_id, status, candidate_count FROM (
+  SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY created_at DESC, approval_id DESC) AS i FROM approvals) WHERE i = 1""")
+oracle("status_check", *_DR)("""
+SELECT 'lost' AS value, count(*) AS rows FROM approvals WHERE reviewer = 'r3' HAVING count(*) > 0""")
 MSG_CTE = """
 messages AS (SELECT CAST(conv_id AS VARCHAR) AS thread_id, turn,
-                    CASE WHEN role = 'user' THEN 'human' ELSE 'ai' END AS role, text AS content
+                    CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE role END AS role, text AS content
              FROM conversations)"""
 oracle("conversation_history", MSG_CTE)("""
-SELECT thread_id, list({'turn': turn, 'role': role, 'content': content} ORDER BY turn, role, content) AS messages
-FROM messages GROUP BY thread_id""")
+SELECT thread_id, row_number() OVER (PARTITION BY thread_id ORDER BY turn, CASE role WHEN 'human' THEN 'human' ELSE 'ai' END, content) AS position,
+       turn, CASE role WHEN 'human' THEN 'human' ELSE 'ai' END AS role, content FROM messages""")
 oracle("message_role_check", MSG_CTE)("""
-SELECT count(*) AS messages, count(CASE WHEN role NOT IN ('human', 'ai', 'tool') THEN 1 END) AS violations
-FROM messages""")
+SELECT role AS value, count(*) AS rows FROM messages WHERE role IS NULL OR role NOT IN ('human', 'ai', 'tool')
+GROUP BY role""")
+oracle("thread_upsert", MSG_CTE)("""
+SELECT t.thread_id, coalesce(n.c, CASE WHEN CAST(t.thread_id AS BIGINT) % 2 = 0 AND o.thread_id IS NOT NULL THEN 'c' || t.thread_id END) AS customer_id
+FROM (SELECT DISTINCT thread_id FROM messages) t
+LEFT JOIN (SELECT DISTINCT thread_id FROM messages WHERE turn < 1) o USING (thread_id)
+LEFT JOIN (SELECT thread_id, 'n' || thread_id || '.' || min(turn) AS c FROM messages
+           WHERE turn >= 1 AND turn % 4 <> 1 GROUP BY 1) n USING (thread_id)""")
 oracle("conversation_append", MSG_CTE)("SELECT * FROM messages")
 oracle("thread_cascade_delete", MSG_CTE)("""
-SELECT * FROM messages WHERE thread_id IN (SELECT thread_id FROM messages WHERE role = 'ai')""")
+SELECT thread_id, 'message' AS kind, turn, role FROM messages
+WHERE thread_id IN (SELECT thread_id FROM messages WHERE role = 'ai')
+UNION ALL SELECT thread_id, 'approval', max(turn), 'pending' FROM messages
+GROUP BY thread_id HAVING count(CASE WHEN role = 'ai' THEN 1 END) > 0""")
 
 
 # ---------------------------------------------------------------- sources / cleaning steps
@@ -1009,7 +1112,17 @@ UNION ALL SELECT 'products', count(*) FROM products
 UNION ALL SELECT 'monthly', count(*) FROM monthly
 UNION ALL SELECT 'country', count(*) FROM country
 UNION ALL SELECT 'customer_top_product', count(*) FROM customer_top_product""")
-oracle("tbl_passthrough", *_PR)("SELECT * FROM products")
+_SUMMARIES = """
+SELECT 'products' AS "table", stock_code AS key, revenue{0} FROM products
+UNION ALL SELECT 'monthly', month, revenue FROM monthly
+UNION ALL SELECT 'country', country, revenue FROM country
+UNION ALL SELECT 'customer_top_product', customer_id, revenue FROM customer_top_product"""
+oracle("tbl_passthrough", *_PR)(_SUMMARIES.format(" AS value"))
+oracle("sink_summaries", *_PR)(_SUMMARIES.format(""))
+oracle("sink_clean")("SELECT * FROM tx")
+oracle("sink_segments", RFM_CTE, SCORED_CTE)("SELECT * FROM scored")
+oracle("sink_clv", *_CLVF)("SELECT * FROM customer_clv_fixed")
+oracle("sink_scores", TRAIN_CTE)("SELECT * FROM scores")
 oracle("json_draft", *_CP)(f"""
 SELECT '喚醒 ' || count || ' 位沉睡的高價值客戶' AS headline,
        '這群客戶平均終身價值 ' || {money_txt('avg_predicted_clv')} || ',平均折扣 ' || {pct_txt('avg_discount')}

@@ -19,10 +19,15 @@ def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.retail_raw(spark, sf_dir)
 
 
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct raw rows with the first rule each fails: one pass for the
+    cleaned table and the audit."""
+    return ws(spark, sf_dir).table("clean_tagged", lambda: clean.tagged(raw(spark, sf_dir)))
+
+
 def tx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned transactions (phase-0 output)."""
-    return ws(spark, sf_dir).table(
-        "transactions_clean", lambda: clean.clean_transactions(raw(spark, sf_dir)))
+    return ws(spark, sf_dir).table("transactions_clean", lambda: clean.cleaned(tagged(spark, sf_dir)))
 
 
 def rfm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +139,8 @@ def basket_tx(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFra
 def item_descriptions(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:
     """Modal part name per item value (labels for rules over part attributes)."""
     pt = testdata.table(spark, sf_dir, "part")
-    return pt.groupBy(F.col(attr).alias("StockCode")).agg(F.mode("p_name", True).alias("Description"))
+    from retailspark.operators import eda
+    return eda.modal_by(pt.withColumnRenamed(attr, "StockCode"), "StockCode", "p_name", "Description")
 
 
 def rules(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:

@@ -34,7 +34,7 @@ def q_clean_transactions(spark, d):
 
 @query("clean_audit")
 def q_clean_audit(spark, d):
-    return clean.clean_audit(P.raw(spark, d))
+    return clean.audit(P.tagged(spark, d))
 
 
 # ---------------------------------------------------------------- RFM
@@ -101,8 +101,9 @@ def q_eda_customer_dist(spark, d):
 @query("modal_description")
 def q_modal_description(spark, d):
     tx = P.tx(spark, d)
-    return tx.groupBy("StockCode").agg(
-        F.coalesce(eda.modal("Description"), F.lit("")).alias("description"))
+    codes = tx.select("StockCode").distinct()
+    return codes.join(eda.modal_by(tx, "StockCode", "Description", "description"), "StockCode", "left").select(
+        "StockCode", F.coalesce("description", F.lit("")).alias("description"))
 
 
 @query("eda_top_products")
@@ -204,6 +205,17 @@ def q_clv_expected_fixed(spark, d):
         .alias("predicted_purchases")])
 
 
+@query("clv_expected_heavy")
+def q_clv_expected_heavy(spark, d):
+    """Buyers with hundreds to thousands of purchase days: whole nations."""
+    from retailspark.sources.testdata import nation_tx
+    s = clv.build_summary(nation_tx(spark, d))
+    x, tx_, T = F.col("frequency"), F.col("recency"), F.col("T")
+    e = clv.expected_purchases_many([float(P.HOLDOUT_DAYS), 365.25], clv.BGNBD(*clv.FIXED_BG), x, tx_, T)
+    return _round_doubles(s.select("CustomerID", "frequency", e[0].alias("purchases_180"),
+                                   e[1].alias("purchases_365")))
+
+
 @query("clv_alive_fixed")
 def q_clv_alive_fixed(spark, d):
     return _fixed_summary_cols(spark, d, lambda bg, gg, x, t, T, m: [
@@ -303,9 +315,10 @@ def q_clv_histogram_fixed(spark, d):
 
 @query("clv_segment_median_fixed")
 def q_clv_segment_median_fixed(spark, d):
+    from retailspark.functions.stats import group_medians
     c = _round_doubles(P.customer_clv(spark, d, fixed=True))
-    return (c.groupBy("Segment").agg(F.round(F.median("predicted_clv"), 4).alias("median_clv"))
-            .orderBy("median_clv", "Segment"))
+    m = group_medians(c, "Segment", "predicted_clv", "CustomerID", "m")
+    return m.select("Segment", F.round("m", 4).alias("median_clv")).orderBy("median_clv", "Segment")
 
 
 # ---------------------------------------------------------------- K-means
@@ -692,7 +705,8 @@ def q_monthly_long(spark, d):
 
 @query("country_map")
 def q_country_map(spark, d):
-    return sv.country_map(P.country(spark, d))
+    named = P.country(spark, d).join(TD.country_names(spark, d), "country")
+    return sv.country_map(named.drop("country").withColumnRenamed("name", "country"))
 
 
 @query("product_label")
@@ -799,6 +813,57 @@ def q_campaign_build(spark, d):
     return cp.campaign_build(cp.campaign_candidates(_winback(spark, d), _offers(spark, d)), "win-back")
 
 
+#: Drafts of the review queries: candidates are dealt to them by customer number, two a thread.
+N_DRAFTS = 14
+
+
+def _drafts(spark, d):
+    def build():
+        c = cp.campaign_candidates(_winback(spark, d), _offers(spark, d))
+        number = F.col("customer_id").cast("bigint") % N_DRAFTS
+        return c.select(number.alias("approval_id"),
+                        F.concat(F.lit("t"), F.floor(number / 2).cast("string")).alias("thread_id"),
+                        F.timestamp_add("HOUR", number, F.lit("1995-01-01").cast("timestamp_ntz")).alias("created_at"),
+                        "customer_id", "segment", "predicted_clv", "discount", "offer")
+    return P.ws(spark, d).table("campaign_drafts", build)
+
+
+def _reviewed(spark, d):
+    c = _drafts(spark, d)
+    return cp.campaign_decisions(cp.campaign_drafts(c), c, TD.decision_log(spark, d, N_DRAFTS))
+
+
+@query("campaign_decisions")
+def q_campaign_decisions(spark, d):
+    return _reviewed(spark, d)[0]
+
+
+@query("campaign_decided_candidates")
+def q_campaign_decided_candidates(spark, d):
+    return _reviewed(spark, d)[1].select("approval_id", "customer_id", "discount", "offer")
+
+
+@query("campaign_list")
+def q_campaign_list(spark, d):
+    return cp.campaign_list(_reviewed(spark, d)[0])
+
+
+@query("campaign_list_approved")
+def q_campaign_list_approved(spark, d):
+    return cp.campaign_list(_reviewed(spark, d)[0], "approved")
+
+
+@query("campaign_latest")
+def q_campaign_latest(spark, d):
+    return cp.campaign_latest(_reviewed(spark, d)[0]).select("thread_id", "approval_id", "status", "candidate_count")
+
+
+@query("status_check")
+def q_status_check(spark, d):
+    return cp.status_violations(_reviewed(spark, d)[0].select(
+        F.when(F.col("reviewer") == "r3", F.lit("lost")).otherwise(F.col("status")).alias("status")))
+
+
 @query("conversation_history")
 def q_conversation_history(spark, d):
     return cp.conversation_history(TD.messages(spark, d))
@@ -811,8 +876,23 @@ def q_message_role_check(spark, d):
 
 @query("conversation_append")
 def q_conversation_append(spark, d):
+    return _appended(spark, d)[1]
+
+
+@query("thread_upsert")
+def q_thread_upsert(spark, d):
+    return _appended(spark, d)[0]
+
+
+def _appended(spark, d):
+    """Threads known from their first turns; later turns come in with the
+    customer they speak of (every fourth speaks of none)."""
     m = TD.messages(spark, d)
-    return cp.conversation_append(m.filter(F.col("turn") <= 1), m.filter(F.col("turn") > 1))
+    key = F.col("thread_id").cast("bigint")
+    old, new = m.filter(F.col("turn") < 1), m.filter(F.col("turn") >= 1)
+    threads = old.select("thread_id", F.when(key % 2 == 0, F.concat(F.lit("c"), "thread_id")).alias("customer_id")).distinct()
+    named = new.withColumn("customer_id", F.when(F.col("turn") % 4 != 1, F.concat(F.lit("n"), "thread_id", F.lit("."), F.col("turn").cast("string"))))
+    return cp.conversation_append(threads, old, named)
 
 
 @query("thread_cascade_delete")
@@ -821,8 +901,14 @@ def q_thread_cascade_delete(spark, d):
     # threads whose conversation never got an answer are deleted
     answered = m.filter(F.col("role") == "ai").select("thread_id").distinct()
     unanswered = m.select("thread_id").distinct().join(answered, "thread_id", "left_anti")
-    kept, _ = cp.thread_cascade_delete(m, None, unanswered)
-    return kept
+    kept, approvals = cp.thread_cascade_delete(m, _thread_approvals(m), unanswered)
+    return (kept.select("thread_id", F.lit("message").alias("kind"), "turn", "role")
+            .unionByName(approvals.select("thread_id", F.lit("approval").alias("kind"), "turn", "role")))
+
+
+def _thread_approvals(m):
+    """One approval for each thread, as of its last turn."""
+    return m.groupBy("thread_id").agg(F.max("turn").alias("turn"), F.lit("pending").alias("role"))
 
 
 # ---------------------------------------------------------------- sources / sinks
@@ -831,23 +917,21 @@ from retailspark.sources import retail as RT  # noqa: E402
 
 def _stage_path(spark, d, name):
     ws = P.ws(spark, d)
-    return f"{ws._root_dir()}/{name}"
+    return ws.path(name)
 
 
 @query("src_raw_csv")
 def q_src_raw_csv(spark, d):
     path = _stage_path(spark, d, "raw_csv")
     ws = P.ws(spark, d)
-    if "raw_csv" not in ws._paths:
-        RT.write_csv(P.raw(spark, d), path)
-        ws._paths["raw_csv"] = path
+    ws.once("raw_csv", lambda: RT.write_csv(P.raw(spark, d), path))
     return RT.load_raw(spark, path)
 
 
 @query("src_clean_parquet")
 def q_src_clean_parquet(spark, d):
     P.tx(spark, d)  # make sure the phase output exists
-    return RT.load_clean(spark, P.ws(spark, d)._paths["transactions_clean"])
+    return RT.load_clean(spark, P.ws(spark, d).path("transactions_clean"))
 
 
 @query("sink_rules")
@@ -869,7 +953,52 @@ def q_load_all(spark, d):
 @query("tbl_passthrough")
 def q_tbl_passthrough(spark, d):
     q_load_all(spark, d).collect()  # 6 rows
-    return spark.read.parquet(_stage_path(spark, d, "serving") + "/products")
+    root = _stage_path(spark, d, "serving")
+    cols = {"products": ["stock_code", "revenue"], "monthly": ["month", "revenue"],
+            "country": ["country", "revenue"], "customer_top_product": ["customer_id", "revenue"]}
+    out = None
+    for name, (key, value) in cols.items():
+        t = spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("table"), F.col(key).alias("key"), F.col(value).alias("value"))
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+def _round_trip(spark, d, name, df):
+    """Write a phase output and read it back."""
+    path = _stage_path(spark, d, name)
+    RT.write_table(df, path)
+    return spark.read.parquet(path)
+
+
+@query("sink_clean")
+def q_sink_clean(spark, d):
+    return _round_trip(spark, d, "out/transactions_clean", P.tx(spark, d))
+
+
+@query("sink_segments")
+def q_sink_segments(spark, d):
+    return _round_trip(spark, d, "out/customer_segments", P.scored(spark, d))
+
+
+@query("sink_clv")
+def q_sink_clv(spark, d):
+    return _round_trip(spark, d, "out/customer_clv", _round_doubles(P.customer_clv(spark, d, fixed=True).drop("ClusterName")))
+
+
+@query("sink_scores")
+def q_sink_scores(spark, d):
+    return _round_trip(spark, d, "out/propensity_scores", P.fixed_scores(spark, d))
+
+
+@query("sink_summaries")
+def q_sink_summaries(spark, d):
+    frames = {"products": (P.products(spark, d), "stock_code"), "monthly": (P.monthly(spark, d), "month"),
+              "country": (P.country(spark, d), "country"), "customer_top_product": (P.customer_top_product(spark, d), "customer_id")}
+    out = None
+    for name, (df, key) in frames.items():
+        back = _round_trip(spark, d, f"out/{name}", df).select(F.lit(name).alias("table"), F.col(key).alias("key"), "revenue")
+        out = back if out is None else out.unionByName(back)
+    return out
 
 
 @query("json_draft")

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on for correct semantics (not for speed).
 SEMANTIC_CONF = {
@@ -51,19 +52,29 @@ def apply_semantic_conf(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.conf.get("spark.checkpoint.dir", None)
-
-
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the session's ``spark.checkpoint.dir``; only when it is unset (tests,
-    local runs) fall back to a fresh scratch folder under /tmp."""
-    d = checkpoint_dir(spark)
+    """The folder that the cluster shares, from ``spark.checkpoint.dir``.
+
+    Only a ``local`` master (tests, one machine: driver and tasks are one
+    process) may leave it unset; a scratch folder is then made and set.  On a
+    cluster a machine-local folder would be a different disk on every
+    executor, so there it is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="retailspark-ckpt-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        d = tempfile.mkdtemp(prefix="retailspark-shared-")
+        spark.conf.set("spark.checkpoint.dir", d)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(d)
+    return d.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends
+    there, and a lost executor's work is repeated from the written table."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/retailspark/{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

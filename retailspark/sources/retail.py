@@ -32,13 +32,17 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jpath)
 
 
-def load_raw(spark: SparkSession, path: str) -> DataFrame:
-    """CSV scan with the fixed raw schema; a missing file is an error."""
+def load_raw(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """CSV scan with the fixed raw schema; a missing file is an error.  Quoted
+    fields hold commas and doubled quotes as RFC 4180 has them; ``multi_line``
+    lets them hold line breaks (a file is then read by one task)."""
     if not _exists(spark, path):
         raise FileNotFoundError(f"raw data not found at {path}")
     return (spark.read.schema(RAW_SCHEMA)
             .option("header", True)
             .option("mode", "FAILFAST")
+            .option("quote", '"').option("escape", '"')
+            .option("multiLine", multi_line)
             .csv(path))
 
 
@@ -46,8 +50,8 @@ def load_clean(spark: SparkSession, path: str) -> DataFrame:
     """Parquet scan of the cleaned table; missing → error naming the producer."""
     if not _exists(spark, path):
         raise FileNotFoundError(
-            f"clean transactions not found at {path}; run the cleaning step "
-            "(retailspark.plans.pipeline.write_clean) first")
+            f"clean transactions not found at {path}; write the result of "
+            "retailspark.operators.clean.clean_transactions there first")
     return spark.read.parquet(path)
 
 
@@ -58,20 +62,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV sink with header (campaign export)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def load_all(spark: SparkSession, frames: dict, root: str) -> DataFrame:
-    """Replace every serving table (parquet under ``root``, plus a temp view
-    of the same name) and return (table, rows) read back from what was
-    written."""
+def load_all(spark: SparkSession, frames: dict, root: str, view_prefix: str | None = None) -> DataFrame:
+    """Replace every serving table (parquet under ``root``) and return
+    (table, rows) read back from what was written.  With ``view_prefix`` each
+    gets a temp view, named by the prefix and the table."""
     from pyspark.sql import functions as F
     counts = None
     for name, df in frames.items():
         path = f"{root.rstrip('/')}/{name}"
         df.write.mode("overwrite").parquet(path)
         back = spark.read.parquet(path)
-        back.createOrReplaceTempView(name)
+        if view_prefix is not None:
+            back.createOrReplaceTempView(f"{view_prefix}{name}")
         c = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
         counts = c if counts is None else counts.unionByName(c)
     return counts

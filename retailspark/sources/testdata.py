@@ -63,10 +63,11 @@ def retail_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_custkey") % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).alias("Customer ID"),
         F.col("n_name").alias("Country"),
-        F.col("l_orderkey"), F.col("l_linenumber"),
+        # some lines occur twice; one pass emits the copies
+        F.explode(F.array_repeat(F.lit(1), F.when((F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1), 2)
+                                 .otherwise(1))).alias("_copy"),
     )
-    dup = raw.filter((F.col("l_orderkey") % 50 == 0) & (F.col("l_linenumber") == 1))
-    return raw.unionByName(dup).drop("l_orderkey", "l_linenumber")
+    return raw.drop("_copy")
 
 
 def purchase_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +80,17 @@ def purchase_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("value").alias("TotalPrice")))
 
 
+def nation_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the buyer's nation as the customer: very heavy buyers."""
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return od.join(cu, od.o_custkey == cu.c_custkey).select(
+        F.col("c_nationkey").cast("string").alias("CustomerID"),
+        F.col("o_orderkey").cast("string").alias("InvoiceNo"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("InvoiceDate"),
+        F.col("o_totalprice").alias("TotalPrice"))
+
+
 def basket_items(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> DataFrame:
     """(InvoiceNo, StockCode) with an order as basket and a part attribute as
     item (``p_type`` gives frequent triples, ``p_brand`` many pairs)."""
@@ -91,10 +103,40 @@ def basket_items(spark: SparkSession, sf_dir: str, attr: str = "p_type") -> Data
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chat messages: role user→human, every other role→ai."""
+    """Chat messages: user → human, assistant → ai, any other role as it is."""
     cv = table(spark, sf_dir, "conversations")
+    role = F.col("role")
     return cv.select(
         F.col("conv_id").cast("string").alias("thread_id"),
         F.col("turn"),
-        F.when(F.col("role") == "user", F.lit("human")).otherwise(F.lit("ai")).alias("role"),
+        F.when(role == "user", F.lit("human")).when(role == "assistant", F.lit("ai")).otherwise(role).alias("role"),
         F.col("text").alias("content"))
+
+
+#: The countries that the 25 nations of the test tables stand for, by n_nationkey.
+COUNTRIES = ("United Kingdom", "EIRE", "Netherlands", "Germany", "France", "Australia", "Spain", "Switzerland",
+             "Sweden", "Denmark", "Belgium", "Portugal", "Japan", "Norway", "Italy", "Finland", "Cyprus",
+             "Austria", "Greece", "Singapore", "Unspecified", "European Community", "USA", "Canada", "Brazil")
+
+
+def country_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_name → country (25 rows)."""
+    names = F.array(*[F.lit(c) for c in COUNTRIES])
+    na = table(spark, sf_dir, "nation")
+    return na.select(F.col("n_name").alias("country"), F.element_at(names, (F.col("n_nationkey") % 25 + 1).cast("int")).alias("name"))
+
+
+def decision_log(spark: SparkSession, sf_dir: str, approvals: int) -> DataFrame:
+    """A review log from ``orders``: each order is one decision on approval
+    (o_custkey mod ``approvals``); it leaves out its own customer and gives the
+    next one 5 %."""
+    od = table(spark, sf_dir, "orders")
+    act = F.col("o_orderkey") % 5
+    return od.select(
+        (F.col("o_custkey") % approvals).alias("approval_id"),
+        F.when(act == 0, "approved").when(act == 1, "rejected").otherwise("revised").alias("action"),
+        F.concat(F.lit("r"), (F.col("o_orderkey") % 7).cast("string")).alias("reviewer"),
+        F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("review_note"),
+        F.timestamp_add("MINUTE", F.col("o_orderkey") % 1440, F.col("o_orderdate").cast("timestamp_ntz")).alias("decided_at"),
+        F.array(F.col("o_custkey").cast("string")).alias("excluded"),
+        F.create_map((F.col("o_custkey") + 1).cast("string"), F.lit(0.05)).alias("overrides"))

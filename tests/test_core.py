@@ -78,14 +78,33 @@ def test_rfm_bins_match_quantile_cut_of_ranks(spark, n):
     assert got == want
 
 
-def test_global_rank_multi_bucket_equals_single_window(spark):
+@pytest.mark.parametrize("partitions", [1, 3, 17])
+@pytest.mark.parametrize("ascending", [True, False])
+def test_global_rank_equals_one_sort(spark, partitions, ascending):
+    """Heavy ties and NULLs: first in ascending, last in descending order."""
     from retailspark.functions.rank import SortKey, with_global_rank
-    rows = [(f"c{i:04d}", i % 7) for i in range(500)]  # heavy ties on the value
+    rows = [(f"c{i:04d}", None if i % 5 == 0 else i % 7) for i in range(300)]
     df = spark.createDataFrame(rows, "id string, v int")
-    r = with_global_rank(df, [SortKey("v"), SortKey("id")], "r", rows_per_bucket=60)
+    r = with_global_rank(df, [SortKey("v", ascending), SortKey("id")], "r", partitions)
+    assert dict(r.dtypes)["r"] == "bigint"
     got = {x.id: x.r for x in r.collect()}
-    want = {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=lambda t: (t[1], t[0])))}
-    assert got == want
+    def key(t):
+        null = t[1] is None
+        return (not null, t[1] or 0, t[0]) if ascending else (null, -(t[1] or 0), t[0])
+    assert got == {k: i + 1 for i, (k, _) in enumerate(sorted(rows, key=key))}
+
+
+def test_global_rank_of_nothing(spark):
+    from retailspark.functions.rank import SortKey, with_global_rank
+    df = spark.createDataFrame([], "id string, v int")
+    assert with_global_rank(df, [SortKey("v"), SortKey("id")], "r").collect() == []
+
+
+def test_quantile_bins_of_billions(spark):
+    """No INT overflow: the last of 5e9 customers is in the top bin."""
+    df = spark.createDataFrame([(1,), (2_500_000_000,), (5_000_000_000,)], "rank bigint")
+    n = F.lit(5_000_000_000)
+    assert [r.b for r in df.select(rfm.quantile_bin(F.col("rank"), n).alias("b")).collect()] == [1, 3, 5]
 
 
 def test_score_segments_grid(spark):
@@ -94,7 +113,7 @@ def test_score_segments_grid(spark):
     data = [(f"{i:03d}", random.randint(1, 400), random.randint(1, 30), random.uniform(10, 5000))
             for i in range(200)]
     df = spark.createDataFrame(data, "CustomerID string, Recency int, Frequency bigint, Monetary double")
-    s = rfm.score_rfm(df, rows_per_bucket=50).collect()
+    s = rfm.score_rfm(df, partitions=4).collect()
     assert all(1 <= r.R <= 5 and 1 <= r.F <= 5 and 1 <= r.M <= 5 and 1 <= r.FM <= 5 for r in s)
     assert all(r.Segment is not None and r.Action is not None for r in s)
     summ = rfm.summarize_segments(spark.createDataFrame(s)).collect()
@@ -174,20 +193,69 @@ def test_discount_tiers_and_revision(spark):
     assert empty["count"] == 0 and empty["avg_predicted_clv"] == 0.0
 
 
-def test_campaign_decisions(spark):
-    appr = spark.createDataFrame([
-        ("t1", "{}", 3, "pending", None, None, None, ts("2024-01-01 00:00:00")),
-        ("t2", "{}", 2, "pending", None, None, None, ts("2024-01-01 00:00:00")),
-        ("t3", "{}", 1, "pending", None, None, None, ts("2024-01-01 00:00:00"))],
-        "thread_id string, brief string, candidate_count int, status string, reviewer string, "
-        "review_note string, decided_at timestamp_ntz, created_at timestamp_ntz")
+def test_campaign_review(spark):
+    """revise → approve, approve → revise, reject, two drafts a thread, no decision."""
+    rows = [(a, f"t{a // 2}", ts(f"2024-01-0{a + 1} 00:00:00"), f"C{i}", "At Risk", 100.0 * i, 0.2, None)
+            for a in range(5) for i in range(1, 4)]
+    cands = spark.createDataFrame(rows, "approval_id bigint, thread_id string, created_at timestamp_ntz, customer_id string, "
+                                        "segment string, predicted_clv double, discount double, offer string")
+    drafts = campaign.campaign_drafts(cands)
+    assert {r.approval_id: r.candidate_count for r in drafts.collect()} == {a: 3 for a in range(5)}
     dec = spark.createDataFrame([
-        ("t1", "revised", "bob", "drop C6", ts("2024-01-02 00:00:00")),
-        ("t1", "approved", "alice", "ok", ts("2024-01-03 00:00:00")),
-        ("t2", "rejected", "carol", "no", ts("2024-01-02 00:00:00"))],
-        "thread_id string, action string, reviewer string, review_note string, decided_at timestamp_ntz")
-    got = {r.thread_id: (r.status, r.reviewer) for r in campaign.campaign_decisions(appr, dec).collect()}
-    assert got == {"t1": ("approved", "alice"), "t2": ("rejected", "carol"), "t3": ("pending", None)}
+        (0, "revised", "bob", "drop C3", ts("2024-01-02 00:00:00"), ["C3"], {"C1": 0.05}),
+        (0, "revised", "bob", "less", ts("2024-01-02 01:00:00"), [], {"C1": 0.07}),
+        (0, "approved", "alice", "ok", ts("2024-01-03 00:00:00"), [], {}),
+        (0, "rejected", "eve", "late", ts("2024-01-04 00:00:00"), ["C1"], {}),
+        (1, "approved", "alice", "fine", ts("2024-01-03 00:00:00"), None, None),
+        (1, "revised", "bob", "too late", ts("2024-01-05 00:00:00"), ["C1", "C2", "C3"], {}),
+        (2, "rejected", "carol", "no", ts("2024-01-02 00:00:00"), [], {}),
+        (3, "revised", "dan", "all", ts("2024-01-02 00:00:00"), ["C1", "C2", "C3"], {}),
+        (9, "approved", "x", "unknown", ts("2024-01-02 00:00:00"), [], {})],
+        "approval_id bigint, action string, reviewer string, review_note string, decided_at timestamp_ntz, "
+        "excluded array<string>, overrides map<string,double>")
+    after, left = campaign.campaign_decisions(drafts, cands, dec)
+    got = {r.approval_id: (r.status, r.reviewer, r.review_note, r.candidate_count) for r in after.collect()}
+    assert got == {0: ("approved", "alice", "ok", 2), 1: ("approved", "alice", "fine", 3), 2: ("rejected", "carol", "no", 3),
+                   3: ("pending", None, "all", 0), 4: ("pending", None, None, 3)}
+    briefs = {r.approval_id: r.brief for r in after.collect()}
+    assert "喚醒 2 位" in briefs[0] and "喚醒 0 位" in briefs[3] and "喚醒 3 位" in briefs[4]
+    kept = {(r.approval_id, r.customer_id): r.discount for r in left.collect()}
+    assert kept[0, "C1"] == 0.07 and kept[0, "C2"] == 0.2 and (0, "C3") not in kept and (1, "C1") in kept
+    assert not any(a == 3 for a, _ in kept)
+    again, _ = campaign.campaign_decisions(after, left, dec)  # decided rows stay as they are
+    assert {r.approval_id: r.status for r in again.collect()} == {k: v[0] for k, v in got.items()}
+    assert {r.thread_id: r.approval_id for r in campaign.campaign_latest(after).collect()} == {"t0": 1, "t1": 3, "t2": 4}
+    assert [r.approval_id for r in campaign.campaign_list(after, "pending").collect()] == [4, 3]
+    assert len(campaign.campaign_list(after, limit=2).collect()) == 2
+
+
+def test_conversation_append_upserts_threads(spark):
+    threads = spark.createDataFrame([("a", "c1"), ("b", None)], "thread_id string, customer_id string")
+    cols = "thread_id string, turn int, role string, content string"
+    old = spark.createDataFrame([("a", 0, "human", "hi")], cols)
+    new = spark.createDataFrame([("a", 1, "ai", "x", None), ("b", 2, "ai", "y", "late"), ("b", 1, "ai", "z", "c2"), ("n", 0, "human", "q", None)],
+                                cols + ", customer_id string")
+    t, m = campaign.conversation_append(threads, old, new)
+    assert {r.thread_id: r.customer_id for r in t.collect()} == {"a": "c1", "b": "c2", "n": None}
+    assert m.count() == 5
+    pos = [(r.thread_id, r.position, r.content) for r in campaign.conversation_history(m).orderBy("thread_id", "position").collect()]
+    assert pos == [("a", 1, "hi"), ("a", 2, "x"), ("b", 1, "z"), ("b", 2, "y"), ("n", 1, "q")]
+
+
+def test_violations_are_found(spark):
+    df = spark.createDataFrame([("human",), ("robot",), (None,), ("robot",)], "role string")
+    assert {r.value: r.rows for r in campaign.role_violations(df).collect()} == {"robot": 2, None: 1}
+    assert campaign.status_violations(spark.createDataFrame([("pending",), ("done",)], "status string")).collect()[0].value == "done"
+
+
+def test_offer_limit_is_checked(spark):
+    from retailspark.operators import serving
+    rules = spark.createDataFrame([], "antecedents_codes string, consequents_codes string, antecedents string, consequents string, "
+                                      "lift double, support double, confidence double")
+    for bad in (0, 21):
+        with pytest.raises(ValueError):
+            serving.offers_per_antecedent(rules, bad)
+    assert serving.offers_per_antecedent(rules, 20).collect() == []
 
 
 def test_bgnbd_recovers_parameters(spark):
@@ -242,3 +310,110 @@ def test_choose_k_window(spark):
                                [0.9, 0.5, 0.7, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05])],
                               "k int, inertia double, silhouette double")
     assert kmeans.choose_k(m).first()["k"] == 4
+
+
+@pytest.mark.parametrize("t,x,T,want", [(180.0, 600.0, 700.0, 133.7967), (180.0, 700.0, 739.0, 148.8727),
+                                        (365.25, 500.0, 700.0, 215.6364)])
+def test_expected_purchases_of_heavy_buyers(spark, t, x, T, want):
+    df = spark.createDataFrame([(x, T - 1.0, T)], "x double, tx double, T double")
+    got = df.select(clv.expected_purchases(t, clv.BGNBD(*clv.FIXED_BG), F.col("x"), F.col("tx"), F.col("T"))).first()[0]
+    assert abs(got - want) < 1e-4
+
+
+def expected_by_integral(t, bg, x, tx, T, steps=4000):
+    """E[purchases] from its definition, by quadrature over the dropout
+    probability p and the closed-form mean given (lambda integrated out)."""
+    import numpy as np
+    r, al, a, b = bg
+    if x == 0:
+        return None
+    # posterior of being alive, then E over p of (1 - ((al+T)/(al+T+t))**(r+x) tail) by simulation-free sum over
+    # the geometric dropout: E[Y | p, lambda] = (1 - exp(-lambda p t)) / p, lambda ~ Gamma(r+x, al+T), p ~ Beta(a, b+x)
+    u, w = np.polynomial.legendre.leggauss(steps)
+    p = (u + 1) / 2
+    from math import lgamma, exp, log
+    logbeta = lgamma(a) + lgamma(b + x) - lgamma(a + b + x)
+    dens = np.exp((a - 1) * np.log(p) + (b + x - 1) * np.log1p(-p) - logbeta)
+    mean = (1 - ((al + T) / (al + T + p * t)) ** (r + x)) / p
+    alive = 1 / (1 + a / (b + x - 1) * ((al + T) / (al + tx)) ** (r + x))
+    return float((w / 2 * dens * mean).sum() * alive)
+
+
+@pytest.mark.parametrize("bg", [(0.67, 64.0, 2.5, 1.2), (0.3, 10.0, 3.0, 4.0), (1.5, 200.0, 1.5, 0.9)])
+def test_expected_purchases_equal_their_integral(spark, bg):
+    rows = [(1.0, 3.0, 40.0), (7.0, 90.0, 100.0), (40.0, 300.0, 310.0), (300.0, 500.0, 510.0)]
+    df = spark.createDataFrame(rows, "x double, tx double, T double")
+    for t in (30.0, 365.25):
+        got = [r[0] for r in df.select(clv.expected_purchases(t, clv.BGNBD(*bg), F.col("x"), F.col("tx"), F.col("T"))).collect()]
+        for g, row in zip(got, rows):
+            assert abs(g - expected_by_integral(t, bg, *row)) < 1e-4 * max(1, g)
+
+
+def test_series_length_follows_the_tolerance():
+    from retailspark.functions.special import terms_needed
+    assert terms_needed(1.03, -0.5, 0.7, 0.2) < 40 < terms_needed(1.03, -0.5, 0.7, 0.85) < 400
+    with pytest.raises(ValueError):
+        terms_needed(1.0, 1.0, 1.0, 1.0)
+
+
+def test_negative_counts_stop_the_job(spark):
+    df = spark.createDataFrame([(-0.5,)], "v double")
+    with pytest.raises(Exception, match="negative expected purchases"):
+        df.select(clv._checked(F.col("v"))).collect()
+    assert spark.createDataFrame([(-1e-9,)], "v double").select(clv._checked(F.col("v"))).first()[0] == 0.0
+
+
+def test_optimiser_reports_convergence():
+    import numpy as np
+    from retailspark.functions.optim import bfgs
+    def fg(x):
+        return float(((x - 3) ** 2).sum()), 2 * (x - 3)
+    x, f, it, ok = bfgs(fg, np.array([0.0, 10.0]))
+    assert ok and np.allclose(x, 3)
+    assert bfgs(lambda x: (float(np.exp(-x[0])), -np.exp(-x)), np.array([0.0]), max_iter=2, ftol=0.0)[3] is False
+
+
+def test_customer_ids_are_whole_numbers_or_null(spark):
+    given = ["13085.0", " 42 ", "007", "1.3085E4", "NaN", "1e30", "13085.7", "13085.00004", "abc", "", None,
+             "9007199254740993", "12345678901234567890123.0", "Infinity", "+5", "-3."]
+    df = spark.createDataFrame([(x,) for x in given], "CustomerID string")
+    got = [r[0] for r in clean.normalize_customer_id(df).collect()]
+    assert got == ["13085", "42", "7", "13085", None, None, None, None, None, None, None,
+                   "9007199254740993", "12345678901234567890123", None, "5", "-3"]
+
+
+def test_csv_with_doubled_quotes(spark, tmp_path):
+    from retailspark.sources import retail
+    f = tmp_path / "raw.csv"
+    f.write_text('Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n'
+                 '489434,85048,"SET OF 3 ""LOVE"", RED",12,2009-12-01 07:45:00,6.95,13085.0,United Kingdom\n'
+                 '489435,85049,"back\\slash",1,2009-12-01 07:45:00,1.5,,EIRE\n')
+    rows = retail.load_raw(spark, str(f)).collect()
+    assert rows[0].Description == 'SET OF 3 "LOVE", RED' and rows[0].Quantity == 12
+    assert rows[1].Description == "back\\slash" and rows[1]["Customer ID"] is None
+    out = str(tmp_path / "again")
+    retail.write_csv(spark.createDataFrame(rows, RAW_SCHEMA), out)
+    assert sorted(retail.load_raw(spark, out).collect()) == sorted(rows)
+    (tmp_path / "lines.csv").write_text('Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n'
+                                        '1,2,"a\nb",1,2009-12-01 07:45:00,1.5,3,EIRE\n')
+    assert retail.load_raw(spark, str(tmp_path / "lines.csv"), multi_line=True).first().Description == "a\nb"
+
+
+def test_stages_follow_their_input(spark, tmp_path):
+    from retailspark.plans.stages import Stages
+    spark.range(3).write.parquet(str(tmp_path / "in" / "t.parquet"))
+    a = Stages.of(spark, str(tmp_path / "in"))
+    assert Stages.of(spark, str(tmp_path / "in")) is a
+    spark.range(9).write.mode("overwrite").parquet(str(tmp_path / "in" / "t.parquet"))
+    assert Stages.of(spark, str(tmp_path / "in")) is not a
+    own = Stages(spark, str(tmp_path / "in"), root=str(tmp_path / "out"))
+    own.table("x", lambda: spark.range(4))
+    assert spark.read.parquet(str(tmp_path / "out" / "x")).count() == 4
+
+
+def test_probing_an_id_twice_answers_twice(spark):
+    from retailspark.operators import serving
+    known = spark.createDataFrame([("a",), ("a",), ("b",)], "customer_id string")
+    probes = spark.createDataFrame([("a",), ("a",), ("a",), ("z",)], "customer_id string")
+    got = sorted(tuple(r) for r in serving.customer_exists(known, probes).collect())
+    assert got == [("a", True)] * 3 + [("z", False)]
