@@ -30,43 +30,43 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .arrowtext import pieces
-from .common import release, shared_dir, stored
+from .common import shared_dir, stored
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 18
 _HEAD = struct.Struct("<4sIIQQ")
-#: The four lengths that a control byte stands for.
-_LENGTHS = np.stack([(np.arange(256) >> 2 * i & 3) + 1 for i in range(4)], 1).astype(np.int64)
+#: How many bytes beside the first the four values of a control byte take.
+_MORE = np.stack([np.arange(256) >> 2 * i & 3 for i in range(4)], 1).astype(np.uint8)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of values below 2**32."""
     v = values.astype(np.uint32)
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    code = (v > 0xFF).view(np.uint8)
+    if len(v) and v.max() > 0xFFFF:
+        code = code + (v > 0xFFFF) + (v > 0xFFFFFF)
     four = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     four[:len(v)] = code
     control = four[0::4] | four[1::4] << 2 | four[2::4] << 4 | four[3::4] << 6
-    end = np.cumsum(code.astype(np.int64) + 1)
-    at = end - code - 1
-    data = np.zeros(int(end[-1]) if len(v) else 0, np.uint8)
-    for i in range(4):
-        some = code >= i
-        if i and not some.any():
-            break
+    at = np.arange(len(v))
+    at[1:] += np.cumsum(code[:-1], dtype=np.int64)
+    data = np.zeros(len(v) + int(code.sum(dtype=np.int64)), np.uint8)
+    data[at] = v
+    for i in range(1, int(code.max(initial=0)) + 1):
+        some = np.flatnonzero(code >= i)
         data[at[some] + i] = v[some] >> np.uint32(8 * i)
     return control.tobytes(), data.tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values back, by table look-up."""
-    lengths = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    at = np.cumsum(lengths) - lengths
+    more = _MORE[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
+    at = np.arange(n)
+    at[1:] += np.cumsum(more[:-1], dtype=np.int64)
     raw = np.frombuffer(data, np.uint8)
     out = raw[at].astype(np.uint32)
-    for i in range(1, 4):
-        some = lengths > i
-        if not some.any():
-            break
+    for i in range(1, int(more.max(initial=0)) + 1):
+        some = np.flatnonzero(more >= i)
         out[some] |= raw[at[some] + i].astype(np.uint32) << np.uint32(8 * i)
     return out
 
@@ -155,7 +155,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     raw = stored(ordered.mapInArrow(_raw_blocks(tokenizer, end_id), "part int, block int, n_tokens long, doc_ids array<long>, lengths binary, ids binary"), "ids")
-    release(spark)  # the sorted texts are of no more use
     counts = raw.select("n_tokens", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = counts.sort_by([("n", "descending"), ("id", "ascending")])
     ids = counts.column("id").to_numpy()
