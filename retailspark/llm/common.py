@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import tempfile
 import uuid
@@ -13,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Settings for the time of one write in ``stored``; the caller's come back after it.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608b"}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -36,20 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends
-    there, and a lost executor's work is repeated from the written table."""
+    there, and a lost executor's work is repeated from the written table.  The
+    shuffle files of the write, which nothing reads any more, go with its end
+    (else they stay until the driver's JVM happens to collect its garbage), and
+    Arrow batches are kept small while it runs, for the Python workers' memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    try:
+        for k, v in _WRITING.items():
+            spark.conf.set(k, v)
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished phases (it works
-    when the driver's JVM collects its garbage, which may take long to happen)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def partitions_for(rows: int, each: int = 200_000) -> int:
     return max(1, math.ceil(rows / each))
 

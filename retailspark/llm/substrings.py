@@ -11,10 +11,11 @@ is dropped; neighbouring N-windows mostly share their representative, so about
 2 / (N - length + 2) of all words are sent to be counted.  At length N every
 window that is still a candidate is counted itself, by 96 bits of hash.
 
-Counting is an aggregation by hash with partial sums, and a semi-join back; a
-sequence that stands in a third of all documents is one row for each of them,
-split by adaptive execution like any skewed join.  No list is gathered but the
-repeated hashes of one document.
+Counting is one aggregation by hash with partial sums.  A window that occurs
+once has one owner, which the aggregation carries along (as a minimum), so the
+single windows go straight back to their documents and what is left repeats;
+a sequence that stands in a third of all documents sends nothing back.  No
+list is gathered but the single windows of one document.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import Words, pieces, raw, windows
-from .common import release, stored
+from .common import stored
 
 
 def levels(n: int, least: int = 9) -> list[int]:
@@ -100,12 +101,13 @@ class Candidates:
         first = np.flatnonzero(new)
         return text[first], h[first].view(np.int64), second[first], np.diff(np.append(first, len(h))).astype(np.int32)
 
-    def narrow(self, length: int, repeated: list[np.ndarray]) -> None:
-        """Keep the candidates whose representative (or, at length N, who themselves) repeat."""
+    def narrow(self, length: int, single: list[np.ndarray]) -> None:
+        """Drop the candidates whose representative (at length N: who themselves) occur once."""
         _, least = self.representatives(length)
-        for i, some in enumerate(repeated):
-            a, b = self.words.first[i], self.words.first[i + 1]
-            self.ok[a:b] &= np.isin(least[a:b], some.view(np.uint64)) if len(some) else False
+        for i, some in enumerate(single):
+            if len(some):
+                a, b = self.words.first[i], self.words.first[i + 1]
+                self.ok[a:b] &= ~np.isin(least[a:b], some.view(np.uint64))
 
     def masks(self) -> list[bytes | None]:
         """The candidates of each text as packed bits; None if there is none."""
@@ -147,7 +149,7 @@ def _emit(n: int, length: int):
 
 
 def _narrow(n: int, length: int, digest: bool, names: list[str]):
-    """Rows (carried columns, dk, dk2, text, mask, repeated) to the same with
+    """Rows (carried columns, dk, dk2, text, mask, single) to the same with
     the new masks, or with their result where no candidate is left (and, at
     length ``n``, with the result of all)."""
     at = {c: i for i, c in enumerate(names)}
@@ -156,15 +158,10 @@ def _narrow(n: int, length: int, digest: bool, names: list[str]):
         for batch in batches:
             for part in pieces(batch, "text"):
                 texts = part.column(at["text"]).to_pylist()
-                lists = [np.array(x if x is not None else [], np.int64) for x in part.column(at["repeated"]).to_pylist()]
-                masks, hits = [None] * len(texts), [None] * len(texts)
-                live = [i for i, x in enumerate(lists) if len(x)]
-                if live:
-                    rows = part.take(pa.array(live, pa.int64()))
-                    c = Candidates(Words(*raw(rows.column(at["text"]))), n, rows.column(at["mask"]).to_pylist())
-                    c.narrow(length, [lists[i] for i in live])
-                    for i, m, hit in zip(live, c.masks(), c.covered()):
-                        masks[i], hits[i] = m, hit
+                c = Candidates(Words(*raw(part.column(at["text"]))), n, part.column(at["mask"]).to_pylist())
+                c.narrow(length, [np.array(x if x is not None else [], np.int64) for x in part.column(at["single"]).to_pylist()])
+                masks = c.masks()
+                hits = c.covered() if length == n else masks
                 done = [length == n or m is None for m in masks]
                 got = [_result(t, hit if length == n else None, digest) if d else (None, None, None) for t, hit, d in zip(texts, hits, done)]
                 words, removed, result = zip(*got)
@@ -189,21 +186,19 @@ def remove_repeats(docs: DataFrame, n: int = 35, carry: Sequence[str] = ("doc_id
     Window hashes are 64 bits below length ``n`` (a collision only keeps a
     candidate) and 96 bits at length ``n``.
     """
-    spark = docs.sparkSession
     key = [F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias("dk"), F.hash(F.col("doc_id"), F.col("text")).alias("dk2")]
     row = F.struct(*[F.col(c).alias(c) for c in carry]).alias("row")
     state = docs.select(row, *key, "text", F.lit(None).cast("binary").alias("mask"))
     finished = []
     for length in levels(n):
-        seen = stored(state.select("dk", "dk2", "text", "mask").mapInArrow(_emit(n, length), "h long, h2 int, dk long, dk2 int, times int"), f"windows_{length}")
-        repeated = seen.groupBy("h", "h2").agg(F.sum("times").alias("t")).filter("t > 1").select("h", "h2")
-        lists = seen.join(repeated, ["h", "h2"], "left_semi").groupBy("dk", "dk2").agg(F.collect_set("h").alias("repeated"))
-        joined = state.join(lists.hint("shuffle_hash"), ["dk", "dk2"], "left").select("row", "dk", "dk2", "text", "mask", "repeated")
+        seen = state.select("dk", "dk2", "text", "mask").mapInArrow(_emit(n, length), "h long, h2 int, dk long, dk2 int, times int")
+        counts = seen.groupBy("h", "h2").agg(F.sum("times").alias("t"), F.min("dk").alias("dk"), F.min("dk2").alias("dk2"))
+        lists = counts.filter("t = 1").groupBy("dk", "dk2").agg(F.collect_list("h").alias("single"))
+        joined = state.join(lists.hint("shuffle_hash"), ["dk", "dk2"], "left").select("row", "dk", "dk2", "text", "mask", "single")
         schema = f"row {state.schema['row'].dataType.simpleString()}, {_STATE}"
         after = joined.mapInArrow(_narrow(n, length, digest, joined.columns), schema)
         if length < n:
             after = stored(after, f"state_{length}")
-            release(spark)
             state = after.filter(F.col("mask").isNotNull()).select("row", "dk", "dk2", "text", "mask")
             after = after.filter(F.col("mask").isNull())
         finished.append(after.select("row", "n_words", "n_removed", "result"))
