@@ -119,8 +119,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         out.append(({int(n): int(k) for n, k in zip(lengths, take) if k}, copies))
         left[:] -= take * copies
 
+    # the last rounds, when lengths run out, make configurations with room left: better left to the rest
+    fullest = int(lengths @ knapsack(lengths, lengths.astype(float), counts, capacity))
     for take, copies in sorted(cover(lengths, counts, capacity), key=lambda x: -x[1]):
         used = take > 0
+        if lengths @ take < fullest:
+            continue
         if whole := min(copies, int((left[used] // take[used]).min())):
             place(take, whole)
     while left.any():
