@@ -320,18 +320,16 @@ def test_expected_purchases_of_heavy_buyers(spark, t, x, T, want):
     assert abs(got - want) < 1e-4
 
 
-def expected_by_integral(t, bg, x, tx, T, steps=4000):
-    """E[purchases] from its definition, by quadrature over the dropout
-    probability p and the closed-form mean given (lambda integrated out)."""
+def expected_by_integral(t, bg, x, tx, T, steps=300):
+    """E[purchases] from its definition: given a dropout probability p, the
+    purchases of an alive customer with rate lambda in t days are
+    (1 - exp(-lambda p t)) / p on average; lambda ~ Gamma(r + x, alpha + T) is
+    integrated in closed form and p ~ Beta(a, b + x) by quadrature."""
     import numpy as np
+    from math import lgamma
     r, al, a, b = bg
-    if x == 0:
-        return None
-    # posterior of being alive, then E over p of (1 - ((al+T)/(al+T+t))**(r+x) tail) by simulation-free sum over
-    # the geometric dropout: E[Y | p, lambda] = (1 - exp(-lambda p t)) / p, lambda ~ Gamma(r+x, al+T), p ~ Beta(a, b+x)
     u, w = np.polynomial.legendre.leggauss(steps)
     p = (u + 1) / 2
-    from math import lgamma, exp, log
     logbeta = lgamma(a) + lgamma(b + x) - lgamma(a + b + x)
     dens = np.exp((a - 1) * np.log(p) + (b + x - 1) * np.log1p(-p) - logbeta)
     mean = (1 - ((al + T) / (al + T + p * t)) ** (r + x)) / p
