@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from retailspark.functions.money import money_units
 from retailspark.functions.optim import bfgs
+from retailspark.session import compact
 from retailspark.functions.special import HALF_LOG_2PI, hyp2f1_many, terms_needed
 
 DAYS_PER_MONTH = 365.25 / 12
@@ -275,8 +276,8 @@ def fit_bgnbd(summary: DataFrame, penalizer: float = DEFAULT_PENALIZER,
     # column names differ beyond case: Spark resolves names case-insensitively
     grouped = (summary.groupBy(F.col(freq_col).alias("x"), (F.col(rec_col) * scale).alias("rec"),
                                (F.col(T_col) * scale).alias("age"))
-               .agg(F.count(F.lit(1)).alias("n"))
-               .checkpoint(eager=True))
+               .agg(F.count(F.lit(1)).alias("n")))
+    grouped = compact(grouped, "bgnbd_groups")
 
     def terms(th):
         return _bgnbd_ll_grad(th)
@@ -293,8 +294,8 @@ def fit_bgnbd(summary: DataFrame, penalizer: float = DEFAULT_PENALIZER,
 def fit_gamma_gamma(summary: DataFrame, penalizer: float = DEFAULT_PENALIZER) -> FitResult:
     grouped = (summary.filter(eligible())
                .groupBy(F.col("frequency").alias("x"), F.col("monetary_value").alias("m"))
-               .agg(F.count(F.lit(1)).alias("n"))
-               .checkpoint(eager=True))
+               .agg(F.count(F.lit(1)).alias("n")))
+    grouped = compact(grouped, "gg_groups")
 
     def terms(th):
         return _gg_ll_grad(th)

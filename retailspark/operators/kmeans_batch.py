@@ -22,22 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MASK64 = (1 << 64) - 1
-
-
-def _ship_by_value() -> None:
-    """Task functions of this module travel by value, so executors need no
-    installed copy of the package."""
-    import sys
-
-    from pyspark import cloudpickle
-    try:
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except ValueError:
-        pass
+from retailspark.session import compact, on_workers
 
-
-_ship_by_value()
+MASK64 = (1 << 64) - 1
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -82,7 +69,7 @@ def _seed_step(data: DataFrame, cols, models, centers, step: int) -> dict:
                 yield pd.DataFrame(out, columns=["m", "key", *cols])
 
     schema = "m int, key double, " + ", ".join(f"{c} double" for c in cols)
-    best = (data.mapInPandas(part, schema)
+    best = (on_workers(data).mapInPandas(part, schema)
             .groupBy("m").agg(F.min(F.struct("key", *cols)).alias("b")).collect())
     return {r["m"]: [r["b"][c] for c in cols] for r in best}
 
@@ -92,18 +79,23 @@ def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray], active=None):
     sizes = [len(c) for c in centers]
     active = list(range(len(centers))) if active is None else list(active)
 
+    flat = np.concatenate(centers)
+    begin = np.cumsum([0, *sizes[:-1]])
+
     def part(it):
         acc_s = [np.zeros((k, len(cols))) for k in sizes]
         acc_n = [np.zeros(k) for k in sizes]
         acc_c = np.zeros(len(sizes))
         for pdf in it:
             x = pdf[cols].to_numpy()
+            # |x|² is the same for every centre: one product ranks them all
+            half = x @ flat.T - (flat ** 2).sum(1) / 2
             for m in active:
                 c = centers[m]
-                d2 = ((x[:, None, :] - c[None, :, :]) ** 2).sum(-1)
-                lab = d2.argmin(1)
-                acc_c[m] += d2[np.arange(len(x)), lab].sum()
-                np.add.at(acc_s[m], lab, x)
+                lab = half[:, begin[m]:begin[m] + len(c)].argmax(1)
+                acc_c[m] += ((x - c[lab]) ** 2).sum()
+                for i in range(len(cols)):
+                    acc_s[m][:, i] += np.bincount(lab, x[:, i], minlength=len(c))
                 acc_n[m] += np.bincount(lab, minlength=len(c))
         rows = []
         for m in active:
@@ -113,7 +105,7 @@ def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray], active=None):
         yield pd.DataFrame(rows, columns=["m", "j", "n", *cols, "cost"])
 
     schema = "m int, j int, n double, " + ", ".join(f"{c} double" for c in cols) + ", cost double"
-    agg = (data.mapInPandas(part, schema).groupBy("m", "j")
+    agg = (on_workers(data).mapInPandas(part, schema).groupBy("m", "j")
            .agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in cols], F.sum("cost").alias("cost"))
            .collect())
     sums = [np.zeros((k, len(cols))) for k in sizes]
@@ -132,12 +124,7 @@ def fit_many(feat: DataFrame, id_col: str, cols: list[str], models: list[tuple[i
     is the within-cluster sum of squares of the final centres.  A model has
     converged when its total squared centre shift is ≤ tol × the mean
     feature variance."""
-    data = _prepare(feat, id_col, cols)
-    par = data.sparkSession.sparkContext.defaultParallelism
-    if data.rdd.getNumPartitions() < par:
-        # few, large input files: spread the rows over every core once
-        data = data.repartition(par)
-    data = data.cache()
+    data = compact(_prepare(feat, id_col, cols), "kmeans_rows").cache()
     var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     tol_abs = tol * float(np.mean([var[c] or 0.0 for c in cols]))
     centers: list[list] = [[] for _ in models]

@@ -15,6 +15,10 @@ stratified split, Spark ML models and exact evaluation metrics.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from retailspark.functions.money import money_units
 from retailspark.functions.rank import SortKey, with_global_rank
 from retailspark.functions.stats import exact_quantiles
+from retailspark.session import compact, on_workers
 
 FEATURE_COLUMNS = ["recency_days", "frequency", "monetary", "tenure_days", "avg_order_value",
                    "avg_interpurchase_days", "distinct_products", "avg_basket_size",
@@ -91,7 +96,6 @@ def train_test(table: DataFrame, test_size: float = 0.25, seed: int = RANDOM_STA
     ranked = with_global_rank(keyed.select("CustomerID", LABEL_COLUMN, "_h"),
                               [SortKey(LABEL_COLUMN), SortKey("_h"), SortKey("CustomerID")], "_g")
     before, offsets, quota = 0, {}, {}
-    import math
     for lab in sorted(counts):
         offsets[lab] = before
         quota[lab] = math.ceil(test_size * counts[lab])
@@ -126,6 +130,7 @@ def _assemble(df: DataFrame, cols: list[str]) -> DataFrame:
 def fit_logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000):
     """Standardise (population std) + L2 logistic; sklearn's C·Σloss + ½‖w‖²
     equals Spark's mean loss + regParam·½‖w‖² with regParam = 1/(C·n)."""
+    train = compact(train, "logistic_rows")
     n = train.count()
     ztrain, _, moments = _standardise(train, [])
     lr = LogisticRegression(featuresCol="features", labelCol=LABEL_COLUMN, maxIter=max_iter,
@@ -141,7 +146,7 @@ def fit_gbt(train: DataFrame, n_estimators: int = 300, learning_rate: float = 0.
     gbt = GBTClassifier(featuresCol="features", labelCol=LABEL_COLUMN, maxIter=n_estimators,
                         stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
                         featureSubsetStrategy=str(colsample), seed=seed)
-    model = gbt.fit(_assemble(train, FEATURE_COLUMNS))
+    model = gbt.fit(_assemble(compact(train, "gbt_rows"), FEATURE_COLUMNS))
     return {"kind": "gbt", "model": model}
 
 
@@ -223,3 +228,84 @@ def linear_attribution(fitted, df: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("mean_abs_attribution"))
                     for i, c in enumerate(FEATURE_COLUMNS)])
     return one.select(F.inline(arr)).orderBy(F.desc("mean_abs_attribution"), "feature")
+
+
+# ------------------------------------------------------------------ tree attribution
+class Leaf:
+    """A leaf of one boosted tree: its weighted value and, for each feature on
+    its path, the interval (low, high] that leads to it and the share of
+    training rows that goes its way at the splits on that feature."""
+
+    def __init__(self, value: float, rules: dict[int, tuple[float, float, float]]):
+        self.value = value
+        self.features = list(rules)
+        self.low, self.high, self.share = (np.array([r[i] for r in rules.values()]) for i in range(3))
+
+
+def tree_leaves(fitted) -> list[Leaf]:
+    """All leaves of a fitted boosted-tree model, read from the model once."""
+    out: list[Leaf] = []
+
+    def walk(node, weight, rules):
+        if node.numDescendants() == 0:
+            out.append(Leaf(weight * node.prediction(), rules))
+            return
+        j, at = node.split().featureIndex(), node.split().threshold()
+        low, high, share = rules.get(j, (-math.inf, math.inf, 1.0))
+        n = node.impurityStats().count()
+        for child, span in ((node.leftChild(), (low, min(high, at))), (node.rightChild(), (max(low, at), high))):
+            walk(child, weight, rules | {j: (*span, share * child.impurityStats().count() / n)})
+
+    model = fitted["model"]._java_obj
+    for tree, weight in zip(model.trees(), model.treeWeights()):
+        walk(tree.rootNode(), weight, {})
+    return out
+
+
+def shapley(leaves: list[Leaf], x: np.ndarray) -> tuple[float, np.ndarray]:
+    """(base, rows x features): exact Shapley values of the model's margin under
+    the path-dependent expectation.  A leaf is a product over its features of
+    "goes there" (known) or the training share (unknown), so each feature's
+    value is a weighted sum over the sizes of the known sets, from the
+    coefficients of a polynomial of degree at most the depth of the tree."""
+    base, out = 0.0, np.zeros(x.shape)
+    for leaf in leaves:
+        base += leaf.value * float(np.prod(leaf.share))
+        k = len(leaf.features)
+        if not k:
+            continue
+        at = x[:, leaf.features]
+        there = ((at > leaf.low) & (at <= leaf.high)).astype(float)
+        weight = [math.factorial(s) * math.factorial(k - s - 1) / math.factorial(k) for s in range(k)]
+        for i, j in enumerate(leaf.features):
+            coef = [np.ones(len(x))]
+            for m in range(k):
+                if m != i:
+                    stay = [c * leaf.share[m] for c in coef] + [0.0]
+                    step = [0.0] + [c * there[:, m] for c in coef]
+                    coef = [a + b for a, b in zip(stay, step)]
+            out[:, j] += leaf.value * (there[:, i] - leaf.share[i]) * sum(w * c for w, c in zip(weight, coef))
+    return base, out
+
+
+def tree_attribution_rows(fitted, df: DataFrame) -> DataFrame:
+    """CustomerID, base, attributions (array by FEATURE_COLUMNS): base + their
+    sum is the margin.  The leaves go to the tasks once; rows stay distributed."""
+    leaves = df.sparkSession.sparkContext.broadcast(tree_leaves(fitted))  # a model of fixed size
+
+    def run(batches):
+        for pdf in batches:
+            base, values = shapley(leaves.value, pdf[FEATURE_COLUMNS].to_numpy(dtype=float))
+            yield pd.DataFrame({"CustomerID": pdf["CustomerID"], "base": base, "attributions": list(values)})
+
+    cols = [F.col(c).cast("double").alias(c) for c in FEATURE_COLUMNS]
+    return on_workers(df.select("CustomerID", *cols)).mapInPandas(run, "CustomerID string, base double, attributions array<double>")
+
+
+def tree_attribution(fitted, df: DataFrame) -> DataFrame:
+    """Mean absolute attribution of each feature over ``df``, descending."""
+    rows = tree_attribution_rows(fitted, df)
+    one = rows.agg(*[F.avg(F.abs(F.col("attributions")[i])).alias(f"a{i}") for i in range(len(FEATURE_COLUMNS))])
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("mean_abs_attribution"))
+                    for i, c in enumerate(FEATURE_COLUMNS)])
+    return one.select(F.inline(arr)).orderBy(F.desc("mean_abs_attribution"), "feature")

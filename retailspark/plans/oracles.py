@@ -699,6 +699,12 @@ SELECT CustomerID, label,
        row_number() OVER (PARTITION BY label ORDER BY md5(CustomerID || '|42'), CustomerID)
          <= ceil(0.25 * count(*) OVER (PARTITION BY label)) AS is_test
 FROM training""")
+_TEST_ROWS = """
+SELECT count(*) AS rows, 0 AS off FROM (
+  SELECT row_number() OVER (PARTITION BY label ORDER BY md5(CustomerID || '|42'), CustomerID)
+           <= ceil(0.25 * count(*) OVER (PARTITION BY label)) AS is_test FROM training) WHERE is_test"""
+oracle("shap_additivity", TRAIN_CTE)(_TEST_ROWS)
+oracle("logistic_rows", TRAIN_CTE)(_TEST_ROWS)
 oracle("evaluate_roc_auc", TRAIN_CTE)("""
 WITH r AS (SELECT score, label, row_number() OVER (ORDER BY score, CustomerID) AS rn FROM scores),
 g AS (SELECT score, (min(rn) + max(rn)) / 2.0 AS ar, sum(label) AS pos, count(*) AS cnt FROM r GROUP BY score)

@@ -203,7 +203,7 @@ def fitted_model(spark: SparkSession, sf_dir: str, kind: str = "logistic"):
 def propensity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from retailspark.operators import propensity as pr
     return ws(spark, sf_dir).table("propensity_scores", lambda: pr.predict_proba(
-        fitted_model(spark, sf_dir, "logistic"), training_table(spark, sf_dir))
+        fitted_model(spark, sf_dir, "gbt"), training_table(spark, sf_dir))
         .select("CustomerID", F.col("score").alias("propensity"), "label"))
 
 

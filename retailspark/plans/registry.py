@@ -513,8 +513,10 @@ def q_calibration(spark, d):
 
 
 def _test_scores(spark, d, kind):
+    """Written once: the metrics rank and aggregate them several times."""
     test = P.split_table(spark, d).filter(F.col("is_test"))
-    return pr.predict_proba(P.fitted_model(spark, d, kind), test)
+    return P.ws(spark, d).table(f"test_scores_{kind}",
+                                lambda: pr.predict_proba(P.fitted_model(spark, d, kind), test))
 
 
 @query("fit_logistic")
@@ -559,13 +561,43 @@ def q_propensity_scores(spark, d):
 
 @query("propensity_calibration_model")
 def q_propensity_calibration_model(spark, d):
-    return pr.calibration_table(_test_scores(spark, d, "logistic"), n_bins=10)
+    return pr.calibration_table(_test_scores(spark, d, "gbt"), n_bins=10)
 
 
 @query("shap_importance")
 def q_shap_importance(spark, d):
+    return pr.tree_attribution(P.fitted_model(spark, d, "gbt"), P.split_table(spark, d).filter(F.col("is_test")))
+
+
+@query("linear_importance")
+def q_linear_importance(spark, d):
     return pr.linear_attribution(P.fitted_model(spark, d, "logistic"),
-                                 P.split_table(spark, d).filter(~F.col("is_test")))
+                                 P.split_table(spark, d).filter(F.col("is_test")))
+
+
+@query("shap_additivity")
+def q_shap_additivity(spark, d):
+    """Rows whose base and attributions do not add up to the model's margin."""
+    test = P.split_table(spark, d).filter(F.col("is_test"))
+    rows = pr.tree_attribution_rows(P.fitted_model(spark, d, "gbt"), test)
+    margin = F.log(F.col("score") / (1 - F.col("score"))) / 2
+    both = rows.join(_test_scores(spark, d, "gbt").select("CustomerID", margin.alias("margin")), "CustomerID")
+    total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda a, v: a + v)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.abs(total - F.col("margin")) > 1e-6, 1)).alias("off"))
+
+
+@query("logistic_rows")
+def q_logistic_rows(spark, d):
+    """The fitted logistic model's test scores against the closed form from its
+    coefficients: rows that differ."""
+    fitted = P.fitted_model(spark, d, "logistic")
+    m = fitted["moments"]
+    z = F.lit(float(fitted["model"].intercept))
+    for c, w in zip(pr.FEATURE_COLUMNS, fitted["model"].coefficients.toArray()):
+        if m[f"sd_{c}"]:
+            z = z + F.lit(float(w)) * (F.col(c) - F.lit(m[f"mu_{c}"])) / F.lit(m[f"sd_{c}"])
+    s = _test_scores(spark, d, "logistic")
+    return s.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.abs(F.col("score") - 1 / (1 + F.exp(-z))) > 1e-9, 1)).alias("off"))
 
 
 # ---------------------------------------------------------------- serving

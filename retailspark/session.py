@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,3 +79,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/retailspark/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def compact(df: DataFrame, name: str, rows_each: int = 100_000) -> DataFrame:
+    """``stored``, read back in one partition per ``rows_each`` rows: for tables
+    that an iterative fit passes over many times, where a task per nearly empty
+    partition is all the cost.  A large table keeps as many partitions as its
+    rows ask for."""
+    rows = stored(df, name)
+    return rows.coalesce(max(1, -(-rows.count() // rows_each)))
+
+
+def on_workers(df: DataFrame) -> DataFrame:
+    """``df``, after making sure that Python workers look for this package
+    where the driver has it (a driver may have put it on its own path only)."""
+    env = df.sparkSession.sparkContext.environment
+    root = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df

@@ -415,3 +415,45 @@ def test_probing_an_id_twice_answers_twice(spark):
     probes = spark.createDataFrame([("a",), ("a",), ("a",), ("z",)], "customer_id string")
     got = sorted(tuple(r) for r in serving.customer_exists(known, probes).collect())
     assert got == [("a", True)] * 3 + [("z", False)]
+
+
+def test_tree_attribution_adds_up_and_equals_brute_force(spark):
+    """Against the definition: average over orders of the change in the
+    path-dependent expectation when a feature becomes known."""
+    import itertools
+    import math
+    import numpy as np
+    from retailspark.operators import propensity as pr
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, (240, len(pr.FEATURE_COLUMNS))).astype(float)
+    y = ((x[:, 0] > 2) ^ (x[:, 1] > 3)).astype(int)
+    df = spark.createDataFrame([(str(i), *map(float, r), int(v)) for i, (r, v) in enumerate(zip(x, y))],
+                               "CustomerID string, " + ", ".join(f"{c} double" for c in pr.FEATURE_COLUMNS) + ", label int")
+    fitted = pr.fit_gbt(df, n_estimators=6, max_depth=3)
+    rows = pr.tree_attribution_rows(fitted, df).collect()
+    score = {r.CustomerID: r.score for r in pr.predict_proba(fitted, df).collect()}
+    for r in rows:
+        margin = math.log(score[r.CustomerID] / (1 - score[r.CustomerID])) / 2
+        assert abs(r.base + sum(r.attributions) - margin) < 1e-6
+    leaves = pr.tree_leaves(fitted)
+    used = sorted({j for leaf in leaves for j in leaf.features})
+
+    def expected(known, row):
+        total = 0.0
+        for leaf in leaves:
+            p = leaf.value
+            for j, lo, hi, share in zip(leaf.features, leaf.low, leaf.high, leaf.share):
+                p *= float(lo < row[j] <= hi) if j in known else share
+            total += p
+        return total
+
+    got = {r.CustomerID: r.attributions for r in rows}
+    for i in (0, 17, 101):
+        want = np.zeros(len(pr.FEATURE_COLUMNS))
+        for j in used:
+            rest = [k for k in used if k != j]
+            for n in range(len(rest) + 1):
+                for s in itertools.combinations(rest, n):
+                    w = math.factorial(n) * math.factorial(len(used) - n - 1) / math.factorial(len(used))
+                    want[j] += w * (expected({*s, j}, x[i]) - expected(set(s), x[i]))
+        assert np.allclose(got[str(i)], want, atol=1e-9)
