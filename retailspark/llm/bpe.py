@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from retailspark.session import on_workers
+
 from .arrowtext import pieces
 
 
@@ -221,7 +223,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return on_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -235,4 +237,4 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = coder.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return on_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

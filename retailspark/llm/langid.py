@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailspark.session import on_workers
+
 from .arrowtext import pieces, raw
 from .features import collected, labelled_sample
 
@@ -155,7 +157,7 @@ def fit(docs: DataFrame, usable: Column, per_label: int = 1000, windows: int = 6
                         yield pa.record_batch([pa.array([docs_[i]], pa.int64()), pa.array([langs[i]], pa.string()), pa.array([x[mine].tobytes()], pa.binary())], ["doc_id", "lang", "windows"])
 
     sample = labelled_sample(docs.filter(F.col("text").rlike(r"\p{L}")), "lang", usable, per_label, most)
-    table = collected(sample.select("doc_id", "text", "lang").mapInArrow(some, "doc_id long, lang string, windows binary"))
+    table = collected(on_workers(sample.select("doc_id", "text", "lang")).mapInArrow(some, "doc_id long, lang string, windows binary"))
     langs = table.column("lang").to_pylist()
     classes = sorted(set(langs)) or ["und"]
     blobs = [np.frombuffer(b, np.uint8).reshape(-1, WINDOW) for b in table.column("windows").to_pylist()]
@@ -199,7 +201,7 @@ def identify(docs: DataFrame, net: Net) -> DataFrame:
                 pred, score = _predict(own, tables, part.column(1))
                 yield pa.record_batch([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return on_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: Net, least: float = 0.3) -> DataFrame:
@@ -216,4 +218,4 @@ def accepted(docs: DataFrame, net: Net, least: float = 0.3) -> DataFrame:
                 pred, score = _predict(own, tables, part.column(at))
                 yield part.filter(pa.array((score >= least) & (np.array(pred) != "und")))
 
-    return docs.mapInArrow(run, docs.schema)
+    return on_workers(docs).mapInArrow(run, docs.schema)

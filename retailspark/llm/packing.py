@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retailspark.session import on_workers
+
 from .arrowtext import pieces as runs
 from .common import number_within, stored
 from .tokens import encoder
@@ -188,7 +190,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) ->
                 doc, piece, start, length, crc = zip(*rows)
                 yield pa.record_batch([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return on_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -214,7 +216,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in names]
                 yield pa.record_batch([*kept, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], [*names, "sequence_id", "offset"])
 
-    return numbered.select(*names, "number").mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
+    return on_workers(numbered.select(*names, "number")).mapInArrow(run, pieces.schema.add("sequence_id", "long").add("offset", "long"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retailspark.session import on_workers
+
 from .arrowtext import mixed, pieces
 from .common import first_by_hash
 from .features import collected
@@ -154,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 100
     agreed = agreed.filter(F.col("quality") == F.col("_most")).select("doc_id", "quality")
     ids = first_by_hash(agreed.filter(usable), ["quality"], "doc_id", per_label)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
-    bags = collected(rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(_bags, "doc_id long, label int, ids binary, shares binary"))
+    bags = collected(on_workers(rows.select("doc_id", "text", F.col("quality").cast("int"))).mapInArrow(_bags, "doc_id long, label int, ids binary, shares binary"))
     ids_, shares = ([np.frombuffer(x, kind) for x in bags.column(c).to_pylist()] for c, kind in (("ids", "<i4"), ("shares", "<f4")))
     return train(ids_, shares, np.array(bags.column("label").to_pylist(), np.int64))
 
@@ -170,7 +172,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             for part in pieces(batch, "text"):
                 yield part.filter(pa.array(own.score([t or "" for t in part.column(at).to_pylist()]) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return on_workers(docs).mapInArrow(run, docs.schema)
 
 
 def predictions(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -189,4 +191,4 @@ def predictions(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFr
                 s = own.score([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch([part.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return on_workers(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double, predicted int")

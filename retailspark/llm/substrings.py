@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retailspark.session import on_workers
+
 from .arrowtext import Words, pieces, raw, windows
 from .common import stored
 
@@ -191,12 +193,12 @@ def remove_repeats(docs: DataFrame, n: int = 35, carry: Sequence[str] = ("doc_id
     state = docs.select(row, *key, "text", F.lit(None).cast("binary").alias("mask"))
     finished = []
     for length in levels(n):
-        seen = state.select("dk", "dk2", "text", "mask").mapInArrow(_emit(n, length), "h long, h2 int, dk long, dk2 int, times int")
+        seen = on_workers(state.select("dk", "dk2", "text", "mask")).mapInArrow(_emit(n, length), "h long, h2 int, dk long, dk2 int, times int")
         counts = seen.groupBy("h", "h2").agg(F.sum("times").alias("t"), F.min("dk").alias("dk"), F.min("dk2").alias("dk2"))
         lists = counts.filter("t = 1").groupBy("dk", "dk2").agg(F.collect_list("h").alias("single"))
         joined = state.join(lists.hint("shuffle_hash"), ["dk", "dk2"], "left").select("row", "dk", "dk2", "text", "mask", "single")
         schema = f"row {state.schema['row'].dataType.simpleString()}, {_STATE}"
-        after = joined.mapInArrow(_narrow(n, length, digest, joined.columns), schema)
+        after = on_workers(joined).mapInArrow(_narrow(n, length, digest, joined.columns), schema)
         if length < n:
             after = stored(after, f"state_{length}")
             state = after.filter(F.col("mask").isNotNull()).select("row", "dk", "dk2", "text", "mask")

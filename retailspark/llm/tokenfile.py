@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from retailspark.session import on_workers
+
 from .arrowtext import pieces
 from .common import shared_dir, stored
 from .tokens import encoder
@@ -154,8 +156,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
     path = path or f"{shared_dir(spark)}/llm/{uuid.uuid4().hex}/tokens"
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    raw = stored(ordered.mapInArrow(_raw_blocks(tokenizer, end_id), "part int, block int, n_tokens long, doc_ids array<long>, lengths binary, ids binary"), "ids")
-    counts = raw.select("n_tokens", "ids").mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    raw = stored(on_workers(ordered).mapInArrow(_raw_blocks(tokenizer, end_id), "part int, block int, n_tokens long, doc_ids array<long>, lengths binary, ids binary"), "ids")
+    counts = on_workers(raw.select("n_tokens", "ids")).mapInArrow(_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = counts.sort_by([("n", "descending"), ("id", "ascending")])
     ids = counts.column("id").to_numpy()
     ranks = spark.createDataFrame(pa.table({"id": ids, "rank": np.arange(len(ids)), "n": counts.column("n")})) if len(ids) else spark.createDataFrame([], "id long, rank long, n long")
@@ -172,7 +174,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str | None
                 payload = block_bytes(doc_ids, np.frombuffer(lengths, "<u8"), to[np.frombuffer(blob, _width(n, blob))])
                 yield pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([payload], pa.binary())], ["part", "block", "n_tokens", "payload"])
 
-    blocks = raw.mapInArrow(run, "part int, block int, n_tokens long, payload binary")
+    blocks = on_workers(raw).mapInArrow(run, "part int, block int, n_tokens long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 
@@ -197,7 +199,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
                 cols = [pa.array([part] * k, pa.int32()), pa.array([block] * k, pa.int32()), pa.array(docs, pa.int64()), pa.array(end - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(b) for b in blobs], pa.int64())]
                 yield pa.record_batch(cols + [pa.array(blobs, pa.binary())] * with_ids, ["part", "block", "doc_id", "inside", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    rows = blocks.select("part", "block", "payload").mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    rows = on_workers(blocks.select("part", "block", "payload")).mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     sizes = blocks.select("part", "block", "n_tokens")
     parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row for each part
     shift = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("_part"))

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from retailspark.session import on_workers
+
 from .common import partitions_for, stored
 
 SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS = 16_384, 512, 1_024
@@ -138,6 +140,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumn("shard", bucket(shards)).withColumn("block", each(blocks))
     right = queries.withColumn("block", bucket(blocks)).withColumn("shard", each(shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_shard_search(k), "query_id long, vec_id long, score long")
+    found = on_workers(left).groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_shard_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
