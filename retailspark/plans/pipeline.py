@@ -15,6 +15,12 @@ def ws(spark: SparkSession, sf_dir: str) -> Stages:
     return Stages.of(spark, sf_dir)
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Ranges of the key, sorted: a point lookup on the written table then reads
+    the one row group whose statistics hold the key."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return testdata.retail_raw(spark, sf_dir)
 
@@ -40,7 +46,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     from retailspark.operators import eda
-    return ws(spark, sf_dir).table("products", lambda: eda.build_products(tx(spark, sf_dir)))
+    return ws(spark, sf_dir).table("products", lambda: by_key(eda.build_products(tx(spark, sf_dir)), "stock_code"))
 
 
 def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,9 +227,9 @@ def customers(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFram
     CLV, closed-form score) — the oracle-checkable twin of the fitted one."""
     from retailspark.operators import kmeans, serving
     if not fixed:
-        return ws(spark, sf_dir).table("customers", lambda: serving.customers_frame(
+        return ws(spark, sf_dir).table("customers", lambda: by_key(serving.customers_frame(
             segments(spark, sf_dir), customer_clv(spark, sf_dir),
-            propensity_scores(spark, sf_dir)))
+            propensity_scores(spark, sf_dir)), "customer_id"))
 
     def build():
         sc = scored(spark, sf_dir)
@@ -234,5 +240,5 @@ def customers(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFram
                             ("predicted_clv", "prob_alive", "predicted_purchases", "historical_clv")],
             "clv_method")
         prop = fixed_scores(spark, sf_dir).select("CustomerID", F.col("score").alias("propensity"))
-        return serving.customers_frame(seg, c, prop)
+        return by_key(serving.customers_frame(seg, c, prop), "customer_id")
     return ws(spark, sf_dir).table("customers_fixed", build)
