@@ -10,28 +10,31 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges u > v, both ways for the large star."""
-    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    joined = around.join(least, "u")
-    if large:
-        out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Larger neighbours of each node move to the smallest around it."""
+    around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = around.groupBy("u").agg(F.min("v").alias("m"))
+    joined = around.filter("v > u").join(least, "u")
+    return joined.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Smaller neighbours of each node, and itself, move to the smallest of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    joined = edges.join(least, "u")
+    moved = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+    return moved.filter("u <> v").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """u, root: for every node that has an edge and isn't its component's
     smallest, that smallest node.  ``edges``: columns a, b (longs, either order;
     loops and repetitions do no harm; without edges the result is empty)."""
-    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    now = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        now = stored(_star(_star(now, True), False), "stars")
-        # equal sums and counts: the step changed nothing
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        now = stored(_small_star(_large_star(now)), "stars")
+        # done when every node points to one other, and that one to none
+        nodes = now.groupBy("u").agg(F.count(F.lit(1)).alias("k"), F.min("v").alias("v"))
+        onward = nodes.select(F.col("u").alias("v"), F.lit(1).alias("hop"))
+        if not nodes.join(onward, "v", "left").filter("k > 1 OR hop IS NOT NULL").limit(1).count():
             return now.select("u", F.col("v").alias("root"))
-        mark = new

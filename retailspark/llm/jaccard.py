@@ -8,16 +8,18 @@ sets are one class, and all further work is on classes.  Two classes link when
    least min(l_x, l_y) shingles among the first n - ceil(0.75 n) + l of each.
    With l a tenth of the set, a class of which fewer shingles are shared than
    its smallest partner would need is out.  This sends a third of the shingles
-   once, and most classes go here; it needs no document frequencies.
+   once, and most classes go here.  A shingle that one class alone has names
+   that class (minimum and maximum agree), so the counts need no join.
 2. Document frequencies are counted among the classes that are left, exactly.
    In rare-first order (frequency, then hash) the first n - ceil(0.75 n) + 1
    shingles are a class's prefix; linked classes share a shingle of both
    prefixes.  Shingles of frequency 1 come first and match nothing.
 3. Pairs that share a prefix shingle are tested if lengths and positions allow
-   it.  Of every shingle, first only one hub per size class: each class tests
-   its most frequent hub.  So a group of a million near copies costs a million
-   tests, not their square.  After some rounds every pair that shares a prefix
-   shingle and isn't yet known to be connected is tested, however many.
+   it.  Of every shingle, first only a few hubs per size class: each class
+   tests those it meets most.  So a group of a million near copies costs some
+   millions of tests, not their square.  After some rounds every pair that
+   shares a prefix shingle and isn't yet known to be connected is tested,
+   however many.
 4. A pair is verified once, on whole sets, after a suffix filter.
 
 Components are what is asked for, so pairs already connected need no test:
@@ -36,8 +38,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from retailspark.session import on_workers
+
 from .arrowtext import Words, pieces, prefix_sums, raw, windows
-from .common import release, stored
+from .common import stored
 from .components import components
 
 #: Overlap that a set of n needs, in hundredths of the union.
@@ -131,69 +135,82 @@ def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) of classes, those that link."""
     x, y = (sets.select(F.col("c").alias(k), F.col("blob").alias(f"blob_{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "blob_a", "blob_b")
-    return both.mapInArrow(_verify, "a long, b long")
+    return on_workers(both).mapInArrow(_verify, "a long, b long")
 
 
 def _fits(a: str, b: str) -> Column:
     """Length and positional filter of a shared shingle: enough may be shared
-    before, at and after it."""
-    most = f"least({a}.pos, {b}.pos) + 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1"
+    before, at and after it.  m counts the shingles that some other class has,
+    pos is the place among them: those a class has alone match nothing."""
+    most = f"least({a}.pos, {b}.pos) + 1 + least({a}.m - {a}.pos, {b}.m - {b}.pos) - 1"
     return F.expr(f"100 * least({a}.n, {b}.n) >= 75 * greatest({a}.n, {b}.n) AND 175 * ({most}) >= 75 * ({a}.n + {b}.n)")
 
 
 def _prefix_table(docs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(h, c, n, pos) of the rare-first prefixes, shingles of frequency 1 left
-    out; and (c, blob) of the classes in it."""
-    classes = sizes.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"), F.min("dk").alias("dk"))
-    rows = docs.select("text").mapInArrow(_prefixes, "h long, c long")
-    shared = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    hits = rows.join(shared, "h", "left_semi").groupBy("c").agg(F.count(F.lit(1)).alias("hits"))
-    # every copy has sent the same rows; need as in _needs
-    kept = stored(classes.join(hits, "c").filter(f"hits div copies >= greatest(1, ({_CEIL75}) div 10)").select("c", "dk"), "kept")
-    release(docs.sparkSession)
+    """(h, c, n, m, pos) of the rare-first prefixes, shingles of frequency 1
+    left out; and (c, blob) of the classes in it."""
+    classes = sizes.filter("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.min("dk").alias("dk"))
+    rows = on_workers(docs.select("text")).mapInArrow(_prefixes, "h long, c long")
+    own = rows.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("hi")).filter("c = hi").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    # as in _needs: what the class has sent, less what it has alone, must reach its need
+    sent, need = f"least(n, n - ({_CEIL75}) + greatest(1, n div 10))", f"greatest(1, ({_CEIL75}) div 10)"
+    kept = stored(classes.join(own, "c", "left").filter(f"{sent} - coalesce(own, 0) >= {need}").select("c", "dk"), "kept")
     texts = docs.select("text", "dk").join(kept.select("dk"), "dk", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_blobs, "c long, n long, blob binary").dropDuplicates(["c"]), "sets")
-    release(docs.sparkSession)
-    tokens = sets.mapInArrow(_rows, "h long, c long, n long")
+    sets = stored(on_workers(texts).mapInArrow(_blobs, "c long, n long, blob binary").dropDuplicates(["c"]), "sets")
+    tokens = on_workers(sets).mapInArrow(_rows, "h long, c long, n long")
     df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     common = tokens.join(df, "h").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
-    # alone: shingles of frequency 1, first in the order; room: what is left of the prefix
-    common = common.withColumn("alone", F.expr("n - size(common)")).withColumn("room", F.expr(f"n - ({_CEIL75}) + 1 - alone")).filter("room > 0")
-    prefix = common.select("c", "n", "alone", F.posexplode(F.slice("common", 1, F.col("room").cast("int"))).alias("i", "t"))
-    prefix = stored(prefix.select(F.col("t.h").alias("h"), "c", "n", (F.col("alone") + F.col("i")).alias("pos")), "prefix")
+    # m: shingles that others have, too; those of frequency 1 come first in the order, and room is left of the prefix
+    common = common.withColumn("m", F.size("common")).withColumn("room", F.expr(f"n - ({_CEIL75}) + 1 - (n - m)")).filter("room > 0")
+    prefix = common.select("c", "n", "m", F.posexplode(F.slice("common", 1, F.col("room").cast("int"))).alias("pos", "t"))
+    prefix = stored(prefix.select(F.col("t.h").alias("h"), "c", "n", "m", "pos"), "prefix")
     sets = stored(sets.join(prefix.select("c").distinct(), "c", "left_semi").select("c", "blob"), "prefix_sets")
-    release(docs.sparkSession)
     return prefix, sets
 
 
 def _labelled(prefix: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The prefix table with each class's component so far, without shingles that stay within one."""
+    """The prefix table with each class's component so far."""
     if roots is None:
         return prefix.withColumn("label", F.col("c"))
-    rows = prefix.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
-    mixed = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
-    return rows.join(mixed, "h", "left_semi")
+    return prefix.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("label", F.coalesce("root", "c")).drop("root")
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """One pair for each class: with the hub it meets most.  Hubs of a shingle
-    and a size class are its members of the smallest and the largest label."""
+def _hub_pairs(rows: DataFrame, tested: DataFrame | None, turn: int, each: int, salts: int = 4, shingles: int = 64) -> DataFrame:
+    """Untested pairs of each class with the ``each`` hubs it meets most, over
+    the ``shingles`` most frequent of its prefix.  The hubs of a shingle and a
+    size class are its first and last members by ``salts`` hashes, others at
+    each ``turn``: members at random, but the same for shingles that the same
+    classes share.  (Which pairs are tried here only decides how many are left
+    for ``_all_pairs``, which leaves none out.)"""
     size = F.floor(F.log(F.col("n").cast("double")) / math.log(4 / 3)).cast("int")
-    rows = rows.withColumn("size", size)
-    me = F.struct("label", "c", "n", "pos")
-    hubs = rows.groupBy("h", "size").agg(F.min(me).alias("lo"), F.max(me).alias("hi")).filter("lo.label <> hi.label")
-    met = rows.join(hubs, ["h", "size"]).withColumn("hub", F.when(F.col("label") == F.col("lo.label"), F.col("hi")).otherwise(F.col("lo")))
-    met = met.withColumn("me", me).filter(_fits("me", "hub"))
-    votes = met.groupBy("c", F.col("hub.c").alias("hub")).agg(F.count(F.lit(1)).alias("v"))
-    best = votes.groupBy("c").agg(F.max(F.struct("v", "hub")).alias("best"))
-    return best.select(F.least("c", "best.hub").alias("a"), F.greatest("c", "best.hub").alias("b")).distinct()
+    rows = rows.filter(f"pos >= m - ({_CEIL75}) + 1 - {shingles}")  # the prefix holds places 0 to m - ceil(0.75 n)
+    rows = rows.withColumn("size", size).withColumn("me", F.struct("c", "label", "n", "m", "pos"))
+    aggs = []
+    for i in range(salts):
+        key = F.struct(F.xxhash64("c", F.lit(salts * turn + i)).alias("a"), F.col("me").alias("me"))
+        aggs += [F.min(key)["me"].alias(f"lo{i}"), F.max(key)["me"].alias(f"hi{i}")]
+    hubs = rows.groupBy("h", "size").agg(*aggs).filter("lo0.c <> hi0.c")
+    hubs = hubs.select("h", "size", F.array_distinct(F.array(*[f"{x}{i}" for i in range(salts) for x in ("lo", "hi")])).alias("hubs"))
+    met = rows.join(hubs, ["h", "size"]).select("me", F.explode("hubs").alias("hub")).filter("me.label <> hub.label").filter(_fits("me", "hub"))
+    votes = met.groupBy(F.least("me.c", "hub.c").alias("a"), F.greatest("me.c", "hub.c").alias("b"), F.col("me.c").alias("c")).agg(F.count(F.lit(1)).alias("v"))
+    if tested is not None:
+        votes = votes.join(tested, ["a", "b"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("c").orderBy(F.desc("v"), "a", "b"))
+    return votes.withColumn("i", nth).filter(F.col("i") <= each).select("a", "b").distinct()
 
 
 def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Every pair of classes of different components that share a prefix shingle and pass the filters."""
-    x, y = rows.alias("x"), rows.alias("y")
-    hit = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.c") < F.col("y.c")) & _fits("x", "y"))
-    return hit.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct()
+    """Every pair of classes of different components that share a prefix
+    shingle and pass the filters.  The shorter set of a pair needs a shared
+    shingle among its first n - ceil(1.5 n / 1.75) + 1 only, as linked sets of
+    n and more share 1.5 n / 1.75 at least."""
+    mixed = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
+    rows = rows.join(mixed, "h", "left_semi")  # without shingles that stay within one component
+    x = rows.filter("pos + n - m < n - (150 * n + 174) div 175 + 1").alias("x")
+    y = rows.alias("y")
+    later = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c")))
+    hit = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & later & _fits("x", "y"))
+    return hit.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
 def _key() -> Column:
@@ -211,32 +228,25 @@ def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
     64-bit hashes; that two different sets got one class is found by a second
     64 bits, and stops the job.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text", _key().alias("dk"))
-    sizes = stored(docs.select("doc_id", "dk", "text").mapInArrow(_sizes, "doc_id long, dk long, n long, c long, c2 long"), "sizes")
+    sizes = stored(on_workers(docs.select("doc_id", "dk", "text")).mapInArrow(_sizes, "doc_id long, dk long, n long, c long, c2 long"), "sizes")
     if sizes.filter("n > 0").groupBy("c").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).filter("lo <> hi").limit(1).count():
         raise ValueError("two sets share a class hash")
     prefix, sets = _prefix_table(docs, sizes)
-    roots = links = tested = None
-    hubs, most = rounds, 0
-    while True:
+    roots = tested = None
+    for turn in range(rounds + 1):
         rows = _labelled(prefix, roots)
-        pairs = _hub_pairs(rows) if hubs else _all_pairs(rows)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        if turn < rounds:
+            pairs = _hub_pairs(rows, tested, turn, 2 if not turn else 8)
+        else:
+            pairs = _all_pairs(rows)
+            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         found = stored(_links(pairs, sets), "links")
-        release(spark)
-        n = found.count()
-        if n:
-            links = found if links is None else links.union(found)
-            roots = components(links)
-        if not hubs:
-            break
-        most = max(most, n)
-        # once hubs bring little more, go on to all pairs
-        hubs = hubs - 1 if n > most // 20 else 0
+        if found.limit(1).count():
+            known = found if roots is None else found.union(roots.select(F.col("u").alias("a"), F.col("root").alias("b")))
+            roots = components(known)
     rows = sizes.withColumn("root", F.col("c"))
     if roots is not None:
         rows = sizes.join(roots.withColumnRenamed("u", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
