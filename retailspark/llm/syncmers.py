@@ -33,8 +33,9 @@ def _let(value: Column, body) -> Column:
 def anchors(text: Column) -> Column:
     """array<struct<pos, hash>>: the closed syncmers of a text by piece number.
 
-    A text of fewer than K pieces has one anchor, its whole sequence; a text
-    without a piece, or null, has none.
+    A text whose pieces give no syncmer (all of fewer than K pieces, many of K
+    to K + 2) has one anchor, its whole sequence; a text without a piece, or
+    null, has none.
     """
     inner = K - S + 1  # s-mers in a k-mer
 
@@ -53,7 +54,8 @@ def anchors(text: Column) -> Column:
 
     def of(h: Column) -> Column:
         whole = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(h).alias("hash")))
-        return F.when(F.size(h) == 0, F.slice(whole, 1, 0)).when(F.size(h) < K, whole).otherwise(_let(smers(h), chosen))
+        found = F.when(F.size(h) < K, F.slice(whole, 1, 0)).otherwise(_let(smers(h), chosen))
+        return _let(found, lambda a: F.when((F.size(a) == 0) & (F.size(h) > 0), whole).otherwise(a))
 
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
     return _let(F.transform(pieces, lambda w: F.xxhash64(w)), of)

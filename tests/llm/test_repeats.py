@@ -217,6 +217,17 @@ def test_syncmers_are_context_free(spark):
     assert 0.25 < len(a) / 195 < 0.55
 
 
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    # by the rule alone: different piece sequences differ, equal ones are equal
+    texts = [passage(2000 + i, 1 + i % 9) for i in range(180)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.replace(" ", " \n ")) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i int, text string")
+    got = dict(df.select("i", syncmers.fingerprint(syncmers.sketch(F.col("text")))).collect())
+    own = [got[i] for i in range(len(texts))]
+    assert all(own) and len(set(own)) == len(set(texts))
+    assert own == [got[1000 + i] for i in range(len(texts))]
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test data not present")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
