@@ -1,7 +1,10 @@
 """Document fingerprints from closed syncmers, in native expressions only.
 
-The letters of the alphabet are word pieces: runs of up to 12 characters that
-are not blanks.  A k-mer of K consecutive pieces is a closed syncmer if the
+The letters of the alphabet are word pieces.  A run of up to 12 characters
+that are not blanks is one piece.  A longer run is cut by its content, so that
+texts without blanks keep their pieces when something is put in front: each
+character beyond ASCII is a piece, and ASCII pieces end with a character of
+ENDS (only after 12 characters without one is a piece cut by its length).  A k-mer of K consecutive pieces is a closed syncmer if the
 smallest hash among its inner s-mers (S pieces) stands at its first or last
 s-mer.  Whether a k-mer is chosen depends on its own pieces alone, so an edit
 changes only the anchors that touch it, and equal passages have equal anchors
@@ -22,7 +25,8 @@ from pyspark.sql.window import Window
 from .common import stored
 
 K, S, SKETCH = 6, 2, 64
-PIECE = r"[^\s]{1,12}"
+ENDS = r"aeiouAEIOU0257_/.,;:=&?!\-"
+PIECE = rf"(?<!\S)\S{{1,12}}(?!\S)|[^\s\x00-\x7F]|(?:(?![{ENDS}])[\x00-\x7F&&\S]){{0,11}}[{ENDS}]|(?:(?![{ENDS}])[\x00-\x7F&&\S]){{1,12}}"
 
 
 def _let(value: Column, body) -> Column:

@@ -228,6 +228,17 @@ def test_short_texts_have_fingerprints_of_their_own(spark):
     assert own == [got[1000 + i] for i in range(len(texts))]
 
 
+@pytest.mark.parametrize("letters", ["".join(map(chr, range(0x4E00, 0x4E00 + 800))), "กขคงจฉชซญดตถทธนบปผฝพฟมยรลวสหอฮ", "🎉🎈🎁🎂🎄🎃🎆🎇", "ACGT", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_syncmers_of_blankless_texts_are_context_free(spark, letters):
+    r = random.Random(31)
+    text = "".join(r.choice(letters) for _ in range(600))
+    rows = [(text, front + text) for front in (letters[1], letters[2] * 5, letters[:3] * 7)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    for a, b in df.select(syncmers.anchors(F.col("a")), syncmers.anchors(F.col("b"))).collect():
+        first = {x.hash for x in a}
+        assert len(first) > 20 and len(first & {x.hash for x in b}) >= 0.9 * len(first)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test data not present")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
