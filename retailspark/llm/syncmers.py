@@ -10,10 +10,10 @@ s-mer.  Whether a k-mer is chosen depends on its own pieces alone, so an edit
 changes only the anchors that touch it, and equal passages have equal anchors
 wherever they stand.  About 2 / (K - S + 1) of all k-mers are chosen.
 
-A fingerprint is the sketch of the SKETCH smallest distinct anchor hashes; the
-likeness of two is the share of common hashes among the SKETCH smallest of
-their union, an estimate of the Jaccard similarity of the anchor sets (exact
-for texts of at most SKETCH anchors).
+A fingerprint is the sketch of the SKETCH smallest distinct anchor hashes, for
+storing.  The likeness of two texts is the Jaccard similarity of their whole
+sets of anchor hashes, whatever their length; where the anchors stand does not
+count, so passages in another order are as like as in the same.
 """
 
 from __future__ import annotations
@@ -65,10 +65,14 @@ def anchors(text: Column) -> Column:
     return _let(F.transform(pieces, lambda w: F.xxhash64(w)), of)
 
 
+def hashes(text: Column) -> Column:
+    """array<bigint>: all distinct anchor hashes, ascending."""
+    return F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"])))
+
+
 def sketch(text: Column) -> Column:
     """array<bigint>: the smallest distinct anchor hashes, ascending."""
-    hashes = F.transform(anchors(text), lambda a: a["hash"])
-    return F.slice(F.sort_array(F.array_distinct(hashes)), 1, SKETCH)
+    return F.slice(hashes(text), 1, SKETCH)
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -77,11 +81,11 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1; of two sketches without a hash, 1."""
-    def of(u: Column) -> Column:
-        return F.when(F.size(u) == 0, 1.0).otherwise(F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.size(u))
+    """0 to 1, of two arrays of distinct hashes; of two without a hash, 1."""
+    def of(both: Column) -> Column:
+        return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
-    return _let(F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH), of)
+    return _let(F.size(F.array_intersect(a, b)), of)
 
 
 def ring(keys: DataFrame) -> DataFrame:
@@ -101,7 +105,7 @@ def ring(keys: DataFrame) -> DataFrame:
     by = Window.orderBy("part")
     seams = heads.select("part", F.lead("head").over(by).alias("seam"), F.first("head").over(by).alias("very_first"))
     nxt = F.coalesce("nxt", "seam", "very_first")
-    return linked.join(seams, "part").select("k", "kn", "th", "n", *(nxt[c].alias(f"next_{c}") for c in ("k", "kn", "th")))
+    return linked.join(seams, "part").select("k", "kn", "th", *(nxt[c].alias(f"next_{c}") for c in ("k", "kn", "th")))
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -114,28 +118,30 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     come last; rows of one doc_id are ordered by a hash of their text, and
     rows equal in both are one document here, each row getting its result.
 
-    The texts are shuffled once by document and, cut to what the edit needs,
-    once more to the document that takes them in.
+    The likeness columns compare all anchors.  The texts are shuffled once by
+    document and once more, whole, to the document that takes them in: a text
+    packs better than its anchors, which are worked out there.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("kn"), F.xxhash64(text).alias("th"), text.alias("text"))
-    keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("kn"), F.xxhash64(text).alias("th"), F.char_length(text).alias("n"))
+    keys = docs.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("kn"), F.xxhash64(text).alias("th"))
     links = stored(ring(keys.distinct()), "links")
     on = ["k", "kn", "th"]
-    to = links.select(F.col("k").alias("to_k"), F.col("kn").alias("to_kn"), F.col("th").alias("to_th"), "n", *(F.col(f"next_{c}").alias(c) for c in on))
+    to = links.select(F.col("k").alias("to_k"), F.col("kn").alias("to_kn"), F.col("th").alias("to_th"), *(F.col(f"next_{c}").alias(c) for c in on))
     given = rows.join(to, on).select(
         F.col("to_k").alias("k"), F.col("to_kn").alias("kn"), F.col("to_th").alias("th"),
-        F.struct(F.expr("substring(text, 1, n div 2)").alias("head"), sketch(F.col("text")).alias("sketch")).alias("next"),
+        F.col("text").alias("next"),
     )
     given = given.groupBy(*on).agg(F.first("next").alias("next"))  # a repeated next document gives the same each time
     n = F.char_length("text")
     both = rows.join(given, on).select(
-        "k", "kn", n.cast("long").alias("n_chars"), "text", F.col("next.sketch").alias("next_sketch"),
-        F.concat(F.expr("substring(text, 1, char_length(text) - char_length(text) div 2)"), F.col("next.head")).alias("edited"),
+        "k", "kn", n.cast("long").alias("n_chars"), "text", "next",
+        F.expr("substring(text, 1, char_length(text) - char_length(text) div 2) || substring(next, 1, char_length(text) div 2)").alias("edited"),
     )
-    done = both.select("k", "kn", "n_chars", "next_sketch", F.sha2(F.col("edited"), 256).alias("edited_sha256"), sketch(F.col("text")).alias("own"), sketch(F.col("edited")).alias("changed"))
+    done = both.select("k", "kn", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(hashes(F.col(c)).alias(f"{c}_hashes") for c in ("text", "edited", "next")))
+    own, changed, following = (F.col(f"{c}_hashes") for c in ("text", "edited", "next"))
     return done.select(
         F.when(~F.col("kn"), F.col("k")).alias("doc_id"), "n_chars", "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"), fingerprint(F.col("changed")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_sketch")).alias("near_next"),
+        fingerprint(F.slice(own, 1, SKETCH)).alias("fingerprint"), fingerprint(F.slice(changed, 1, SKETCH)).alias("edited_fingerprint"),
+        likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"),
     )

@@ -239,6 +239,66 @@ def test_syncmers_of_blankless_texts_are_context_free(spark, letters):
         assert len(first) > 20 and len(first & {x.hash for x in b}) >= 0.9 * len(first)
 
 
+ENDS = set("aeiouAEIOU0257_/.,;:=&?!-")
+
+
+def piece_list(text):
+    out = []
+    for run in re.split(r"[ \t\n\x0b\f\r]+", text):
+        if len(run) <= 12:
+            out += [run] * bool(run)
+            continue
+        now = ""
+        for ch in run:
+            if ord(ch) > 127:
+                out += [now] * bool(now) + [ch]
+                now = ""
+                continue
+            now += ch
+            if ch in ENDS or len(now) == 12:
+                out.append(now)
+                now = ""
+        out += [now] * bool(now)
+    return out
+
+
+def all_anchors(text):
+    """By the rule of the module's head, from the pieces on: closed syncmers, else the whole sequence."""
+    def chain(xs):
+        s = 42
+        for x in xs:
+            s = x64(q(x % (1 << 64)), s)
+        return signed(s)
+
+    h = [x64(w.encode()) for w in piece_list(text)]
+    pairs = [chain(h[i:i + 2]) for i in range(len(h) - 1)]
+    kmers = [pairs[i:i + 5] for i in range(len(h) - 5)]
+    chosen = {chain(m[::2]) for m in kmers if min(m[0], m[4]) == min(m)}
+    return chosen or {chain(h)} if h else set()
+
+
+def jaccard_of(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_likeness_counts_all_anchors(spark):
+    r = random.Random(8)
+    cjk = "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(900))
+    long = [passage(3000 + i, 1500) for i in range(4)]
+    rows = corpus() + [(800, long[0]), (799, long[0][:6000] + " " + long[1]), (798, long[1] + " " + long[2]), (797, long[3]), (796, cjk), (795, "前" + cjk), (794, cjk[:300])]
+    rows += [(900 + i, passage(2000 + i, 5 + i % 5)) for i in range(60)]
+    keyed = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x64(x[1].encode()))))
+    want = {}
+    for (d, t), (_, nxt) in zip(keyed, keyed[1:] + keyed[:1]):
+        n = len(t)
+        edited = t[:n - n // 2] + nxt[:n // 2]
+        own, changed = all_anchors(t), all_anchors(edited)
+        hexes = [" ".join(f"{x % (1 << 64):X}" for x in sorted(s)[:64]) for s in (own, changed)]
+        want[d, t] = (d, n, hashlib.sha256(edited.encode()).hexdigest(), *hexes, jaccard_of(own, changed), jaccard_of(own, all_anchors(nxt)))
+    got = syncmers.edited_likeness(frame(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted((want[d, t or ""] for d, t in rows), key=repr)
+
+
 @pytest.mark.skipif(not Path(SF).exists(), reason="test data not present")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
