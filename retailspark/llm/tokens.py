@@ -6,6 +6,9 @@ from ``tiktoken``'s merge loop over the same vocabulary, five times faster, so
 that is used where the file is of that kind; the first text of every batch is
 encoded by the library too, and a difference stops the job.  Any other kind of
 file is encoded by the library alone.
+
+Added tokens (such as ``<|endoftext|>``) that stand in a text become their own
+ids, as by the library's plain call.
 """
 
 from __future__ import annotations
@@ -38,15 +41,23 @@ def _plain_byte_level(spec: dict) -> bool:
     )
 
 
+def _plain_added(added: list[dict]) -> bool:
+    """Whether leftmost matching of the strings alone finds the added tokens."""
+    names = [t["content"] for t in added]
+    begun = any(a != b and b.startswith(a) for a in names for b in names)
+    return not begun and not any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") or not t.get("special") for t in added)
+
+
 class Encoder:
-    """ids of texts; the strings of special tokens in a text are ordinary text."""
+    """ids of texts; with ``match_added`` added tokens in a text become their
+    own ids, else the strings of special tokens are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, match_added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = not match_added
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.fast = None
         with open(path, encoding="utf-8") as f:
@@ -55,9 +66,14 @@ class Encoder:
             import tiktoken
 
             of = byte_alphabet()
-            special = {t["content"] for t in spec.get("added_tokens", ())}
+            added = spec.get("added_tokens") or []
+            special = {t["content"]: t["id"] for t in added}
+            plain = _plain_added(added)
+            matched = special if match_added and plain else {}
+            #: texts with one of these go through the library
+            self.slow = tuple(special) if match_added and not plain else ()
             ranks = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens=matched)
 
     def _by_library(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -68,7 +84,10 @@ class Encoder:
         out = []
         for i, t in enumerate(texts):
             try:
-                ids = self.fast.encode_to_numpy(t, disallowed_special=())
+                if any(x in t for x in self.slow):
+                    ids = self._by_library(t)
+                else:
+                    ids = self.fast.encode_to_numpy(t, allowed_special="all", disallowed_special=())
             except (KeyboardInterrupt, SystemExit):
                 raise
             except BaseException:  # its pattern engine can give up on extreme runs of blanks
@@ -82,4 +101,4 @@ class Encoder:
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One per Python worker."""
-    return Encoder(path)
+    return Encoder(path, match_added=True)

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from retailspark.llm import bpe, packing, tokenfile, tokens
 
@@ -91,6 +91,24 @@ def test_encoder_equals_the_library(library):
     assert [x.tolist() for x in enc.encode(texts)] == [library(t) for t in texts]
 
 
+def test_added_tokens_in_texts_are_matched(spark, tmp_path):
+    library = Tokenizer.from_file(SPEC)
+    plain = lambda text: library.encode(text, add_special_tokens=False).ids
+    texts = strange(400) + ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y", "<|endoftext|><|endoftext|> z", "<|endoftext|", "don<|endoftext|>'t  <|endoftext|>\n\n q"]
+    assert plain("a<|endoftext|>b") == [64, 50256, 65]
+    assert [x.tolist() for x in tokens.encoder(SPEC).encode(texts)] == [plain(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, SPEC, 2)).collect()
+    assert {r.doc_id: bytes(r.ids) for r in got} == {i: u4([*plain(t), 2]) for i, t in enumerate(texts)}
+    # overlapping and stripping added tokens: by the library
+    odd = Tokenizer.from_file(SPEC)
+    odd.add_special_tokens([AddedToken("<|end", special=True), AddedToken("<mask>", lstrip=True, special=True)])
+    odd.add_tokens([AddedToken("qq", normalized=False)])
+    odd.save(str(tmp_path / "odd.json"))
+    more = [*texts, "a  <mask> b", "qqq <|end|> aqqb"]
+    assert [x.tolist() for x in tokens.encoder(str(tmp_path / "odd.json")).encode(more)] == [odd.encode(t, add_special_tokens=False).ids for t in more]
+
+
 def test_an_encoder_that_disagrees_stops(monkeypatch):
     enc = tokens.Encoder(SPEC)
     monkeypatch.setattr(enc, "_by_library", lambda t: np.array([1, 2, 3], np.uint32))
