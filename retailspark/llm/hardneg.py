@@ -20,7 +20,7 @@ score window) goes twice down the tree of zone maps:
 
 A level is one equi-join of (group, node) with the children's zone maps, so
 neither rows nor zone maps are copied to groups whose bounds rule them out.
-Only the top level, of FANOUT rows at most, is broadcast.
+Only the top level, of FANOUT zone maps at most, is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -219,35 +219,51 @@ def _right_labels(group: Group, kinds: list[list[int]], same: bool) -> np.ndarra
     return out
 
 
+def _chosen(group: Group, zones: pa.Table, kind: type, same: bool, beam: int | None) -> np.ndarray:
+    """The nodes to follow for a group, of some zone maps."""
+    low, high = (np.stack([_ints(b) for b in zones.column(c).to_pylist()]).astype(kind) for c in ("low", "high"))
+    least_score, most_score = group.bounds(low, high)
+    ok = _right_labels(group, zones.column("kinds").to_pylist(), same)
+    least_id = zones.column("least").to_numpy()
+    wanted = np.zeros(ok.shape, bool)
+    for j in range(group.top.shape[1]):
+        top, floor, floor_id = (x[:, j, None] for x in (group.top, group.floor, group.floor_id))
+        reaches = (most_score > floor) | (most_score == floor) & (least_id <= floor_id)
+        wanted |= reaches & (least_score <= top) & (floor <= top)
+    wanted &= ok
+    if beam is not None:  # those whose bounds lie highest, of the ones that can matter
+        middle = np.where(wanted, least_score + most_score, -np.inf)
+        first = np.argsort(-middle, axis=1, kind="stable")[:, :beam]
+        chosen = np.zeros(wanted.shape, bool)
+        np.put_along_axis(chosen, first, True, 1)
+        wanted &= chosen
+    return zones.column("node").to_numpy()[wanted.any(0)]
+
+
 def _chooser(width: int, kind: type, same: bool, beam: int | None):
     """(group, node) of the nodes to follow, for one group and some zone maps."""
 
     def choose(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"group": pa.array([], pa.int64()), "node": pa.array([], pa.int64())})
-        group = Group(left.to_pylist()[0], width, kind)
-        low, high = (np.stack([_ints(b) for b in right.column(c).to_pylist()]).astype(kind) for c in ("low", "high"))
-        least_score, most_score = group.bounds(low, high)
-        ok = _right_labels(group, right.column("kinds").to_pylist(), same)
-        least_id = right.column("least").to_numpy()
-        wanted = np.zeros(ok.shape, bool)
-        for j in range(group.top.shape[1]):
-            top, floor, floor_id = (x[:, j, None] for x in (group.top, group.floor, group.floor_id))
-            reaches = (most_score > floor) | (most_score == floor) & (least_id <= floor_id)
-            wanted |= reaches & (least_score <= top) & (floor <= top)
-        wanted &= ok
-        if beam is not None:  # those whose bounds lie highest, of the ones that can matter
-            middle = np.where(wanted, least_score + most_score, -np.inf)
-            first = np.argsort(-middle, axis=1, kind="stable")[:, :beam]
-            chosen = np.zeros(wanted.shape, bool)
-            np.put_along_axis(chosen, first, True, 1)
-            wanted &= chosen
-        node = right.column("node").to_numpy()[wanted.any(0)]
+        node = np.zeros(0, np.int64)
+        if len(left) and len(right):
+            node = _chosen(Group(left.to_pylist()[0], width, kind), right, kind, same, beam)
         return pa.table({"group": np.full(len(node), key[0].as_py(), np.int64), "node": node})
 
     return choose
 
 
+def _starter(top: pa.Table, width: int, kind: type, same: bool, beam: int | None):
+    """The same for every group and the ``top`` level."""
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist() if len(top) else []:
+                node = _chosen(Group(row, width, kind), top, kind, same, beam)
+                yield pa.record_batch([pa.array(np.full(len(node), row["group"], np.int64)), pa.array(node, pa.int64())], ["group", "node"])
+
+    return start
+
+
 def _searcher(width: int, kind: type, same: bool, k: int):
     """The k best rows of each anchor and place, for one group and some blocks."""
     names = ["group", "anchor", "place", "rid", "id", "score"]
@@ -320,19 +336,17 @@ def _cogrouped(groups: DataFrame, some: DataFrame, pieces: int, work: Callable,
 @dataclass
 class Tree:
     blocks: DataFrame
-    levels: list[tuple[DataFrame, int]]  # from the top; each with its number of nodes
+    n_blocks: int
+    top: pa.Table  # at most FANOUT zone maps
+    levels: list[tuple[DataFrame, int]]  # below it, down to the blocks; each with its number of nodes
     width: int
     kind: type
 
     def follow(self, groups: DataFrame, same: bool, beam: int | None) -> DataFrame:
         """(group, node) of the blocks to read."""
-        pairs = None
-        for i, (zones, n) in enumerate(self.levels):
-            if pairs is None:  # at most FANOUT nodes: a bounded broadcast
-                one = groups.select("group", F.lit(0).alias("_all"))
-                some = one.join(F.broadcast(zones.withColumn("_all", F.lit(0))), "_all").drop("_all")
-            else:
-                some = pairs.withColumnRenamed("node", "parent").join(zones.withColumn("parent", F.expr(f"node div {FANOUT}")), "parent")
+        pairs = on_workers(groups).mapInArrow(_starter(self.top, self.width, self.kind, same, beam), "group long, node long")
+        for zones, n in self.levels:
+            some = pairs.withColumnRenamed("node", "parent").join(zones.withColumn("parent", F.expr(f"node div {FANOUT}")), "parent")
             pairs = _cogrouped(groups, some.select("group", "node", "low", "high", "kinds", "least"), partitions_for(n, TASK_ZONES), _chooser(self.width, self.kind, same, beam), "group long, node long")
         return pairs
 
@@ -340,7 +354,7 @@ class Tree:
         """group, anchor, place, rid, id, score, rank: the k best of each place."""
         pairs = self.follow(groups, same, beam)
         some = pairs.join(self.blocks.drop("kinds", "least"), "node")
-        hits = _cogrouped(groups, some, partitions_for(self.levels[-1][1], TASK_BLOCKS), _searcher(self.width, self.kind, same, k), _HIT)
+        hits = _cogrouped(groups, some, partitions_for(self.n_blocks, TASK_BLOCKS), _searcher(self.width, self.kind, same, k), _HIT)
         w = Window.partitionBy("group", "anchor", "place").orderBy(F.desc("score"), "id", "rid")
         return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -410,11 +424,14 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, label: Column, positiv
     kind = np.float64 if largest < _EXACT else np.int64  # all sums are exact in doubles, whose products are faster
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
     blocks = _blocks(rows, curve, width, BLOCK_ROWS, "blocks")
-    levels = [(blocks.select("node", "low", "high", "kinds", "least"), blocks.count())]
+    zones = blocks.select("node", "low", "high", "kinds", "least")
+    n_blocks = zones.count()
+    levels = [(zones, n_blocks)]
     while levels[0][1] > FANOUT:
         above = stored(_parents(levels[0][0]), "zones")
         levels.insert(0, (above, above.count()))
-    tree = Tree(blocks, levels, width, kind)
+    top = levels.pop(0)[0].toArrow()
+    tree = Tree(blocks, n_blocks, top, levels, width, kind)
     anchors = _blocks(rows.filter(is_anchor), curve, width, GROUP_ROWS, "anchors")
     groups = stored(on_workers(anchors.withColumnRenamed("node", "group").select(*_GROUP_ROW)).mapInArrow(_unbounded, _GROUP), "groups")
     seeds = tree.search(groups, True, positives, BEAM)
