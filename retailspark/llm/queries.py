@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hardneg, jaccard, langid, packing, quality, sharding, substrings, syncmers, tokenfile, topk
+from . import alignment, bpe, hardneg, jaccard, langid, packing, quality, sharding, substrings, syncmers, tokenfile, topk
 from .common import documents
 
 
@@ -65,12 +65,16 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, label, 5, 3)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op6_substrings, op7_syncmers, op8_packing, op9_quality, op10_jaccard, op13_hardneg)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op6_substrings, op7_syncmers, op8_packing, op9_quality, op10_jaccard, op12_alignment, op13_hardneg)}
 
 ORACLES = {
     "op1_topk": """
