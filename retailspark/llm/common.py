@@ -83,8 +83,19 @@ def number_within(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     )
 
 
-def first_by_hash(df: DataFrame, groups: Sequence[str], key: str, n: int) -> DataFrame:
+def first_by_hash(df: DataFrame, groups: Sequence[str], key: str, n: int, buckets: int = 64) -> DataFrame:
     """The ``n`` rows of each group that come first by a hash of ``key``: a
-    sample of bounded size, the same on every run.  Keep ``df`` narrow."""
-    w = Window.partitionBy(*groups).orderBy(F.xxhash64(F.lit("sample"), F.col(key)), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+    sample of bounded size, the same on every run.  Keep ``df`` narrow.  A
+    group is cut in ``buckets`` first, by the same hash, so that none is one
+    task's: the last step reads ``buckets`` * n rows of a group at most."""
+    order = (F.xxhash64(F.lit("sample"), F.col(key)), F.col(key))
+    df = df.withColumn("_bucket", F.pmod(order[0], F.lit(buckets)))
+    for by in ([*groups, "_bucket"], [*groups]):
+        df = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= n).drop("_rank")
+    return df.drop("_bucket")
+
+
+def one_each(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One text for each value of ``keys``: that of the smallest hash.  For
+    samples whose ids may be repeated over any share of the rows."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, hardneg, jaccard, langid, packing, quality, sharding, substrings, syncmers, tokenfile, topk
+from . import alignment, bpe, hardneg, jaccard, langid, packing, quality, sharding, substrings, syncmers, tokenfile, topk, toxicity
 from .common import documents
 
 
@@ -19,6 +19,12 @@ def doc_crc(mod: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
+def held_out(mod: int, fold: int):
+    """Whether doc_id is in the fold that isn't learned from.  A row without a
+    doc_id isn't learned from either: true."""
+    return F.coalesce(doc_crc(mod) == fold, F.lit(True)).alias("held_out")
+
+
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, 5)
 
@@ -39,7 +45,7 @@ def op4_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     net = langid.fit(docs, doc_crc(4) != 2)
-    return langid.identify(docs, net).select("doc_id", (doc_crc(4) == 2).alias("held_out"), "lang_pred", "score")
+    return langid.identify(docs, net).select("doc_id", held_out(4, 2), "lang_pred", "score")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +64,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_crc(5) != 0)
-    return quality.predictions(docs, model, 0.3).select("doc_id", (doc_crc(5) == 0).alias("held_out"), "score", "predicted")
+    return quality.predictions(docs, model, 0.3).select("doc_id", held_out(5, 0), "score", "predicted")
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_crc(5) != 0)
+    return toxicity.predictions(docs, model, 0.5).select("doc_id", held_out(5, 0), "score", "predicted")
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -74,7 +86,7 @@ def op13_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardneg.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 50 == 0, label, 5, 3)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op6_substrings, op7_syncmers, op8_packing, op9_quality, op10_jaccard, op12_alignment, op13_hardneg)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_shard, op3_bpe, op4_tokenfile, op5_langid, op6_substrings, op7_syncmers, op8_packing, op9_quality, op10_jaccard, op11_toxicity, op12_alignment, op13_hardneg)}
 
 ORACLES = {
     "op1_topk": """
