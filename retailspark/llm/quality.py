@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from retailspark.session import on_workers
 
 from .arrowtext import mixed, pieces
-from .common import first_by_hash
+from .common import first_by_hash, one_each
 from .features import collected
 
 BITS = 17
@@ -150,12 +150,14 @@ def train(ids: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, d
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, per_label: int = 1000) -> Model:
     """Train on at most ``per_label`` documents of each value of
     ``labels.quality`` (whole texts).  Rows of ``labels`` that disagree on a
-    doc_id, or are null, teach nothing.  What reaches the driver is bounded:
+    doc_id, or are null, teach nothing; a repeated doc_id is used once, with
+    the text of the smallest hash.  What reaches the driver is bounded:
     at most 2 * ``per_label`` bags of at most 2**17 buckets."""
     agreed = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most"))
     agreed = agreed.filter(F.col("quality") == F.col("_most")).select("doc_id", "quality")
     ids = first_by_hash(agreed.filter(usable), ["quality"], "doc_id", per_label)
     rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull()).join(F.broadcast(ids), "doc_id")
+    rows = one_each(rows, ["doc_id", "quality"])
     bags = collected(on_workers(rows.select("doc_id", "text", F.col("quality").cast("int"))).mapInArrow(_bags, "doc_id long, label int, ids binary, shares binary"))
     ids_, shares = ([np.frombuffer(x, kind) for x in bags.column(c).to_pylist()] for c, kind in (("ids", "<i4"), ("shares", "<f4")))
     return train(ids_, shares, np.array(bags.column("label").to_pylist(), np.int64))
