@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from retailspark.functions.money import money_units
 from retailspark.functions.rank import SortKey, with_global_rank
 from retailspark.functions.stats import exact_quantiles
+from retailspark.operators import boosting
 from retailspark.session import compact, on_workers
 
 FEATURE_COLUMNS = ["recency_days", "frequency", "monetary", "tenure_days", "avg_order_value",
@@ -141,12 +142,12 @@ def fit_logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000):
 
 
 def fit_gbt(train: DataFrame, n_estimators: int = 300, learning_rate: float = 0.05,
-            max_depth: int = 5, subsample: float = 0.8, colsample: float = 0.8,
-            seed: int = RANDOM_STATE):
-    gbt = GBTClassifier(featuresCol="features", labelCol=LABEL_COLUMN, maxIter=n_estimators,
-                        stepSize=learning_rate, maxDepth=max_depth, subsamplingRate=subsample,
-                        featureSubsetStrategy=str(colsample), seed=seed)
-    model = gbt.fit(_assemble(compact(train, "gbt_rows"), FEATURE_COLUMNS))
+            num_leaves: int = 31, subsample: float = 0.8, colsample: float = 0.8,
+            seed: int = RANDOM_STATE, **params):
+    """Leaf-wise boosted trees over histograms (``operators.boosting``)."""
+    model = boosting.fit(train.select("CustomerID", *FEATURE_COLUMNS, LABEL_COLUMN), FEATURE_COLUMNS, LABEL_COLUMN, "CustomerID",
+                         n_estimators=n_estimators, learning_rate=learning_rate, num_leaves=num_leaves,
+                         subsample=subsample, colsample=colsample, seed=seed, **params)
     return {"kind": "gbt", "model": model}
 
 
@@ -161,7 +162,7 @@ def predict_proba(fitted, df: DataFrame) -> DataFrame:
             cols.append(z.alias(f"z_{c}"))
         vec = _assemble(df.select("*", *cols), [f"z_{c}" for c in FEATURE_COLUMNS])
     else:
-        vec = _assemble(df, FEATURE_COLUMNS)
+        return boosting.scored(fitted["model"], df, FEATURE_COLUMNS)
     out = fitted["model"].transform(vec)
     return out.select(*df.columns, vector_to_array("probability")[1].alias("score"))
 
@@ -243,22 +244,20 @@ class Leaf:
 
 
 def tree_leaves(fitted) -> list[Leaf]:
-    """All leaves of a fitted boosted-tree model, read from the model once."""
-    out: list[Leaf] = []
-
-    def walk(node, weight, rules):
-        if node.numDescendants() == 0:
-            out.append(Leaf(weight * node.prediction(), rules))
-            return
-        j, at = node.split().featureIndex(), node.split().threshold()
-        low, high, share = rules.get(j, (-math.inf, math.inf, 1.0))
-        n = node.impurityStats().count()
-        for child, span in ((node.leftChild(), (low, min(high, at))), (node.rightChild(), (max(low, at), high))):
-            walk(child, weight, rules | {j: (*span, share * child.impurityStats().count() / n)})
-
-    model = fitted["model"]._java_obj
-    for tree, weight in zip(model.trees(), model.treeWeights()):
-        walk(tree.rootNode(), weight, {})
+    """All leaves of a fitted boosted-tree model.  The base margin is a leaf
+    without rules."""
+    out = [Leaf(fitted["model"].base, {})]
+    for tree in fitted["model"].trees:
+        todo: list[tuple[int, dict]] = [(0, {})]
+        while todo:
+            node, rules = todo.pop()
+            j, at = tree.feature[node], tree.at[node]
+            if j < 0:
+                out.append(Leaf(tree.value[node], rules))
+                continue
+            low, high, share = rules.get(j, (-math.inf, math.inf, 1.0))
+            for child, span in ((tree.left[node], (low, min(high, at))), (tree.right[node], (max(low, at), high))):
+                todo.append((child, rules | {j: (*span, share * tree.rows[child] / tree.rows[node])}))
     return out
 
 

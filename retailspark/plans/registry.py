@@ -530,8 +530,7 @@ def q_fit_logistic(spark, d):
 @query("fit_gbt")
 def q_fit_gbt(spark, d):
     m = P.fitted_model(spark, d, "gbt")["model"]
-    imp = m.featureImportances.toArray()
-    return spark.createDataFrame([(c, float(v)) for c, v in zip(pr.FEATURE_COLUMNS, imp)],
+    return spark.createDataFrame([(c, float(v)) for c, v in zip(pr.FEATURE_COLUMNS, m.importance())],
                                  "feature string, importance double")
 
 
@@ -580,7 +579,7 @@ def q_shap_additivity(spark, d):
     """Rows whose base and attributions do not add up to the model's margin."""
     test = P.split_table(spark, d).filter(F.col("is_test"))
     rows = pr.tree_attribution_rows(P.fitted_model(spark, d, "gbt"), test)
-    margin = F.log(F.col("score") / (1 - F.col("score"))) / 2
+    margin = F.log(F.col("score") / (1 - F.col("score")))
     both = rows.join(_test_scores(spark, d, "gbt").select("CustomerID", margin.alias("margin")), "CustomerID")
     total = F.col("base") + F.aggregate("attributions", F.lit(0.0), lambda a, v: a + v)
     return both.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.abs(total - F.col("margin")) > 1e-6, 1)).alias("off"))
