@@ -19,7 +19,7 @@ sets are one class, and all further work is on classes.  Two classes link when
    tests those it meets most.  So a group of a million near copies costs some
    millions of tests, not their square.  After some rounds every pair that
    shares a prefix shingle and isn't yet known to be connected is tested,
-   however many.
+   however many; it is made at its first common shingle.
 4. A pair is verified once, on whole sets, after a suffix filter.
 
 Components are what is asked for, so pairs already connected need no test:
@@ -199,17 +199,26 @@ def _hub_pairs(rows: DataFrame, tested: DataFrame | None, turn: int, each: int,
     return votes.withColumn("i", nth).filter(F.col("i") <= each).select("a", "b").distinct()
 
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
+def _all_pairs(rows: DataFrame, window: int = 24) -> DataFrame:
     """Every pair of classes of different components that share a prefix
     shingle and pass the filters.  The shorter set of a pair needs a shared
     shingle among its first n - ceil(1.5 n / 1.75) + 1 only, as linked sets of
-    n and more share 1.5 n / 1.75 at least."""
+    n and more share 1.5 n / 1.75 at least.
+
+    All classes have one order of shingles, so a pair's first common shingle is
+    the first in both.  There nothing before it is shared, and what may follow
+    it bounds the overlap; a pair that can link passes there.  Elsewhere the
+    same bound is no loss, and a pair of which an earlier common shingle is
+    seen (among the first ``window`` that may be shared) is not made again."""
     mixed = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("h")
     rows = rows.join(mixed, "h", "left_semi")  # without shingles that stay within one component
+    first = rows.groupBy("c").agg(F.slice(F.sort_array(F.collect_list(F.struct("pos", "h"))), 1, window).alias("first"))
+    rows = rows.join(first, "c").withColumn("before", F.expr("transform(filter(first, f -> f.pos < pos), f -> f.h)")).drop("first")
     x = rows.filter("pos + n - m < n - (150 * n + 174) div 175 + 1").alias("x")
     y = rows.alias("y")
     later = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.c") < F.col("y.c")))
-    hit = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & later & _fits("x", "y"))
+    fits = F.expr("100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n) AND 175 * least(x.m - x.pos, y.m - y.pos) >= 75 * (x.n + y.n)")
+    hit = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & later & fits & ~F.arrays_overlap("x.before", "y.before"))
     return hit.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
 
 
@@ -259,11 +268,13 @@ def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, less near duplicates: of
     each component the row of the smallest doc_id stays (of equal ids, the one
-    of the smallest text hash; of equal rows, one).  Rows without words all stay."""
+    of the smallest text hash; of rows equal in both, that whose other columns
+    come first as JSON).  Rows without words all stay."""
     near = stored(near_duplicates(docs), "near")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "dk")).alias("first")
     keep = near.filter("root IS NOT NULL").groupBy("root").agg(first).select("first.dk", F.lit(False).alias("alone"))
     keep = keep.union(near.filter("root IS NULL").select("dk", F.lit(True).alias("alone")).distinct())
     rows = docs.select(F.struct("*").alias("row"), _key().alias("dk")).join(keep, "dk")
-    nth = F.row_number().over(Window.partitionBy("dk").orderBy(F.lit(0)))
+    rest = [F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")]
+    nth = F.row_number().over(Window.partitionBy("dk").orderBy(F.to_json(F.struct(F.lit(0), *rest))))
     return rows.withColumn("nth", nth).filter("alone OR nth = 1").select("row.*")
