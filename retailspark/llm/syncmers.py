@@ -10,10 +10,13 @@ s-mer.  Whether a k-mer is chosen depends on its own pieces alone, so an edit
 changes only the anchors that touch it, and equal passages have equal anchors
 wherever they stand.  About 2 / (K - S + 1) of all k-mers are chosen.
 
-A fingerprint is the sketch of the SKETCH smallest distinct anchor hashes, for
-storing.  The likeness of two texts is the Jaccard similarity of their whole
-sets of anchor hashes, whatever their length; where the anchors stand does not
-count, so passages in another order are as like as in the same.
+A fingerprint holds all anchors in the order of the text: the distance from the
+anchor before, in pieces, and the hash.  Matching is by position: an anchor of
+two texts matches if in both the anchor before it is the same and as far away,
+that is if the pair stands at one offset.  The likeness of two fingerprints is
+the Jaccard similarity of their sets of such steps (the first step is the first
+anchor itself), so it is a function of the fingerprints alone, moved passages
+keep all steps but those at their seams, and shuffled anchors have none.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql.window import Window
 
 from .common import stored
 
-K, S, SKETCH = 6, 2, 64
+K, S = 6, 2
 ENDS = r"aeiouAEIOU0257_/.,;:=&?!\-"
 PIECE = rf"(?<!\S)\S{{1,12}}(?!\S)|[^\s\x00-\x7F]|(?:(?![{ENDS}])[\x00-\x7F&&\S]){{0,11}}[{ENDS}]|(?:(?![{ENDS}])[\x00-\x7F&&\S]){{1,12}}"
 
@@ -65,23 +68,26 @@ def anchors(text: Column) -> Column:
     return _let(F.transform(pieces, lambda w: F.xxhash64(w)), of)
 
 
-def hashes(text: Column) -> Column:
-    """array<bigint>: all distinct anchor hashes, ascending."""
-    return F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"])))
+def fingerprint(found: Column) -> Column:
+    """Anchors as a string: distance and hash in hexadecimal, joined by blanks."""
+    def step(x: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(found, i - 1)["pos"], F.lit(0))
+        return F.concat(F.hex(x["pos"] - before), F.lit("."), F.hex(x["hash"]))
 
+    return F.concat_ws(" ", F.transform(found, step))
 
-def sketch(text: Column) -> Column:
-    """array<bigint>: the smallest distinct anchor hashes, ascending."""
-    return F.slice(hashes(text), 1, SKETCH)
 
+def steps(found: Column) -> Column:
+    """array<bigint>: the distinct steps of a text's anchors."""
+    def step(x: Column, i: Column) -> Column:
+        before = F.get(found, i - 1)
+        return F.when(i == 0, x["hash"]).otherwise(F.xxhash64(before["hash"], x["hash"], (x["pos"] - before["pos"]).cast("long")))
 
-def fingerprint(sketch: Column) -> Column:
-    """A sketch as a string: hashes in hexadecimal, joined by blanks."""
-    return F.concat_ws(" ", F.transform(sketch, lambda h: F.hex(h)))
+    return F.array_distinct(F.transform(found, step))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1, of two arrays of distinct hashes; of two without a hash, 1."""
+    """0 to 1, of the steps of two fingerprints; of two without an anchor, 1."""
     def of(both: Column) -> Column:
         return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
@@ -118,7 +124,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     come last; rows of one doc_id are ordered by a hash of their text, and
     rows equal in both are one document here, each row getting its result.
 
-    The likeness columns compare all anchors.  The texts are shuffled once by
+    The likeness columns compare the fingerprints.  The texts are shuffled once by
     document and once more, whole, to the document that takes them in: a text
     packs better than its anchors, which are worked out there.
     """
@@ -138,10 +144,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
         "k", "kn", n.cast("long").alias("n_chars"), "text", "next",
         F.expr("substring(text, 1, char_length(text) - char_length(text) div 2) || substring(next, 1, char_length(text) div 2)").alias("edited"),
     )
-    done = both.select("k", "kn", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(hashes(F.col(c)).alias(f"{c}_hashes") for c in ("text", "edited", "next")))
-    own, changed, following = (F.col(f"{c}_hashes") for c in ("text", "edited", "next"))
+    done = both.select("k", "kn", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(anchors(F.col(c)).alias(f"{c}_anchors") for c in ("text", "edited", "next")))
+    done = done.select("*", *(steps(F.col(f"{c}_anchors")).alias(f"{c}_steps") for c in ("text", "edited", "next")))
     return done.select(
         F.when(~F.col("kn"), F.col("k")).alias("doc_id"), "n_chars", "edited_sha256",
-        fingerprint(F.slice(own, 1, SKETCH)).alias("fingerprint"), fingerprint(F.slice(changed, 1, SKETCH)).alias("edited_fingerprint"),
-        likeness(own, changed).alias("near_edited"), likeness(own, following).alias("near_next"),
+        fingerprint(F.col("text_anchors")).alias("fingerprint"), fingerprint(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("text_steps"), F.col("edited_steps")).alias("near_edited"), likeness(F.col("text_steps"), F.col("next_steps")).alias("near_next"),
     )

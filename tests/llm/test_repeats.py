@@ -168,46 +168,6 @@ def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def brute_sketch(text):
-    h = [x64(w.encode()) for w in re.findall(r"[^ \t\n\x0b\f\r]{1,12}", text)]
-    if not h:
-        return []
-    if len(h) < syncmers.K:
-        s = 42
-        for x in h:
-            s = x64(q(x), s)
-        return [signed(s)]
-    s2 = [signed(x64(q(b), x64(q(a)))) for a, b in zip(h, h[1:])]
-    out = set()
-    for i in range(len(h) - syncmers.K + 1):
-        inner = s2[i:i + syncmers.K - syncmers.S + 1]
-        if min(inner) in (inner[0], inner[-1]):
-            s = 42
-            for x in (inner[0], inner[2], inner[4]):
-                s = x64(q(x % (1 << 64)), s)
-            out.add(signed(s))
-    return sorted(out)[:syncmers.SKETCH]
-
-
-def alike(a, b):
-    u = sorted(set(a) | set(b))[:syncmers.SKETCH]
-    return len([x for x in u if x in a and x in b]) / len(u) if u else 1.0
-
-
-def test_fingerprints(docs, none):
-    rows = sorted({(d, t or "") for d, t in corpus()}, key=lambda r: (r[0] is None, -(r[0] or 0), signed(x64(r[1].encode()))))
-    want = {}
-    for (d, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
-        n = len(t)
-        edited = t[:n - n // 2] + nxt[:n // 2]
-        own, changed = brute_sketch(t), brute_sketch(edited)
-        hexes = [" ".join(f"{x % (1 << 64):X}" for x in s) for s in (own, changed)]
-        want[d, t] = (d, n, hashlib.sha256(edited.encode()).hexdigest(), *hexes, alike(own, changed), alike(own, brute_sketch(nxt)))
-    got = syncmers.edited_likeness(docs).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted((want[d, t or ""] for d, t in corpus()), key=repr)
-    assert syncmers.edited_likeness(none).collect() == []
-
-
 def test_syncmers_are_context_free(spark):
     text = passage(77, 200)
     df = spark.createDataFrame([(text, "zz yy xx " + text)], "a string, b string")
@@ -222,7 +182,7 @@ def test_short_texts_have_fingerprints_of_their_own(spark):
     texts = [passage(2000 + i, 1 + i % 9) for i in range(180)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.replace(" ", " \n ")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "i int, text string")
-    got = dict(df.select("i", syncmers.fingerprint(syncmers.sketch(F.col("text")))).collect())
+    got = dict(df.select("i", syncmers.fingerprint(syncmers.anchors(F.col("text")))).collect())
     own = [got[i] for i in range(len(texts))]
     assert all(own) and len(set(own)) == len(set(texts))
     assert own == [got[1000 + i] for i in range(len(texts))]
@@ -262,41 +222,69 @@ def piece_list(text):
     return out
 
 
-def all_anchors(text):
-    """By the rule of the module's head, from the pieces on: closed syncmers, else the whole sequence."""
-    def chain(xs):
-        s = 42
-        for x in xs:
-            s = x64(q(x % (1 << 64)), s)
-        return signed(s)
+def chain(xs):
+    s = 42
+    for x in xs:
+        s = x64(q(x % (1 << 64)), s)
+    return signed(s)
+
 
+def all_anchors(text):
+    """(piece, hash) by the rule of the module's head, from the pieces on: closed syncmers, else the whole sequence."""
     h = [x64(w.encode()) for w in piece_list(text)]
     pairs = [chain(h[i:i + 2]) for i in range(len(h) - 1)]
     kmers = [pairs[i:i + 5] for i in range(len(h) - 5)]
-    chosen = {chain(m[::2]) for m in kmers if min(m[0], m[4]) == min(m)}
-    return chosen or {chain(h)} if h else set()
+    chosen = [(i, chain(m[::2])) for i, m in enumerate(kmers) if min(m[0], m[4]) == min(m)]
+    return chosen or ([(0, chain(h))] if h else [])
 
 
-def jaccard_of(a, b):
-    return len(a & b) / len(a | b) if a | b else 1.0
+def printed(found):
+    return " ".join(f"{p - b:X}.{h % (1 << 64):X}" for (p, h), (b, _) in zip(found, [(0, 0), *found]))
 
 
-def test_likeness_counts_all_anchors(spark):
-    r = random.Random(8)
-    cjk = "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(900))
-    long = [passage(3000 + i, 1500) for i in range(4)]
-    rows = corpus() + [(800, long[0]), (799, long[0][:6000] + " " + long[1]), (798, long[1] + " " + long[2]), (797, long[3]), (796, cjk), (795, "前" + cjk), (794, cjk[:300])]
-    rows += [(900 + i, passage(2000 + i, 5 + i % 5)) for i in range(60)]
+def alike(a, b):
+    """From the two strings alone."""
+    sets = []
+    for text in (a, b):
+        now = [tuple(int(x, 16) for x in t.split(".")) for t in text.split()]
+        sets.append({(h0, h, gap) for (_, h0), (gap, h) in zip(now, now[1:])} | {now[0][1] for _ in now[:1]})
+    both = sets[0] | sets[1]
+    return len(sets[0] & sets[1]) / len(both) if both else 1.0
+
+
+def fingerprints_of(rows):
     keyed = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is None, -(x[0] or 0), signed(x64(x[1].encode()))))
     want = {}
     for (d, t), (_, nxt) in zip(keyed, keyed[1:] + keyed[:1]):
         n = len(t)
         edited = t[:n - n // 2] + nxt[:n // 2]
-        own, changed = all_anchors(t), all_anchors(edited)
-        hexes = [" ".join(f"{x % (1 << 64):X}" for x in sorted(s)[:64]) for s in (own, changed)]
-        want[d, t] = (d, n, hashlib.sha256(edited.encode()).hexdigest(), *hexes, jaccard_of(own, changed), jaccard_of(own, all_anchors(nxt)))
+        own, changed, after = (printed(all_anchors(x)) for x in (t, edited, nxt))
+        want[d, t] = (d, n, hashlib.sha256(edited.encode()).hexdigest(), own, changed, alike(own, changed), alike(own, after))
+    return sorted((want[d, t or ""] for d, t in rows), key=repr)
+
+
+def test_fingerprints(spark, none):
+    r = random.Random(8)
+    cjk = "".join(chr(r.randrange(0x4E00, 0x5200)) for _ in range(900))
+    long = [passage(3000 + i, 1500) for i in range(4)]
+    rows = corpus() + [(800, long[0]), (799, long[0][:6000] + " " + long[1]), (798, long[1] + " " + long[2]), (797, long[3]), (796, cjk), (795, "前" + cjk), (794, cjk[:300])]
+    rows += [(900 + i, passage(2000 + i, 5 + i % 5)) for i in range(60)]
     got = syncmers.edited_likeness(frame(spark, rows)).collect()
-    assert sorted(map(tuple, got), key=repr) == sorted((want[d, t or ""] for d, t in rows), key=repr)
+    assert sorted(map(tuple, got), key=repr) == fingerprints_of(rows)
+    assert syncmers.edited_likeness(none).collect() == []
+
+
+def test_matching_is_by_position(spark):
+    a, b, c = (passage(5000 + i, 120) for i in range(3))
+    shuffled = a.split(" ")
+    random.Random(4).shuffle(shuffled)
+    rows = [(3, " ".join((a, b, c))), (2, " ".join((c, a, b))), (1, " ".join(shuffled)), (0, a)]
+    near = {r.doc_id: r.near_next for r in syncmers.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near[3] > 0.9  # moved passages, but for the seams
+    assert near[1] == 0  # the same words, dealt anew
+    same = [(9, a), (8, a)]
+    got = syncmers.edited_likeness(spark.createDataFrame(same, "doc_id long, text string")).collect()
+    assert len({r.fingerprint for r in got}) == 1 and all(r.near_next == 1 for r in got)
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="test data not present")
