@@ -146,17 +146,30 @@ def recommend_for_baskets(rules: DataFrame, baskets: DataFrame, top_n: int = 5)
     return keyed.select("basket_id", "_set").join(recs, "_set").drop("_set")
 
 
+def rule_index(rules: DataFrame, held: DataFrame) -> DataFrame:
+    """``rules`` keyed by the antecedent item that the fewest sets hold
+    (``held``: item, sets; ties to the smaller item).  A set that fires a rule
+    holds that item, so it meets each rule once, by its rarest item, and hot
+    items meet only rules that have nothing rarer."""
+    r = rules.select("antecedents", "consequents", "lift", "confidence", "support",
+                     F.concat_ws("|", _key(F.col("antecedents")), _key(F.col("consequents"))).alias("rule_id"))
+    items = r.select("rule_id", F.explode("antecedents").alias("item")).join(held, "item", "left")
+    rarest = items.groupBy("rule_id").agg(
+        F.min(F.struct(F.coalesce("sets", F.lit(0)).alias("sets"), "item")).alias("k"))
+    return r.join(rarest, "rule_id").filter("k.sets > 0").withColumn("key", F.col("k.item")).drop("k")
+
+
+def fired_rules(rules: DataFrame, baskets: DataFrame) -> DataFrame:
+    """basket_id, items and the rule, for every rule whose antecedents all lie
+    in the basket: one index look-up an item, then one containment test."""
+    b_items = baskets.select("basket_id", "items", F.explode(F.array_distinct("items")).alias("key"))
+    held = b_items.groupBy(F.col("key").alias("item")).agg(F.count(F.lit(1)).alias("sets"))
+    met = b_items.join(rule_index(rules, held), "key")
+    return met.filter(F.size(F.array_except("antecedents", "items")) == 0).drop("key")
+
+
 def _recommend_for_sets(rules: DataFrame, baskets: DataFrame, top_n: int) -> DataFrame:
-    r = (rules.select("antecedents", "consequents", "lift", "confidence", "support")
-         .withColumn("rule_id", F.concat_ws("|", _key(F.col("antecedents")), _key(F.col("consequents"))))
-         .withColumn("n_ante", F.size("antecedents")))
-    r_items = r.select("rule_id", "n_ante", F.explode("antecedents").alias("item"))
-    b_items = baskets.select("basket_id", F.explode(F.array_distinct("items")).alias("item"))
-    fired = (b_items.join(r_items, "item")
-             .groupBy("basket_id", "rule_id", "n_ante").agg(F.count(F.lit(1)).alias("hit"))
-             .filter(F.col("hit") == F.col("n_ante"))
-             .select("basket_id", "rule_id"))
-    cand = (fired.join(r, "rule_id").join(baskets.select("basket_id", "items"), "basket_id")
+    cand = (fired_rules(rules, baskets)
             .select("basket_id", F.explode(F.array_except("consequents", "items")).alias("StockCode"),
                     "lift", "confidence", "support",
                     F.array_join("antecedents", ", ").alias("from_rule"),

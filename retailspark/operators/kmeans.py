@@ -80,7 +80,7 @@ def sweep(feat: DataFrame, k_values=K_RANGE, seed: int = RANDOM_STATE, n_init: i
     rows = []
     for k in ks:
         labelled = _vectors(assign(feat, FEATURES, best[k][0]))
-        rows.append((int(k), best[k][1], float(silhouette(labelled))))
+        rows.append((int(k), best[k][1], float(silhouette(labelled)) if len(best[k][0]) else None))  # no rows: no silhouette
     return rows, {k: c for k, (c, _) in best.items()}
 
 

@@ -17,6 +17,8 @@ Only centres (Σk × d numbers) travel to the tasks and back.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,8 +81,8 @@ def _lloyd_pass(data: DataFrame, cols, centers: list[np.ndarray], active=None):
     sizes = [len(c) for c in centers]
     active = list(range(len(centers))) if active is None else list(active)
 
-    flat = np.concatenate(centers)
-    begin = np.cumsum([0, *sizes[:-1]])
+    flat = np.concatenate([centers[m] for m in active])  # converged models take no part
+    begin = dict(zip(active, np.cumsum([0, *(sizes[m] for m in active)]).tolist()))
 
     def part(it):
         acc_s = [np.zeros((k, len(cols))) for k in sizes]
@@ -123,10 +125,13 @@ def fit_many(feat: DataFrame, id_col: str, cols: list[str], models: list[tuple[i
     """Fit K-means for every (k, seed); returns ([centers], [cost]) where cost
     is the within-cluster sum of squares of the final centres.  A model has
     converged when its total squared centre shift is ≤ tol × the mean
-    feature variance."""
+    feature variance; one that has not after ``max_iter`` passes is warned of.
+    Without rows a model has no centres and no cost."""
     data = compact(_prepare(feat, id_col, cols), "kmeans_rows").cache()
     var = data.agg(*[F.var_pop(c).alias(c) for c in cols]).first()
     tol_abs = tol * float(np.mean([var[c] or 0.0 for c in cols]))
+    if not data.limit(1).count():
+        return [np.zeros((0, len(cols)))] * len(models), np.zeros(len(models))
     centers: list[list] = [[] for _ in models]
     for step in range(max(k for k, _ in models)):
         for m, c in _seed_step(data, cols, models, centers, step).items():
@@ -147,13 +152,18 @@ def fit_many(feat: DataFrame, id_col: str, cols: list[str], models: list[tuple[i
                 done[m] = True
         if done.all():
             break
+    if not done.all():
+        warnings.warn(f"{int((~done).sum())} of {len(models)} K-means models moved still after {max_iter} passes", stacklevel=2)
     _, _, cost = _lloyd_pass(data, cols, cen)
     data.unpersist()
     return cen, cost
 
 
 def assign(feat: DataFrame, cols: list[str], centers: np.ndarray, out_col: str = "Cluster") -> DataFrame:
-    """Nearest-centre label as a native expression (k ≤ 10 literal centres)."""
+    """Nearest-centre label as a native expression (k ≤ 10 literal centres);
+    null without centres."""
+    if not len(centers):
+        return feat.withColumn(out_col, F.lit(None).cast("int"))
     d = [sum((F.col(c) - F.lit(float(centers[j][i]))) ** 2 for i, c in enumerate(cols))
          for j in range(len(centers))]
     best = F.lit(0)

@@ -1119,12 +1119,21 @@ UNION ALL SELECT 'monthly', count(*) FROM monthly
 UNION ALL SELECT 'country', count(*) FROM country
 UNION ALL SELECT 'customer_top_product', count(*) FROM customer_top_product""")
 _SUMMARIES = """
-SELECT 'products' AS "table", stock_code AS key, revenue{0} FROM products
-UNION ALL SELECT 'monthly', month, revenue FROM monthly
-UNION ALL SELECT 'country', country, revenue FROM country
-UNION ALL SELECT 'customer_top_product', customer_id, revenue FROM customer_top_product"""
-oracle("tbl_passthrough", *_PR)(_SUMMARIES.format(" AS value"))
-oracle("sink_summaries", *_PR)(_SUMMARIES.format(""))
+SELECT 'products' AS "table", stock_code AS key, description AS text, revenue, CAST(quantity AS BIGINT) AS quantity, orders, customers FROM products
+UNION ALL SELECT 'monthly', month, NULL, revenue, NULL, orders, customers FROM monthly
+UNION ALL SELECT 'country', country, NULL, revenue, NULL, orders, customers FROM country
+UNION ALL SELECT 'customer_top_product', customer_id, stock_code, revenue, NULL, NULL, NULL FROM customer_top_product"""
+oracle("tbl_passthrough", *_PR)(_SUMMARIES)
+oracle("sink_summaries", *_PR)(_SUMMARIES)
+oracle("sink_segments_fitted", RFM_CTE, SCORED_CTE)("SELECT count(*) AS rows, 0 AS off FROM scored")
+oracle("sink_clv_fitted", *_CLVF)("SELECT count(*) AS rows, 0 AS off FROM customer_clv_fixed")
+oracle("sink_scores_fitted", TRAIN_CTE)("SELECT count(*) AS rows, 0 AS off FROM training")
+oracle("limit_bounds", *_CF, *_RS, *_PR)("""
+SELECT b.endpoint, b.low, b.high, least(b.high, n.rows) AS rows, 2 AS refused
+FROM (VALUES ('list_customers', 1, 1000), ('top_clv', 1, 200), ('top_products', 1, 500), ('country_top', 1, 100), ('next_best_offers', 1, 20)) b(endpoint, low, high)
+JOIN (SELECT 'list_customers' AS endpoint, count(*) AS rows FROM customers UNION ALL SELECT 'top_clv', count(*) FROM customers
+      UNION ALL SELECT 'top_products', count(*) FROM products UNION ALL SELECT 'country_top', count(*) FROM country
+      UNION ALL SELECT 'next_best_offers', count(*) FROM rules) n USING (endpoint)""")
 oracle("sink_clean")("SELECT * FROM tx")
 oracle("sink_segments", RFM_CTE, SCORED_CTE)("SELECT * FROM scored")
 oracle("sink_clv", *_CLVF)("SELECT * FROM customer_clv_fixed")

@@ -3,6 +3,8 @@ once per (session, data folder) — see ``stages.Stages``."""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,14 +82,21 @@ def historical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws(spark, sf_dir).table("clv_historical", lambda: clv.historical_clv(tx(spark, sf_dir)))
 
 
+def _told(fit, name: str):
+    """``fit``, with a warning where it did not converge."""
+    if not fit.converged:
+        warnings.warn(f"the {name} fit did not converge in {fit.n_iter} steps; its predictions may be off", stacklevel=2)
+    return fit
+
+
 def bgnbd_fit(spark: SparkSession, sf_dir: str):
     from retailspark.operators import clv
-    return ws(spark, sf_dir).value("bgnbd_fit", lambda: clv.fit_bgnbd(clv_summary(spark, sf_dir)))
+    return ws(spark, sf_dir).value("bgnbd_fit", lambda: _told(clv.fit_bgnbd(clv_summary(spark, sf_dir)), "BG/NBD"))
 
 
 def gg_fit(spark: SparkSession, sf_dir: str):
     from retailspark.operators import clv
-    return ws(spark, sf_dir).value("gg_fit", lambda: clv.fit_gamma_gamma(clv_summary(spark, sf_dir)))
+    return ws(spark, sf_dir).value("gg_fit", lambda: _told(clv.fit_gamma_gamma(clv_summary(spark, sf_dir)), "Gamma-Gamma"))
 
 
 def clv_predictions(spark: SparkSession, sf_dir: str, fixed: bool = False) -> DataFrame:

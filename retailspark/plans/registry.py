@@ -985,11 +985,22 @@ def q_load_all(spark, d):
 def q_tbl_passthrough(spark, d):
     q_load_all(spark, d).collect()  # 6 rows
     root = _stage_path(spark, d, "serving")
-    cols = {"products": ["stock_code", "revenue"], "monthly": ["month", "revenue"],
-            "country": ["country", "revenue"], "customer_top_product": ["customer_id", "revenue"]}
+    version = RT.serving_version(spark, root)
+    return _whole_summaries({name: RT.serving_table(spark, root, name, version) for name in _SUMMARY_KEYS})
+
+
+_SUMMARY_KEYS = {"products": "stock_code", "monthly": "month", "country": "country", "customer_top_product": "customer_id"}
+
+
+def _whole_summaries(frames):
+    """All columns of the four summaries in one frame; ``text``: the
+    description of a product, the product of a customer."""
     out = None
-    for name, (key, value) in cols.items():
-        t = spark.read.parquet(f"{root}/{name}").select(F.lit(name).alias("table"), F.col(key).alias("key"), F.col(value).alias("value"))
+    for name, key in _SUMMARY_KEYS.items():
+        df = frames[name]
+        text = {"products": "description", "customer_top_product": "stock_code"}.get(name)
+        more = [F.col(c).cast("long").alias(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in ("quantity", "orders", "customers")]
+        t = df.select(F.lit(name).alias("table"), F.col(key).alias("key"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"), "revenue", *more)
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -1023,15 +1034,67 @@ def q_sink_scores(spark, d):
 
 @query("sink_summaries")
 def q_sink_summaries(spark, d):
-    frames = {"products": (P.products(spark, d), "stock_code"), "monthly": (P.monthly(spark, d), "month"),
-              "country": (P.country(spark, d), "country"), "customer_top_product": (P.customer_top_product(spark, d), "customer_id")}
+    frames = {"products": P.products(spark, d), "monthly": P.monthly(spark, d),
+              "country": P.country(spark, d), "customer_top_product": P.customer_top_product(spark, d)}
+    return _whole_summaries({name: _round_trip(spark, d, f"out/{name}", df) for name, df in frames.items()})
+
+
+def _written_whole(spark, d, name, df, columns):
+    """Rows of a phase output that was written and read back, and those that
+    differ from what the phase made, in any of its ``columns``, either way."""
+    back = _round_trip(spark, d, f"out/{name}", df)
+    missing = [c for c in columns if c not in back.columns]
+    if missing:
+        raise ValueError(f"{name} lacks {missing}")
+    off = df.exceptAll(back).unionByName(back.exceptAll(df))
+    both = back.select(F.lit(0).alias("o")).unionByName(off.select(F.lit(1).alias("o")))
+    return both.agg(F.count(F.when(F.col("o") == 0, 1)).alias("rows"), F.count(F.when(F.col("o") == 1, 1)).alias("off"))
+
+
+@query("sink_segments_fitted")
+def q_sink_segments_fitted(spark, d):
+    """The phase output itself: scores, action, fitted cluster and its name."""
+    return _written_whole(spark, d, "customer_segments_fitted", P.segments(spark, d), ["CustomerID", "RFM_Score", "Segment", "Action", "Cluster", "ClusterName"])
+
+
+@query("sink_clv_fitted")
+def q_sink_clv_fitted(spark, d):
+    """CLV from the fitted models, with segment and cluster name."""
+    return _written_whole(spark, d, "customer_clv_fitted", P.customer_clv(spark, d), ["CustomerID", "predicted_clv", "clv_method", "Segment", "ClusterName"])
+
+
+@query("sink_scores_fitted")
+def q_sink_scores_fitted(spark, d):
+    """Scores of the boosted trees for the whole population."""
+    return _written_whole(spark, d, "propensity_scores_fitted", P.propensity_scores(spark, d), ["CustomerID", "propensity", "label"])
+
+
+@query("limit_bounds")
+def q_limit_bounds(spark, d):
+    """Per endpoint: the limits it takes, how many rows its largest limit
+    returns of the table behind it, and how many of the four limits around the
+    bounds it refuses."""
+    tables = {"list_customers": _cf(spark, d), "top_clv": _cf(spark, d), "top_products": P.products(spark, d),
+              "country_top": P.country(spark, d), "next_best_offers": P.rules_serving(spark, d)}
     out = None
-    for name, (df, key) in frames.items():
-        back = _round_trip(spark, d, f"out/{name}", df).select(F.lit(name).alias("table"), F.col(key).alias("key"), "revenue")
-        out = back if out is None else out.unionByName(back)
+    for endpoint, (low, high) in serving.LIMIT_BOUNDS.items():
+        refused = 0
+        for limit in (low - 1, low, high, high + 1):
+            try:
+                serving.check_limit(endpoint, limit)
+            except ValueError:
+                refused += 1
+        t = tables[endpoint].limit(serving.check_limit(endpoint, high)).agg(F.count(F.lit(1)).alias("rows"))
+        t = t.select(F.lit(endpoint).alias("endpoint"), F.lit(low).alias("low"), F.lit(high).alias("high"), "rows", F.lit(refused).alias("refused"))
+        out = t if out is None else out.unionByName(t)
     return out
 
 
+@query("clv_param_summary")
+def q_clv_param_summary(spark, d):
+    return q_bgnbd_fit(spark, d).unionByName(q_ggf_fit(spark, d))
+
+
 @query("json_draft")
 def q_json_draft(spark, d):
     brief = cp.campaign_brief(cp.campaign_summary(_revised(spark, d)))

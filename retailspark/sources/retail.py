@@ -7,7 +7,11 @@ Catalyst prunes columns and pushes filters into the reader.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW_SCHEMA = T.StructType([
@@ -66,17 +70,55 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_all(spark: SparkSession, frames: dict, root: str, view_prefix: str | None = None) -> DataFrame:
-    """Replace every serving table (parquet under ``root``) and return
-    (table, rows) read back from what was written.  With ``view_prefix`` each
-    gets a temp view, named by the prefix and the table."""
-    from pyspark.sql import functions as F
-    counts = None
+    """Replace all serving tables at once and return (table, rows).
+
+    The tables go to a new folder under ``root``; a manifest that names it is
+    swapped last.  A reader (``serving_table``) sees either all old tables or
+    all new ones, also when a load fails half way.  Rows are counted by the
+    writes themselves.  With ``view_prefix`` each table gets a temp view, named
+    by the prefix and the table."""
+    root = root.rstrip("/")
+    version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
+    rows = []
     for name, df in frames.items():
-        path = f"{root.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        back = spark.read.parquet(path)
-        if view_prefix is not None:
-            back.createOrReplaceTempView(f"{view_prefix}{name}")
-        c = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
-        counts = c if counts is None else counts.unionByName(c)
-    return counts
+        seen = Observation(f"load {name} {version}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{root}/versions/{version}/{name}")
+        rows.append((name, int(seen.get["rows"])))
+    _swap_manifest(spark, root, version)
+    if view_prefix is not None:
+        for name in frames:
+            serving_table(spark, root, name).createOrReplaceTempView(f"{view_prefix}{name}")
+    return spark.createDataFrame(rows, "table string, rows bigint")
+
+
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def _swap_manifest(spark: SparkSession, root: str, version: str) -> None:
+    """Manifests are files named by version, made by a rename; the last one counts."""
+    fs, path = _file_system(spark, root)
+    made = path(f"{root}/manifest/.{version}")
+    out = fs.create(made, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    if not fs.rename(made, path(f"{root}/manifest/{version}")):
+        raise OSError(f"the manifest of {root} could not be swapped")
+
+
+def serving_version(spark: SparkSession, root: str) -> str:
+    """The version that the manifest names."""
+    root = root.rstrip("/")
+    fs, path = _file_system(spark, root)
+    if not fs.exists(path(f"{root}/manifest")):
+        raise FileNotFoundError(f"no serving tables at {root}; run load_all first")
+    names = [x.getPath().getName() for x in fs.listStatus(path(f"{root}/manifest"))]
+    return max(n for n in names if not n.startswith("."))
+
+
+def serving_table(spark: SparkSession, root: str, name: str, version: str | None = None) -> DataFrame:
+    """A serving table of the current version (or of the one given, for
+    several tables of one load)."""
+    return spark.read.parquet(f"{root.rstrip('/')}/versions/{version or serving_version(spark, root)}/{name}")
