@@ -1120,9 +1120,9 @@ UNION ALL SELECT 'country', count(*) FROM country
 UNION ALL SELECT 'customer_top_product', count(*) FROM customer_top_product""")
 _SUMMARIES = """
 SELECT 'products' AS "table", stock_code AS key, description AS text, revenue, CAST(quantity AS BIGINT) AS quantity, orders, customers FROM products
-UNION ALL SELECT 'monthly', month, NULL, revenue, NULL, orders, customers FROM monthly
-UNION ALL SELECT 'country', country, NULL, revenue, NULL, orders, customers FROM country
-UNION ALL SELECT 'customer_top_product', customer_id, stock_code, revenue, NULL, NULL, NULL FROM customer_top_product"""
+UNION ALL SELECT 'monthly', month, '', revenue, 0, orders, customers FROM monthly
+UNION ALL SELECT 'country', country, '', revenue, 0, orders, customers FROM country
+UNION ALL SELECT 'customer_top_product', customer_id, stock_code, revenue, 0, 0, 0 FROM customer_top_product"""
 oracle("tbl_passthrough", *_PR)(_SUMMARIES)
 oracle("sink_summaries", *_PR)(_SUMMARIES)
 oracle("sink_segments_fitted", RFM_CTE, SCORED_CTE)("SELECT count(*) AS rows, 0 AS off FROM scored")

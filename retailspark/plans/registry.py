@@ -993,14 +993,14 @@ _SUMMARY_KEYS = {"products": "stock_code", "monthly": "month", "country": "count
 
 
 def _whole_summaries(frames):
-    """All columns of the four summaries in one frame; ``text``: the
-    description of a product, the product of a customer."""
+    """All columns of the four summaries in one frame (0 and '' where a table
+    lacks one); ``text``: the description of a product, the product of a customer."""
     out = None
     for name, key in _SUMMARY_KEYS.items():
         df = frames[name]
         text = {"products": "description", "customer_top_product": "stock_code"}.get(name)
-        more = [F.col(c).cast("long").alias(c) if c in df.columns else F.lit(None).cast("long").alias(c) for c in ("quantity", "orders", "customers")]
-        t = df.select(F.lit(name).alias("table"), F.col(key).alias("key"), (F.col(text) if text else F.lit(None).cast("string")).alias("text"), "revenue", *more)
+        more = [F.col(c).cast("long").alias(c) if c in df.columns else F.lit(0).cast("long").alias(c) for c in ("quantity", "orders", "customers")]
+        t = df.select(F.lit(name).alias("table"), F.col(key).alias("key"), (F.col(text) if text else F.lit("")).alias("text"), "revenue", *more)
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -1077,14 +1077,14 @@ def q_limit_bounds(spark, d):
     tables = {"list_customers": _cf(spark, d), "top_clv": _cf(spark, d), "top_products": P.products(spark, d),
               "country_top": P.country(spark, d), "next_best_offers": P.rules_serving(spark, d)}
     out = None
-    for endpoint, (low, high) in serving.LIMIT_BOUNDS.items():
+    for endpoint, (low, high) in sv.LIMIT_BOUNDS.items():
         refused = 0
         for limit in (low - 1, low, high, high + 1):
             try:
-                serving.check_limit(endpoint, limit)
+                sv.check_limit(endpoint, limit)
             except ValueError:
                 refused += 1
-        t = tables[endpoint].limit(serving.check_limit(endpoint, high)).agg(F.count(F.lit(1)).alias("rows"))
+        t = tables[endpoint].limit(sv.check_limit(endpoint, high)).agg(F.count(F.lit(1)).alias("rows"))
         t = t.select(F.lit(endpoint).alias("endpoint"), F.lit(low).alias("low"), F.lit(high).alias("high"), "rows", F.lit(refused).alias("refused"))
         out = t if out is None else out.unionByName(t)
     return out
