@@ -5,10 +5,11 @@ program: use as few configurations (with repetition) as cover the histogram of
 lengths.  It has one row a length and is solved by multiplicative weights:
 every length carries a weight; pricing picks the configuration of the largest
 total weight by a bounded-knapsack dynamic program over the capacity; that
-configuration gets a share of the cover, and the weights of the lengths in it
-fall exponentially with how far they are covered.  The fractional cover is
-rounded down to whole copies, and what is left is packed configuration by
-configuration, largest length first with the best fit after it.
+configuration covers its scarcest length once more, and the weights of the
+lengths in it fall exponentially with how far they are covered.  The fractional
+cover is scaled to the histogram and rounded to whole copies, fractions carried
+on; the program is solved again for what rounding leaves, and the last few
+pieces are packed largest length first.
 
 All of this sees the histogram only (one number a length), so its cost does
 not depend on the corpus.  The plan then maps (length, number among the pieces
@@ -33,6 +34,10 @@ from .common import number_within, stored
 from .tokens import encoder
 
 
+# times that the program is solved; room that a configuration may leave more than the fullest
+PASSES, SLACK = 4, 1
+
+
 def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity: int) -> np.ndarray:
     """How often to take each length (at most ``most``) for the largest total
     value within ``capacity``: 0/1 dynamic program over binary bundles."""
@@ -60,28 +65,47 @@ def knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacity
     return out
 
 
-def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, share: float = 0.5, rate: float = 0.1) -> list[tuple[np.ndarray, int]]:
-    """Multiplicative weights on the configuration program: (configuration, copies).
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 250, layers: float = 4.0, rate: float = 0.5) -> list[tuple[np.ndarray, float]]:
+    """The configuration program by multiplicative weights: (configuration,
+    fractional copies), covering the histogram about once in all.
 
     A length's weight starts at what it takes of a sequence, raised for long
     lengths (nothing but short ones can fill the room beside them), and falls
-    by exp(-rate) over its full cover.  Each round's configuration covers
-    ``share`` of the scarcest length in it; one that no longer has a whole
-    piece left has weight 0.
+    by exp(-rate) for each time that it has been covered.  Each round prices
+    one configuration and takes it as often as covers the scarcest length in it
+    once.  It ends when every length is covered ``layers`` times or after
+    ``rounds``; the copies are then scaled to the size of the histogram.
     """
-    done = np.zeros(len(lengths))
     worth = lengths * (1 + lengths / capacity)
-    out = []
+    covered = np.zeros(len(lengths))
+    found: dict[bytes, tuple[np.ndarray, float]] = {}
     for _ in range(rounds):
-        left = counts * (1 - done) + 1e-9
-        weight = np.where(left >= 1, worth * np.exp(-rate * done), 0.0)
-        take = knapsack(lengths, weight, left.astype(np.int64), capacity)
+        take = knapsack(lengths, worth * np.exp(-rate * (covered - covered.min())), counts, capacity)
         used = take > 0
-        if not used.any():
+        copies = float((counts[used] / take[used]).min())
+        covered[used] += copies * take[used] / counts[used]
+        key = take.tobytes()
+        found[key] = take, copies + (found[key][1] if key in found else 0.0)
+        if covered.min() >= layers:
             break
-        copies = max(1, int(share * (left[used] / take[used]).min()))
-        out.append((take, copies))
-        done[used] += copies * take[used] / counts[used]
+    scale = float(lengths @ counts) / sum(copies * float(lengths @ take) for take, copies in found.values())
+    return [(take, copies * scale) for take, copies in found.values()]
+
+
+def rounded(solution: list[tuple[np.ndarray, float]], left: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Whole copies of a fractional cover, the largest first: what is left of
+    one copy is carried to the next configuration, so that the sum stays that of
+    the program; no more than the pieces ``left`` allow."""
+    left, out, carried = left.copy(), [], 0.0
+    for take, copies in sorted(solution, key=lambda x: -x[1]):
+        used = take > 0
+        carried += copies
+        whole = min(int(carried), int((left[used] // take[used]).min()))
+        if whole > 0:
+            out.append((take, whole))
+            left -= take * whole
+            carried -= whole
+        carried = min(carried, 1.0)
     return out
 
 
@@ -121,14 +145,21 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int],
         out.append(({int(n): int(k) for n, k in zip(lengths, take) if k}, copies))
         left[:] -= take * copies
 
-    # the last rounds, when lengths run out, make configurations with room left: better left to the rest
-    fullest = int(lengths @ knapsack(lengths, lengths.astype(float), counts, capacity))
-    for take, copies in sorted(cover(lengths, counts, capacity), key=lambda x: -x[1]):
-        used = take > 0
-        if lengths @ take < fullest:
-            continue
-        if whole := min(copies, int((left[used] // take[used]).min())):
-            place(take, whole)
+    # the program is solved again for what rounding leaves, until little comes of it
+    for _ in range(PASSES):
+        some = left > 0
+        if some.sum() < 2:
+            break
+        n, c = lengths[some], left[some]
+        before = int(left.sum())
+        # configurations with room left make waste: better left to the rest
+        full = int(n @ knapsack(n, n.astype(float), c, capacity)) - SLACK
+        for take, copies in rounded([x for x in cover(n, c, capacity) if n @ x[0] >= full], c):
+            whole = np.zeros(len(lengths), np.int64)
+            whole[some] = take
+            place(whole, copies)
+        if before - int(left.sum()) < before // 20:
+            break
     while left.any():
         place(*_greedy(lengths, left, capacity))
     return out

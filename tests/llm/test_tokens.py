@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -179,6 +180,25 @@ def test_plans_hold_all_and_waste_little(seed, high):
     assert sum(c for _, c in plan) <= best_fit_decreasing(lengths, 100) * 1.01 + 1
 
 
+def test_most_sequences_come_from_the_program(monkeypatch):
+    rest = []
+    greedy = packing._greedy
+    monkeypatch.setattr(packing, "_greedy", lambda *a: rest.append(greedy(*a)) or rest[-1])
+    r = random.Random(5)
+    histogram = {n: r.randint(1, 60) for n in range(1, 200)}
+    sequences = sum(copies for _, copies in packing.plan(histogram, 200))
+    assert sequences <= best_fit_decreasing([n for n, c in histogram.items() for _ in range(c)], 200) * 1.01 + 1
+    assert sum(copies for _, copies in rest) <= 0.25 * sequences
+
+
+def test_a_program_covers_about_once():
+    lengths, counts = np.array([3, 4, 7]), np.array([100, 100, 100])
+    solution = packing.cover(lengths, counts, 10)
+    assert math.isclose(sum(x * float(lengths @ take) for take, x in solution), float(lengths @ counts))
+    whole = packing.rounded(solution, counts)
+    assert (sum(take * n for take, n in whole) <= counts).all()
+
+
 def test_plan_of_awkward_lengths():
     assert packing.plan({}, 10) == []
     assert sum(c for _, c in packing.plan({6: 5}, 10)) == 5
