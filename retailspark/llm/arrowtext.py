@@ -14,6 +14,9 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 _W = np.uint64(0xD6E8FEB86659FD93)
 _MINV = np.uint64(pow(int(_M), -1, 1 << 64))
 _WINV = np.uint64(pow(int(_W), -1, 1 << 64))
+#: A second multiplier over words, for hashes that tell apart what collides under the first.
+_W2 = np.uint64(0xA0761D6478BD642F)
+_W2INV = np.uint64(pow(int(_W2), -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -92,21 +95,21 @@ class Words:
         self.hash = mixed((prefix[end] - prefix[start]) * powers(_MINV, n + 1)[start])
         self.first = np.searchsorted(start, offs)
 
-    def prefix(self) -> np.ndarray:
-        return prefix_sums(self.hash)
+    def prefix(self, second: bool = False) -> np.ndarray:
+        return prefix_sums(self.hash, second)
 
 
-def prefix_sums(hashes: np.ndarray) -> np.ndarray:
+def prefix_sums(hashes: np.ndarray, second: bool = False) -> np.ndarray:
     """Prefix sums of word hashes, from which ``windows`` makes hashes of word sequences."""
     out = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes * powers(_W, len(hashes)), out=out[1:])
+    np.cumsum(hashes * powers(_W2 if second else _W, len(hashes)), out=out[1:])
     return out
 
 
-def windows(prefix: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
+def windows(prefix: np.ndarray, n: int, second: bool = False) -> np.ndarray:
     """64-bit hashes of all sequences of ``n`` words (those that run over the
     end of a text included: the caller leaves them out)."""
     if len(prefix) <= n:
         return np.zeros(0, np.uint64)
     k = len(prefix) - n
-    return mixed((prefix[n:] - prefix[:k]) * powers(_WINV, k) + np.uint64(n + (salt << 32)))
+    return mixed((prefix[n:] - prefix[:k]) * powers(_W2INV if second else _WINV, k) + np.uint64(n))

@@ -9,8 +9,10 @@ the smallest hash inside it.  Equal N-windows have equal smallest hashes, so
 an N-window whose representative occurs once in the corpus cannot repeat and
 is dropped; neighbouring N-windows mostly share their representative, so about
 2 / (N - length + 2) of all words are sent to be counted.  At length N every
-window that is still a candidate is counted itself, by 64 bits of hash (the
-second hash beside it is made of the same 64 bits and tells no more apart).
+window that is still a candidate is counted itself, by 96 bits: 64 and another
+32 of a polynomial with its own multiplier, so that windows that collide under
+the first are told apart by the second.  (Both are made of 64-bit word hashes:
+words that collide there stay one.)
 
 Counting is one aggregation by hash with partial sums.  A window that occurs
 once has one owner, which the aggregation carries along (as a minimum), so the
@@ -88,7 +90,7 @@ class Candidates:
         v, least = self.representatives(length)
         if length == self.n:
             at = np.flatnonzero(self.ok)
-            second = windows(self.prefix, length, 1)[at].astype(np.uint32).view(np.int32)
+            second = windows(self.words.prefix(second=True), length, second=True)[at].astype(np.uint32).view(np.int32)
         else:
             # a window represents an N-window if it equals the largest of the minima around it
             pad = np.concatenate([np.zeros(self.n - length, np.uint64), least])
@@ -187,7 +189,7 @@ def remove_repeats(docs: DataFrame, n: int = 35, carry: Sequence[str] = ("doc_id
     the digest of nothing).  Rows that are equal in doc_id and text are rows
     like others: each repeats the other, so from ``n`` words on both lose all.
     Window hashes are 64 bits below length ``n`` (a collision only keeps a
-    candidate) and at length ``n``.
+    candidate) and 96 bits at length ``n``.
     """
     key = [F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias("dk"), F.hash(F.col("doc_id"), F.col("text")).alias("dk2")]
     row = F.struct(*[F.col(c).alias(c) for c in carry]).alias("row")
