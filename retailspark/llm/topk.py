@@ -35,11 +35,10 @@ SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS = 16_384, 512, 1_024
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """id, v: floor(256 * x) of each component.  Rows whose id or vector is
     null, or whose vector holds a null, NaN or infinite component, take no
-    part.  Of rows that share an id one stays, the smallest as an array."""
+    part.  Rows that share an id all stay."""
     v = F.col(vector_col)
     ok = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    rows = vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
-    return rows.groupBy("id").agg(F.min("v").alias("v"))
+    return vectors.filter(ok).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
 
 
 def _widths(table: pa.Table) -> np.ndarray:
@@ -126,19 +125,23 @@ def _shard_search(k: int):
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for every row with ``is_query``
-    (a condition on the column ``id``) the ``k`` best other rows by integer
-    inner product, ties to the smaller id; all others if there are fewer.
+    """query_id, rank (from 1), vec_id, score: for every id with ``is_query``
+    (a condition on the column ``id``) the ``k`` best rows of other ids by
+    integer inner product, ties to the smaller id; all others if there are fewer.
+
+    Every row is a candidate, so a repeated id may stand at several ranks; a
+    repeated query id asks once, with its smallest vector as an array.
 
     Vectors of different lengths are compared as if filled with zeros.  See
     ``quantised`` for rows that take no part; an empty table gives no rows.
     """
     rows = stored(quantised(vectors, id_col, vector_col), "vectors")
-    queries = rows.filter(is_query)
+    queries = stored(rows.filter(is_query).groupBy("id").agg(F.min("v").alias("v")), "queries")
     shards, blocks = partitions_for(rows.count(), SHARD_ROWS), partitions_for(queries.count(), QUERY_ROWS)
-    bucket = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    bucket = lambda n, *by: F.pmod(F.xxhash64("id", *by), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("shard", bucket(shards)).withColumn("block", each(blocks))
+    # dealt by row, not by id: one id may hold any share of the rows
+    left = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("shard", bucket(shards, "_row")).drop("_row").withColumn("block", each(blocks))
     right = queries.withColumn("block", bucket(blocks)).withColumn("shard", each(shards))
     found = on_workers(left).groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_shard_search(k), "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

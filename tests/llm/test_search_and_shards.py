@@ -13,14 +13,16 @@ from .conftest import corpus
 
 
 def brute_top(rows, k):
-    ok = {}
+    ok, queries = [], {}
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             q = [math.floor(256 * x) for x in v]
-            ok[i] = min(ok.get(i, q), q)
+            ok.append((i, q))
+            if i % 50 == 0:
+                queries[i] = min(queries.get(i, q), q)
     out = []
-    for q in (i for i in ok if i % 50 == 0):
-        s = sorted(((-sum(a * b for a, b in zip(ok[q], ok[c])), c) for c in ok if c != q))[:k]
+    for q, own in queries.items():
+        s = sorted((-sum(a * b for a, b in zip(own, v)), c) for c, v in ok if c != q)[:k]
         out += [(q, r, c, -x) for r, (x, c) in enumerate(s, 1)]
     return sorted(out)
 
