@@ -89,10 +89,61 @@ def grouped_briefs(candidates: DataFrame) -> DataFrame:
         F.to_json(F.struct("headline", "message", "selling_points")).alias("brief"))
 
 
-def campaign_build(candidates: DataFrame, thread_id: str,
-                   created_at: str = "1970-01-01 00:00:00") -> DataFrame:
-    """One pending draft row: brief (JSON) + candidate count.  The candidates
-    themselves stay a table keyed by (approval_id, customer_id)."""
+#: Candidates of one chunk of a draft document, on average.
+CHUNK_CANDIDATES = 5_000
+_DRAFT_HEAD = "headline string, message string, selling_points array<string>, count bigint"
+_DRAFT_CANDIDATE = "customer_id string, segment string, predicted_clv double, discount double, offer string"
+
+
+def draft_document(candidates: DataFrame, each: int = CHUNK_CANDIDATES) -> DataFrame:
+    """The drafts of ``candidates`` as chunked JSON documents: approval_id,
+    chunk, chunks, document.
+
+    Chunk 0 is the head (headline, message, selling points, count); chunks 1 to
+    ``chunks`` - 1 are JSON arrays of candidates in order of customer_id.  A
+    candidate's chunk follows from a hash of its customer_id, so a chunk holds
+    about ``each`` however many candidates a draft has, and no draft stands
+    whole in one task or one string.  Empty chunks are not written, nor is a
+    draft without candidates.
+    """
+    tot = candidates.groupBy("approval_id").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.round(F.sum("predicted_clv") / F.count(F.lit(1)), 2).alias("avg_predicted_clv"),
+        F.round(F.sum("discount") / F.count(F.lit(1)), 4).alias("avg_discount"))
+    sizes = tot.select("approval_id", (F.lit(1) + F.ceil(F.col("count") / each)).cast("int").alias("chunks"))
+    head = campaign_brief(tot).join(sizes, "approval_id").select(
+        "approval_id", F.lit(0).alias("chunk"), "chunks",
+        F.to_json(F.struct("headline", "message", "selling_points", "count")).alias("document"))
+    place = F.pmod(F.xxhash64("customer_id"), F.col("chunks") - 1) + 1
+    body = (candidates.join(sizes, "approval_id")
+            .groupBy("approval_id", place.cast("int").alias("chunk"), "chunks")
+            .agg(F.sort_array(F.collect_list(F.struct("customer_id", "segment", "predicted_clv", "discount", "offer"))).alias("c"))
+            .select("approval_id", "chunk", "chunks", F.to_json("c").alias("document")))
+    return head.unionByName(body)
+
+
+def draft_heads(documents: DataFrame) -> DataFrame:
+    """approval_id, headline, message, selling_points, count of chunked drafts."""
+    d = F.from_json("document", _DRAFT_HEAD).alias("d")
+    return documents.filter("chunk = 0").select("approval_id", d).select("approval_id", "d.*")
+
+
+def draft_candidates(documents: DataFrame) -> DataFrame:
+    """approval_id and the candidates of chunked drafts, a row each."""
+    c = F.from_json("document", f"array<struct<{_DRAFT_CANDIDATE.replace(' ', ':').replace(',:', ',')}>>")
+    return documents.filter("chunk > 0").select("approval_id", F.inline(c))
+
+
+def campaign_build(candidates: DataFrame, thread_id: str, created_at: str = "1970-01-01 00:00:00",
+                   excluded: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
+    """One pending draft row: brief (JSON) + candidate count, after the
+    reviewer's edits if there are any (``campaign_revision``).  The candidates
+    themselves are a table keyed by (approval_id, customer_id), or chunks of a
+    document (``draft_document``)."""
+    if excluded is not None and overrides is not None:
+        candidates = campaign_revision(candidates, excluded, overrides)
+    elif excluded is not None or overrides is not None:
+        raise ValueError("a revision has both excluded and overrides (either may be empty)")
     brief = campaign_brief(campaign_summary(candidates))
     return brief.select(
         F.lit(thread_id).alias("thread_id"),

@@ -1010,6 +1010,11 @@ SELECT 'win-back' AS thread_id, {_brief_json('n', 'a', 'd')} AS brief, 'pending'
        TIMESTAMP '1970-01-01 00:00:00' AS created_at
 FROM (SELECT count(*) AS n, coalesce(round(sum(predicted_clv) / count(*), 2), 0.0) AS a,
              coalesce(round(sum(discount) / count(*), 4), 0.0) AS d FROM cands) s""")
+oracle("campaign_build_revised", *_CP)(f"""
+SELECT 'win-back' AS thread_id, {_brief_json('n', 'a', 'd')} AS brief, 'pending' AS status, n AS candidate_count,
+       TIMESTAMP '1970-01-01 00:00:00' AS created_at
+FROM (SELECT count(*) AS n, coalesce(round(sum(predicted_clv) / count(*), 2), 0.0) AS a,
+             coalesce(round(sum(discount) / count(*), 4), 0.0) AS d FROM revised) s""")
 DRAFTS_CTE = f"""
 drafts AS (
   SELECT CAST(customer_id AS BIGINT) % 14 AS approval_id, 't' || CAST(floor((CAST(customer_id AS BIGINT) % 14) / 2) AS BIGINT) AS thread_id,
@@ -1145,3 +1150,4 @@ SELECT '喚醒 ' || count || ' 位沉睡的高價值客戶' AS headline,
        ['依個人終身價值分層的折扣', '搭配客戶最常購買商品的推薦', '限時喚醒沉睡客戶'] AS selling_points, count
 FROM csum""")
 oracle("sink_campaign_csv", *_CP)("SELECT * FROM revised")
+oracle("json_draft_candidates", *_CP)("SELECT * FROM revised")

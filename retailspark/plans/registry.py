@@ -815,13 +815,16 @@ def q_match_offers(spark, d):
     return cp.campaign_candidates(_winback(spark, d), _offers(spark, d))
 
 
-def _revised(spark, d):
-    cands = cp.campaign_candidates(_winback(spark, d), _offers(spark, d))
+def _edits(spark, d):
     wb = _winback(spark, d)
     # reviewer edits: drop long-dormant customers, cap the discount of low-P(alive) ones
     excluded = wb.filter(F.col("recency") > 1500).select("customer_id")
     overrides = wb.filter(F.col("prob_alive") < 0.5).select("customer_id", F.lit(0.05).alias("discount"))
-    return cp.campaign_revision(cands, excluded, overrides)
+    return excluded, overrides
+
+
+def _revised(spark, d):
+    return cp.campaign_revision(cp.campaign_candidates(_winback(spark, d), _offers(spark, d)), *_edits(spark, d))
 
 
 @query("campaign_revision")
@@ -844,6 +847,13 @@ def q_campaign_build(spark, d):
     return cp.campaign_build(cp.campaign_candidates(_winback(spark, d), _offers(spark, d)), "win-back")
 
 
+@query("campaign_build_revised")
+def q_campaign_build_revised(spark, d):
+    excluded, overrides = _edits(spark, d)
+    return cp.campaign_build(cp.campaign_candidates(_winback(spark, d), _offers(spark, d)), "win-back",
+                             excluded=excluded, overrides=overrides)
+
+
 #: Drafts of the review queries: candidates are dealt to them by customer number, two a thread.
 N_DRAFTS = 14
 
@@ -1095,13 +1105,20 @@ def q_clv_param_summary(spark, d):
     return q_bgnbd_fit(spark, d).unionByName(q_ggf_fit(spark, d))
 
 
+def _documents(spark, d):
+    """The revised draft as a chunked document, written once and read back."""
+    return P.ws(spark, d).table("draft_documents", lambda: cp.draft_document(
+        _revised(spark, d).withColumn("approval_id", F.lit(0))))
+
+
 @query("json_draft")
 def q_json_draft(spark, d):
-    brief = cp.campaign_brief(cp.campaign_summary(_revised(spark, d)))
-    js = brief.select(F.to_json(F.struct("headline", "message", "selling_points", "count")).alias("draft"))
-    parsed = js.select(F.from_json("draft", "headline string, message string, "
-                                   "selling_points array<string>, count bigint").alias("d"))
-    return parsed.select("d.headline", "d.message", "d.selling_points", "d.count")
+    return cp.draft_heads(_documents(spark, d)).drop("approval_id")
+
+
+@query("json_draft_candidates")
+def q_json_draft_candidates(spark, d):
+    return cp.draft_candidates(_documents(spark, d)).drop("approval_id")
 
 
 @query("sink_campaign_csv")
