@@ -158,8 +158,9 @@ def _prefix_table(docs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFra
     texts = docs.select("text", "dk").join(kept.select("dk"), "dk", "left_semi").select("text")
     sets = stored(on_workers(texts).mapInArrow(_blobs, "c long, n long, blob binary").dropDuplicates(["c"]), "sets")
     tokens = on_workers(sets).mapInArrow(_rows, "h long, c long, n long")
-    df = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    common = tokens.join(df, "h").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    # written by itself: the counting's shuffle files are gone before the join's are made
+    df = stored(tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
+    common = tokens.join(df.hint("merge"), "h").groupBy("c").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
     # m: shingles that others have, too; those of frequency 1 come first in the order, and room is left of the prefix
     common = common.withColumn("m", F.size("common")).withColumn("room", F.expr(f"n - ({_CEIL75}) + 1 - (n - m)")).filter("room > 0")
     prefix = common.select("c", "n", "m", F.posexplode(F.slice("common", 1, F.col("room").cast("int"))).alias("pos", "t"))
@@ -226,7 +227,7 @@ def _key() -> Column:
     return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text"))
 
 
-def near_duplicates(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, dk, n_shingles, root, component_id: one row per row of ``docs``.
 
     component_id: the smallest doc_id that links reach, itself included.  A
