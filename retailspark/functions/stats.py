@@ -2,10 +2,10 @@
 
 ``percentile`` as an aggregate keeps every distinct value of a group in one
 buffer; for a *global* describe over billions of invoices that is one task
-holding everything.  ``exact_quantiles`` instead ranks the values with the
-distributed exact rank (`functions.rank`), keeps only the ≤ 2·|probs| rows at
-the interpolation positions and interpolates linearly (pandas/NumPy
-"linear" definition: h = (n-1)·p).
+holding everything.  Global quantiles are found by counting instead
+(`functions.selection`) and interpolated linearly (pandas/NumPy "linear"
+definition: h = (n-1)·p); medians of many groups use the distributed exact
+rank (`functions.rank`).
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from retailspark.functions.money import money_units
 from retailspark.functions.rank import SortKey, with_global_rank
+from retailspark.functions.selection import quantiles
+from retailspark.session import stored
 
 DESCRIBE_PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.99)
 
@@ -24,56 +26,33 @@ def _pct_label(p: float) -> str:
     return f"{s}%"
 
 
-def quantile_aggs(rank_col: str, value_col: str, n: int, probs) -> list:
-    """Aggregate expressions over a ranked frame: linear-interpolated
-    quantiles (only the rows at the ≤ 2 positions per p contribute)."""
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo = int(h)
-        frac = h - lo
-        hi = min(lo + 1, n - 1)
-        vlo = F.max(F.when(F.col(rank_col) == lo + 1, F.col(value_col)))
-        vhi = F.max(F.when(F.col(rank_col) == hi + 1, F.col(value_col)))
-        out.append(vlo + F.lit(frac) * (vhi - vlo))
-    return out
-
-
-def ranked_values(values: DataFrame, value_col: str, tie_col: str) -> DataFrame:
-    return with_global_rank(values.select(value_col, tie_col),
-                            [SortKey(value_col), SortKey(tie_col)], "_r")
-
-
-def exact_quantiles(values: DataFrame, value_col: str, tie_col: str, probs,
-                    n_rows: int | None = None) -> DataFrame:
-    """One row: column ``q{i}`` = linear-interpolated quantile probs[i]."""
-    ranked = ranked_values(values, value_col, tie_col)
-    n = ranked.count() if n_rows is None else n_rows
-    if n == 0:
-        return ranked.agg(*[F.max(F.lit(None).cast("double")).alias(f"q{i}") for i in range(len(probs))])
-    return ranked.agg(*[c.alias(f"q{i}") for i, c in enumerate(quantile_aggs("_r", value_col, n, probs))])
+def exact_quantiles(values: DataFrame, value_col: str, probs) -> DataFrame:
+    """One row: column ``q{i}`` = linear-interpolated quantile probs[i] of the
+    values that are not NULL; NULL if there are none."""
+    probs = list(probs)
+    rows = stored(values.select(value_col), "values")
+    v = F.col(value_col)
+    one = rows.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    found = quantiles(rows, value_col, probs, one["n"], one["low"], one["high"]) if one["n"] else [None] * len(probs)
+    schema = ", ".join(f"q{i} double" for i in range(len(probs)))
+    return values.sparkSession.createDataFrame([tuple(found)], schema)
 
 
-def describe(values: DataFrame, value_col: str, tie_col: str, out_col: str,
+def describe(values: DataFrame, value_col: str, out_col: str,
              percentiles=DESCRIBE_PERCENTILES) -> DataFrame:
     """pandas ``Series.describe`` of a money column as (stat, value) rows:
-    count, mean (exact), std (sample, 6 dp), min, percentiles, max — one
-    aggregation over the ranked values."""
-    ranked = ranked_values(values, value_col, tie_col)
-    n = ranked.count()
+    count, mean (exact), std (sample, 6 dp), min, percentiles, max.  One
+    aggregation over the written values, then the counting passes."""
+    rows = stored(values.select(value_col), "values")
     v = F.col(value_col)
-    qs = quantile_aggs("_r", value_col, max(n, 1), percentiles) if n else \
-        [F.lit(None).cast("double")] * len(percentiles)
-    stats = ([("count", F.count(v).cast("double")),
-              ("mean", F.sum(money_units(v)) / 10000.0 / F.count(v)),
-              ("std", F.round(F.stddev_samp(v), 6)), ("min", F.min(v))]
-             + [(_pct_label(p), q) for p, q in zip(percentiles, qs)]
-             + [("max", F.max(v))])
-    one = ranked.agg(*[c.cast("double").alias(f"s{i}") for i, (_, c) in enumerate(stats)])
-    arr = F.array(*[F.struct(F.lit(i).alias("stat_no"), F.lit(name).alias("stat"),
-                             F.col(f"s{i}").alias(out_col))
-                    for i, (name, _) in enumerate(stats)])
-    return one.select(F.inline(arr))
+    one = rows.agg(F.count(v).alias("n"), (F.sum(money_units(v)) / 10000.0 / F.count(v)).alias("mean"),
+                   F.round(F.stddev_samp(v), 6).alias("std"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    found = quantiles(rows, value_col, percentiles, one["n"], one["low"], one["high"]) if one["n"] else \
+        [None] * len(percentiles)
+    stats = ([("count", float(one["n"])), ("mean", one["mean"]), ("std", one["std"]), ("min", one["low"])]
+             + [(_pct_label(p), q) for p, q in zip(percentiles, found)] + [("max", one["high"])])
+    return values.sparkSession.createDataFrame([(i, name, x) for i, (name, x) in enumerate(stats)],
+                                               f"stat_no int, stat string, {out_col} double")
 
 
 def group_medians(df: DataFrame, group: str, value_col: str, tie_col: str, out: str) -> DataFrame:

@@ -52,12 +52,12 @@ def country_summary(tx: DataFrame, top_n: int | None = None) -> DataFrame:
 
 def order_value_stats(tx: DataFrame) -> DataFrame:
     totals = tx.groupBy("InvoiceNo").agg(money_sum("TotalPrice").alias("v"))
-    return describe(totals, "v", "InvoiceNo", "order_value")
+    return describe(totals, "v", "order_value")
 
 
 def customer_value_distribution(tx: DataFrame) -> DataFrame:
     spend = tx.groupBy("CustomerID").agg(money_sum("TotalPrice").alias("v"))
-    return describe(spend, "v", "CustomerID", "customer_spend")
+    return describe(spend, "v", "customer_spend")
 
 
 def modal_by(df: DataFrame, key: str, value: str, out: str) -> DataFrame:

@@ -201,11 +201,11 @@ def brier(scored: DataFrame, score: str = "score", label: str = LABEL_COLUMN) ->
 
 
 def calibration_table(scored: DataFrame, n_bins: int = 10, score: str = "score",
-                      label: str = LABEL_COLUMN, id_col: str = "CustomerID") -> DataFrame:
+                      label: str = LABEL_COLUMN) -> DataFrame:
     """Quantile bins: edges = linear percentiles of the scores; bin = number
     of inner edges strictly below the score; empty bins dropped."""
     probs = [i / n_bins for i in range(1, n_bins)]
-    q = exact_quantiles(scored, score, id_col, probs).first()
+    q = exact_quantiles(scored, score, probs).first()
     inner = [q[f"q{i}"] for i in range(len(probs))]
     b = sum((F.col(score) > F.lit(e)).cast("int") for e in inner) if inner else F.lit(0)
     return (scored.groupBy(b.alias("bin"))

@@ -306,7 +306,7 @@ def q_clv_histogram_fixed(spark, d):
     from retailspark.functions.stats import exact_quantiles
     c = _round_doubles(P.customer_clv(spark, d, fixed=True)).filter(
         (F.col("clv_method") == "bg_nbd_gamma_gamma") & (F.col("predicted_clv") > 0))
-    p99 = exact_quantiles(c, "predicted_clv", "CustomerID", [0.99]).first()["q0"]
+    p99 = exact_quantiles(c, "predicted_clv", [0.99]).first()["q0"]
     kept = c.filter(F.col("predicted_clv") <= F.lit(p99))
     b = F.least(F.floor(F.col("predicted_clv") / F.lit(p99 / 60.0)), F.lit(59)).cast("int")
     return kept.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("customers")) \
