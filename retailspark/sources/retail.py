@@ -11,6 +11,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW_SCHEMA = T.StructType([
@@ -68,20 +69,36 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
 
 
-def load_all(spark: SparkSession, frames: dict, root: str, view_prefix: str | None = None) -> DataFrame:
+#: The column by which each serving table is looked up.
+LOOKUP_KEYS = {"customers": "customer_id", "customer_top_product": "customer_id", "products": "stock_code"}
+
+
+def keyed_writer(df: DataFrame, key: str | None):
+    """A Parquet writer that gives every row group a bloom filter on ``key``,
+    sized by the keys that it has.  The column is not dictionary coded: almost
+    every value is its own, and Parquet drops the filter of such a column."""
+    if key is None:
+        return df.write
+    return (df.write.option(f"parquet.bloom.filter.enabled#{key}", "true")
+            .option("parquet.bloom.filter.adaptive.enabled", "true")
+            .option(f"parquet.enable.dictionary#{key}", "false"))
+
+
+def load_all(spark: SparkSession, frames: dict, root: str, view_prefix: str | None = None,
+             keys: dict[str, str] = LOOKUP_KEYS) -> DataFrame:
     """Replace all serving tables at once and return (table, rows).
 
     The tables go to a new folder under ``root``; a manifest that names it is
     swapped last.  A reader (``serving_table``) sees either all old tables or
     all new ones, also when a load fails half way.  Rows are counted from the
     written files' footers.  With ``view_prefix`` each table gets a temp view, named
-    by the prefix and the table."""
+    by the prefix and the table.  ``keys``: the columns that get bloom filters."""
     root = root.rstrip("/")
     version = f"{int(time.time() * 1000):015d}-{uuid.uuid4().hex[:8]}"
     rows = []
     for name, df in frames.items():
         path = f"{root}/versions/{version}/{name}"
-        df.write.parquet(path)
+        keyed_writer(df, keys.get(name)).parquet(path)
         rows.append((name, spark.read.schema(df.schema).parquet(path).count()))
     _swap_manifest(spark, root, version)
     if view_prefix is not None:
@@ -121,3 +138,12 @@ def serving_table(spark: SparkSession, root: str, name: str, version: str | None
     """A serving table of the current version (or of the one given, for
     several tables of one load)."""
     return spark.read.parquet(f"{root.rstrip('/')}/versions/{version or serving_version(spark, root)}/{name}")
+
+
+def lookup(spark: SparkSession, root: str, name: str, value, key: str | None = None, version: str | None = None) -> DataFrame:
+    """The rows of a serving table whose key equals ``value``, which is bound
+    as a parameter, never put into the statement.  Row groups whose range or
+    bloom filter rules the value out are not read.  NULL finds nothing."""
+    key = key or LOOKUP_KEYS[name]
+    return spark.sql("SELECT * FROM {rows} WHERE {key} = :value", args={"value": value},
+                     rows=serving_table(spark, root, name, version), key=F.col(key))
