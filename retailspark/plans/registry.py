@@ -619,7 +619,7 @@ def q_customers_fixed(spark, d):
 
 @query("get_customer")
 def q_get_customer(spark, d):
-    return sv.get_customer(_cf(spark, d), "100")
+    return RT.lookup(spark, _served(spark, d), "customers", "100")
 
 
 @query("segment_summary")
@@ -671,7 +671,7 @@ def q_top_products(spark, d):
 
 @query("get_product")
 def q_get_product(spark, d):
-    return P.products(spark, d).filter(F.col("stock_code") == "00001")
+    return RT.lookup(spark, _served(spark, d), "products", "00001")
 
 
 @query("monthly_series")
@@ -991,6 +991,12 @@ def q_load_all(spark, d):
     return RT.load_all(spark, frames, _stage_path(spark, d, "serving"))
 
 
+def _served(spark, d):
+    """The root of the serving tables, loaded once for this workspace's lookups."""
+    P.ws(spark, d).once("serving_lookups", lambda: q_load_all(spark, d).collect())  # 6 rows
+    return _stage_path(spark, d, "serving")
+
+
 @query("tbl_passthrough")
 def q_tbl_passthrough(spark, d):
     q_load_all(spark, d).collect()  # 6 rows
