@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from retailspark.operators import clean
+from retailspark.operators import clean, propensity, rfm
 from retailspark.plans import pipeline
 from retailspark.sources import testdata
 
@@ -53,3 +53,28 @@ def test_whole_rows_are_not_shuffled(spark, tmp_path, monkeypatch):
     plan = pipeline.tagged(spark, d)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert moved and not any("InvoiceNo" in line or "StockCode" in line for line in moved)
+
+
+def test_rfm_and_historical_value_share_their_totals(spark):
+    t = dt.datetime
+    tx = spark.createDataFrame([("a", "1", t(2020, 1, 1), 1.25), ("a", "1", t(2020, 1, 1), 2.0), ("a", None, t(2020, 3, 1), None),
+                                ("b", None, t(2020, 2, 1), None), (None, "2", None, 3.0)],
+                               "CustomerID string, InvoiceNo string, InvoiceDate timestamp_ntz, TotalPrice double")
+    totals = rfm.customer_totals(tx)
+    assert _all(totals) == _all(spark.createDataFrame(
+        [("a", 32500, 1, t(2020, 1, 1), t(2020, 3, 1)), ("b", None, 0, t(2020, 2, 1), t(2020, 2, 1)), (None, 30000, 1, None, None)],
+        "c string, u bigint, n bigint, f timestamp_ntz, l timestamp_ntz"))
+    assert _all(rfm.compute_rfm(tx, totals=totals)) == _all(rfm.compute_rfm(tx)) == sorted(
+        [("a", 1, 1, 3.25), ("b", 30, 0, None), (None, None, 1, 3.0)], key=repr)
+
+
+def test_training_counts_need_no_copies_of_lines(spark):
+    t = dt.datetime
+    tx = spark.createDataFrame(
+        [("a", "1", "p", t(2020, 1, 1), 1.0), ("a", "1", "q", t(2020, 1, 1), 2.0), ("a", "2", "p", t(2020, 1, 5), 3.0), ("a", None, None, t(2020, 1, 6), 4.0),
+         ("a", "2", "late", t(2020, 2, 5), 9.0), ("b", "3", "p", t(2020, 2, 1), 5.0), (None, "4", "p", t(2020, 1, 2), None), ("c", "5", None, t(2019, 1, 1), 1.0)],
+        "CustomerID string, InvoiceNo string, StockCode string, InvoiceDate timestamp_ntz, TotalPrice double")
+    got = propensity.build_training_table(tx, F.lit(t(2020, 1, 10)).cast("timestamp_ntz"))
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.CustomerID: (r.frequency, r.monetary, r.recency_days, r.tenure_days, r.distinct_products, r.label) for r in got.collect()}
+    assert rows == {"a": (2, 10.0, 4, 9, 2, 1), None: (1, None, 8, 8, 1, 0), "c": (1, 1.0, 374, 374, 0, 0)}
